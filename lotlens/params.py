@@ -102,7 +102,7 @@ APP_ZOOM_LAYERS = (
     ("cantons", 9, 11),
     ("communes", 11, 17),
 )
-# Zoom ranges of the tile layers.
+# Zoom ranges of the tile layers (both ends inclusive).
 TILE_ZOOM_LAYERS = (
     ("country", 0, 5),
     ("regions", 5, 7),
@@ -111,6 +111,8 @@ TILE_ZOOM_LAYERS = (
     ("communes", 12, 15),
 )
 PARCEL_TILE_ZOOMS = (16, 20)
+# Most features one tile may hold before the densest are dropped.
+TILE_FEATURE_CAP = 200000
 # Communes of a department are preloaded from this zoom on.
 COMMUNE_PRELOAD_ZOOM = 10
 

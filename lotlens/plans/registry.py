@@ -10,16 +10,30 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotlens.operators import clean, reports, stats
-from lotlens.params import DEFAULT
-from lotlens.sources import fixtures
+from lotlens.functions.expressions import dept_of_commune, price_color
+from lotlens.functions.geo import ring_area2
+from lotlens.operators import (clean, dims, geometry, layers, parcels, publish, reports, stats, tiles,
+                               viewport)
+from lotlens.params import DEFAULT, METRO_REGIONS
+from lotlens.sources import csv_lots, fixtures, geojson
+from lotlens.sources.tables import CODE_VERSION, key_for, materialize
+from lotlens.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lot table L, written once per input folder (the ingest step)."""
+    return materialize(lambda: fixtures.lots(spark, sf_dir), spark, "lots", sf_dir,
+                       sort_within="code_departement")
+
+
 def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_transactions(fixtures.lots(spark, sf_dir))
+    """Transaction table T, written once from L (the clean step)."""
+    return materialize(lambda: clean.clean_transactions(_lots(spark, sf_dir)), spark, "clean", sf_dir,
+                       sort_within="dept_code")
 
 
 def _communes_wp(spark, sf_dir):
@@ -33,6 +47,172 @@ def _all_levels(spark, sf_dir):
 APPROX = replace(DEFAULT, quantile_mode="approx")
 
 
+def _cells(spark, sf_dir):
+    return layers.commune_cells(spark, sf_dir)
+
+
+def _layers(spark, sf_dir):
+    """All boundary layers in metres (dissolves run once per input folder)."""
+    return materialize(lambda: layers.all_layers(spark, sf_dir), spark, "layers", sf_dir)
+
+
+def _published(spark, sf_dir):
+    """Simplified, lon/lat, rounded layers."""
+    return materialize(lambda: layers.publishable(_layers(spark, sf_dir)), spark, "published", sf_dir)
+
+
+def _commune_features(spark, sf_dir):
+    return _published(spark, sf_dir).where(F.col("level") == "commune")
+
+
+def dissolve_boundary_edges(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    dept = geometry.boundary_edges(cells.select(F.col("dept").alias("code"), "geometry"), ["code"])
+    metro = (cells.join(dims.dept_region(spark), cells.dept == F.col("dept_code"))
+             .where(F.col("region_code").isin(*METRO_REGIONS))
+             .select(F.lit("FR").alias("code"), "geometry"))
+    country = geometry.boundary_edges(metro, ["code"])
+    return (dept.select(F.lit("departement").alias("level"), "*")
+            .unionByName(country.select(F.lit("country").alias("level"), "*")))
+
+
+def dissolved_layers(spark, sf_dir):
+    """Per feature: area (holes subtract) and number of distinct boundary vertices."""
+    lay = _layers(spark, sf_dir)
+    rings = lay.select("level", "code", "name", F.explode(F.flatten("geometry")).alias("ring"))
+    return (rings.groupBy("level", "code", "name")
+            .agg((F.sum(ring_area2(F.col("ring"))) / 2).alias("area_m2"),
+                 F.sum(F.size("ring") - 1).alias("vertices")))
+
+
+def simplified_layers(spark, sf_dir):
+    return _published(spark, sf_dir).select("level", "code", "name",
+                                            F.size(F.flatten(F.flatten("geometry"))).alias("points"),
+                                            "geometry")
+
+
+def _all_stats_table(spark, sf_dir):
+    return materialize(lambda: _all_levels(spark, sf_dir), spark, "all_stats", sf_dir)
+
+
+def enriched_features(spark, sf_dir):
+    e = publish.enrich(_layers(spark, sf_dir).drop("geometry"), _all_stats_table(spark, sf_dir))
+    return e.select("level", "code", "name", "price_m2", "n_sales", "q25", "q75")
+
+
+def geojson_features(spark, sf_dir):
+    communes = _commune_features(spark, sf_dir)
+    s = _all_stats_table(spark, sf_dir).where(F.col("level") == "commune")
+    e = publish.enrich(communes, s)
+    lines = publish.geojson_lines(e, ["code", "name", "price_m2", "n_sales", "q25", "q75"])
+    return lines.select("code", publish.dept_of_commune(F.col("code")).alias("dept"), "feature")
+
+
+def rounded_coordinates(spark, sf_dir):
+    c = _commune_features(spark, sf_dir)
+    pts = c.select("code", F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
+    return pts.select("code", "idx", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+
+
+def feature_bbox(spark, sf_dir):
+    d = _layers(spark, sf_dir).where(F.col("level") == "departement")
+    b = viewport.feature_bounds(d)
+    return b.select(F.col("code").alias("dept"), "minx", "miny", "maxx", "maxy",
+                    (F.col("maxx") - F.col("minx")).alias("width"), (F.col("maxy") - F.col("miny")).alias("height"))
+
+
+def _dept_bounds(spark, sf_dir):
+    return viewport.feature_bounds(_layers(spark, sf_dir).where(F.col("level") == "departement"))
+
+
+def _visible(spark, sf_dir):
+    return viewport.visible_departments(fixtures.viewports(spark, sf_dir), _dept_bounds(spark, sf_dir))
+
+
+def viewport_to_load(spark, sf_dir):
+    return viewport.departments_to_load(_visible(spark, sf_dir))
+
+
+def viewport_communes(spark, sf_dir):
+    communes = _layers(spark, sf_dir).where(F.col("level") == "commune").select(
+        "code", dept_of_commune(F.col("code")).alias("dept"))
+    return viewport.communes_to_load(viewport_to_load(spark, sf_dir), communes)
+
+
+def commune_dept_index(spark, sf_dir):
+    c = publish.commune_dept(_layers(spark, sf_dir).where(F.col("level") == "commune").select("code"))
+    return c.groupBy("dept").agg(F.count(F.lit(1)).alias("n"))
+
+
+def enrichment_coverage(spark, sf_dir):
+    c = _layers(spark, sf_dir).where(F.col("level") == "commune").drop("geometry")
+    e = publish.enrich(c, _all_stats_table(spark, sf_dir))
+    return e.agg(F.count(F.lit(1)).alias("features"), F.count("price_m2").alias("enriched"))
+
+
+def enriched_postcodes(spark, sf_dir):
+    pcs = layers.postcode_features(_cells(spark, sf_dir))
+    s = _all_stats_table(spark, sf_dir).where(F.col("level") == "postcode")
+    e = publish.enrich_postcodes(pcs, s)
+    return e.select(F.col("pc").alias("code"), "price_m2", "n_sales", "q25", "q75")
+
+
+def layer_codes(level):
+    def q(spark, sf_dir):
+        return _layers(spark, sf_dir).where(F.col("level") == level).select("code", "name")
+    return q
+
+
+def parcel_prices(cap):
+    def q(spark, sf_dir):
+        return parcels.sold_parcels(fixtures.parcels(spark, sf_dir), _t(spark, sf_dir), cap).drop("geometry")
+    return q
+
+
+def parcel_layer(spark, sf_dir):
+    p = parcels.parcel_layer(fixtures.parcels(spark, sf_dir), _t(spark, sf_dir))
+    return p.select("parcel_id", "dept_code", "price_m2", "n_sales", "commune_name",
+                    F.size(F.flatten(F.flatten("geometry"))).alias("points"))
+
+
+def tile_assignment(spark, sf_dir):
+    return tiles.assign_tiles(_commune_features(spark, sf_dir), "communes")
+
+
+def tile_top_features(spark, sf_dir):
+    weights = _all_stats_table(spark, sf_dir).where(F.col("level") == "commune").select("code", "n_sales")
+    return tiles.cap_per_tile(tile_assignment(spark, sf_dir), weights)
+
+
+def price_colors(spark, sf_dir):
+    c = _layers(spark, sf_dir).where(F.col("level") == "commune").drop("geometry")
+    e = publish.enrich(c, _all_stats_table(spark, sf_dir))
+    return e.select("code", "price_m2", price_color(F.col("price_m2")).alias("color"))
+
+
+def zoom_levels(spark, sf_dir):
+    v = fixtures.viewports(spark, sf_dir).select("event_id", "zoom")
+    z = dims.zoom_layers(spark, "app")
+    return (v.join(z, (v.zoom >= z.minzoom) & (v.zoom < z.maxzoom))
+            .select("event_id", "zoom", "layer"))
+
+
+def csv_lots_query(spark, sf_dir):
+    """Lots written in the published text format, read back through S1-S5."""
+    src = table_path(spark, key_for("csv_source", CODE_VERSION, sf_dir))
+
+    def build():
+        csv_lots.write_french_csv(_lots(spark, sf_dir), src)
+        valid, _ = csv_lots.ingest(spark, src + "/*.csv", src + "-parsed")
+        return valid.drop("file_path")
+    return materialize(build, spark, "csv_lots", sf_dir)
+
+
+def stats_cache_roundtrip(spark, sf_dir):
+    doc = publish.stats_json(_all_stats_table(spark, sf_dir))
+    return geojson.stats_from_json(doc)
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["clean_transactions"] = _t
@@ -57,8 +237,32 @@ def build() -> dict[str, Query]:
     q["price_distribution"] = lambda s, d: reports.price_distribution(_t(s, d))
     q["top_departments"] = lambda s, d: reports.top_departments(_t(s, d))
     q["top_communes"] = lambda s, d: reports.top_communes(_t(s, d))
-    q["raw_lot_department_stats"] = lambda s, d: reports.raw_lot_department_stats(fixtures.lots(s, d))
-    q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(fixtures.lots(s, d))
-    q["city_report_by_insee"] = lambda s, d: reports.city_report_by_insee(fixtures.lots(s, d))
-    q["bulk_sale_inflation"] = lambda s, d: reports.bulk_sale_inflation(fixtures.lots(s, d), _t(s, d))
+    q["raw_lot_department_stats"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d))
+    q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(_lots(s, d))
+    q["city_report_by_insee"] = lambda s, d: reports.city_report_by_insee(_lots(s, d))
+    q["bulk_sale_inflation"] = lambda s, d: reports.bulk_sale_inflation(_lots(s, d), _t(s, d))
+    q["dissolve_boundary_edges"] = dissolve_boundary_edges
+    q["dissolved_layers"] = dissolved_layers
+    q["simplified_layers"] = simplified_layers
+    q["enriched_features"] = enriched_features
+    q["geojson_features"] = geojson_features
+    q["rounded_coordinates"] = rounded_coordinates
+    q["feature_bbox"] = feature_bbox
+    q["viewport_departments"] = lambda s, d: _visible(s, d).select("event_id", "dept")
+    q["viewport_to_load"] = viewport_to_load
+    q["viewport_communes"] = viewport_communes
+    q["commune_dept_index"] = commune_dept_index
+    q["enrichment_coverage"] = enrichment_coverage
+    q["enriched_postcodes"] = enriched_postcodes
+    q["commune_layer"] = layer_codes("commune")
+    q["canton_layer"] = layer_codes("canton")
+    q["parcel_prices"] = parcel_prices(20000)
+    q["parcel_prices_cap10"] = parcel_prices(10)
+    q["parcel_layer"] = parcel_layer
+    q["tile_assignment"] = tile_assignment
+    q["tile_top_features"] = tile_top_features
+    q["price_color"] = price_colors
+    q["zoom_levels"] = zoom_levels
+    q["csv_lots"] = csv_lots_query
+    q["stats_cache_roundtrip"] = stats_cache_roundtrip
     return q

@@ -112,3 +112,39 @@ def commune_to_canton(spark: SparkSession, sf_dir: str) -> DataFrame:
     plm = spark.createDataFrame([(p[0], p[1]) for p in PLM], "insee string, canton_code string")
     # Upsert: the PLM rows replace any regular row of the same commune.
     return regular.join(plm, "insee", "left_anti").unionByName(plm)
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cadastre-shaped parcels, one per customer (so they grow with the data).
+
+    id = insee || lpad(custkey, 9); type_objet 'batiment' when custkey % 3 = 2,
+    else 'parcelle'; geometry NULL for commune index k = 7, else a 50 m square
+    inside its commune cell (EPSG:2154 metres).
+    """
+    from lotlens.operators.geometry import square
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    di, key = F.col("c_nationkey"), F.col("c_custkey")
+    k = (key % 20).cast("int")
+    j = F.floor(key / 20)
+    dept = dept_from_nation(di)
+    insee = insee_of(dept, commune_from_customer(key, di))
+    x0 = F.lit(600000.0) + (di % 5) * 40000 + (k % 4) * 10000 + 100 + (j % 90) * 100
+    y0 = F.lit(6500000.0) + F.floor(di / 5) * 50000 + F.floor(k / 4) * 10000 + 100 + (F.floor(j / 90) % 90) * 100
+    return c.select(
+        F.concat(insee, F.lpad(key.cast("string"), 9, "0")).alias("id"),
+        insee.alias("commune"),
+        dept.alias("departement"),
+        F.when(key % 3 == 2, F.lit("batiment")).otherwise(F.lit("parcelle")).alias("type_objet"),
+        F.when(k == 7, F.lit(None)).otherwise(square(x0, y0, 50.0, midpoints=False)).alias("geometry"))
+
+
+def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One map viewport per event (EPSG:2154 metres) with its zoom."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    west = F.lit(600000.0) + (F.col("event_id") * 7919) % 200000
+    south = F.lit(6500000.0) + (F.col("event_id") * 104729) % 250000
+    return e.select("event_id", "user_id", "ts",
+                    west.alias("west"), south.alias("south"),
+                    (west + 30000).alias("east"), (south + 30000).alias("north"),
+                    (F.lit(4) + F.col("event_id") % 14).cast("int").alias("zoom"))
