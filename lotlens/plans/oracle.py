@@ -252,3 +252,233 @@ JOIN (SELECT dept_code, quantile_cont(price_m2, 0.5) AS m, COUNT(*) AS n FROM cl
   ON r.dept_code = c.dept_code
 WHERE r.n >= 10 AND c.n >= 10"""
     return q
+
+
+# --- geometry, publishing, parcels, viewports, tiles -------------------------
+
+def _lit(v: float) -> str:
+    return repr(float(v))
+
+
+def _geo_consts():
+    import math as _m
+    from lotlens.params import (GRS80_INV_F, LAMBERT93_C, LAMBERT93_LON0_DEG, LAMBERT93_N,
+                                LAMBERT93_X0, LAMBERT93_YS)
+    f = 1.0 / GRS80_INV_F
+    e = _m.sqrt(2 * f - f * f)
+    return dict(e=e, lon0=_m.radians(LAMBERT93_LON0_DEG), n=LAMBERT93_N, c=LAMBERT93_C,
+                x0=LAMBERT93_X0, ys=LAMBERT93_YS, inv_n=1.0 / LAMBERT93_N, half_pi=_m.pi / 2, half_e=e / 2)
+
+
+def lonlat_sql(x: str, y: str, alias_lon: str = "lon", alias_lat: str = "lat", src: str = "src") -> str:
+    """SELECT *, lon, lat FROM src — inverse Lambert-93, 5 latitude iterations."""
+    k = _geo_consts()
+    phi = f"({_lit(k['half_pi'])} - 2 * atan(t))"
+    for _ in range(5):
+        phi = (f"({_lit(k['half_pi'])} - 2 * atan(t * pow((1 - {_lit(k['e'])} * sin({phi})) / "
+               f"(1 + {_lit(k['e'])} * sin({phi})), {_lit(k['half_e'])})))")
+    return f"""SELECT *, degrees({_lit(k['lon0'])} + atan2(dx, dy) / {_lit(k['n'])}) AS {alias_lon},
+       degrees({phi}) AS {alias_lat}
+FROM (SELECT *, pow(sqrt(dx * dx + dy * dy) / {_lit(k['c'])}, {_lit(k['inv_n'])}) AS t
+      FROM (SELECT *, {x} - {_lit(k['x0'])} AS dx, {_lit(k['ys'])} - {y} AS dy FROM {src}) a) b"""
+
+
+CELLGEO = f"""cellgeo AS (
+  SELECT di, k, dept, insee,
+         'COMMUNE ' || dept || '-' || CAST({commune_sql('k', 'di')} AS VARCHAR) AS name,
+         CASE WHEN di NOT IN (12, 22, 23) AND k <> 19 THEN lpad(CAST(k % 4 + 1 AS VARCHAR), 2, '0') END AS canton,
+         600000.0 + (di % 5) * 40000 + (k % 4) * 10000 AS x0,
+         6500000.0 + floor(di / 5) * 50000 + floor(k / 4) * 10000 AS y0
+  FROM cells)"""
+
+_OFFS = [(0, 0, .5, 0), (.5, 0, 1, 0), (1, 0, 1, .5), (1, .5, 1, 1), (1, 1, .5, 1), (.5, 1, 0, 1),
+         (0, 1, 0, .5), (0, .5, 0, 0)]
+CELL_EDGES = """cell_edges AS (
+  SELECT insee, x0 + o.fa * 10000 AS ax, y0 + o.ga * 10000 AS ay, x0 + o.fb * 10000 AS bx, y0 + o.gb * 10000 AS "by"
+  FROM (SELECT c.*, unnest([{}]) AS o FROM cellgeo c) s)""".format(
+    ", ".join(f"{{'fa': {a}, 'ga': {b}, 'fb': {c}, 'gb': {d}}}" for a, b, c, d in _OFFS))
+
+METRO = ", ".join(f"'{r}'" for r in __import__("lotlens.params", fromlist=["METRO_REGIONS"]).METRO_REGIONS)
+
+MEMBERS = f"""members AS (
+  SELECT 'country' AS level, 'FR' AS code, 'France' AS name, c.insee
+    FROM cellgeo c JOIN dept_region d ON c.dept = d.dept_code WHERE d.region_code IN ({METRO})
+  UNION ALL SELECT 'region', d.region_code, 'Region ' || d.region_code, c.insee
+    FROM cellgeo c JOIN dept_region d ON c.dept = d.dept_code
+  UNION ALL SELECT 'departement', dept, 'Departement ' || dept, insee FROM cellgeo
+  UNION ALL SELECT 'canton', dept || '_' || canton, 'Canton ' || canton, insee FROM cellgeo WHERE canton IS NOT NULL
+  UNION ALL SELECT 'canton', pn.pseudo_canton, pn.name, c.insee
+    FROM cellgeo c JOIN arr a ON c.insee = a.arr_code JOIN plm_names pn ON a.parent_code = pn.code
+  UNION ALL SELECT 'commune', insee, name, insee FROM cellgeo)"""
+
+
+def boundary_sql(src: str, keys: str) -> str:
+    """Edges of src (keys..., ax, ay, bx, "by") whose undirected copy occurs once per group."""
+    a_first = '(ax < bx OR (ax = bx AND ay <= "by"))'
+    return f"""SELECT {keys}, min(ax) AS ax, min(ay) AS ay, min(bx) AS bx, min("by") AS "by"
+FROM (SELECT *, CASE WHEN {a_first} THEN ax ELSE bx END AS ux1, CASE WHEN {a_first} THEN ay ELSE "by" END AS uy1,
+             CASE WHEN {a_first} THEN bx ELSE ax END AS ux2, CASE WHEN {a_first} THEN "by" ELSE ay END AS uy2
+      FROM {src}) u
+GROUP BY {keys}, ux1, uy1, ux2, uy2 HAVING COUNT(*) = 1"""
+
+
+GEO_BASE = (PLACES, DEPT_REGION, ARR, PLM_NAMES, CELLS, CELLGEO)
+
+P7 = "CASE WHEN {c} LIKE '97%' OR {c} LIKE '98%' THEN substr({c}, 1, 3) ELSE substr({c}, 1, 2) END"
+
+CORNERS = """corners AS (
+  SELECT insee AS code, o.idx AS idx, x0 + o.fx * 10000 AS px, y0 + o.fy * 10000 AS py
+  FROM (SELECT c.*, unnest([{'idx': 0, 'fx': 0.0, 'fy': 0.0}, {'idx': 1, 'fx': 1.0, 'fy': 0.0},
+                            {'idx': 2, 'fx': 1.0, 'fy': 1.0}, {'idx': 3, 'fx': 0.0, 'fy': 1.0},
+                            {'idx': 4, 'fx': 0.0, 'fy': 0.0}]) AS o FROM cellgeo c) s)"""
+
+PROJECTED = f"""projected AS (
+  SELECT code, idx, round_even(lon, 5) AS lon, round_even(lat, 5) AS lat
+  FROM ({lonlat_sql('px', 'py', src='corners')}) p)"""
+
+PARCELS = """parcels AS (
+  SELECT code_departement || lpad(CAST(code_commune AS VARCHAR), 3, '0') || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id,
+         code_departement || lpad(CAST(code_commune AS VARCHAR), 3, '0') AS commune,
+         code_departement AS departement,
+         CASE WHEN c_custkey % 3 = 2 THEN 'batiment' ELSE 'parcelle' END AS type_objet,
+         (c_custkey % 20) = 7 AS geom_null
+  FROM places)"""
+
+VIEWPORTS = """viewports AS (
+  SELECT event_id, user_id, ts, west, south, west + 30000 AS east, south + 30000 AS north,
+         CAST(4 + event_id % 14 AS INTEGER) AS zoom
+  FROM (SELECT event_id, user_id, ts, 600000.0 + (event_id * 7919) % 200000 AS west,
+               6500000.0 + (event_id * 104729) % 250000 AS south FROM events) e)"""
+
+DEPT_BBOX = """dept_bbox AS (
+  SELECT dept, min(x0) AS minx, min(y0) AS miny, max(x0) + 10000 AS maxx, max(y0) + 10000 AS maxy
+  FROM cellgeo GROUP BY dept)"""
+
+VISIBLE = """visible AS (
+  SELECT v.event_id, v.user_id, v.ts, v.zoom, b.dept
+  FROM viewports v JOIN dept_bbox b
+    ON b.maxx >= v.west AND b.minx <= v.east AND b.maxy >= v.south AND b.miny <= v.north)"""
+
+TO_LOAD = """to_load AS (
+  SELECT user_id, dept, event_id, ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, dept ORDER BY ts, event_id) AS rn
+    FROM visible WHERE zoom >= 10) x WHERE rn = 1)"""
+
+
+def _tile_x(lon: str, z: str) -> str:
+    return f"CAST(least(floor(({lon} + 180.0) / 360.0 * pow(2.0, {z})), pow(2.0, {z}) - 1) AS INTEGER)"
+
+
+def _tile_y(lat: str, z: str) -> str:
+    y = f"(1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / pi()) / 2.0 * pow(2.0, {z})"
+    return f"CAST(least(greatest(floor({y}), 0.0), pow(2.0, {z}) - 1) AS INTEGER)"
+
+
+TILES = f"""tiles AS (
+  SELECT 'communes' AS layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, code FROM (
+    SELECT code, z, unnest(generate_series({_tile_x('minlon', 'z')}, {_tile_x('maxlon', 'z')})) AS x,
+           ymin, ymax
+    FROM (SELECT code, minlon, maxlon, z, {_tile_y('maxlat', 'z')} AS ymin, {_tile_y('minlat', 'z')} AS ymax
+          FROM (SELECT code, min(lon) AS minlon, max(lon) AS maxlon, min(lat) AS minlat, max(lat) AS maxlat,
+                       unnest(generate_series(12, 15)) AS z
+                FROM projected GROUP BY code) b) c) d,
+  LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) e)"""
+
+
+def _color_sql(price: str) -> str:
+    from lotlens.params import PRICE_COLOR_MISSING, PRICE_COLOR_STOPS
+    p = f"least(greatest(coalesce(CAST({price} AS DOUBLE), {_lit(PRICE_COLOR_MISSING)}), " \
+        f"{_lit(PRICE_COLOR_STOPS[0][0])}), {_lit(PRICE_COLOR_STOPS[-1][0])})"
+
+    def rgb(h):
+        h = h.lstrip("#")
+        return int(h[0:2], 16), int(h[2:4], 16), int(h[4:6], 16)
+    parts = []
+    for ch in range(3):
+        arms = []
+        for (x0, c0), (x1, c1) in zip(PRICE_COLOR_STOPS[:-1], PRICE_COLOR_STOPS[1:]):
+            v0, v1 = rgb(c0)[ch], rgb(c1)[ch]
+            arms.append(f"WHEN {p} <= {_lit(x1)} THEN {_lit(v0)} + ({p} - {_lit(x0)}) * {_lit((v1 - v0) / (x1 - x0))}")
+        last = rgb(PRICE_COLOR_STOPS[-1][1])[ch]
+        parts.append(f"printf('%02x', CAST(round_even(CASE {' '.join(arms)} ELSE {_lit(last)} END, 0) AS INTEGER))")
+    return "'#' || " + " || ".join(parts)
+
+
+def build_geo(q: dict[str, str]) -> None:
+    base = GEO_BASE
+    q["dissolve_boundary_edges"] = with_(*base, CELL_EDGES) + "SELECT * FROM (" + boundary_sql(f"""(
+  SELECT 'departement' AS level, c.dept AS code, e.ax, e.ay, e.bx, e."by" FROM cell_edges e JOIN cellgeo c ON e.insee = c.insee
+  UNION ALL
+  SELECT 'country', 'FR', e.ax, e.ay, e.bx, e."by" FROM cell_edges e JOIN cellgeo c ON e.insee = c.insee
+    JOIN dept_region d ON c.dept = d.dept_code WHERE d.region_code IN ({METRO}))""", "level, code") + ") z"
+    q["dissolved_layers"] = with_(*base, CELL_EDGES, MEMBERS) + f"""
+SELECT a.level, a.code, a.name, a.area_m2, b.vertices FROM
+  (SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM members GROUP BY level, code, name) a
+JOIN
+  (SELECT level, code, name, COUNT(*) AS vertices FROM ({boundary_sql(
+      '(SELECT m.level, m.code, m.name, e.ax, e.ay, e.bx, e."by" FROM members m JOIN cell_edges e ON m.insee = e.insee)',
+      'level, code, name')}) bb GROUP BY level, code, name) b
+ON a.level = b.level AND a.code = b.code AND a.name = b.name"""
+    all_stats = ALL_LEVELS_BASE + (ALL_LEVELS_CTE,)
+    geo_stats = tuple(dict.fromkeys(all_stats + (CELLGEO,)))
+    q["enriched_features"] = with_(*geo_stats, MEMBERS) + """
+SELECT f.level, f.code, f.name, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
+FROM (SELECT DISTINCT level, code, name FROM members) f
+LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
+    q["rounded_coordinates"] = with_(*base, CORNERS, PROJECTED) + "SELECT code, CAST(idx AS INTEGER) AS idx, lon, lat FROM projected"
+    q["feature_bbox"] = with_(*base, DEPT_BBOX) + """
+SELECT dept, minx, miny, maxx, maxy, maxx - minx AS width, maxy - miny AS height FROM dept_bbox"""
+    vbase = base + (DEPT_BBOX, "events_placeholder")
+    vb = tuple(x for x in vbase if x != "events_placeholder") + (VIEWPORTS, VISIBLE)
+    q["viewport_departments"] = with_(*vb) + "SELECT event_id, dept FROM visible"
+    q["viewport_to_load"] = with_(*vb, TO_LOAD) + "SELECT * FROM to_load"
+    q["viewport_communes"] = with_(*vb, TO_LOAD) + f"""
+SELECT t.user_id, t.event_id, t.dept, c.insee AS code FROM to_load t JOIN cellgeo c ON {P7.format(c='c.insee')} = t.dept"""
+    q["commune_dept_index"] = with_(*base) + f"SELECT {P7.format(c='insee')} AS dept, COUNT(*) AS n FROM cellgeo GROUP BY 1"
+    q["enrichment_coverage"] = with_(*geo_stats) + """
+SELECT COUNT(*) AS features, COUNT(s.code) AS enriched FROM cellgeo c
+LEFT JOIN (SELECT code FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
+    q["enriched_postcodes"] = with_(*tuple(dict.fromkeys(BASE + base))) + f"""
+SELECT p.code, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
+FROM (SELECT DISTINCT dept || lpad(CAST((k % 5) * 10 AS VARCHAR), 3, '0') AS code FROM cellgeo) p
+LEFT JOIN ({stats_select('postal_code')}) s ON p.code = s.code"""
+    q["commune_layer"] = with_(*base) + "SELECT insee AS code, name FROM cellgeo"
+    q["canton_layer"] = with_(*base, MEMBERS) + "SELECT DISTINCT code, name FROM members WHERE level = 'canton'"
+    parcel_q = f"""
+SELECT parcel_id, dept_code, price_m2, n_sales, commune_name FROM (
+  SELECT p.id AS parcel_id, p.departement AS dept_code, round_even(NULLIF(s.m, 0), 0) AS price_m2, s.n_sales,
+         s.commune_name, row_number() OVER (PARTITION BY p.departement ORDER BY p.id, s.commune_name) AS rn
+  FROM parcels p JOIN (
+    SELECT {INSEE} AS insee_com, commune_name, COUNT(*) AS n_sales, quantile_cont(price_m2, 0.5) AS m
+    FROM clean WHERE price_m2 > 100 AND price_m2 < 50000
+    GROUP BY dept_code, commune_code, commune_name) s ON p.commune = s.insee_com
+  WHERE p.type_objet = 'parcelle' AND NOT p.geom_null) x
+WHERE rn <= {{cap}}"""
+    q["parcel_prices"] = with_(*BASE, PARCELS) + parcel_q.format(cap=20000)
+    q["parcel_prices_cap10"] = with_(*BASE, PARCELS) + parcel_q.format(cap=10)
+    q["tile_assignment"] = with_(*base, CORNERS, PROJECTED, TILES) + "SELECT * FROM tiles"
+    q["tile_top_features"] = with_(*tuple(dict.fromkeys(ROLLUP_BASE + base)), CORNERS, PROJECTED, TILES) + """
+SELECT layer, z, x, y, code, rank FROM (
+  SELECT t.*, CAST(row_number() OVER (PARTITION BY layer, z, x, y ORDER BY s.n_sales DESC NULLS LAST, t.code ASC) AS INTEGER) AS rank
+  FROM tiles t LEFT JOIN communes_wp s ON t.code = s.code) r
+WHERE z = 15 OR rank <= 200000"""
+    q["price_color"] = with_(*geo_stats) + f"""
+SELECT c.insee AS code, s.median_price_m2 AS price_m2, {_color_sql('s.median_price_m2')} AS color
+FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
+    from lotlens.params import APP_ZOOM_LAYERS
+    zooms = ", ".join(f"('{a}', {b}, {c})" for a, b, c in APP_ZOOM_LAYERS)
+    q["zoom_levels"] = with_(VIEWPORTS) + f"""
+SELECT v.event_id, v.zoom, z.layer FROM viewports v
+JOIN (VALUES {zooms}) z(layer, minzoom, maxzoom) ON v.zoom >= z.minzoom AND v.zoom < z.maxzoom"""
+    q["csv_lots"] = with_(PLACES, LOTS) + "SELECT * FROM lots"
+    q["stats_cache_roundtrip"] = with_(*all_stats) + \
+        "SELECT level, code, median_price_m2, q25, q75, n_sales FROM all_stats"
+
+
+_build_core = build
+
+
+def build() -> dict[str, str]:  # noqa: F811
+    q = _build_core()
+    build_geo(q)
+    return q
