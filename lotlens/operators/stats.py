@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lotlens.functions.expressions import insee_code
 from lotlens.operators import dims
+from lotlens.operators.quantiles import grouped_quantiles
 from lotlens.params import DEFAULT, StatsParams
 
 STAT_COLUMNS = ("median_price_m2", "q25", "q75", "n_sales")
@@ -27,7 +28,7 @@ def base_filter(params: StatsParams = DEFAULT) -> Column:
 
 
 def quantile_array(x: Column, params: StatsParams = DEFAULT, qs=QUANTILES) -> Column:
-    """All requested quantiles from ONE aggregate buffer per group.
+    """All requested quantiles from ONE aggregate buffer per group (in-task).
 
     exact  -> ``percentile`` (interpolating, same as quantile_cont)
     approx -> ``percentile_approx`` (bounded, mergeable sketch)
@@ -37,6 +38,12 @@ def quantile_array(x: Column, params: StatsParams = DEFAULT, qs=QUANTILES) -> Co
     return F.percentile(x, F.array(*[F.lit(q) for q in qs]))
 
 
+def _quantiles(df: DataFrame, keys: list[str], params: StatsParams, extra_aggs=None) -> DataFrame:
+    """keys + _q (q25, q50, q75) + _n, skew-safe in exact mode."""
+    return grouped_quantiles(df, keys, "price_m2", list(QUANTILES), params.quantile_mode,
+                             params.approx_accuracy, params.exact_group_limit, extra_aggs)
+
+
 def _finish(agg: DataFrame, key_name: str, extra: list[str]) -> DataFrame:
     """Round half-even, turn falsy quartiles into NULL, drop falsy code/median."""
     median = F.bround(F.col("_q")[1], 0)
@@ -60,20 +67,18 @@ def area_stats(t: DataFrame, key: Column, key_name: str = "code", where: Column
     base = t.where(base_filter(params))
     if where is not None:
         base = base.where(where)
-    aggs = [quantile_array(F.col("price_m2"), params).alias("_q"), F.count(F.lit(1)).alias("_n")]
-    extra = []
+    base = base.select(key.alias(key_name), "price_m2", *([name_col] if name_col else []))
+    extra_aggs, extra = [], []
     if name_col:
-        aggs.append(F.min(name_col).alias("name"))
-        extra = ["name"]
+        extra_aggs, extra = [F.min(name_col).alias("name")], ["name"]
     threshold = params.min_sales if min_sales is None else min_sales
-    agg = base.groupBy(key.alias(key_name)).agg(*aggs).where(F.col("_n") >= threshold)
+    agg = _quantiles(base, [key_name], params, extra_aggs).where(F.col("_n") >= threshold)
     return _finish(agg, key_name, extra)
 
 
 def country_stats(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     """Global aggregate: always one row (code 'FR'), no minimum sample."""
-    agg = (t.where(base_filter(params))
-           .agg(quantile_array(F.col("price_m2"), params).alias("_q"), F.count(F.lit(1)).alias("_n")))
+    agg = _quantiles(t.where(base_filter(params)).select("price_m2"), [], params)
     return agg.select(
         F.lit("FR").alias("code"),
         F.bround(F.nullif(F.col("_q")[1], F.lit(0.0)), 0).alias("median_price_m2"),
@@ -158,19 +163,24 @@ def canton_rollup(communes_with_parents: DataFrame, commune_canton: DataFrame,
 
 
 def all_level_stats(t: DataFrame, commune_canton: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
-    """Long table S(level, code, name, median_price_m2, q25, q75, n_sales)."""
-    communes = commune_stats_with_parents(t, params)
+    """Long table S(level, code, name, median_price_m2, q25, q75, n_sales).
+
+    Direct levels come from one pass over T; PLM parents and cantons are
+    roll-ups of the (small) commune rows.
+    """
+    direct = direct_level_stats(t, params)
+    communes = direct.where(F.col("level") == "commune").select("code", "name", *STAT_COLUMNS)
+    with_parents = upsert(communes, plm_rollup(communes, params))
 
     def lvl(df: DataFrame, level: str) -> DataFrame:
         name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
         return df.select(F.lit(level).alias("level"), "code", name.alias("name"), *STAT_COLUMNS)
 
-    return (lvl(country_stats(t, params), "country")
-            .unionByName(lvl(region_stats(t, params), "region"))
-            .unionByName(lvl(dept_stats(t, params), "departement"))
-            .unionByName(lvl(canton_rollup(communes, commune_canton, params), "canton"))
-            .unionByName(lvl(communes, "commune"))
-            .unionByName(lvl(postcode_stats(t, params), "postcode")))
+    others = direct.where(F.col("level") != "commune").select(
+        "level", "code", F.lit(None).cast("string").alias("name"), *STAT_COLUMNS)
+    return (others
+            .unionByName(lvl(canton_rollup(with_parents, commune_canton, params), "canton"))
+            .unionByName(lvl(with_parents, "commune")))
 
 
 def unmapped_departments(t: DataFrame) -> DataFrame:
@@ -192,39 +202,48 @@ def top_expensive_communes(communes_with_parents: DataFrame, min_sales: int, lim
             .limit(limit))
 
 
-def stats_grouping_sets(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
-    """Country, region, department and commune statistics in ONE scan.
+def level_members(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
+    """Each in-band transaction once per level it belongs to: (level, code, name, price_m2).
 
-    GROUPING SETS expands each transaction once per level; quantiles share the
-    single aggregate buffer.  The country set has no minimum sample.
+    The single-scan equivalent of GROUPING SETS ((), (region), (dept),
+    (commune), (postcode)); the region comes from a broadcast join of the
+    101-row dimension.
     """
     spark = t.sparkSession
     base = (t.where(base_filter(params))
-            .join(dims.dept_region(spark), "dept_code", "left")
-            .select(F.col("region_code"), F.col("dept_code"),
-                    insee_code(F.col("dept_code"), F.col("commune_code")).alias("insee"),
-                    "price_m2"))
-    q = ", ".join(str(x) for x in QUANTILES)
-    quant = (f"percentile_approx(price_m2, array({q}), {params.approx_accuracy})"
-             if params.quantile_mode == "approx" else f"percentile(price_m2, array({q}))")
-    agg = spark.sql(f"""
-        SELECT CASE WHEN grouping(insee) = 0 THEN 'commune'
-                    WHEN grouping(dept_code) = 0 THEN 'departement'
-                    WHEN grouping(region_code) = 0 THEN 'region'
-                    ELSE 'country' END AS level,
-               CASE WHEN grouping(insee) = 0 THEN insee
-                    WHEN grouping(dept_code) = 0 THEN dept_code
-                    WHEN grouping(region_code) = 0 THEN region_code
-                    ELSE 'FR' END AS code,
-               {quant} AS _q, count(1) AS _n
-        FROM {{base}}
-        GROUP BY GROUPING SETS ((), (region_code), (dept_code), (insee))
-    """, base=base)
+            .join(dims.dept_region(spark), "dept_code", "left"))
+    no_name = F.lit(None).cast("string")
+    members = F.array(
+        F.struct(F.lit("country").alias("level"), F.lit("FR").alias("code"), no_name.alias("name")),
+        F.struct(F.lit("region").alias("level"), F.col("region_code").alias("code"), no_name.alias("name")),
+        F.struct(F.lit("departement").alias("level"), F.col("dept_code").alias("code"), no_name.alias("name")),
+        F.struct(F.lit("commune").alias("level"), insee_code(F.col("dept_code"), F.col("commune_code")).alias("code"),
+                 F.col("commune_name").alias("name")),
+        F.struct(F.lit("postcode").alias("level"), F.col("postal_code").alias("code"), no_name.alias("name")))
+    return (base.select(F.explode(members).alias("m"), "price_m2")
+            .select("m.level", "m.code", "m.name", "price_m2"))
+
+
+def direct_level_stats(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
+    """Country, region, department, commune and postcode statistics in ONE pass.
+
+    (level, code, name, median_price_m2, q25, q75, n_sales); the country row
+    has no minimum sample, every other level needs ``min_sales``.
+    """
+    m = level_members(t, params)
+    agg = _quantiles(m, ["level", "code"], params, [F.min("name").alias("name")])
     agg = agg.where((F.col("level") == "country")
-                    | ((F.col("_n") >= params.min_sales) & F.col("code").isNotNull()))
+                    | ((F.col("_n") >= params.min_sales) & F.col("code").isNotNull() & (F.col("code") != "")))
     return agg.select(
-        "level", "code",
+        "level", "code", "name",
         F.bround(F.nullif(F.col("_q")[1], F.lit(0.0)), 0).alias("median_price_m2"),
         F.bround(F.nullif(F.col("_q")[0], F.lit(0.0)), 0).alias("q25"),
         F.bround(F.nullif(F.col("_q")[2], F.lit(0.0)), 0).alias("q75"),
-        F.col("_n").alias("n_sales"))
+        F.col("_n").alias("n_sales")).where(
+        (F.col("level") == "country") | (F.col("median_price_m2").isNotNull() & (F.col("median_price_m2") != 0)))
+
+
+def stats_grouping_sets(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
+    """Country, region, department and commune statistics from one scan."""
+    d = direct_level_stats(t, params)
+    return d.where(F.col("level") != "postcode").select("level", "code", *STAT_COLUMNS)
