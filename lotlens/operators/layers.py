@@ -17,7 +17,7 @@ from lotlens.functions.expressions import dept_of_commune
 from lotlens.operators import dims
 from lotlens.operators.geometry import dissolve, simplify, square, tolerance_for
 from lotlens.functions.geo import round_coordinates, to_wgs84
-from lotlens.params import COORD_PRECISION
+from lotlens.params import COORD_PRECISION, METRO_REGIONS
 from lotlens.sources import fixtures
 
 LAYER_COLUMNS = ("level", "code", "name", "geometry")
@@ -142,8 +142,52 @@ def postcode_features(cells: DataFrame) -> DataFrame:
                     "geometry")
 
 
+def layer_members(cells: DataFrame) -> DataFrame:
+    """(level, code, name, geometry): every commune cell once per coarser
+    feature it belongs to — country (metropolitan regions), region,
+    department, canton, and the PLM pseudo-cantons (arrondissements)."""
+    spark = cells.sparkSession
+    regions = dims.dept_region(spark)
+    with_region = cells.join(regions, cells.dept == regions.dept_code, "left")
+    metro = F.col("region_code").isin(*METRO_REGIONS)
+    arr = dims.arrondissement_parent(spark)
+    plm = dims.plm_parents(spark)
+    pseudo = (with_region.join(arr, with_region.insee == arr.arr_code, "left")
+              .join(plm, "parent_code", "left"))
+    m = F.array(
+        F.when(metro, F.struct(F.lit("country").alias("level"), F.lit("FR").alias("code"),
+                               F.lit("France").alias("name"))),
+        F.when(F.col("region_code").isNotNull(),
+               F.struct(F.lit("region").alias("level"), F.col("region_code").alias("code"),
+                        F.concat(F.lit("Region "), F.col("region_code")).alias("name"))),
+        F.struct(F.lit("departement").alias("level"), F.col("dept").alias("code"),
+                 F.concat(F.lit("Departement "), F.col("dept")).alias("name")),
+        F.when(F.col("canton").isNotNull(),
+               F.struct(F.lit("canton").alias("level"), F.concat_ws("_", F.col("dept"), F.col("canton")).alias("code"),
+                        F.concat(F.lit("Canton "), F.col("canton")).alias("name"))),
+        F.when(F.col("pseudo_canton").isNotNull(),
+               F.struct(F.lit("canton").alias("level"), F.col("pseudo_canton").alias("code"),
+                        plm["name"].alias("name"))))
+    return (pseudo.select(F.explode(F.filter(m, lambda x: x.isNotNull())).alias("m"), cells["geometry"])
+            .select("m.level", "m.code", "m.name", "geometry"))
+
+
 def all_layers(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
-    """Every published layer in one frame (level, code, name, geometry), metres."""
+    """Every published layer in one frame (level, code, name, geometry), metres.
+
+    All coarser layers are dissolved in ONE pass over the cell edges (grouped
+    by level and code), which gives the same polygons as dissolving level by
+    level; the commune layer (communes without PLM parents, plus
+    arrondissements) is the cells themselves.
+    """
+    cells = commune_cells(spark, sf_dir) if cells is None else cells
+    dissolved = dissolve(layer_members(cells), ["level", "code", "name"])
+    communes = cells.select(F.lit("commune").alias("level"), F.col("insee").alias("code"), "name", "geometry")
+    return dissolved.unionByName(communes)
+
+
+def all_layers_stepwise(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    """Same layers built level by level (department -> region -> country)."""
     cells = commune_cells(spark, sf_dir) if cells is None else cells
     communes = commune_source(cells)
     arrs = arrondissement_source(cells)

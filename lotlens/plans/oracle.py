@@ -9,7 +9,7 @@ instead of ``bool_and``, ``quantile_cont`` instead of ``percentile``,
 
 from __future__ import annotations
 
-from lotlens.params import DEPT_TO_REGION, PLM
+from lotlens.params import DEPT_TO_REGION, METRO_REGIONS, PLM
 
 BAND = "price_m2 BETWEEN 100 AND 50000"
 
@@ -298,7 +298,7 @@ CELL_EDGES = """cell_edges AS (
   FROM (SELECT c.*, unnest([{}]) AS o FROM cellgeo c) s)""".format(
     ", ".join(f"{{'fa': {a}, 'ga': {b}, 'fb': {c}, 'gb': {d}}}" for a, b, c, d in _OFFS))
 
-METRO = ", ".join(f"'{r}'" for r in __import__("lotlens.params", fromlist=["METRO_REGIONS"]).METRO_REGIONS)
+METRO = ", ".join(f"'{r}'" for r in METRO_REGIONS)
 
 MEMBERS = f"""members AS (
   SELECT 'country' AS level, 'FR' AS code, 'France' AS name, c.insee

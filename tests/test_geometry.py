@@ -123,3 +123,13 @@ def test_department_bbox_is_40_by_50_km(spark):
     cells = layers.commune_cells(spark, "/root/testdata/sf0.1")
     d = layers.department_layer(cells).select(geo.bbox(F.col("geometry")).alias("b")).collect()
     assert {(r.b.maxx - r.b.minx, r.b.maxy - r.b.miny) for r in d} == {(40000.0, 50000.0)}
+
+
+def test_single_pass_layers_equal_stepwise(spark):
+    from lotlens.functions.geo import ring_area2
+
+    def summary(df):
+        rings = df.select("level", "code", "name", F.explode(F.flatten("geometry")).alias("r"))
+        return sorted(map(tuple, rings.groupBy("level", "code", "name")
+                          .agg(F.sum(ring_area2(F.col("r"))).alias("a"), F.sum(F.size("r")).alias("n")).collect()))
+    assert summary(layers.all_layers(spark, SF01)) == summary(layers.all_layers_stepwise(spark, SF01))
