@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lotlens.functions.expressions import insee_code
 from lotlens.operators import dims
 from lotlens.operators.quantiles import grouped_quantiles
+from lotlens.session import checkpoint_dir
 from lotlens.params import DEFAULT, StatsParams
 
 STAT_COLUMNS = ("median_price_m2", "q25", "q75", "n_sales")
@@ -168,7 +169,10 @@ def all_level_stats(t: DataFrame, commune_canton: DataFrame, params: StatsParams
     Direct levels come from one pass over T; PLM parents and cantons are
     roll-ups of the (small) commune rows.
     """
-    direct = direct_level_stats(t, params)
+    # one row per area: small; written once so the roll-ups below do not
+    # recompute the quantile pass for each branch of the union
+    checkpoint_dir(t.sparkSession)
+    direct = direct_level_stats(t, params).checkpoint(eager=True)
     communes = direct.where(F.col("level") == "commune").select("code", "name", *STAT_COLUMNS)
     with_parents = upsert(communes, plm_rollup(communes, params))
 
