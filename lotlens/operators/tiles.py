@@ -57,3 +57,15 @@ def cap_per_tile(tiles: DataFrame, weights: DataFrame, cap: int = TILE_FEATURE_C
     ranked = t.withColumn("rank", F.row_number().over(w))
     return (ranked.where((F.col("z") == F.col("maxzoom")) | (F.col("rank") <= cap))
             .select("layer", "z", "x", "y", "code", "rank"))
+
+
+# Published level -> tile layer name (cantons have no tile layer).
+LEVEL_TO_TILE_LAYER = {"country": "country", "region": "regions", "departement": "departments",
+                       "postcode": "postcodes", "commune": "communes"}
+
+
+def assign_all_layers(published: DataFrame) -> DataFrame:
+    """Tiles of every tiled layer in one frame (layer union, parcels excluded)."""
+    m = F.create_map(*[x for k, v in LEVEL_TO_TILE_LAYER.items() for x in (F.lit(k), F.lit(v))])
+    f = published.withColumn("layer", m[F.col("level")]).where(F.col("layer").isNotNull())
+    return assign_tiles(f.select("layer", "code", "geometry")).where(F.col("layer") != "parcels")

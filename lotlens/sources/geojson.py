@@ -64,3 +64,19 @@ def stats_from_json(doc: DataFrame, json_col: str = "json") -> DataFrame:
     m = doc.select(F.explode(F.from_json(F.col(json_col), STATS_DOC)).alias("level", "codes"))
     e = m.select("level", F.explode("codes").alias("code", "s"))
     return e.select("level", "code", *[F.col("s")[c].alias(c) for c in STAT_COLUMNS])
+
+
+def load_layer(spark: SparkSession, path: str, code_field: str, name_field: str, level: str,
+               multi_line: bool = True) -> DataFrame:
+    """Boundary file (GeoJSON) -> standard (level, code, name, geometry).
+
+    Only the two attribute fields are parsed (column pruning at the reader);
+    features whose geometry cannot be decoded get a NULL geometry.
+    """
+    props = T.StructType([T.StructField(code_field, T.StringType()), T.StructField(name_field, T.StringType())])
+    feats = (read_feature_collection(spark, path, props) if multi_line
+             else read_feature_lines(spark, path, props))
+    return feats.select(F.lit(level).alias("level"),
+                        F.col("properties")[code_field].alias("code"),
+                        F.col("properties")[name_field].alias("name"),
+                        geometry_from_json(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometry"))
