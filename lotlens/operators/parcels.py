@@ -2,8 +2,8 @@
 
 One job for all departments: commune sales are aggregated before the join
 (one row per commune and name), parcels are filtered and projected at the
-scan, and the per-department cap is a ``row_number`` window whose limit
-Spark applies on the map side (window group limit) before the shuffle.
+scan, and the per-department cap is a two-phase salted ``row_number`` so a
+hot department never sorts in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,24 @@ from lotlens.operators.geometry import simplify
 from lotlens.params import DEFAULT, PARCEL_CAP_PER_DEPT, PARCEL_SIMPLIFY_TOLERANCE, StatsParams
 
 
+def cap_per_group(df: DataFrame, group: str, order: list[str], cap: int, salt_buckets: int = 64) -> DataFrame:
+    """First ``cap`` rows of each group in ``order`` — exact, and skew-safe.
+
+    Phase 1 ranks inside (group, salt) sub-groups (salt = hash of the order
+    key), so a department holding a third of all parcels is split into
+    ``salt_buckets`` tasks; every global top-``cap`` row is in the top ``cap``
+    of its sub-group.  Phase 2 ranks the at most ``salt_buckets * cap``
+    survivors per group.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salt_buckets))
+    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
+    pre = (df.withColumn("_salt", salt)
+           .withColumn("_rn1", F.row_number().over(w1))
+           .where(F.col("_rn1") <= cap).drop("_rn1", "_salt"))
+    w2 = Window.partitionBy(group).orderBy(*order)
+    return pre.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= cap).drop("_rn")
+
+
 def commune_sales(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     """Median and count per (dept, commune, name); exclusive price band, no minimum."""
     band = (F.col("price_m2") > params.min_price_m2) & (F.col("price_m2") < params.max_price_m2)
@@ -35,8 +53,7 @@ def sold_parcels(parcels: DataFrame, t: DataFrame, cap: int = PARCEL_CAP_PER_DEP
          .select("id", "commune", "departement", "geometry"))
     sales = commune_sales(t, params)
     joined = p.join(sales, p.commune == sales.insee_com, "inner")
-    w = Window.partitionBy("departement").orderBy("id", "commune_name")
-    capped = joined.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap)
+    capped = cap_per_group(joined, "departement", ["id", "commune_name"], cap)
     return capped.select(
         F.col("id").alias("parcel_id"),
         F.col("departement").alias("dept_code"),

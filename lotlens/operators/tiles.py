@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.functions.geo import bbox, tile_x, tile_y
-from lotlens.operators import dims
-from lotlens.params import PARCEL_TILE_ZOOMS, TILE_FEATURE_CAP
+from lotlens.params import PARCEL_TILE_ZOOMS, TILE_FEATURE_CAP, TILE_ZOOM_LAYERS
+
+
+def _zoom_lookup(layer, which: int):
+    """minzoom (1) or maxzoom (2) of a tile layer, as a map lookup (no join)."""
+    m = F.create_map(*[x for row in TILE_ZOOM_LAYERS for x in (F.lit(row[0]), F.lit(row[which]))])
+    return m[layer]
 
 
 def assign_tiles(features: DataFrame, layer: str | None = None) -> DataFrame:
@@ -21,13 +26,13 @@ def assign_tiles(features: DataFrame, layer: str | None = None) -> DataFrame:
     The zoom range of each layer comes from the tile-layer dimension (both
     ends inclusive); ``layer`` overrides the column for single-layer input.
     """
-    spark = features.sparkSession
     b = bbox(F.col("geometry"))
-    f = features.select((F.lit(layer) if layer else F.col("layer")).alias("layer"), "code",
+    lay = F.lit(layer) if layer else F.col("layer")
+    f = features.select(lay.alias("layer"), "code",
                         b["minx"].alias("minlon"), b["miny"].alias("minlat"),
-                        b["maxx"].alias("maxlon"), b["maxy"].alias("maxlat"))
-    f = f.join(dims.zoom_layers(spark, "tiles"), "layer")
-    z = f.withColumn("z", F.explode(F.sequence("minzoom", "maxzoom")))
+                        b["maxx"].alias("maxlon"), b["maxy"].alias("maxlat"),
+                        _zoom_lookup(lay, 1).alias("minzoom"), _zoom_lookup(lay, 2).alias("maxzoom"))
+    z = f.where(F.col("minzoom").isNotNull()).withColumn("z", F.explode(F.sequence("minzoom", "maxzoom")))
     xs = z.withColumn("x", F.explode(F.sequence(tile_x(F.col("minlon"), F.col("z")),
                                                 tile_x(F.col("maxlon"), F.col("z")))))
     ys = xs.withColumn("y", F.explode(F.sequence(tile_y(F.col("maxlat"), F.col("z")),
@@ -51,8 +56,7 @@ def assign_parcel_tiles(parcels: DataFrame) -> DataFrame:
 def cap_per_tile(tiles: DataFrame, weights: DataFrame, cap: int = TILE_FEATURE_CAP) -> DataFrame:
     """Keep at most ``cap`` features per (layer, z, x, y) below the layer's
     top zoom, preferring more sales then smaller code; the top zoom keeps all."""
-    spark = tiles.sparkSession
-    t = tiles.join(weights, "code", "left").join(dims.zoom_layers(spark, "tiles"), "layer")
+    t = tiles.join(weights, "code", "left").withColumn("maxzoom", _zoom_lookup(F.col("layer"), 2))
     w = Window.partitionBy("layer", "z", "x", "y").orderBy(F.desc_nulls_last("n_sales"), F.asc("code"))
     ranked = t.withColumn("rank", F.row_number().over(w))
     return (ranked.where((F.col("z") == F.col("maxzoom")) | (F.col("rank") <= cap))
@@ -69,3 +73,15 @@ def assign_all_layers(published: DataFrame) -> DataFrame:
     m = F.create_map(*[x for k, v in LEVEL_TO_TILE_LAYER.items() for x in (F.lit(k), F.lit(v))])
     f = published.withColumn("layer", m[F.col("level")]).where(F.col("layer").isNotNull())
     return assign_tiles(f.select("layer", "code", "geometry")).where(F.col("layer") != "parcels")
+
+
+def layer_for_zoom(zoom, which: str = "app"):
+    """Map layer visible at ``zoom`` (minzoom <= zoom < maxzoom), as an
+    expression over the fixed zoom table — a range lookup without a join."""
+    from lotlens.params import APP_ZOOM_LAYERS
+    rows = APP_ZOOM_LAYERS if which == "app" else TILE_ZOOM_LAYERS
+    expr = None
+    for name, lo, hi in rows:
+        cond = (zoom >= lo) & (zoom < hi)
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return expr

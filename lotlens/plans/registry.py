@@ -192,9 +192,8 @@ def price_colors(spark, sf_dir):
 
 def zoom_levels(spark, sf_dir):
     v = fixtures.viewports(spark, sf_dir).select("event_id", "zoom")
-    z = dims.zoom_layers(spark, "app")
-    return (v.join(z, (v.zoom >= z.minzoom) & (v.zoom < z.maxzoom))
-            .select("event_id", "zoom", "layer"))
+    return (v.select("event_id", "zoom", tiles.layer_for_zoom(F.col("zoom")).alias("layer"))
+            .where(F.col("layer").isNotNull()))
 
 
 def csv_lots_query(spark, sf_dir):
