@@ -462,6 +462,24 @@ SELECT layer, z, x, y, code, rank FROM (
   SELECT t.*, CAST(row_number() OVER (PARTITION BY layer, z, x, y ORDER BY s.n_sales DESC NULLS LAST, t.code ASC) AS INTEGER) AS rank
   FROM tiles t LEFT JOIN communes_wp s ON t.code = s.code) r
 WHERE z = 15 OR rank <= 200000"""
+    parcel_corners = f"""pcorners AS (
+  SELECT id AS code, x0 + o.fx * 50 AS px, y0 + o.fy * 50 AS py FROM (
+    SELECT {dept_sql('c_nationkey')} || lpad(CAST({commune_sql('(c_custkey % 20)', 'c_nationkey')} AS VARCHAR), 3, '0')
+             || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id,
+           600000.0 + (c_nationkey % 5) * 40000 + ((c_custkey % 20) % 4) * 10000 + 100 + (floor(c_custkey / 20) % 90) * 100 AS x0,
+           6500000.0 + floor(c_nationkey / 5) * 50000 + floor((c_custkey % 20) / 4) * 10000 + 100
+             + (floor(floor(c_custkey / 20) / 90) % 90) * 100 AS y0,
+           unnest([{{'fx': 0.0, 'fy': 0.0}}, {{'fx': 1.0, 'fy': 0.0}}, {{'fx': 1.0, 'fy': 1.0}}, {{'fx': 0.0, 'fy': 1.0}}]) AS o
+    FROM customer) c
+  WHERE id IN (SELECT parcel_id FROM ({parcel_q.format(cap=20000)}) kept))"""
+    q["parcel_tiles"] = with_(*BASE, PARCELS, parcel_corners) + f"""
+SELECT 'parcels' AS layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, code FROM (
+  SELECT code, z, unnest(generate_series({_tile_x('minlon', 'z')}, {_tile_x('maxlon', 'z')})) AS x, ymin, ymax
+  FROM (SELECT code, minlon, maxlon, z, {_tile_y('maxlat', 'z')} AS ymin, {_tile_y('minlat', 'z')} AS ymax
+        FROM (SELECT code, min(lon) AS minlon, max(lon) AS maxlon, min(lat) AS minlat, max(lat) AS maxlat,
+                     unnest(generate_series(16, 20)) AS z
+              FROM ({lonlat_sql('px', 'py', src='pcorners')}) pr GROUP BY code) b) c) d,
+LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) e"""
     q["price_color"] = with_(*geo_stats) + f"""
 SELECT c.insee AS code, s.median_price_m2 AS price_m2, {_color_sql('s.median_price_m2')} AS color
 FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""

@@ -179,6 +179,15 @@ def tile_assignment(spark, sf_dir):
     return tiles.assign_tiles(_commune_features(spark, sf_dir), "communes")
 
 
+def parcel_tiles(spark, sf_dir):
+    p = parcels.parcel_layer(fixtures.parcels(spark, sf_dir), _t(spark, sf_dir))
+    return tiles.assign_parcel_tiles(p)
+
+
+def layer_tiles(spark, sf_dir):
+    return tiles.assign_all_layers(_published(spark, sf_dir))
+
+
 def tile_top_features(spark, sf_dir):
     weights = _all_stats_table(spark, sf_dir).where(F.col("level") == "commune").select("code", "n_sales")
     return tiles.cap_per_tile(tile_assignment(spark, sf_dir), weights)
@@ -260,6 +269,8 @@ def build() -> dict[str, Query]:
     q["parcel_layer"] = parcel_layer
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
+    q["parcel_tiles"] = parcel_tiles
+    q["layer_tiles"] = layer_tiles
     q["price_color"] = price_colors
     q["zoom_levels"] = zoom_levels
     q["csv_lots"] = csv_lots_query

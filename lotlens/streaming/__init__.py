@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The workload re-implemented here is batch only: there is no stream, watermark,
+windowed or stateful computation in it.  Incremental re-runs are covered by the
+skip-if-present tables (``lotlens.sources.tables``) and the TTL-cached report
+(``lotlens.plans.pipeline.cached_department_stats``).
+"""
