@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +61,17 @@ def materialize(df_factory, spark: SparkSession, name: str, *key_parts: str,
         df = df_factory()
         if sort_within:
             df = df.sortWithinPartitions(sort_within)
+        # write aside, then publish with one rename: a concurrent or failed
+        # writer never leaves a half-written table under the final name
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(partition_by)
-        w.parquet(path)
+        w.parquet(staging)
+        src, fs = _jvm_path(spark, staging)
+        dst, _ = _jvm_path(spark, path)
+        if not fs.exists(dst):
+            fs.rename(src, dst)
+        if fs.exists(src):
+            fs.delete(src, True)
     return spark.read.parquet(path)
