@@ -26,14 +26,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lot table L, written once per input folder (the ingest step)."""
-    return materialize(lambda: fixtures.lots(spark, sf_dir), spark, "lots", sf_dir,
-                       sort_within="code_departement")
+    return materialize(lambda: fixtures.lots(spark, sf_dir), spark, "lots", sf_dir)
 
 
 def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction table T, written once from L (the clean step)."""
-    return materialize(lambda: clean.clean_transactions(_lots(spark, sf_dir)), spark, "clean", sf_dir,
-                       sort_within="dept_code")
+    return materialize(lambda: clean.clean_transactions(_lots(spark, sf_dir)), spark, "clean", sf_dir)
 
 
 def _communes_wp(spark, sf_dir):

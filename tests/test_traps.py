@@ -84,3 +84,45 @@ def test_golden_paris_rollup(spark):
 
 def test_lot_columns_cover_schema():
     assert LOT_COLUMNS == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_raw_lot_report_overstates_bulk_sales(spark):
+    from lotlens.operators import reports
+    # one building sold as 4 apartments of 50 m2 for 1,000,000: 5,000/m2 per
+    # transaction, but 20,000/m2 for every lot
+    rows = [lot("1000000.00", "Appartement", "50", disposition=d) for d in (1, 2, 3) for _ in range(4)]
+    rows += [lot("300000.00", "Maison", "100", disposition=d) for d in (4, 5, 6)]
+    lots = spark.createDataFrame(rows, SCHEMA)
+    t = clean.clean_transactions(lots)
+    r = reports.bulk_sale_inflation(lots, t, min_n=5).first()
+    assert (r.raw_n, r.clean_n) == (15, 6)
+    assert (r.raw_median_price_m2, r.clean_median_price_m2, r.inflation) == (20000.0, 4000.0, 5.0)
+
+
+def test_two_spellings_fan_out_parcels(spark):
+    from lotlens.operators import parcels
+    rows = [lot("200000.00", "Maison", "100", disposition=d) for d in range(1, 4)]
+    rows += [(dt.date(2024, 1, 3), 9, "Vente", Decimal("300000.00"), "01000", "C-bis", "01", 1, "Maison",
+              Decimal("100"))]
+    t = clean.clean_transactions(spark.createDataFrame(rows, SCHEMA))
+    cad = spark.createDataFrame(
+        [("01001000000001", "01001", "01", "parcelle", [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0},
+                                                          {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]]])],
+        "id string, commune string, departement string, type_objet string, "
+        "geometry array<array<array<struct<x:double,y:double>>>>")
+    out = parcels.sold_parcels(cad, t).collect()
+    assert sorted(r.commune_name for r in out) == ["C", "C-bis"]
+
+
+def test_city_report_merges_same_name_and_number_across_departments(spark):
+    from lotlens.operators import reports
+    rows = []
+    for dept in ("01", "02"):
+        for d in range(30):
+            rows.append((dt.date(2024, 1, 2), d, "Vente", Decimal("100000.00"), dept + "000", "SAINT-X", dept, 5,
+                         "Maison", Decimal("50")))
+    lots = spark.createDataFrame(rows, SCHEMA)
+    merged = reports.raw_lot_city_report(lots, min_n=50).collect()
+    assert len(merged) == 1 and merged[0].volume == 60
+    safe = reports.city_report_by_insee(lots, min_n=50).collect()
+    assert safe == []
