@@ -14,6 +14,7 @@ import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotlens.operators import clean, layers, parcels, publish, stats, tiles
 from lotlens.params import DEFAULT, MIN_SALES_TOP_EXPENSIVE, TOP_EXPENSIVE_LIMIT, StatsParams
@@ -162,3 +163,32 @@ def main(argv: list[str] | None = None) -> None:
 
 if __name__ == "__main__":
     main()
+
+
+def write_cadastre(parcels_df: DataFrame, path: str) -> None:
+    """Cadastre stored one folder per department, so department filters prune files."""
+    parcels_df.write.mode("overwrite").partitionBy("departement").parquet(path)
+
+
+def read_cadastre(spark: SparkSession, path: str, departments: list[str] | None = None) -> DataFrame:
+    """Parcels of some departments (partition pruning), parcel objects with a geometry."""
+    # department codes are text ('01', '2A', '971'): no partition type inference
+    inferred = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "departement" else f.dataType, True)
+                           for f in inferred])
+    c = spark.read.schema(schema).parquet(path)
+    if departments:
+        c = c.where(F.col("departement").isin(*departments))
+    return c.where((F.col("type_objet") == "parcelle") & F.col("geometry").isNotNull())
+
+
+def features_to_load(spark: SparkSession, communes_path: str, to_load: DataFrame) -> DataFrame:
+    """Commune features of the departments each viewport must load.
+
+    ``communes_path`` is the department-partitioned feature folder; joining on
+    the partition column lets Spark prune the folders (dynamic partition
+    pruning) instead of reading every department.
+    """
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("dept", T.StringType())])
+    feats = spark.read.schema(schema).text(communes_path).withColumnRenamed("value", "feature")
+    return to_load.join(feats, "dept").select("user_id", "event_id", "dept", "feature")

@@ -63,3 +63,23 @@ def test_load_layer_from_feature_collection(spark):
     lay = {r.code: r for r in geojson.load_layer(spark, p, "INSEE_DEP", "NOM", "departement").collect()}
     assert lay["75"].name == "Paris" and len(lay["75"].geometry) == 1
     assert len(lay["92"].geometry) == 2 and lay["92"].level == "departement"
+
+
+def test_partition_pruned_reads(spark):
+    from lotlens.operators import publish, viewport
+    d = tempfile.mkdtemp(prefix="lotlens-prune-")
+    cad = os.path.join(d, "cadastre")
+    pipeline.write_cadastre(fixtures.parcels(spark, SF001), cad)
+    one = pipeline.read_cadastre(spark, cad, ["75"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(departement" in plan and "75" in plan
+    assert one.select("departement").distinct().collect()[0][0] == "75"
+    # department-split features, loaded through a join on the partition column
+    lay = layers.commune_cells(spark, SF001).select(F.lit("commune").alias("level"), F.col("insee").alias("code"),
+                                                   "name", "geometry")
+    lines = publish.geojson_lines(publish.commune_dept(lay), ["code", "name"])
+    out = os.path.join(d, "communes")
+    publish.write_features(lines, out, partition_by="dept")
+    to_load = spark.createDataFrame([(1, 10, "75"), (2, 11, "01")], "user_id long, event_id long, dept string")
+    got = pipeline.features_to_load(spark, out, to_load)
+    assert got.count() == lines.where(F.col("dept").isin("75", "01")).count()
