@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lotlens.functions.expressions import insee_code
 from lotlens.functions.geo import to_wgs84
 from lotlens.operators.geometry import simplify
+from lotlens.operators.quantiles import grouped_quantiles
 from lotlens.params import DEFAULT, PARCEL_CAP_PER_DEPT, PARCEL_SIMPLIFY_TOLERANCE, StatsParams
 
 
@@ -38,12 +39,11 @@ def cap_per_group(df: DataFrame, group: str, order: list[str], cap: int, salt_bu
 def commune_sales(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     """Median and count per (dept, commune, name); exclusive price band, no minimum."""
     band = (F.col("price_m2") > params.min_price_m2) & (F.col("price_m2") < params.max_price_m2)
-    return (t.where(band)
-            .groupBy("dept_code", "commune_code", "commune_name")
-            .agg(F.percentile("price_m2", F.lit(0.5)).alias("median_price_m2"),
-                 F.count(F.lit(1)).alias("n_sales"))
-            .select(insee_code(F.col("dept_code"), F.col("commune_code")).alias("insee_com"),
-                    "commune_name", "n_sales", "median_price_m2"))
+    keys = ["dept_code", "commune_code", "commune_name"]
+    q = grouped_quantiles(t.where(band).select(*keys, "price_m2"), keys, "price_m2", [0.5], "exact",
+                          params.approx_accuracy, params.exact_group_limit)
+    return q.select(insee_code(F.col("dept_code"), F.col("commune_code")).alias("insee_com"),
+                    "commune_name", F.col("_n").alias("n_sales"), F.col("_q")[0].alias("median_price_m2"))
 
 
 def sold_parcels(parcels: DataFrame, t: DataFrame, cap: int = PARCEL_CAP_PER_DEPT,

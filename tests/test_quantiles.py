@@ -43,3 +43,20 @@ def test_all_levels_identical_when_every_group_is_big(spark):
     b = sorted(map(tuple, stats.all_level_stats(t, cc, replace(DEFAULT, exact_group_limit=20)).collect()), key=repr)
     assert a == b
     t.unpersist()
+
+
+def test_reports_identical_when_every_group_is_big(spark):
+    from lotlens.operators import parcels, reports
+    lots = fixtures.lots(spark, SF01).cache()
+    t = clean.clean_transactions(lots).cache()
+    small = replace(DEFAULT, exact_group_limit=30)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+    assert rows(reports.price_distribution(t)) == rows(reports.price_distribution(t, small))
+    assert rows(reports.raw_lot_department_stats(lots)) == rows(reports.raw_lot_department_stats(lots, params=small))
+    assert rows(reports.bulk_sale_inflation(lots, t)) == rows(reports.bulk_sale_inflation(lots, t, params=small))
+    assert rows(reports.top_departments(t)) == rows(reports.top_departments(t, params=small))
+    assert rows(parcels.commune_sales(t)) == rows(parcels.commune_sales(t, small))
+    t.unpersist()
+    lots.unpersist()
