@@ -152,7 +152,10 @@ def layer_members(cells: DataFrame) -> DataFrame:
     metro = F.col("region_code").isin(*METRO_REGIONS)
     arr = dims.arrondissement_parent(spark)
     plm = dims.plm_parents(spark)
+    # pseudo-canton of a cell: its PLM parent when it is an arrondissement, or
+    # itself when the frame holds the parent commune polygon
     pseudo = (with_region.join(arr, with_region.insee == arr.arr_code, "left")
+              .withColumn("parent_code", F.coalesce(F.col("parent_code"), F.col("insee")))
               .join(plm, "parent_code", "left"))
     m = F.array(
         F.when(metro, F.struct(F.lit("country").alias("level"), F.lit("FR").alias("code"),
@@ -172,17 +175,25 @@ def layer_members(cells: DataFrame) -> DataFrame:
             .select("m.level", "m.code", "m.name", "geometry"))
 
 
-def all_layers(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+def all_layers(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None,
+               arrondissements: DataFrame | None = None) -> DataFrame:
     """Every published layer in one frame (level, code, name, geometry), metres.
 
-    All coarser layers are dissolved in ONE pass over the cell edges (grouped
-    by level and code), which gives the same polygons as dissolving level by
-    level; the commune layer (communes without PLM parents, plus
-    arrondissements) is the cells themselves.
+    ``cells`` (insee, name, dept, canton, geometry) must be a coverage (no
+    overlaps): the test grid's cells, or a commune boundary file whose PLM
+    parents are whole polygons.  All coarser layers are dissolved in ONE pass
+    over its edges (grouped by level and code), which gives the same polygons
+    as dissolving level by level.  The commune layer is the cells minus the
+    PLM parents, plus ``arrondissements`` (code, name, geometry) when given.
     """
     cells = commune_cells(spark, sf_dir) if cells is None else cells
     dissolved = dissolve(layer_members(cells), ["level", "code", "name"])
-    communes = cells.select(F.lit("commune").alias("level"), F.col("insee").alias("code"), "name", "geometry")
+    plm = dims.plm_parents(spark)
+    communes = (cells.join(plm, cells.insee == plm.parent_code, "left_anti")
+                .select(F.lit("commune").alias("level"), F.col("insee").alias("code"), "name", "geometry"))
+    if arrondissements is not None:
+        communes = communes.unionByName(
+            arrondissements.select(F.lit("commune").alias("level"), "code", "name", "geometry"))
     return dissolved.unionByName(communes)
 
 

@@ -146,23 +146,37 @@ def cached_department_stats(spark: SparkSession, out: str, ttl_seconds: int = 36
     return spark.read.parquet(path)
 
 
+def communes_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """Commune boundary file (GeoJSON FeatureCollection with INSEE_COM, NOM,
+    INSEE_DEP, INSEE_CAN) -> the commune frame the layer builder takes:
+    (insee, name, dept, canton, geometry) in metres."""
+    from pyspark.sql import types as _T
+    from lotlens.sources.geojson import geometry_from_json, read_feature_collection
+    props = _T.StructType([_T.StructField(f, _T.StringType())
+                           for f in ("INSEE_COM", "NOM", "INSEE_DEP", "INSEE_CAN")])
+    f = read_feature_collection(spark, path, props)
+    return f.select(F.col("properties.INSEE_COM").alias("insee"), F.col("properties.NOM").alias("name"),
+                    F.col("properties.INSEE_DEP").alias("dept"), F.col("properties.INSEE_CAN").alias("canton"),
+                    geometry_from_json(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometry"))
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description="property-sale price pipeline")
     ap.add_argument("--step", choices=["all", "etl", "precompute", "split"], default="all")
     ap.add_argument("--lots", help="glob of the pipe-delimited sale files")
+    ap.add_argument("--communes", help="commune boundary GeoJSON (EPSG:2154) for precompute")
     ap.add_argument("--out", required=True, help="shared output folder")
     args = ap.parse_args(argv)
     spark = get_spark()
     ship_package(spark)
     if args.step in ("all", "etl"):
         print(run_etl(spark, args.lots, args.out))
-    if args.step in ("all", "precompute", "split"):
-        raise SystemExit("precompute/split need boundary cells and the commune->canton map; "
-                         "call run_precompute / run_split from Python with those frames")
-
-
-if __name__ == "__main__":
-    main()
+    if args.step in ("all", "precompute"):
+        communes = communes_from_file(spark, args.communes)
+        print(run_precompute(spark, args.out, communes, layers.commune_canton_map(
+            communes.select(F.col("insee").alias("code"), "dept", "canton"))))
+    if args.step in ("all", "split"):
+        print(run_split(spark, args.out))
 
 
 def write_cadastre(parcels_df: DataFrame, path: str) -> None:
@@ -192,3 +206,7 @@ def features_to_load(spark: SparkSession, communes_path: str, to_load: DataFrame
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("dept", T.StringType())])
     feats = spark.read.schema(schema).text(communes_path).withColumnRenamed("value", "feature")
     return to_load.join(feats, "dept").select("user_id", "event_id", "dept", "feature")
+
+
+if __name__ == "__main__":
+    main()

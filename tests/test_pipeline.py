@@ -83,3 +83,41 @@ def test_partition_pruned_reads(spark):
     to_load = spark.createDataFrame([(1, 10, "75"), (2, 11, "01")], "user_id long, event_id long, dept string")
     got = pipeline.features_to_load(spark, out, to_load)
     assert got.count() == lines.where(F.col("dept").isin("75", "01")).count()
+
+
+def test_cli_from_commune_boundary_file(spark):
+    """Commune boundary file with PLM parents as whole polygons, via the CLI steps."""
+    from lotlens.operators import geometry
+    d = tempfile.mkdtemp(prefix="lotlens-cli-")
+    cells = layers.commune_cells(spark, SF001)
+    arr = layers.arrondissement_source(cells)
+    parents = geometry.dissolve(arr.select("parent_code", "geometry"), ["parent_code"])
+    regular = cells.join(arr.select(F.col("code").alias("insee")), "insee", "left_anti")
+    feats = (regular.select("insee", "name", "dept", "canton", "geometry")
+             .unionByName(parents.select(F.col("parent_code").alias("insee"), F.lit("PLM").alias("name"),
+                                         F.substring("parent_code", 1, 2).alias("dept"),
+                                         F.lit(None).cast("string").alias("canton"), "geometry")))
+    coords = F.transform("geometry", lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda p: F.array(p["x"], p["y"]))))
+    doc = feats.select(F.struct(F.lit("Feature").alias("type"),
+                                F.struct(F.col("insee").alias("INSEE_COM"), F.col("name").alias("NOM"),
+                                         F.col("dept").alias("INSEE_DEP"), F.col("canton").alias("INSEE_CAN")
+                                         ).alias("properties"),
+                                F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates"))
+                                .alias("geometry")).alias("f"))
+    fc = doc.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
+                                    F.collect_list("f").alias("features"))).alias("j")).first().j
+    path = os.path.join(d, "communes.geojson")
+    with open(path, "w") as fh:
+        fh.write(fc)
+    src = os.path.join(d, "raw")
+    csv_lots.write_french_csv(fixtures.lots(spark, SF001), src)
+    out = os.path.join(d, "out")
+    pipeline.main(["--step", "all", "--lots", src + "/*.csv", "--communes", path, "--out", out])
+    lay = spark.read.parquet(os.path.join(out, "layers"))
+    grid = {(r.level, r.code) for r in layers.all_layers(spark, SF001).select("level", "code").collect()}
+    got = {(r.level, r.code) for r in lay.select("level", "code").collect()}
+    # same coarse layers; the commune layer holds the PLM parents instead of arrondissements
+    assert {x for x in grid if x[0] != "commune"} == {x for x in got if x[0] != "commune"}
+    stats = spark.read.parquet(os.path.join(out, "stats"))
+    assert stats.where("level = 'canton' AND code = '75_PARIS'").count() == 1
