@@ -13,8 +13,9 @@ from lotlens.params import DEFAULT, StatsParams
 
 
 def _exact(df: DataFrame, keys: list[str], qs: list[float], params: StatsParams, extra_aggs=None) -> DataFrame:
-    """keys + _q + _n with exact quantiles of price_m2; big groups ranked across tasks."""
-    return grouped_quantiles(df, keys, "price_m2", qs, "exact", params.approx_accuracy,
+    """keys + _q + _n: quantiles of price_m2 in the mode of ``params`` (exact by
+    default, big groups ranked across tasks; or the approximate sketch)."""
+    return grouped_quantiles(df, keys, "price_m2", qs, params.quantile_mode, params.approx_accuracy,
                              params.exact_group_limit, extra_aggs)
 
 
