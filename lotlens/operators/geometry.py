@@ -294,3 +294,173 @@ def simplify(df: DataFrame, tolerance: Column | float, geom: str = "geometry") -
             yield pa.RecordBatch.from_arrays(cols, schema=rb.schema)
 
     return with_tol.mapInArrow(fn, schema).drop("_tol")
+
+
+# --- shared-border (topology-consistent) simplification -----------------------
+
+def junction_nodes(df: DataFrame, layer_keys: list[str], geom: str = "geometry") -> DataFrame:
+    """Vertices whose degree in the layer's undirected edge graph is not 2.
+
+    Where three features meet, or a border ends, the degree differs from 2;
+    such vertices cut rings into arcs that are shared whole by neighbours.
+    """
+    e = undirected(edges(df, layer_keys + ["code"], geom))
+    distinct_edges = e.select(*layer_keys, "ux1", "uy1", "ux2", "uy2").distinct()
+    ends = distinct_edges.select(*layer_keys, F.explode(F.array(
+        F.struct(F.col("ux1").alias("x"), F.col("uy1").alias("y")),
+        F.struct(F.col("ux2").alias("x"), F.col("uy2").alias("y")))).alias("v")).select(*layer_keys, "v.x", "v.y")
+    return ends.groupBy(*layer_keys, "x", "y").count().where(F.col("count") != 2).drop("count")
+
+
+def _canonical(seg_x: np.ndarray, seg_y: np.ndarray) -> bool:
+    """True when the polyline must be reversed to its canonical direction."""
+    a, b = (seg_x[0], seg_y[0]), (seg_x[-1], seg_y[-1])
+    if a != b:
+        return a > b
+    if len(seg_x) > 2:
+        return (seg_x[1], seg_y[1]) > (seg_x[-2], seg_y[-2])
+    return False
+
+
+def _arc_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
+    """Douglas-Peucker of an open arc (endpoints fixed) in canonical direction."""
+    n = len(xs)
+    if n <= 2 or not tol > 0:
+        return np.ones(n, dtype=bool)
+    rev = _canonical(xs, ys)
+    cx, cy = (xs[::-1], ys[::-1]) if rev else (xs, ys)
+    keep = np.zeros(n, dtype=bool)
+    keep[0] = keep[-1] = True
+    stack = [(0, n - 1)]
+    while stack:
+        s, e = stack.pop()
+        if e <= s + 1:
+            continue
+        px, py = cx[s + 1:e], cy[s + 1:e]
+        dx, dy = cx[e] - cx[s], cy[e] - cy[s]
+        seg2 = dx * dx + dy * dy
+        if seg2 == 0.0:
+            d = np.hypot(px - cx[s], py - cy[s])
+        else:
+            t = np.clip(((px - cx[s]) * dx + (py - cy[s]) * dy) / seg2, 0.0, 1.0)
+            d = np.hypot(px - (cx[s] + t * dx), py - (cy[s] + t * dy))
+        i = int(np.argmax(d))
+        if d[i] > tol:
+            keep[s + 1 + i] = True
+            stack.append((s, s + 1 + i))
+            stack.append((s + 1 + i, e))
+    if keep.sum() == 2 and n > 2 and (cx[0], cy[0]) == (cx[-1], cy[-1]):
+        # a closed arc keeps its farthest vertex so the ring never collapses
+        d = np.hypot(cx - cx[0], cy - cy[0]) + np.hypot(cx - cx[-1], cy - cy[-1])
+        d[[0, n - 1]] = -1
+        keep[int(np.argmax(d))] = True
+    return keep[::-1] if rev else keep
+
+
+def _ring_keep_shared(xs: np.ndarray, ys: np.ndarray, is_node: np.ndarray, tol: float) -> tuple[np.ndarray, int]:
+    """Keep-mask of a closed ring simplified arc by arc; also the canonical start."""
+    m = len(xs) - 1  # distinct vertices (last repeats the first)
+    if m < 3 or not tol > 0:
+        return np.ones(len(xs), dtype=bool), 0
+    nodes = np.flatnonzero(is_node[:m])
+    if len(nodes) == 0:
+        nodes = np.array([min(range(m), key=lambda q: (xs[q], ys[q]))])
+    keep = np.zeros(m, dtype=bool)
+    for a, b in zip(nodes, np.append(nodes[1:], nodes[0] + m)):
+        idx = np.arange(a, b + 1) % m
+        k = _arc_keep(xs[idx], ys[idx], tol)
+        keep[idx[k]] = True
+    if keep.sum() < 3:
+        # degenerate ring (all arcs straight): keep the vertex farthest from the kept ones
+        k = np.flatnonzero(keep)
+        d = np.min(np.hypot(xs[:m, None] - xs[k][None, :], ys[:m, None] - ys[k][None, :]), axis=1)
+        keep[int(np.argmax(d))] = True
+    kept = np.flatnonzero(keep)
+    start = min(kept, key=lambda q: (xs[q], ys[q]))
+    full = np.append(keep, True)
+    return full, int(start)
+
+
+def simplify_shared(df: DataFrame, tolerance: Column | float, layer_keys: list[str],
+                    geom: str = "geometry") -> DataFrame:
+    """Douglas-Peucker per shared arc: a border two features share is simplified
+    once (same vertices on both sides), so neighbours still meet exactly.
+
+    Junction vertices come from a distributed degree count; each feature's
+    node positions are gathered by one group-by on its own vertices and the
+    arcs are simplified in an Arrow batch function.  ``df`` needs a ``code``.
+    """
+    tol_col = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    nodes = junction_nodes(df, layer_keys, geom).withColumn("_node", F.lit(True))
+    parts = df.select(*layer_keys, "code", F.posexplode(geom).alias("_pi", "_part"))
+    rings = parts.select(*layer_keys, "code", "_pi", F.posexplode("_part").alias("_ri", "_ring"))
+    verts = rings.select(*layer_keys, "code", "_pi", "_ri", F.posexplode("_ring").alias("_vi", "_p")) \
+                 .select(*layer_keys, "code", "_pi", "_ri", "_vi", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    flagged = verts.join(nodes, layer_keys + ["x", "y"], "inner")
+    node_pos = flagged.groupBy(*layer_keys, "code").agg(
+        F.collect_list(F.struct("_pi", "_ri", "_vi")).alias("_nodes"))
+    with_nodes = df.join(node_pos, layer_keys + ["code"], "left").withColumn("_tol", tol_col.cast("double"))
+    schema = with_nodes.schema
+
+    def fn(batches):
+        for rb in batches:
+            gi = rb.schema.get_field_index(geom)
+            tol = rb.column(rb.schema.get_field_index("_tol")).to_numpy(zero_copy_only=False)
+            node_lists = rb.column(rb.schema.get_field_index("_nodes")).to_pylist()
+            cols = list(rb.columns)
+            cols[gi] = _simplify_shared_array(rb.column(gi), tol, node_lists)
+            yield pa.RecordBatch.from_arrays(cols, schema=rb.schema)
+
+    return with_nodes.mapInArrow(fn, schema).drop("_tol", "_nodes")
+
+
+def _simplify_shared_array(geom: pa.Array, tol: np.ndarray, node_lists: list) -> pa.Array:
+    """Arc-wise simplification of every ring of a MultiPolygon Arrow column.
+
+    Coordinates stay flat numpy arrays; Python loops run per ring and per
+    junction node, never per vertex.
+    """
+    if isinstance(geom, pa.ChunkedArray):
+        geom = geom.combine_chunks()
+    valid = geom.is_valid().to_numpy(zero_copy_only=False)
+    part_counts = geom.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    parts = geom.flatten()
+    ring_counts = parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rings = parts.flatten()
+    pt_counts = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    pts = rings.flatten()
+    xs = pts.field("x").to_numpy(zero_copy_only=False)
+    ys = pts.field("y").to_numpy(zero_copy_only=False)
+    part_start = np.concatenate([[0], np.cumsum(part_counts)])
+    ring_start = np.concatenate([[0], np.cumsum(ring_counts)])
+    pt_start = np.concatenate([[0], np.cumsum(pt_counts)])
+    row_of_ring = np.repeat(np.arange(len(geom)), part_counts)[np.repeat(np.arange(len(parts)), ring_counts)]
+    node_mask = np.zeros(len(xs), dtype=bool)
+    for r, nodes in enumerate(node_lists):
+        for d in nodes or []:
+            ring_id = ring_start[part_start[r] + d["_pi"]] + d["_ri"]
+            node_mask[pt_start[ring_id] + d["_vi"]] = True
+    out_x, out_y, new_counts = [], [], np.zeros(len(pt_counts), dtype=np.int64)
+    for q in range(len(pt_counts)):
+        a, n = int(pt_start[q]), int(pt_counts[q])
+        rx, ry = xs[a:a + n], ys[a:a + n]
+        if n < 4:
+            out_x.append(rx)
+            out_y.append(ry)
+            new_counts[q] = n
+            continue
+        keep, first = _ring_keep_shared(rx, ry, node_mask[a:a + n], float(tol[row_of_ring[q]]))
+        kept = np.flatnonzero(keep[:-1])
+        k0 = int(np.searchsorted(kept, first))
+        order = np.concatenate([kept[k0:], kept[:k0], kept[k0:k0 + 1]])
+        out_x.append(rx[order])
+        out_y.append(ry[order])
+        new_counts[q] = len(order)
+    nx = np.concatenate(out_x) if out_x else np.array([], dtype=float)
+    ny = np.concatenate(out_y) if out_y else np.array([], dtype=float)
+    point_type = geom.type.value_type.value_type.value_type
+    new_pts = pa.StructArray.from_arrays([pa.array(nx, pa.float64()), pa.array(ny, pa.float64())],
+                                         fields=list(point_type))
+    ring_arr = pa.ListArray.from_arrays(_offsets(new_counts), new_pts, type=geom.type.value_type.value_type)
+    part_arr = pa.ListArray.from_arrays(_offsets(ring_counts), ring_arr, type=geom.type.value_type)
+    return pa.ListArray.from_arrays(_offsets(part_counts), part_arr, type=geom.type, mask=pa.array(~valid))

@@ -133,3 +133,47 @@ def test_single_pass_layers_equal_stepwise(spark):
         return sorted(map(tuple, rings.groupBy("level", "code", "name")
                           .agg(F.sum(ring_area2(F.col("r"))).alias("a"), F.sum(F.size("r")).alias("n")).collect()))
     assert summary(layers.all_layers(spark, SF01)) == summary(layers.all_layers_stepwise(spark, SF01))
+
+
+def test_shared_border_simplified_once(spark):
+    # two polygons sharing a wiggly border, listed from different start points
+    border = [(10.0, float(y), ) for y in range(0, 11)]
+    wig = [(10.0 + (0.4 if y % 2 else -0.4), float(y)) for y in range(0, 11)]
+    wig[0], wig[-1] = (10.0, 0.0), (10.0, 10.0)
+    left = [(0.0, 0.0)] + wig + [(0.0, 10.0), (0.0, 0.0)]
+    right = [(20.0, 5.0), (20.0, 10.0)] + wig[::-1] + [(20.0, 0.0), (20.0, 5.0)]
+
+    def poly(pts):
+        return [[{"x": x, "y": y} for x, y in pts]]
+    df = spark.createDataFrame([("L", [poly(left)]), ("R", [poly(right)])],
+                               f"code string, geometry {GEOM}").withColumn("level", F.lit("x"))
+    out = {r.code: r.geometry for r in geometry.simplify_shared(df, 0.5, ["level"]).collect()}
+
+    def edge_set(g):
+        pts = [(p.x, p.y) for p in g[0][0]]
+        return {tuple(sorted((a, b))) for a, b in zip(pts[:-1], pts[1:])}
+    shared = edge_set(out["L"]) & edge_set(out["R"])
+    # the simplified border is identical on both sides: one straight edge
+    assert shared == {((10.0, 0.0), (10.0, 10.0))}
+    for g in out.values():
+        ring = g[0][0]
+        assert (ring[0].x, ring[0].y) == (ring[-1].x, ring[-1].y) and len(ring) >= 4
+
+
+def test_shared_simplify_keeps_grid_cells(spark):
+    cells = layers.commune_cells(spark, SF01).select(F.lit("commune").alias("level"),
+                                                      F.col("insee").alias("code"), "geometry")
+    a = {r.code: r.geometry for r in geometry.simplify(cells, 30.0).collect()}
+    b = {r.code: r.geometry for r in geometry.simplify_shared(cells, 30.0, ["level"]).collect()}
+    assert a == b
+
+
+def test_published_departments_still_share_borders(spark):
+    lay = layers.all_layers(spark, "/root/testdata/sf0.1").where(F.col("level") == "departement")
+    simp = geometry.simplify_shared(lay, geometry.tolerance_for(F.col("level")), ["level"])
+    e = geometry.undirected(geometry.edges(simp, ["code"]))
+    counts = e.groupBy("ux1", "uy1", "ux2", "uy2").count()
+    lonely = counts.where(F.col("count") == 1).collect()
+    outer = lambda r: (r.ux1 == r.ux2 and r.ux1 in (600000.0, 800000.0)) or \
+        (r.uy1 == r.uy2 and r.uy1 in (6500000.0, 6750000.0))
+    assert lonely and all(outer(r) for r in lonely)
