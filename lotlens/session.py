@@ -84,4 +84,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """Location of a materialised table under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+    # an optional namespace isolates runs that must not reuse earlier tables (bench)
+    ns = spark.conf.get("spark.lotlens.namespace", "") or ""
+    return os.path.join(checkpoint_dir(spark), "tables", ns, name) if ns else \
+        os.path.join(checkpoint_dir(spark), "tables", name)
