@@ -172,7 +172,8 @@ def all_level_stats(t: DataFrame, commune_canton: DataFrame, params: StatsParams
     # one row per area: small; written once so the roll-ups below do not
     # recompute the quantile pass for each branch of the union
     checkpoint_dir(t.sparkSession)
-    direct = direct_level_stats(t, params).checkpoint(eager=True)
+    direct = (sketch_level_stats(t, params) if params.quantile_mode == "sketch"
+              else direct_level_stats(t, params)).checkpoint(eager=True)
     communes = direct.where(F.col("level") == "commune").select("code", "name", *STAT_COLUMNS)
     with_parents = upsert(communes, plm_rollup(communes, params))
 
@@ -247,6 +248,52 @@ def direct_level_stats(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame
         (F.col("level") == "country") | (F.col("median_price_m2").isNotNull() & (F.col("median_price_m2") != 0)))
 
 
+def sketch_level_stats(t: DataFrame, params: StatsParams = DEFAULT, k: int | None = None) -> DataFrame:
+    """Approximate statistics of every direct level from ONE scan of T.
+
+    T is reduced to one mergeable KLL sketch per (region, department, commune,
+    postcode) cell; every level then merges the sketches of its cells, so no
+    level rescans the transactions and no group is ever held whole (a sketch
+    has bounded size whatever the group size).  Same columns as
+    ``direct_level_stats``; counts are exact, quantiles approximate.
+    """
+    spark = t.sparkSession
+    sketch = (lambda c: F.kll_sketch_agg_double(c, k)) if k else F.kll_sketch_agg_double
+    base = t.where(base_filter(params)).join(dims.dept_region(spark), "dept_code", "left")
+    cells = (base.groupBy("region_code", "dept_code",
+                          insee_code(F.col("dept_code"), F.col("commune_code")).alias("insee"), "postal_code")
+             .agg(sketch(F.col("price_m2")).alias("sk"), F.min("commune_name").alias("name")))
+    checkpoint_dir(spark)
+    cells = cells.checkpoint(eager=True)  # small; read by the five merges below
+    qs = F.array(*[F.lit(q) for q in QUANTILES])
+
+    def level(name: str, key: Column | None, with_name: bool = False) -> DataFrame:
+        src = cells if key is None else cells.where(key.isNotNull())
+        aggs = [F.kll_merge_agg_double("sk").alias("sk")]
+        if with_name:
+            aggs.append(F.min("name").alias("name"))
+        g = src.agg(*aggs) if key is None else src.groupBy(key.alias("code")).agg(*aggs)
+        code = F.lit("FR") if key is None else F.col("code")
+        return g.select(F.lit(name).alias("level"), code.alias("code"),
+                        (F.col("name") if with_name else F.lit(None).cast("string")).alias("name"),
+                        F.kll_sketch_get_quantile_double("sk", qs).alias("_q"),
+                        F.kll_sketch_get_n_double("sk").alias("_n"))
+
+    merged = (level("country", None)
+              .unionByName(level("region", F.col("region_code")))
+              .unionByName(level("departement", F.col("dept_code")))
+              .unionByName(level("commune", F.col("insee"), with_name=True))
+              .unionByName(level("postcode", F.col("postal_code"))))
+    merged = merged.where((F.col("level") == "country")
+                          | ((F.col("_n") >= params.min_sales) & (F.col("code") != "")))
+    return merged.select(
+        "level", "code", "name",
+        F.bround(F.nullif(F.col("_q")[1], F.lit(0.0)), 0).alias("median_price_m2"),
+        F.bround(F.nullif(F.col("_q")[0], F.lit(0.0)), 0).alias("q25"),
+        F.bround(F.nullif(F.col("_q")[2], F.lit(0.0)), 0).alias("q75"),
+        F.col("_n").alias("n_sales"))
+
+
 def stats_grouping_sets(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     """Country, region, department and commune statistics from one scan."""
     d = direct_level_stats(t, params)

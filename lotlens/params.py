@@ -19,9 +19,10 @@ class StatsParams:
     min_sales: int = 5
     residential_types: tuple[str, ...] = ("Maison", "Appartement")
     sale_nature: str = "Vente"
-    # Quantile mode: "exact" (interpolating, = quantile_cont) or "approx"
+    # Quantile mode: "exact" (interpolating, = quantile_cont), "approx"
     # (percentile_approx, mergeable; equals quantile_disc once the accuracy
-    # is >= group size).
+    # is >= group size) or "sketch" (all levels of ``all_level_stats`` from
+    # KLL sketches merged upward from one scan).
     quantile_mode: str = "exact"
     approx_accuracy: int = 10000
     # exact mode: groups above this many rows are ranked across tasks instead

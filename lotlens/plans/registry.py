@@ -43,6 +43,7 @@ def _all_levels(spark, sf_dir):
 
 
 APPROX = replace(DEFAULT, quantile_mode="approx")
+SKETCH = replace(DEFAULT, quantile_mode="sketch")
 
 
 def _cells(spark, sf_dir):
@@ -247,6 +248,7 @@ def build() -> dict[str, Query]:
     q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(_lots(s, d))
     q["city_report_by_insee"] = lambda s, d: reports.city_report_by_insee(_lots(s, d))
     q["bulk_sale_inflation"] = lambda s, d: reports.bulk_sale_inflation(_lots(s, d), _t(s, d))
+    q["all_level_stats_sketch"] = lambda s, d: stats.all_level_stats(_t(s, d), fixtures.commune_to_canton(s, d), SKETCH)
     q["dissolve_boundary_edges"] = dissolve_boundary_edges
     q["dissolved_layers"] = dissolved_layers
     q["simplified_layers"] = simplified_layers

@@ -60,3 +60,18 @@ def test_reports_identical_when_every_group_is_big(spark):
     assert rows(parcels.commune_sales(t)) == rows(parcels.commune_sales(t, small))
     t.unpersist()
     lots.unpersist()
+
+
+def test_sketch_levels_one_scan(spark):
+    from bisect import bisect_right
+    t = clean.clean_transactions(fixtures.lots(spark, SF01)).cache()
+    cc = fixtures.commune_to_canton(spark, SF01)
+    exact = {(r.level, r.code): r for r in stats.all_level_stats(t, cc).collect()}
+    sk = {(r.level, r.code): r for r in stats.all_level_stats(t, cc, replace(DEFAULT, quantile_mode="sketch")).collect()}
+    direct = [k for k in exact if k[0] in ("country", "region", "departement", "commune", "postcode")]
+    assert {k for k in sk if k[0] in ("country", "region", "departement", "commune", "postcode")} == set(direct)
+    assert all(sk[k].n_sales == exact[k].n_sales for k in direct)
+    prices = sorted(r[0] for r in t.where(stats.base_filter(DEFAULT)).select("price_m2").collect())
+    rank = bisect_right(prices, sk[("country", "FR")].median_price_m2) / len(prices)
+    assert abs(rank - 0.5) < 0.03
+    t.unpersist()
