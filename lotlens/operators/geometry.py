@@ -76,9 +76,10 @@ def boundary_edges(df: DataFrame, group_keys: list[str], geom: str = "geometry")
     e = edges(df, group_keys, geom).where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
     counted = (undirected(e)
                .groupBy(*group_keys, "ux1", "uy1", "ux2", "uy2")
-               .agg(F.count(F.lit(1)).alias("_n"),
-                    F.min(F.struct(*[F.col(c) for c in EDGE_COLUMNS])).alias("_e")))
-    return counted.where(F.col("_n") == 1).select(*group_keys, *[F.col("_e")[c].alias(c) for c in EDGE_COLUMNS])
+               # per-column min is the edge itself when it occurs once (the only
+               # rows kept), and keeps the aggregate a fixed-width hash aggregate
+               .agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in EDGE_COLUMNS]))
+    return counted.where(F.col("_n") == 1).select(*group_keys, *EDGE_COLUMNS)
 
 
 # --- ring stitching (per dissolved feature) ---------------------------------

@@ -145,15 +145,20 @@ def plm_rollup(communes: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     return parents.join(names, "code", "left").select("code", "name", *STAT_COLUMNS)
 
 
-def upsert(base: DataFrame, new: DataFrame, key: str = "code") -> DataFrame:
-    """Rows of ``new`` replace rows of ``base`` with the same key."""
-    return base.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(base: DataFrame, new: DataFrame, key: str = "code", new_is_bounded: bool = False) -> DataFrame:
+    """Rows of ``new`` replace rows of ``base`` with the same key.
+
+    ``new_is_bounded``: the caller proves ``new`` has a fixed small size (the
+    three PLM parents), so its keys are broadcast instead of shuffling ``base``.
+    """
+    keys = new.select(key)
+    return base.join(F.broadcast(keys) if new_is_bounded else keys, key, "left_anti").unionByName(new)
 
 
 def commune_stats_with_parents(t: DataFrame, params: StatsParams = DEFAULT,
                                communes: DataFrame | None = None) -> DataFrame:
     communes = commune_stats(t, params) if communes is None else communes
-    return upsert(communes, plm_rollup(communes, params))
+    return upsert(communes, plm_rollup(communes, params), new_is_bounded=True)
 
 
 def canton_rollup(communes_with_parents: DataFrame, commune_canton: DataFrame,
@@ -175,7 +180,7 @@ def all_level_stats(t: DataFrame, commune_canton: DataFrame, params: StatsParams
     direct = (sketch_level_stats(t, params) if params.quantile_mode == "sketch"
               else direct_level_stats(t, params)).checkpoint(eager=True)
     communes = direct.where(F.col("level") == "commune").select("code", "name", *STAT_COLUMNS)
-    with_parents = upsert(communes, plm_rollup(communes, params))
+    with_parents = upsert(communes, plm_rollup(communes, params), new_is_bounded=True)
 
     def lvl(df: DataFrame, level: str) -> DataFrame:
         name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
