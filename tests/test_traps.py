@@ -55,7 +55,7 @@ def test_bround_is_half_even(spark):
     assert (r[0], r[1]) == (2.0, 4.0)
 
 
-# Golden: the 20 Paris arrondissement statistics published by the reference
+# Golden: the 20 Paris arrondissement statistics published by the original
 # pipeline (fixed values) and the Paris parent it derives from them.
 PARIS = [
     ("75101", 12770.0, 10509.0, 15440.0, 1622), ("75102", 11694.0, 9814.0, 13412.0, 2280),
