@@ -40,20 +40,37 @@ def file_schema(with_corrupt: bool = True) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def header_schema(spark: SparkSession, path: str, sep: str = "|") -> T.StructType:
+    """Schema from the files' header line: the used columns get their types,
+    every other column (the published files carry ~40) is read as text.
+
+    Only the first line is read (``limit(1)``), so column order and extra
+    columns of the real files are handled without an inference pass.
+    """
+    first = spark.read.text(path).limit(1).collect()
+    names = first[0][0].split(sep) if first else [h for h, _, _ in HEADER]
+    typed = {h: t for h, _, t in HEADER}
+    fields = [T.StructField(n, typed.get(n, T.StringType()), True) for n in names]
+    fields.append(T.StructField(CORRUPT, T.StringType(), True))
+    return T.StructType(fields)
+
+
+def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Parse the files (glob allowed) permissively; canonical names + file_path."""
-    raw = (spark.read.schema(file_schema())
+    schema = schema or header_schema(spark, path)
+    raw = (spark.read.schema(schema)
            .option("sep", "|").option("header", True)
            .option("locale", "fr-FR").option("dateFormat", "dd/MM/yyyy")
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .csv(path))
-    return raw.select(*[F.col(h).alias(c) for h, c, _ in HEADER], F.col(CORRUPT),
+    return raw.select(*[F.col(f"`{h}`").alias(c) for h, c, _ in HEADER], F.col(CORRUPT),
                       F.col("_metadata.file_path").alias("file_path"))
 
 
-def ingest(spark: SparkSession, path: str, parquet_path: str) -> tuple[DataFrame, DataFrame]:
+def ingest(spark: SparkSession, path: str, parquet_path: str,
+           schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Materialise every parsed column once, then split (valid lots, rejects)."""
-    read_raw(spark, path).write.mode("overwrite").parquet(parquet_path)
+    read_raw(spark, path, schema).write.mode("overwrite").parquet(parquet_path)
     stored = spark.read.parquet(parquet_path)
     valid = stored.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     rejects = stored.where(F.col(CORRUPT).isNotNull())

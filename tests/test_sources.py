@@ -63,3 +63,19 @@ def test_geojson_feature_and_reader(spark):
     rd = geojson.read_feature_lines(spark, d, T._parse_datatype_string(f"struct<{props.replace(' string', ':string')}>"))
     row = rd.select("properties.code", geojson.geometry_from_json(F.col("geometry.type"), F.col("geometry.coordinates")).alias("g")).first()
     assert row.code == "75101" and len(row.g[0][0]) == 4
+
+
+def test_csv_header_driven_schema_with_extra_columns(spark):
+    d = tempfile.mkdtemp(prefix="lotlens-csvh-")
+    header = ("Identifiant de document|No disposition|Date mutation|Nature mutation|Valeur fonciere|No voie|"
+              "Code postal|Commune|Code departement|Code commune|Section|Type local|Surface reelle bati|Nombre pieces")
+    rows = ["|1|02/01/2024|Vente|250000,50|12|01000|C|01|1|AB|Maison|100,25|4",
+            "|2|03/01/2024|Vente|99000,00|3|2A004|AJACCIO|2A|4|ZZ|Appartement||2"]
+    with open(os.path.join(d, "a.txt"), "w") as f:
+        f.write(header + "\n" + "\n".join(rows) + "\n")
+    valid, rejects = csv_lots.ingest(spark, os.path.join(d, "*.txt"), os.path.join(d, "p"))
+    assert rejects.count() == 0
+    got = {r.no_disposition: r for r in valid.collect()}
+    assert str(got[1].valeur_fonciere) == "250000.50" and str(got[1].surface_reelle_bati) == "100.25"
+    assert got[2].code_postal == "2A004" and got[2].code_departement == "2A" and got[2].surface_reelle_bati is None
+    assert str(got[1].date_mutation) == "2024-01-02"
