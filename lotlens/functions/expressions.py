@@ -18,15 +18,6 @@ def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def round_half_even(x: Column, scale: int = 0) -> Column:
-    return F.bround(x, scale)
-
-
-def falsy_to_null(x: Column) -> Column:
-    """NULL when x is NULL or 0 (truthiness of a number)."""
-    return F.nullif(x, F.lit(0))
-
-
 def dept_of_commune(code: Column) -> Column:
     """Department prefix of a commune code: 3 characters for 97x/98x, else 2."""
     return F.when(code.startswith("97") | code.startswith("98"), F.substring(code, 1, 3)) \

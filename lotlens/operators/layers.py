@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlens.functions.expressions import dept_of_commune
 from lotlens.operators import dims
-from lotlens.operators.geometry import dissolve, simplify, simplify_shared, square, tolerance_for
+from lotlens.operators.geometry import dissolve, simplify_shared, square, tolerance_for
 from lotlens.functions.geo import round_coordinates, to_wgs84
 from lotlens.params import COORD_PRECISION, METRO_REGIONS
 from lotlens.sources import fixtures
@@ -214,7 +213,3 @@ def publishable(layers: DataFrame, precision: int = COORD_PRECISION) -> DataFram
     # borders shared inside a layer are simplified once, so neighbours still meet
     s = simplify_shared(layers, tolerance_for(F.col("level")), ["level"])
     return s.withColumn("geometry", round_coordinates(to_wgs84(F.col("geometry")), precision))
-
-
-def feature_dept(code_col: str = "code"):
-    return dept_of_commune(F.col(code_col))
