@@ -126,3 +126,17 @@ def test_city_report_merges_same_name_and_number_across_departments(spark):
     assert len(merged) == 1 and merged[0].volume == 60
     safe = reports.city_report_by_insee(lots, min_n=50).collect()
     assert safe == []
+
+
+def test_country_row_on_empty_input(spark):
+    empty = clean.clean_transactions(spark.createDataFrame([], SCHEMA))
+    r = stats.country_stats(empty).collect()
+    assert len(r) == 1 and r[0].code == "FR" and r[0].n_sales == 0 and r[0].median_price_m2 is None
+
+
+def test_country_stats_include_overseas(spark):
+    rows = [(dt.date(2024, 1, 2), d, "Vente", Decimal("100000.00"), "97100", "C", "971", 101, "Maison",
+             Decimal("50")) for d in range(1, 4)]
+    t = clean.clean_transactions(spark.createDataFrame(rows, SCHEMA))
+    assert stats.country_stats(t).first().n_sales == 3
+    assert stats.region_stats(t).first().code == "01"
