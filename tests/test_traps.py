@@ -136,7 +136,7 @@ def test_country_row_on_empty_input(spark):
 
 def test_country_stats_include_overseas(spark):
     rows = [(dt.date(2024, 1, 2), d, "Vente", Decimal("100000.00"), "97100", "C", "971", 101, "Maison",
-             Decimal("50")) for d in range(1, 4)]
+             Decimal("50")) for d in range(1, 6)]
     t = clean.clean_transactions(spark.createDataFrame(rows, SCHEMA))
-    assert stats.country_stats(t).first().n_sales == 3
+    assert stats.country_stats(t).first().n_sales == 5
     assert stats.region_stats(t).first().code == "01"
