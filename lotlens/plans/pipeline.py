@@ -9,6 +9,7 @@ outputs exist is skipped (idempotent re-runs).  Usage::
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 import datetime as dt
 import os
 
@@ -166,15 +167,18 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--lots", help="glob of the pipe-delimited sale files")
     ap.add_argument("--communes", help="commune boundary GeoJSON (EPSG:2154) for precompute")
     ap.add_argument("--out", required=True, help="shared output folder")
+    ap.add_argument("--quantiles", choices=["exact", "approx", "sketch"], default="exact",
+                    help="quantile mode of the statistics")
     args = ap.parse_args(argv)
+    params = replace(DEFAULT, quantile_mode=args.quantiles)
     spark = get_spark()
     ship_package(spark)
     if args.step in ("all", "etl"):
-        print(run_etl(spark, args.lots, args.out))
+        print(run_etl(spark, args.lots, args.out, params))
     if args.step in ("all", "precompute"):
         communes = communes_from_file(spark, args.communes)
         print(run_precompute(spark, args.out, communes, layers.commune_canton_map(
-            communes.select(F.col("insee").alias("code"), "dept", "canton"))))
+            communes.select(F.col("insee").alias("code"), "dept", "canton")), params))
     if args.step in ("all", "split"):
         print(run_split(spark, args.out))
 
