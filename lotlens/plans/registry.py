@@ -245,6 +245,7 @@ def build() -> dict[str, Query]:
     q["top_departments"] = lambda s, d: reports.top_departments(_t(s, d))
     q["top_communes"] = lambda s, d: reports.top_communes(_t(s, d))
     q["raw_lot_department_stats"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d))
+    q["raw_lot_department_stats_approx"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d), params=APPROX)
     q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(_lots(s, d))
     q["city_report_by_insee"] = lambda s, d: reports.city_report_by_insee(_lots(s, d))
     q["bulk_sale_inflation"] = lambda s, d: reports.bulk_sale_inflation(_lots(s, d), _t(s, d))
