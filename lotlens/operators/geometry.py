@@ -157,6 +157,7 @@ def stitch_rings(ax, ay, bx, by) -> list[list[list[tuple[float, float]]]]:
         elif a < 0:
             holes.append(r)
     shells.sort(key=lambda t: (-t[0], t[1][0]))
+    holes.sort(key=lambda r: r[0])  # deterministic output whatever the row order of the group
     polys = [[r] for _, r in shells]
     for h in holes:
         probe = ((h[0][0] + h[1][0]) / 2.0, (h[0][1] + h[1][1]) / 2.0)
