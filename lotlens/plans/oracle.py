@@ -461,6 +461,9 @@ SELECT parcel_id, dept_code, price_m2, n_sales, commune_name FROM (
 WHERE rn <= {{cap}}"""
     q["parcel_prices"] = with_(*BASE, PARCELS) + parcel_q.format(cap=20000)
     q["parcel_prices_cap10"] = with_(*BASE, PARCELS) + parcel_q.format(cap=10)
+    # a 50 m parcel square keeps its 4 corners (+ closing point) at 0.5 m tolerance
+    q["parcel_layer"] = with_(*BASE, PARCELS) + "SELECT *, CAST(5 AS INTEGER) AS points FROM (" + \
+        parcel_q.format(cap=20000) + ") p"
     q["tile_assignment"] = with_(*base, CORNERS, PROJECTED, TILES) + "SELECT * FROM tiles"
     q["tile_top_features"] = with_(*tuple(dict.fromkeys(ROLLUP_BASE + base)), CORNERS, PROJECTED, TILES) + """
 SELECT layer, z, x, y, code, rank FROM (
