@@ -91,7 +91,12 @@ def simplified_layers(spark, sf_dir):
 
 
 def _all_stats_table(spark, sf_dir):
-    return materialize(lambda: _all_levels(spark, sf_dir), spark, "all_stats", sf_dir)
+    """S written once per input folder, partitioned by level (level filters prune)."""
+    return materialize(lambda: _all_levels(spark, sf_dir), spark, "all_stats", sf_dir, partition_by="level")
+
+
+def _stats_level(spark, sf_dir, level):
+    return _all_stats_table(spark, sf_dir).where(F.col("level") == level)
 
 
 def enriched_features(spark, sf_dir):
@@ -233,12 +238,14 @@ def build() -> dict[str, Query]:
     q["commune_stats_with_parents"] = _communes_wp
     q["canton_rollup"] = lambda s, d: stats.canton_rollup(_communes_wp(s, d), fixtures.commune_to_canton(s, d))
     q["all_level_stats"] = _all_levels
-    q["areas_per_level"] = lambda s, d: reports.areas_per_level(_all_levels(s, d))
+    # consumers of the published statistics read the written S table (no rescan of T)
+    q["areas_per_level"] = lambda s, d: reports.areas_per_level(_all_stats_table(s, d))
     q["plm_canton_lookup"] = lambda s, d: reports.point_lookup(
-        _all_levels(s, d), "canton", ["75_PARIS", "69_LYON", "13_MARSEILLE"])
+        _all_stats_table(s, d), "canton", ["75_PARIS", "69_LYON", "13_MARSEILLE"])
     q["stats_grouping_sets"] = lambda s, d: stats.stats_grouping_sets(_t(s, d))
-    q["top_expensive_communes"] = lambda s, d: stats.top_expensive_communes(_communes_wp(s, d), 100, 10)
-    q["top_expensive_communes_min20"] = lambda s, d: stats.top_expensive_communes(_communes_wp(s, d), 20, 10)
+    q["top_expensive_communes"] = lambda s, d: stats.top_expensive_communes(_stats_level(s, d, "commune"), 100, 10)
+    q["top_expensive_communes_min20"] = lambda s, d: stats.top_expensive_communes(
+        _stats_level(s, d, "commune"), 20, 10)
     q["unmapped_departments"] = lambda s, d: stats.unmapped_departments(_t(s, d))
     q["dataset_summary"] = lambda s, d: reports.dataset_summary(_t(s, d))
     q["price_distribution"] = lambda s, d: reports.price_distribution(_t(s, d))
