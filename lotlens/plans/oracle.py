@@ -430,6 +430,16 @@ ON a.level = b.level AND a.code = b.code AND a.name = b.name"""
 SELECT f.level, f.code, f.name, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
 FROM (SELECT DISTINCT level, code, name FROM members) f
 LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
+    q["dissolved_outline"] = "SELECT code, name, area_m2, vertices FROM (" + q["dissolved_layers"] + \
+        ") d WHERE level = 'country'"
+    nine = ", ".join(f"{{'idx': {i}, 'fx': {a}, 'fy': {b}}}" for i, (a, b) in enumerate(
+        [(0.0, 0.0), (0.5, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 1.0), (0.5, 1.0), (0.0, 1.0), (0.0, 0.5), (0.0, 0.0)]))
+    cell_pts = f"""cell_pts AS (
+  SELECT insee AS code, o.idx AS idx, x0 + o.fx * 10000 AS px, y0 + o.fy * 10000 AS py
+  FROM (SELECT c.*, unnest([{nine}]) AS o FROM cellgeo c) s)"""
+    q["lambert93_to_wgs84"] = with_(*base, cell_pts) + f"""
+SELECT code, CAST(idx AS INTEGER) AS idx, px AS x, py AS y, round_even(lon, 7) AS lon, round_even(lat, 7) AS lat
+FROM ({lonlat_sql('px', 'py', src='cell_pts')}) p"""
     q["rounded_coordinates"] = with_(*base, CORNERS, PROJECTED) + "SELECT code, CAST(idx AS INTEGER) AS idx, lon, lat FROM projected"
     q["feature_bbox"] = with_(*base, DEPT_BBOX) + """
 SELECT dept, minx, miny, maxx, maxy, maxx - minx AS width, maxy - miny AS height FROM dept_bbox"""

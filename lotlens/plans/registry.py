@@ -84,6 +84,21 @@ def dissolved_layers(spark, sf_dir):
                  F.sum(F.size("ring") - 1).alias("vertices")))
 
 
+def dissolved_outline(spark, sf_dir):
+    """The country outline (metropolitan regions dissolved): area and vertices."""
+    return dissolved_layers(spark, sf_dir).where(F.col("level") == "country").drop("level")
+
+
+def lambert93_to_wgs84(spark, sf_dir):
+    """Every vertex of the commune cells, EPSG:2154 -> lon/lat (7 decimals)."""
+    from lotlens.functions.geo import lambert93_to_lonlat
+    cells = _cells(spark, sf_dir)
+    pts = cells.select(F.col("insee").alias("code"), F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
+    ll = lambert93_to_lonlat(F.col("p.x"), F.col("p.y"))
+    return pts.select("code", "idx", F.col("p.x").alias("x"), F.col("p.y").alias("y"),
+                      F.bround(ll["x"], 7).alias("lon"), F.bround(ll["y"], 7).alias("lat"))
+
+
 def simplified_layers(spark, sf_dir):
     return _published(spark, sf_dir).select("level", "code", "name",
                                             F.size(F.flatten(F.flatten("geometry"))).alias("points"),
@@ -259,6 +274,8 @@ def build() -> dict[str, Query]:
     q["all_level_stats_sketch"] = lambda s, d: stats.all_level_stats(_t(s, d), fixtures.commune_to_canton(s, d), SKETCH)
     q["dissolve_boundary_edges"] = dissolve_boundary_edges
     q["dissolved_layers"] = dissolved_layers
+    q["dissolved_outline"] = dissolved_outline
+    q["lambert93_to_wgs84"] = lambert93_to_wgs84
     q["simplified_layers"] = simplified_layers
     q["enriched_features"] = enriched_features
     q["geojson_features"] = geojson_features
