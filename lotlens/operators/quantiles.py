@@ -54,11 +54,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
 
     # rank interval of each distinct value
     local = Window.partitionBy("_pid", *keys).orderBy(value)
-    ranked = (ranged.withColumn("_cum", F.sum("_c").over(local))
-              .join(slices, ["_pid", *keys])
-              .select(*keys, value, "_n",
-                      (F.col("_off") + F.col("_cum") - F.col("_c")).alias("_first"),
-                      (F.col("_off") + F.col("_cum") - 1).alias("_last")))
+    left = ranged.withColumn("_cum", F.sum("_c").over(local)).alias("l")
+    right = slices.alias("r")
+    # null-safe on the keys: a NULL group key is a group like any other
+    cond = [F.col("l._pid") == F.col("r._pid")] + [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    ranked = (left.join(right, cond)
+              .select(*[F.col(f"l.`{k}`").alias(k) for k in keys], F.col(f"l.`{value}`").alias(value), "r._n",
+                      (F.col("r._off") + F.col("l._cum") - F.col("l._c")).alias("_first"),
+                      (F.col("r._off") + F.col("l._cum") - 1).alias("_last")))
 
     # target ranks: for quantile i, lo = floor(pos), hi = ceil(pos)
     targets = []
@@ -115,9 +118,12 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float
     big_keys = big.collect()  # bounded: at most rows / group_limit keys
     if not big_keys:
         return df.groupBy(*keys).agg(*builtin)
-    big_df = F.broadcast(df.sparkSession.createDataFrame(big_keys, big.schema))
-    small_part = df.join(big_df, keys, "left_anti").groupBy(*keys).agg(*builtin)
-    big_rows = df.join(big_df, keys, "left_semi")
+    big_df = F.broadcast(df.sparkSession.createDataFrame(big_keys, big.schema)).alias("b")
+    src = df.alias("d")
+    # null-safe key match, so a big NULL-key group also takes the distributed path
+    cond = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+    small_part = src.join(big_df, cond, "left_anti").groupBy(*keys).agg(*builtin)
+    big_rows = src.join(big_df, cond, "left_semi")
     dist = exact_quantiles(big_rows, keys, value, qs)
     if extra_aggs:
         dist = dist.join(big_rows.groupBy(*keys).agg(*extra_aggs), keys)

@@ -75,3 +75,11 @@ def test_sketch_levels_one_scan(spark):
     rank = bisect_right(prices, sk[("country", "FR")].median_price_m2) / len(prices)
     assert abs(rank - 0.5) < 0.03
     t.unpersist()
+
+
+def test_null_key_group_in_distributed_path(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("k"),
+                                   F.rand(9).alias("v"))
+    got = {r.k: list(r._q) for r in grouped_quantiles(df, ["k"], "v", QS, group_limit=1000).collect()}
+    want = {k[0]: v for k, v in builtin(df, ["k"], "v").items()}
+    assert got == want and None in got
