@@ -60,3 +60,27 @@ def test_overlap_join_equals_brute_force(spark):
     want = {(la[0], rb[0]) for la in a for rb in b
             if rb[3] >= la[1] and rb[1] <= la[3] and rb[4] >= la[2] and rb[2] <= la[4]}
     assert got == want and (999, 999) in got
+
+
+def test_overlap_join_mixed_sizes_bounded_replication(spark):
+    rnd = random.Random(5)
+    a = []
+    for i in range(150):
+        x, y = rnd.uniform(0, 1000), rnd.uniform(0, 1000)
+        w = rnd.choice([5.0, 40.0, 300.0, 900.0])  # zoomed-in to zoomed-out viewports
+        a.append((i, x, y, x + w, y + w))
+    b = [(j, x, y, x + 20.0, y + 25.0) for j, (x, y) in enumerate((rnd.uniform(0, 1000), rnd.uniform(0, 1000))
+                                                                for _ in range(80))]
+    left = spark.createDataFrame(a, "lid int, w double, s double, e double, n double")
+    right = spark.createDataFrame(b, "rid int, minx double, miny double, maxx double, maxy double")
+    got = {(r.lid, r.rid) for r in viewport.overlap_join(left, right, ("w", "s", "e", "n"),
+                                                         ("minx", "miny", "maxx", "maxy"), 25.0, levels=7)
+           .select("lid", "rid").collect()}
+    want = {(la[0], rb[0]) for la in a for rb in b
+            if rb[3] >= la[1] and rb[1] <= la[3] and rb[4] >= la[2] and rb[2] <= la[4]}
+    assert got == want
+    # every left rectangle is bucketed into at most 2 x 2 cells
+    lv = viewport._own_level("w", "s", "e", "n", 25.0, 7)
+    cells = viewport._cells(left.withColumn("_lv", lv), "w", "s", "e", "n",
+                            F.lit(25.0) * F.pow(F.lit(2.0), F.col("_lv")))
+    assert cells.groupBy("lid").count().agg(F.max("count")).first()[0] <= 4
