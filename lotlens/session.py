@@ -65,21 +65,28 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and materialised tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
     shared folder there).  Only when it is unset — local tests — a scratch
-    folder is created and registered.
+    folder is created once per application (the setting itself cannot be
+    changed on a running session).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(conf_dir)
         return conf_dir
-    local = tempfile.mkdtemp(prefix="lotlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    app = sc.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lotlens-ckpt-")
+        sc.setCheckpointDir(_LOCAL_DIRS[app])
+    return _LOCAL_DIRS[app]
 
 
 def table_path(spark: SparkSession, name: str) -> str:
