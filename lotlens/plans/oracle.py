@@ -127,7 +127,7 @@ def rollup_select(child: str, mapping: str, child_key: str, parent_key: str, min
        round_even(NULLIF(q25a, 0), 0) AS q25, round_even(NULLIF(q75a, 0), 0) AS q75, n_sales FROM (
   SELECT m.{parent_key} AS code,
          SUM(c.median_price_m2 * c.n_sales) / SUM(c.n_sales) AS w,
-         AVG(c.q25) AS q25a, AVG(c.q75) AS q75a, SUM(c.n_sales) AS n_sales
+         AVG(c.q25) AS q25a, AVG(c.q75) AS q75a, CAST(SUM(c.n_sales) AS BIGINT) AS n_sales
   FROM {child} c JOIN {mapping} m ON c.code = m.{child_key}
   GROUP BY 1
   HAVING SUM(c.n_sales) >= {min_n}) r"""
@@ -292,8 +292,8 @@ CELLGEO = f"""cellgeo AS (
   SELECT di, k, dept, insee,
          'COMMUNE ' || dept || '-' || CAST({commune_sql('k', 'di')} AS VARCHAR) AS name,
          CASE WHEN di NOT IN (12, 22, 23) AND k <> 19 THEN lpad(CAST(k % 4 + 1 AS VARCHAR), 2, '0') END AS canton,
-         600000.0 + (di % 5) * 40000 + (k % 4) * 10000 AS x0,
-         6500000.0 + floor(di / 5) * 50000 + floor(k / 4) * 10000 AS y0
+         CAST(600000.0 + (di % 5) * 40000 + (k % 4) * 10000 AS DOUBLE) AS x0,
+         CAST(6500000.0 + floor(di / 5) * 50000 + floor(k / 4) * 10000 AS DOUBLE) AS y0
   FROM cells)"""
 
 _OFFS = [(0, 0, .5, 0), (.5, 0, 1, 0), (1, 0, 1, .5), (1, .5, 1, 1), (1, 1, .5, 1), (.5, 1, 0, 1),

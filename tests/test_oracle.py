@@ -47,6 +47,10 @@ def test_every_query_registered_has_a_callable():
     assert len(QUERIES) >= 45
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "decimal(18,2)": "DECIMAL(18,2)", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle_sf0001(spark, duck001, name):
     df = QUERIES[name](spark, SF001)
@@ -54,6 +58,10 @@ def test_query_matches_oracle_sf0001(spark, duck001, name):
     res = duck001.execute(SQL[name])
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    # same column types on both sides (no HUGEINT / DECIMAL where Spark has BIGINT / DOUBLE)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    assert stypes == {d[0]: str(d[1]) for d in res.description}
     assert _rows(df.columns, srows) == _rows(ocols, res.fetchall())
 
 
