@@ -185,6 +185,7 @@ def build() -> dict[str, str]:
     q["plm_rollup"] = with_(*ROLLUP_BASE) + "SELECT * FROM parents"
     q["commune_stats_with_parents"] = with_(*ROLLUP_BASE) + "SELECT * FROM communes_wp"
     q["canton_rollup"] = with_(*ALL_LEVELS_BASE) + "SELECT * FROM cantons"
+    q["commune_canton_map"] = with_(PLACES, PLM_NAMES, CELLS, COMMUNE_CANTON) + "SELECT * FROM commune_canton"
     q["all_level_stats"] = with_(*ALL_LEVELS_BASE, ALL_LEVELS_CTE) + "SELECT * FROM all_stats"
     q["areas_per_level"] = (with_(*ALL_LEVELS_BASE, ALL_LEVELS_CTE)
                             + "SELECT level, COUNT(*) AS areas FROM all_stats GROUP BY level")

@@ -252,6 +252,7 @@ def build() -> dict[str, Query]:
     q["plm_rollup"] = lambda s, d: stats.plm_rollup(stats.commune_stats(_t(s, d)))
     q["commune_stats_with_parents"] = _communes_wp
     q["canton_rollup"] = lambda s, d: stats.canton_rollup(_communes_wp(s, d), fixtures.commune_to_canton(s, d))
+    q["commune_canton_map"] = lambda s, d: fixtures.commune_to_canton(s, d)
     q["all_level_stats"] = _all_levels
     # consumers of the published statistics read the written S table (no rescan of T)
     q["areas_per_level"] = lambda s, d: reports.areas_per_level(_all_stats_table(s, d))
