@@ -8,14 +8,15 @@ data would land in one task.  Here a group is ranked across many tasks:
 2. range partitioning on (group, value): a big group spans many partitions,
    each holding a contiguous slice of its sorted values;
 3. per (partition, group) totals (tiny) give each slice its starting rank;
-   a running count inside the slice (window bounded by one partition) gives
+   a running count inside the sorted slice (Arrow batches, no shuffle) gives
    every value its rank interval;
 4. only the rows holding the target ranks floor/ceil((n-1)q) survive, and
    the quantile is interpolated as ``(ceil - pos) * lo + (pos - floor) * hi``
    (the same arithmetic as the built-in ``percentile``).
 
-Cost: two shuffles of the histogram plus a sampling pass for the range
-bounds; memory per task is bounded by the partition size, never by a group.
+Cost: two shuffles (histogram aggregate, range partitioning) plus a sampling
+pass for the range bounds; the rest is narrow or joins tiny tables.  Memory
+per task is bounded by the partition size, never by a group.
 The range-partitioned histogram is checkpointed (shared folder) because its
 partition ids are read by two branches and must not be re-sampled.
 
@@ -26,12 +27,47 @@ partition ids are read by two branches and must not be re-sampled.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotlens.session import checkpoint_dir
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _with_running_count(df: DataFrame, keys: list[str], count_col: str = "_c") -> DataFrame:
+    """Adds ``_cum``: running sum of ``count_col`` per key, in row order, within
+    each partition (rows must be sorted by key inside the partition)."""
+    schema = T.StructType(df.schema.fields + [T.StructField("_cum", T.LongType(), False)])
+
+    def fn(batches):
+        last_key, carry = None, 0
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            pdf = rb.to_pandas()
+            k = pdf[keys]
+            prev = k.shift(1)
+            same = ((k == prev) | (k.isna() & prev.isna())).all(axis=1).to_numpy()
+            first_key = tuple(k.iloc[0])
+            same[0] = last_key is not None and _same_key(first_key, last_key)
+            grp = np.cumsum(~same)
+            cum = pdf[count_col].groupby(grp, sort=False).cumsum().to_numpy(dtype=np.int64)
+            if same[0]:
+                cum[grp == grp[0]] += carry
+            carry, last_key = int(cum[-1]), tuple(k.iloc[-1])
+            cols = list(rb.columns) + [pa.array(cum, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(rb.schema) + [pa.field("_cum", pa.int64(), False)]))
+
+    return df.mapInArrow(fn, schema)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """keys + ``_q`` (array of quantiles, order of ``qs``) + ``_n`` (group size)."""
@@ -52,9 +88,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
         (F.sum("_pc").over(by_key.orderBy("_pid")) - F.col("_pc")).alias("_off"),
         F.sum("_pc").over(by_key).alias("_n"))
 
-    # rank interval of each distinct value
-    local = Window.partitionBy("_pid", *keys).orderBy(value)
-    left = ranged.withColumn("_cum", F.sum("_c").over(local)).alias("l")
+    # rank interval of each distinct value: a running count inside each
+    # range partition (already holding contiguous (key, value) slices), computed
+    # on sorted Arrow batches -- no further shuffle of the histogram
+    left = _with_running_count(ranged.sortWithinPartitions(*keys, value), keys).alias("l")
     right = slices.alias("r")
     # null-safe on the keys: a NULL group key is a group like any other
     cond = [F.col("l._pid") == F.col("r._pid")] + [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
