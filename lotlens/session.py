@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     for k, v in _LOCAL_CONF.items():
         builder = builder.config(k, v)
+    if master and master.startswith("local") and "spark.driver.memory" not in (extra or {}):
+        # local mode: the driver JVM is also the executor; 1 GB default is too small
+        builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
