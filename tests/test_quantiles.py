@@ -83,3 +83,16 @@ def test_null_key_group_in_distributed_path(spark):
     got = {r.k: list(r._q) for r in grouped_quantiles(df, ["k"], "v", QS, group_limit=1000).collect()}
     want = {k[0]: v for k, v in builtin(df, ["k"], "v").items()}
     assert got == want and None in got
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 20)), min_size=1, max_size=300),
+       st.integers(1, 7))
+def test_exact_quantiles_random(spark, rows, parts):
+    df = spark.createDataFrame([(k, float(v)) for k, v in rows], "k string, v double")
+    got = {(r.k,): list(r._q) for r in exact_quantiles(df, ["k"], "v", QS, num_partitions=parts).collect()}
+    assert got == builtin(df, ["k"], "v")
