@@ -84,3 +84,17 @@ def test_overlap_join_mixed_sizes_bounded_replication(spark):
     cells = viewport._cells(left.withColumn("_lv", lv), "w", "s", "e", "n",
                             F.lit(25.0) * F.pow(F.lit(2.0), F.col("_lv")))
     assert cells.groupBy("lid").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_salted_cap_equals_plain_window(spark):
+    from pyspark.sql import Window
+    from lotlens.operators.parcels import cap_per_group
+    # one department holds most rows (skew); ids are unique per row
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("75")).otherwise((F.col("id") % 5).cast("string")).alias("dept"),
+        F.format_string("%08d", (F.col("id") * 7919) % 1000003).alias("id"),
+        F.lit("n").alias("name"))
+    got = {tuple(r) for r in cap_per_group(df, "dept", ["id", "name"], 37, salt_buckets=16).collect()}
+    w = Window.partitionBy("dept").orderBy("id", "name")
+    want = {tuple(r) for r in df.withColumn("_rn", F.row_number().over(w)).where("_rn <= 37").drop("_rn").collect()}
+    assert got == want and len(got) == 37 * 6
