@@ -499,6 +499,10 @@ SELECT 'parcels' AS layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAS
                      unnest(generate_series(16, 20)) AS z
               FROM ({lonlat_sql('px', 'py', src='pcorners')}) pr GROUP BY code) b) c) d,
 LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) e"""
+    q["geojson_parsed"] = with_(*geo_stats) + """
+SELECT c.insee AS code, 'Polygon' AS geom_type, CAST(5 AS INTEGER) AS ring_points,
+       s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
+FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
     q["price_color"] = with_(*geo_stats) + f"""
 SELECT c.insee AS code, s.median_price_m2 AS price_m2, {_color_sql('s.median_price_m2')} AS color
 FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""

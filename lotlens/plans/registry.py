@@ -127,6 +127,18 @@ def geojson_features(spark, sf_dir):
     return lines.select("code", publish.dept_of_commune(F.col("code")).alias("dept"), "feature")
 
 
+def geojson_parsed(spark, sf_dir):
+    """The published commune features parsed back from their GeoJSON text."""
+    doc = F.from_json("feature", "struct<type:string, properties:struct<code:string, price_m2:double, "
+                                 "n_sales:bigint, q25:double, q75:double>, "
+                                 "geometry:struct<type:string, coordinates:array<array<array<double>>>>>")
+    f = geojson_features(spark, sf_dir).select(doc.alias("f"))
+    return f.select(F.col("f.properties.code").alias("code"), F.col("f.geometry.type").alias("geom_type"),
+                    F.size(F.col("f.geometry.coordinates")[0]).alias("ring_points"),
+                    F.col("f.properties.price_m2").alias("price_m2"), F.col("f.properties.n_sales").alias("n_sales"),
+                    F.col("f.properties.q25").alias("q25"), F.col("f.properties.q75").alias("q75"))
+
+
 def rounded_coordinates(spark, sf_dir):
     c = _commune_features(spark, sf_dir)
     pts = c.select("code", F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
@@ -280,6 +292,7 @@ def build() -> dict[str, Query]:
     q["simplified_layers"] = simplified_layers
     q["enriched_features"] = enriched_features
     q["geojson_features"] = geojson_features
+    q["geojson_parsed"] = geojson_parsed
     q["rounded_coordinates"] = rounded_coordinates
     q["feature_bbox"] = feature_bbox
     q["viewport_departments"] = lambda s, d: _visible(s, d).select("event_id", "dept")
