@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -43,6 +44,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,18 +56,19 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="lotlens-pyfiles-"), "lotlens.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    with _SHIP_LOCK:  # queries may be started from several threads
+        if key in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="lotlens-pyfiles-"), "lotlens.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(out)
+        _SHIPPED.add(key)
 
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -86,9 +89,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
     app = sc.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lotlens-ckpt-")
-        sc.setCheckpointDir(_LOCAL_DIRS[app])
+    with _SHIP_LOCK:
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="lotlens-ckpt-")
+            sc.setCheckpointDir(_LOCAL_DIRS[app])
     return _LOCAL_DIRS[app]
 
 
