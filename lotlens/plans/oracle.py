@@ -431,6 +431,8 @@ ON a.level = b.level AND a.code = b.code AND a.name = b.name"""
 SELECT f.level, f.code, f.name, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
 FROM (SELECT DISTINCT level, code, name FROM members) f
 LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
+    q["simplified_area"] = with_(*base, MEMBERS) + """
+SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM members GROUP BY level, code, name"""
     q["dissolved_outline"] = "SELECT code, name, area_m2, vertices FROM (" + q["dissolved_layers"] + \
         ") d WHERE level = 'country'"
     nine = ", ".join(f"{{'idx': {i}, 'fx': {a}, 'fy': {b}}}" for i, (a, b) in enumerate(

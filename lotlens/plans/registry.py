@@ -99,6 +99,14 @@ def lambert93_to_wgs84(spark, sf_dir):
                       F.bround(ll["x"], 7).alias("lon"), F.bround(ll["y"], 7).alias("lat"))
 
 
+def simplified_area(spark, sf_dir):
+    """Area of every feature after the shared-arc simplification (metres):
+    on the grid only collinear vertices may go, so areas must not change."""
+    simp = geometry.simplify_shared(_layers(spark, sf_dir), geometry.tolerance_for(F.col("level")), ["level"])
+    rings = simp.select("level", "code", "name", F.explode(F.flatten("geometry")).alias("ring"))
+    return rings.groupBy("level", "code", "name").agg((F.sum(ring_area2(F.col("ring"))) / 2).alias("area_m2"))
+
+
 def simplified_layers(spark, sf_dir):
     return _published(spark, sf_dir).select("level", "code", "name",
                                             F.size(F.flatten(F.flatten("geometry"))).alias("points"),
@@ -289,6 +297,7 @@ def build() -> dict[str, Query]:
     q["dissolved_layers"] = dissolved_layers
     q["dissolved_outline"] = dissolved_outline
     q["lambert93_to_wgs84"] = lambert93_to_wgs84
+    q["simplified_area"] = simplified_area
     q["simplified_layers"] = simplified_layers
     q["enriched_features"] = enriched_features
     q["geojson_features"] = geojson_features
