@@ -431,6 +431,30 @@ ON a.level = b.level AND a.code = b.code AND a.name = b.name"""
 SELECT f.level, f.code, f.name, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
 FROM (SELECT DISTINCT level, code, name FROM members) f
 LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
+    # Douglas-Peucker on the rectilinear grid shapes keeps exactly the junction
+    # vertices (degree != 2 in the level's edge graph) and the corners; a vertex
+    # where a feature touches itself is visited twice (degree 4 in the feature)
+    bedges = "bedges AS (" + boundary_sql(
+        '(SELECT m.level, m.code, m.name, e.ax, e.ay, e.bx, e."by" FROM members m JOIN cell_edges e ON m.insee = e.insee)',
+        "level, code, name") + ")"
+    q["simplified_vertices"] = with_(*base, CELL_EDGES, MEMBERS, bedges) + """
+, lvl_edges AS (
+  SELECT DISTINCT level, least(ax, bx) AS x1, CASE WHEN ax < bx OR (ax = bx AND ay <= "by") THEN ay ELSE "by" END AS y1,
+         greatest(ax, bx) AS x2, CASE WHEN ax < bx OR (ax = bx AND ay <= "by") THEN "by" ELSE ay END AS y2
+  FROM bedges)
+, lvl_deg AS (
+  SELECT level, x, y, COUNT(*) AS deg
+  FROM (SELECT level, x1 AS x, y1 AS y FROM lvl_edges UNION ALL SELECT level, x2, y2 FROM lvl_edges) v
+  GROUP BY level, x, y)
+, fv AS (
+  SELECT level, code, name, x, y, COUNT(*) AS degf, bool_or(h) AS has_h, bool_or(NOT h) AS has_v
+  FROM (SELECT level, code, name, ax AS x, ay AS y, ay = "by" AS h FROM bedges
+        UNION ALL SELECT level, code, name, bx, "by", ay = "by" FROM bedges) w
+  GROUP BY level, code, name, x, y)
+SELECT f.level, f.code, f.name,
+       CAST(SUM(CASE WHEN d.deg <> 2 OR (f.has_h AND f.has_v) THEN f.degf // 2 ELSE 0 END) AS BIGINT) AS vertices
+FROM fv f JOIN lvl_deg d ON f.level = d.level AND f.x = d.x AND f.y = d.y
+GROUP BY f.level, f.code, f.name"""
     q["simplified_area"] = with_(*base, MEMBERS) + """
 SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM members GROUP BY level, code, name"""
     q["dissolved_outline"] = "SELECT code, name, area_m2, vertices FROM (" + q["dissolved_layers"] + \

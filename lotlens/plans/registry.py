@@ -107,6 +107,12 @@ def simplified_area(spark, sf_dir):
     return rings.groupBy("level", "code", "name").agg((F.sum(ring_area2(F.col("ring"))) / 2).alias("area_m2"))
 
 
+def simplified_vertices(spark, sf_dir):
+    """Vertices kept per published feature (ring closing points not counted)."""
+    rings = _published(spark, sf_dir).select("level", "code", "name", F.explode(F.flatten("geometry")).alias("ring"))
+    return rings.groupBy("level", "code", "name").agg(F.sum(F.size("ring") - 1).alias("vertices"))
+
+
 def simplified_layers(spark, sf_dir):
     return _published(spark, sf_dir).select("level", "code", "name",
                                             F.size(F.flatten(F.flatten("geometry"))).alias("points"),
@@ -298,6 +304,7 @@ def build() -> dict[str, Query]:
     q["dissolved_outline"] = dissolved_outline
     q["lambert93_to_wgs84"] = lambert93_to_wgs84
     q["simplified_area"] = simplified_area
+    q["simplified_vertices"] = simplified_vertices
     q["simplified_layers"] = simplified_layers
     q["enriched_features"] = enriched_features
     q["geojson_features"] = geojson_features
