@@ -437,7 +437,7 @@ LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
     bedges = "bedges AS (" + boundary_sql(
         '(SELECT m.level, m.code, m.name, e.ax, e.ay, e.bx, e."by" FROM members m JOIN cell_edges e ON m.insee = e.insee)',
         "level, code, name") + ")"
-    q["simplified_vertices"] = with_(*base, CELL_EDGES, MEMBERS, bedges) + """
+    kept_ctes = """
 , lvl_edges AS (
   SELECT DISTINCT level, least(ax, bx) AS x1, CASE WHEN ax < bx OR (ax = bx AND ay <= "by") THEN ay ELSE "by" END AS y1,
          greatest(ax, bx) AS x2, CASE WHEN ax < bx OR (ax = bx AND ay <= "by") THEN "by" ELSE ay END AS y2
@@ -451,10 +451,28 @@ LEFT JOIN all_stats s ON f.level = s.level AND f.code = s.code"""
   FROM (SELECT level, code, name, ax AS x, ay AS y, ay = "by" AS h FROM bedges
         UNION ALL SELECT level, code, name, bx, "by", ay = "by" FROM bedges) w
   GROUP BY level, code, name, x, y)
-SELECT f.level, f.code, f.name,
-       CAST(SUM(CASE WHEN d.deg <> 2 OR (f.has_h AND f.has_v) THEN f.degf // 2 ELSE 0 END) AS BIGINT) AS vertices
-FROM fv f JOIN lvl_deg d ON f.level = d.level AND f.x = d.x AND f.y = d.y
-GROUP BY f.level, f.code, f.name"""
+, kept AS (
+  SELECT f.level, f.code, f.name, f.x, f.y, f.degf
+  FROM fv f JOIN lvl_deg d ON f.level = d.level AND f.x = d.x AND f.y = d.y
+  WHERE d.deg <> 2 OR (f.has_h AND f.has_v))
+"""
+    q["simplified_vertices"] = with_(*base, CELL_EDGES, MEMBERS, bedges) + kept_ctes + """
+SELECT level, code, name, CAST(SUM(degf // 2) AS BIGINT) AS vertices FROM kept GROUP BY level, code, name"""
+    from lotlens.params import TILE_ZOOM_LAYERS
+    from lotlens.operators.tiles import LEVEL_TO_TILE_LAYER
+    layer_zoom = ", ".join(f"('{lvl}', '{lay}', {lo}, {hi})" for lvl, lay in LEVEL_TO_TILE_LAYER.items()
+                           for name, lo, hi in TILE_ZOOM_LAYERS if name == lay)
+    q["layer_tiles"] = with_(*base, CELL_EDGES, MEMBERS, bedges) + kept_ctes + f"""
+, proj AS (SELECT level, code, round_even(lon, 5) AS lon, round_even(lat, 5) AS lat
+           FROM ({lonlat_sql('x', 'y', src='kept')}) p)
+, bb AS (SELECT level, code, min(lon) AS minlon, max(lon) AS maxlon, min(lat) AS minlat, max(lat) AS maxlat
+         FROM proj GROUP BY level, code)
+SELECT layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, code FROM (
+  SELECT layer, code, z, unnest(generate_series({_tile_x('minlon', 'z')}, {_tile_x('maxlon', 'z')})) AS x, ymin, ymax
+  FROM (SELECT layer, code, minlon, maxlon, z, {_tile_y('maxlat', 'z')} AS ymin, {_tile_y('minlat', 'z')} AS ymax
+        FROM (SELECT lz.layer, b.code, b.minlon, b.maxlon, b.minlat, b.maxlat, unnest(generate_series(lz.lo, lz.hi)) AS z
+              FROM bb b JOIN (VALUES {layer_zoom}) lz(level, layer, lo, hi) ON b.level = lz.level) t1) t2) t3,
+LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) t4"""
     q["simplified_area"] = with_(*base, MEMBERS) + """
 SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM members GROUP BY level, code, name"""
     q["dissolved_outline"] = "SELECT code, name, area_m2, vertices FROM (" + q["dissolved_layers"] + \
