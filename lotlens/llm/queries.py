@@ -10,24 +10,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlens.llm.common import table
+from pyspark.sql import functions as F
+
+from lotlens.llm.common import UPPER, table
+from lotlens.llm.decontaminate import contamination, is_contaminated
 from lotlens.llm.exact_dedup import exact_dedup
+from lotlens.llm.simhash import simhash_dedup
 from lotlens.llm.token_count import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents")).drop("component_fp")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        is_contaminated().alias("contaminated"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op5_exact_dedup)}
-
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_decontaminate, op5_exact_dedup)}
+
+
+WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), "
+         r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS} AS w FROM benchmark),
+b_at AS (SELECT item, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, array_to_string(list_slice(w, s + 1, s + 13), ' ') AS win,
+               least(len(w), 13) AS n FROM b_at),
+d_at AS (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS s
+         FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+occ AS (SELECT rid, s, d_at.n, item
+        FROM d_at JOIN win ON array_to_string(list_slice(w, s + 1, s + d_at.n), ' ') = win.win AND win.n = d_at.n),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM occ) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+        FROM occ GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
 
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -40,4 +77,4 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
