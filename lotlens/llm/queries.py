@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lotlens.llm.common import UPPER, table
 from lotlens.llm.decontaminate import contamination, is_contaminated
 from lotlens.llm.exact_dedup import exact_dedup
+from lotlens.llm.mixing import mix
 from lotlens.llm.simhash import simhash_dedup
 from lotlens.llm.token_count import token_counts
 from lotlens.llm.url_filter import rules_frame, url_filter
@@ -46,12 +47,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages")).drop("error")
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_url_filter, op4_decontaminate, op5_exact_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_url_filter, op4_decontaminate, op5_exact_dedup, op6_mix_sources,
+                                   op9_warc)}
 
 
 OP3_SQL = f"""
@@ -72,6 +78,48 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+# Water-filling level by level, then whole epochs and a prefix in seeded order.
+MIX_SQL = """
+WITH d AS (
+  SELECT *, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+         'd' || translate(substr(md5(coalesce(source, '')), 1, 1), '0123456789abcdef', '0123012301230123') AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {docs}),
+leaf AS (SELECT domain, l, s, sum(n_tokens)::HUGEINT AS tokens FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(tokens * 4)::HUGEINT AS cap, (SELECT sum(tokens)::HUGEINT // 2 FROM leaf) AS given,
+              CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY domain),
+f1 AS (SELECT *, cap * sum(w) OVER (ORDER BY cap::DOUBLE / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= w * (given - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, domain
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS sat FROM n1),
+b1 AS (SELECT domain, CASE WHEN sat THEN cap ELSE (w * (given - coalesce(sum(cap) FILTER (WHERE sat) OVER (), 0)))::HUGEINT
+              // (sum(w) FILTER (WHERE NOT sat) OVER ())::HUGEINT END AS given FROM f1),
+n2 AS (SELECT domain, l, sum(tokens * 4)::HUGEINT AS cap,
+              CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS w
+       FROM leaf GROUP BY domain, l),
+f2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / w, l
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= w * (given - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / w, l
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS sat FROM n2 JOIN b1 USING (domain)),
+b2 AS (SELECT domain, l, CASE WHEN sat THEN cap
+              ELSE (w * (given - coalesce(sum(cap) FILTER (WHERE sat) OVER (PARTITION BY domain), 0)))::HUGEINT
+              // (sum(w) FILTER (WHERE NOT sat) OVER (PARTITION BY domain))::HUGEINT END AS given FROM f2),
+f3 AS (SELECT domain, l, s, tokens, tokens * 4 AS cap, 1 AS w, given,
+              tokens * 4 * count(*) OVER (PARTITION BY domain, l ORDER BY (tokens * 4)::DOUBLE, s
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= given - coalesce(sum(tokens * 4) OVER (PARTITION BY domain, l ORDER BY (tokens * 4)::DOUBLE, s
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sat FROM leaf JOIN b2 USING (domain, l)),
+b3 AS (SELECT domain, l, s, tokens, (CASE WHEN sat THEN cap
+              ELSE (given - coalesce(sum(cap) FILTER (WHERE sat) OVER (PARTITION BY domain, l), 0))::HUGEINT
+              // (sum(w) FILTER (WHERE NOT sat) OVER (PARTITION BY domain, l))::HUGEINT END)::HUGEINT AS budget FROM f3),
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN (budget // tokens)::BIGINT ELSE 0 END AS whole FROM b3),
+placed AS (SELECT d.*, whole, (budget - whole * tokens)::BIGINT AS rest,
+                  md5('17:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS place
+           FROM d JOIN plan USING (domain, l, s)),
+took AS (SELECT *, whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY place
+                 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS n FROM placed)
+SELECT {cols}, domain, n_tokens, unnest(range(1, n + 1)) AS epoch FROM took WHERE n > 0
+"""
+OP6_SQL = MIX_SQL.format(docs="documents", cols="doc_id, lang, source")
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS n, sha256(body) AS digest,
@@ -116,4 +164,5 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL,
+            "op6_mix_sources": OP6_SQL}
