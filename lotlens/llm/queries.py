@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lotlens.llm.common import UPPER, table
 from lotlens.llm.decontaminate import contamination, is_contaminated
 from lotlens.llm.exact_dedup import exact_dedup
+from lotlens.llm.language_id import language_id
 from lotlens.llm.mixing import mix
 from lotlens.llm.simhash import simhash_dedup
 from lotlens.llm.token_count import token_counts
@@ -51,13 +52,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages")).drop("error")
 
 
 def build() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_url_filter, op4_decontaminate, op5_exact_dedup, op6_mix_sources,
-                                   op9_warc)}
+                                   op7_language_id, op9_warc)}
 
 
 OP3_SQL = f"""
