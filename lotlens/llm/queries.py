@@ -16,6 +16,7 @@ from lotlens.llm.common import UPPER, table
 from lotlens.llm.decontaminate import contamination, is_contaminated
 from lotlens.llm.exact_dedup import exact_dedup
 from lotlens.llm.language_id import language_id
+from lotlens.llm.line_dedup import line_dedup
 from lotlens.llm.mixing import mix
 from lotlens.llm.simhash import simhash_dedup
 from lotlens.llm.token_count import token_counts
@@ -56,13 +57,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages")).drop("error")
 
 
 def build() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_url_filter, op4_decontaminate, op5_exact_dedup, op6_mix_sources,
-                                   op7_language_id, op9_warc)}
+                                   op7_language_id, op8_line_dedup, op9_warc)}
 
 
 OP3_SQL = f"""
