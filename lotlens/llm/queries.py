@@ -18,6 +18,7 @@ from lotlens.llm.exact_dedup import exact_dedup
 from lotlens.llm.language_id import language_id
 from lotlens.llm.line_dedup import line_dedup
 from lotlens.llm.mixing import mix
+from lotlens.llm.pii import KINDS, count_of, find_pii, span_text
 from lotlens.llm.simhash import simhash_dedup
 from lotlens.llm.token_count import token_counts
 from lotlens.llm.url_filter import rules_frame, url_filter
@@ -66,9 +67,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages")).drop("error")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the base spans; ``spans`` has all."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+                        span_text(F.concat("base", "added")).alias("spans"),
+                        F.size("added").cast("long").alias("n_added"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands beside the package and imports this subpackage
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def build() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_url_filter, op4_decontaminate, op5_exact_dedup, op6_mix_sources,
-                                   op7_language_id, op8_line_dedup, op9_warc)}
+                                   op7_language_id, op8_line_dedup, op9_warc, op10_pii, pipeline)}
 
 
 OP3_SQL = f"""
