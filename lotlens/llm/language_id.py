@@ -51,12 +51,12 @@ def gram_counts(text: str, chunk: int = 1 << 20) -> np.ndarray:
     total = np.zeros(N_FEATURES, np.int64)
     text = text.lower()
     for at in range(0, len(text), chunk):
-        before = 2 if at else 0  # grams that begin in the chunk before
+        before = min(at, 2)  # grams that begin in the chunk before
         x = np.frombuffer(text[at - before:at + chunk].encode("utf-32-le", "surrogatepass"), np.uint32)
         one = x * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ x[1:]) * np.uint32(0x85EBCA6B)
         three = (two[:-1] ^ x[2:]) * np.uint32(0xC2B2AE35)
-        for grams, own in ((one, before), (two, before - 1 if before else 0), (three, 0)):
+        for grams, own in ((one, before), (two, max(before - 1, 0)), (three, 0)):
             total += np.bincount(grams[own:] >> np.uint32(32 - BITS), minlength=N_FEATURES)
     return total
 
