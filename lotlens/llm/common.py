@@ -22,11 +22,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return os.path.join(checkpoint_dir(spark), "llm", f"{tag}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int = 250_000) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, so a
-    lost executor re-reads files instead of recomputing what led to them."""
+    lost executor re-reads files instead of recomputing what led to them.
+
+    Where a bound on its ``rows`` is known, the last stage has as many tasks as
+    they need, so that small tables don't become hundreds of small files.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

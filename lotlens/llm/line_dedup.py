@@ -234,15 +234,17 @@ def _texts(texts: DataFrame, pairs: DataFrame, min_chars: int, bits: int) -> Dat
     return found.groupBy("line_id").agg(F.min("short").alias("short"), F.min("line").alias("line"))
 
 
-def line_links(texts: DataFrame, threshold: int = 2, min_chars: int = 24, bits: int = 23) -> DataFrame:
+def line_links(texts: DataFrame, threshold: int = 2, min_chars: int = 24, bits: int = 23,
+               n_lines: int | None = None) -> DataFrame:
     """(u, v) ids of different lines of ``texts`` (one column) with an edit
-    distance of at most ``threshold`` signs; every such pair once."""
+    distance of at most ``threshold`` signs; every such pair once. ``n_lines``:
+    a bound on their number, if known, to size the tasks that write."""
     if min_chars <= threshold:
         raise ValueError("a line must have more signs than the threshold")
     rows = texts.mapInArrow(_signatures(threshold, min_chars), "key long, id long, mark long")
     pairs = written(rows.repartition("key").sortWithinPartitions("key")
-                    .mapInArrow(_candidates(threshold), "a long, b long").distinct(), "line-pairs")
-    lines = written(_texts(texts, pairs, min_chars, bits), "line-texts")
+                    .mapInArrow(_candidates(threshold), "a long, b long").distinct(), "line-pairs", rows=n_lines)
+    lines = written(_texts(texts, pairs, min_chars, bits), "line-texts", rows=n_lines)
     left = lines.select(F.col("short").alias("a"), F.col("line_id").alias("u"), F.col("line").alias("_x"))
     right = lines.select(F.col("short").alias("b"), F.col("line_id").alias("v"), F.col("line").alias("_y"))
 
@@ -284,11 +286,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thre
         F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"),
                  F.col("z.number").alias("number")).alias("place"), F.col("z.line").alias("line"))
 
-    stars = written(components(written(line_links(body, threshold, min_chars), "line-links")), "line-stars")
+    n = rows.agg(F.coalesce(F.sum(F.size("l.line")), F.lit(0))).first()[0]
+    found = line_links(body, threshold, min_chars, n_lines=n)
+    stars = components(written(found, "line-links", rows=n))
     member = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     firsts = each.groupBy("line").agg(F.min("place").alias("own"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.join(member, firsts["line"] == member["node"], "left").where("n > 1 or root is not null")
-    firsts = written(firsts.select("line", "own", "root"), "line-firsts")
+    firsts = written(firsts.select("line", "own", "root"), "line-firsts", rows=n)
     of_class = firsts.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("own").alias("first"))
     firsts = firsts.join(of_class, F.col("root") == F.col("_root"), "left").select(
         F.col("line").alias("_line"), F.coalesce("first", "own").alias("first"))

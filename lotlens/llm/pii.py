@@ -167,8 +167,9 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame, block_patterns: int) -
     The pairs are broadcast a block of bounded size at a time; the texts are
     read once for every block.
     """
-    pairs = written(patterns.select(F.substring("pattern", 3, 1 << 20).alias("pair")).distinct(), "pii-pairs")
-    n_blocks = max(1, -(-pairs.count() // block_patterns))
+    bound = patterns.count()
+    pairs = written(patterns.select(F.substring("pattern", 3, 1 << 20).alias("pair")).distinct(), "pii-pairs", rows=bound)
+    n_blocks = max(1, -(-bound // block_patterns))
     out = None
     for b in range(n_blocks):
         block = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(n_blocks)) == b)
@@ -187,7 +188,7 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame, block_patterns: int) -
                                               pa.array(list(counts.values()), pa.int64())], names=["pair", "total"])
         part = texts.mapInArrow(run, "pair string, total long").groupBy("pair").agg(F.sum("total").alias("total"))
         out = part if out is None else out.unionByName(part)
-    return written(out, "pii-pattern-counts")
+    return written(out, "pii-pattern-counts", rows=bound)
 
 
 def score(edges: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
@@ -197,13 +198,14 @@ def score(edges: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
     0 in the others; candidates start at 0 and take 1 - prod(1 - confidence) of
     their patterns. A pattern's sums are aggregated before they are joined.
     """
+    size = edges.count()
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for at in range(p.rounds):
         sums = scored.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"))
         matched = edges.groupBy("pattern").agg(F.sum("n").alias("matched"))
         conf = (sums.join(matched, "pattern").withColumn("pair", F.substring("pattern", 3, 1 << 20)).join(totals, "pair")
                 .select("pattern", "kind", (F.col("hit") / F.greatest("total", "matched")).alias("confidence")))
-        conf = written(conf.where("confidence > 0"), "pii-confidence")
+        conf = written(conf.where("confidence > 0"), "pii-confidence", rows=size)
         if at + 1 < p.rounds:
             miss = F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))
             chance = (edges.where("not seed").join(conf, ["pattern", "kind"]).groupBy("value", "kind")
@@ -227,11 +229,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Par
     seen = F.arrow_udf(_seen, _SEEN)("_text")
     rows = written(rows.select("_id", "_row", seen.alias("s")).select("_id", "_row", "s.base", "s.found"), "pii-rows")
     each = rows.select("_row", F.explode("found").alias("f")).select("_row", "f.*")
+    size = rows.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0] * 4  # edges at most
     near = each.select("value", "seed", F.explode("kinds").alias("kind"), "near").withColumn("pattern", F.explode("near"))
     edges = near.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     enough = (edges.groupBy("pattern").agg(F.count_distinct("value").alias("support"))
               .where(F.col("support") >= p.min_support).select("pattern"))
-    edges = written(edges.join(enough, "pattern", "left_semi"), "pii-edges")
+    edges = written(edges.join(enough, "pattern", "left_semi"), "pii-edges", rows=size)
     patterns = edges.select("pattern").distinct()
     totals = pattern_counts(docs.select(F.col(text)), patterns, p.block_patterns)
     sure = score(edges, totals, p).where(F.col("confidence") >= p.confidence)
