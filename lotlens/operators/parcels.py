@@ -41,7 +41,7 @@ def commune_sales(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
     band = (F.col("price_m2") > params.min_price_m2) & (F.col("price_m2") < params.max_price_m2)
     keys = ["dept_code", "commune_code", "commune_name"]
     q = grouped_quantiles(t.where(band).select(*keys, "price_m2"), keys, "price_m2", [0.5], "exact",
-                          params.approx_accuracy, params.exact_group_limit)
+                          params.approx_accuracy)
     return q.select(insee_code(F.col("dept_code"), F.col("commune_code")).alias("insee_com"),
                     "commune_name", F.col("_n").alias("n_sales"), F.col("_q")[0].alias("median_price_m2"))
 

@@ -2,166 +2,107 @@
 
 The built-in ``percentile`` keeps, per group, a map of every distinct value
 and merges the maps of a group in one task: a group holding a third of the
-data would land in one task.  Here a group is ranked across many tasks:
+data would land in one task.  Here every group, of whatever size, is ranked
+across tasks:
 
 1. value histogram per (group, value) — partial aggregation merges repeats;
-2. range partitioning on (group, value): a big group spans many partitions,
-   each holding a contiguous slice of its sorted values;
-3. per (partition, group) totals (tiny) give each slice its starting rank;
-   a running count inside the sorted slice (Arrow batches, no shuffle) gives
-   every value its rank interval;
-4. only the rows holding the target ranks floor/ceil((n-1)q) survive, and
-   the quantile is interpolated as ``(ceil - pos) * lo + (pos - floor) * hi``
+2. every value falls into a bucket by a fixed monotone function (a bucket is
+   1/4096 of a unit of log(1 + |value|)); the buckets' counts per group, of
+   which there are few, give each bucket its first rank;
+3. the target ranks floor/ceil((n-1)q) name the few buckets that hold them;
+   only those buckets' values are ranked one by one;
+4. the quantile is interpolated as ``(ceil - pos) * lo + (pos - floor) * hi``
    (the same arithmetic as the built-in ``percentile``).
 
-Cost: two shuffles (histogram aggregate, range partitioning) plus a sampling
-pass for the range bounds; the rest is narrow or joins tiny tables.  Memory
-per task is bounded by the partition size, never by a group.
-The range-partitioned histogram is checkpointed (shared folder) because its
-partition ids are read by two branches and must not be re-sampled.
-
-``grouped_quantiles`` uses this path only for groups larger than a limit
-(their keys are few: at most rows / limit) and the built-in one-task
-``percentile`` for every other group.
+Everything is a DataFrame aggregate, window or join; the histogram's shuffle
+is shared by its two readers.  Group keys are matched null-safely, and a group
+without any value keeps its row (no quantiles, count 0).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from lotlens.session import checkpoint_dir
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
-def _with_running_count(df: DataFrame, keys: list[str], count_col: str = "_c") -> DataFrame:
-    """Adds ``_cum``: running sum of ``count_col`` per key, in row order, within
-    each partition (rows must be sorted by key inside the partition)."""
-    schema = T.StructType(df.schema.fields + [T.StructField("_cum", T.LongType(), False)])
-
-    def fn(batches):
-        last_key, carry = None, 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            pdf = rb.to_pandas()
-            k = pdf[keys]
-            prev = k.shift(1)
-            same = ((k == prev) | (k.isna() & prev.isna())).all(axis=1).to_numpy()
-            first_key = tuple(k.iloc[0])
-            same[0] = last_key is not None and _same_key(first_key, last_key)
-            grp = np.cumsum(~same)
-            cum = pdf[count_col].groupby(grp, sort=False).cumsum().to_numpy(dtype=np.int64)
-            if same[0]:
-                cum[grp == grp[0]] += carry
-            carry, last_key = int(cum[-1]), tuple(k.iloc[-1])
-            cols = list(rb.columns) + [pa.array(cum, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(list(rb.schema) + [pa.field("_cum", pa.int64(), False)]))
-
-    return df.mapInArrow(fn, schema)
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """keys + ``_q`` (array of quantiles, order of ``qs``) + ``_n`` (group size)."""
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    checkpoint_dir(spark)
-    ranged = (hist.repartitionByRange(parts, *keys, value)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-
-    # starting rank of each (partition, group) slice, and the group size
-    slices = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_pc"))
+
+#: Buckets per unit of log(1 + |value|).
+BUCKETS_PER_UNIT = 4096
+
+
+def _bucket(v: Column) -> Column:
+    """Monotone in the value; NaN, which sorts last, has a bucket of its own."""
+    b = F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_UNIT).cast("long")
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(b)
+
+
+def _same_keys(a: DataFrame, b: DataFrame, keys: list[str], *more: Column) -> list[Column]:
+    return [a[k].eqNullSafe(b[f"_r_{k}"]) for k in keys] + list(more)
+
+
+def _marked(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys renamed, for the right side of a null-safe join."""
+    return df.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """keys + ``_q`` (array of quantiles, order of ``qs``) + ``_n`` (number of
+    values); groups without a value have no row."""
+    v = F.col(value).cast("double")
+    hist = (df.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v"))))
+
+    # first rank of every bucket, and the group size
     by_key = Window.partitionBy(*keys)
-    slices = slices.select(
-        "_pid", *keys,
-        (F.sum("_pc").over(by_key.orderBy("_pid")) - F.col("_pc")).alias("_off"),
-        F.sum("_pc").over(by_key).alias("_n"))
-
-    # rank interval of each distinct value: a running count inside each
-    # range partition (already holding contiguous (key, value) slices), computed
-    # on sorted Arrow batches -- no further shuffle of the histogram
-    left = _with_running_count(ranged.sortWithinPartitions(*keys, value), keys).alias("l")
-    right = slices.alias("r")
-    # null-safe on the keys: a NULL group key is a group like any other
-    cond = [F.col("l._pid") == F.col("r._pid")] + [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
-    ranked = (left.join(right, cond)
-              .select(*[F.col(f"l.`{k}`").alias(k) for k in keys], F.col(f"l.`{value}`").alias(value), "r._n",
-                      (F.col("r._off") + F.col("l._cum") - F.col("l._c")).alias("_first"),
-                      (F.col("r._off") + F.col("l._cum") - 1).alias("_last")))
-
-    # target ranks: for quantile i, lo = floor(pos), hi = ceil(pos)
+    sums = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    sums = sums.select(*keys, "_b", "_bc",
+                       (F.sum("_bc").over(by_key.orderBy("_b")) - F.col("_bc")).alias("_off"),
+                       F.sum("_bc").over(by_key).alias("_n"))
+
+    # the buckets that hold a target rank
     targets = []
     for i, q in enumerate(qs):
         pos = (F.col("_n") - 1) * F.lit(float(q))
         targets.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(pos).alias("r")))
         targets.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).alias("r")))
-    hits = (ranked
-            .select(*keys, value, "_n",
-                    F.explode(F.filter(F.array(*targets),
-                                       lambda t: (t["r"] >= F.col("_first")) & (t["r"] <= F.col("_last")))).alias("_t"))
-            .select(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.side").alias("_side"), value))
-    pair = (hits.groupBy(*keys, "_n", "_i")
-            .agg(F.max(F.when(F.col("_side") == 0, F.col(value))).alias("_lo"),
-                 F.max(F.when(F.col("_side") == 1, F.col(value))).alias("_hi")))
-    qvals = F.array(*[F.lit(float(q)) for q in qs])
-    pos = (F.col("_n") - 1) * F.element_at(qvals, F.col("_i") + 1)
-    lower, upper = F.floor(pos), F.ceil(pos)
-    interp = F.when(lower == upper, F.col("_lo")).otherwise(
-        (upper - pos) * F.col("_lo") + (pos - lower) * F.col("_hi"))
-    per_q = pair.select(*keys, "_n", "_i", interp.alias("_v"))
-    out = (per_q.groupBy(*keys, "_n")
-           .agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s")))
-    return out.select(*keys, F.transform("_s", lambda s: s["_v"]).alias("_q"), "_n")
+    inside = F.filter(F.array(*targets),
+                      lambda t: (t["r"] >= F.col("_off")) & (t["r"] < F.col("_off") + F.col("_bc")))
+    wanted = _marked(sums.select(*keys, "_b", "_off", "_n", inside.alias("_t")).where(F.size("_t") > 0), keys + ["_b"])
+
+    # ranks of the values in those buckets
+    rows = hist.join(wanted, _same_keys(hist, wanted, keys + ["_b"]))
+    upto = F.col("_off") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    hits = (rows.select(*keys, "_n", "_v", "_c", "_t", upto.alias("_upto"))
+            .select(*keys, "_n", "_v", F.explode(F.filter("_t", lambda t: (t["r"] < F.col("_upto"))
+                                                          & (t["r"] >= F.col("_upto") - F.col("_c")))).alias("_h")))
+    quantiles = []
+    found = []
+    for i, q in enumerate(qs):
+        for side in (0, 1):
+            found.append(F.max(F.when((F.col("_h.i") == i) & (F.col("_h.side") == side), F.col("_v"))).alias(f"_{i}_{side}"))
+        pos = (F.col("_n") - 1) * F.lit(float(q))
+        lower, upper = F.floor(pos), F.ceil(pos)
+        lo, hi = F.col(f"_{i}_0"), F.col(f"_{i}_1")
+        quantiles.append(F.when(lower == upper, lo).otherwise((upper - pos) * lo + (pos - lower) * hi))
+    return hits.groupBy(*keys, "_n").agg(*found).select(*keys, F.array(*quantiles).alias("_q"), "_n")
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], mode: str = "exact",
-                      accuracy: int = 10000, group_limit: int = 2_000_000,
-                      extra_aggs: list[Column] | None = None) -> DataFrame:
+                      accuracy: int = 10000, extra_aggs: list[Column] | None = None) -> DataFrame:
     """keys + ``_q`` (quantiles in the order of ``qs``) + ``_n`` + extra aggregates.
 
     approx: ``percentile_approx`` — bounded sketch per group, partial/final.
-    exact:  built-in ``percentile`` for groups up to ``group_limit`` rows, the
-            distributed ranking above for larger groups.
+    exact:  the ranking above, for groups of every size.  Groups whose values
+            are all null have a null ``_q`` and ``_n`` = 0; without keys there
+            is always one row.
     """
     extra_aggs = extra_aggs or []
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
     if mode == "approx":
         return df.groupBy(*keys).agg(F.percentile_approx(value, [float(q) for q in qs], accuracy).alias("_q"),
                                      F.count(value).alias("_n"), *extra_aggs)
-    builtin = [F.percentile(value, qarr).alias("_q"), F.count(value).alias("_n"), *extra_aggs]
-    if not keys:
-        # one global group: decide on its size
-        n = df.where(F.col(value).isNotNull()).count()
-        if n <= group_limit:
-            return df.agg(*builtin)
-        g = df.withColumn("_g", F.lit(0))
-        q = exact_quantiles(g, ["_g"], value, qs)
-        if extra_aggs:
-            q = q.join(g.groupBy("_g").agg(*extra_aggs), "_g")
-        return q.drop("_g")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    big = sizes.where(F.col("_size") > group_limit).select(*keys)
-    big_keys = big.collect()  # bounded: at most rows / group_limit keys
-    if not big_keys:
-        return df.groupBy(*keys).agg(*builtin)
-    big_df = F.broadcast(df.sparkSession.createDataFrame(big_keys, big.schema)).alias("b")
-    src = df.alias("d")
-    # null-safe key match, so a big NULL-key group also takes the distributed path
-    cond = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
-    small_part = src.join(big_df, cond, "left_anti").groupBy(*keys).agg(*builtin)
-    big_rows = src.join(big_df, cond, "left_semi")
-    dist = exact_quantiles(big_rows, keys, value, qs)
-    if extra_aggs:
-        dist = dist.join(big_rows.groupBy(*keys).agg(*extra_aggs), keys)
-    return small_part.unionByName(dist)
+    by = keys or ["_g"]
+    src = df if keys else df.withColumn("_g", F.lit(0))
+    # an aggregate without keys has one row even on empty input
+    groups = df.groupBy(*keys).agg(F.count(value).alias("_n"), *extra_aggs)
+    groups = groups if keys else groups.withColumn("_g", F.lit(0))
+    q = _marked(exact_quantiles(src, by, value, qs).drop("_n"), by)
+    extra = [c for c in groups.columns if c not in (*by, "_n")]
+    return groups.join(q, _same_keys(groups, q, by), "left").select(*keys, "_q", "_n", *extra)

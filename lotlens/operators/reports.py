@@ -16,7 +16,7 @@ def _exact(df: DataFrame, keys: list[str], qs: list[float], params: StatsParams,
     """keys + _q + _n: quantiles of price_m2 in the mode of ``params`` (exact by
     default, big groups ranked across tasks; or the approximate sketch)."""
     return grouped_quantiles(df, keys, "price_m2", qs, params.quantile_mode, params.approx_accuracy,
-                             params.exact_group_limit, extra_aggs)
+                             extra_aggs)
 
 
 def price_band(params: StatsParams = DEFAULT):

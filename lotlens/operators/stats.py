@@ -31,7 +31,7 @@ def base_filter(params: StatsParams = DEFAULT) -> Column:
 def _quantiles(df: DataFrame, keys: list[str], params: StatsParams, extra_aggs=None) -> DataFrame:
     """keys + _q (q25, q50, q75) + _n, skew-safe in exact mode."""
     return grouped_quantiles(df, keys, "price_m2", list(QUANTILES), params.quantile_mode,
-                             params.approx_accuracy, params.exact_group_limit, extra_aggs)
+                             params.approx_accuracy, extra_aggs)
 
 
 def _finish(agg: DataFrame, key_name: str, extra: list[str]) -> DataFrame:

@@ -25,9 +25,6 @@ class StatsParams:
     # KLL sketches merged upward from one scan).
     quantile_mode: str = "exact"
     approx_accuracy: int = 10000
-    # exact mode: groups above this many rows are ranked across tasks instead
-    # of in one task's value map
-    exact_group_limit: int = 2_000_000
 
 
 DEFAULT = StatsParams()
