@@ -182,15 +182,18 @@ def all_layers(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None,
     overlaps): the test grid's cells, or a commune boundary file whose PLM
     parents are whole polygons.  All coarser layers are dissolved in ONE pass
     over its edges (grouped by level and code), which gives the same polygons
-    as dissolving level by level.  The commune layer is the cells minus the
-    PLM parents, plus ``arrondissements`` (code, name, geometry) when given.
+    as dissolving level by level.  The commune layer is the cells; where
+    ``arrondissements`` (code, name, geometry) are given they replace the PLM
+    parents that they make up, other parents stay whole.
     """
     cells = commune_cells(spark, sf_dir) if cells is None else cells
     dissolved = dissolve(layer_members(cells), ["level", "code", "name"])
-    plm = dims.plm_parents(spark)
-    communes = (cells.join(plm, cells.insee == plm.parent_code, "left_anti")
-                .select(F.lit("commune").alias("level"), F.col("insee").alias("code"), "name", "geometry"))
+    communes = cells.select(F.lit("commune").alias("level"), F.col("insee").alias("code"), "name", "geometry")
     if arrondissements is not None:
+        # at most three parents, from the fixed table of 45 arrondissements
+        replaced = (dims.arrondissement_parent(spark).join(arrondissements.select(F.col("code").alias("arr_code")), "arr_code")
+                    .select(F.col("parent_code").alias("code")).distinct())
+        communes = communes.join(F.broadcast(replaced), "code", "left_anti").select("level", "code", "name", "geometry")
         communes = communes.unionByName(
             arrondissements.select(F.lit("commune").alias("level"), "code", "name", "geometry"))
     return dissolved.unionByName(communes)

@@ -2,8 +2,9 @@
 
 One job for all departments: commune sales are aggregated before the join
 (one row per commune and name), parcels are filtered and projected at the
-scan, and the per-department cap is a two-phase salted ``row_number`` so a
-hot department never sorts in one task.
+scan.  Every sold parcel is kept; a top-k per department, where one is asked
+for, is a two-phase salted ``row_number`` so a hot department never sorts in
+one task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from lotlens.functions.expressions import insee_code
 from lotlens.functions.geo import to_wgs84
 from lotlens.operators.geometry import simplify
 from lotlens.operators.quantiles import grouped_quantiles
-from lotlens.params import DEFAULT, PARCEL_CAP_PER_DEPT, PARCEL_SIMPLIFY_TOLERANCE, StatsParams
+from lotlens.params import DEFAULT, PARCEL_SIMPLIFY_TOLERANCE, StatsParams
 
 
 def cap_per_group(df: DataFrame, group: str, order: list[str], cap: int, salt_buckets: int = 64) -> DataFrame:
@@ -46,22 +47,24 @@ def commune_sales(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
                     "commune_name", F.col("_n").alias("n_sales"), F.col("_q")[0].alias("median_price_m2"))
 
 
-def sold_parcels(parcels: DataFrame, t: DataFrame, cap: int = PARCEL_CAP_PER_DEPT,
+def sold_parcels(parcels: DataFrame, t: DataFrame, cap: int | None = None,
                  params: StatsParams = DEFAULT) -> DataFrame:
-    """Parcels of communes with sales, capped per department (by parcel id)."""
+    """All parcels of communes with sales; with ``cap`` the first ones of each
+    department by parcel id (a top-k report)."""
     p = (parcels.where((F.col("type_objet") == "parcelle") & F.col("geometry").isNotNull())
          .select("id", "commune", "departement", "geometry"))
     sales = commune_sales(t, params)
     joined = p.join(sales, p.commune == sales.insee_com, "inner")
-    capped = cap_per_group(joined, "departement", ["id", "commune_name"], cap)
-    return capped.select(
+    if cap is not None:
+        joined = cap_per_group(joined, "departement", ["id", "commune_name"], cap)
+    return joined.select(
         F.col("id").alias("parcel_id"),
         F.col("departement").alias("dept_code"),
         F.bround(F.nullif(F.col("median_price_m2"), F.lit(0.0)), 0).alias("price_m2"),
         "n_sales", "commune_name", "geometry")
 
 
-def parcel_layer(parcels: DataFrame, t: DataFrame, cap: int = PARCEL_CAP_PER_DEPT,
+def parcel_layer(parcels: DataFrame, t: DataFrame, cap: int | None = None,
                  params: StatsParams = DEFAULT) -> DataFrame:
     """Sold parcels, simplified at 0.5 m in metres, then lon/lat."""
     s = simplify(sold_parcels(parcels, t, cap, params), PARCEL_SIMPLIFY_TOLERANCE)

@@ -67,9 +67,16 @@ def geojson_lines(features: DataFrame, props: list[str]) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Newline-delimited GeoJSON text files (optionally one folder per key)."""
+    """Newline-delimited GeoJSON text files (optionally one folder per key).
+
+    Rows are brought together by the key first, so that a key's folder holds few
+    files; the rebalance splits a key that is too large for one task.
+    """
     cols = ([partition_by] if partition_by else []) + ["feature"]
-    w = features.select(*cols).write.mode("overwrite")
+    features = features.select(*cols)
+    if partition_by:
+        features = features.hint("rebalance", F.col(partition_by))
+    w = features.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.text(path)

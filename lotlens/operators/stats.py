@@ -219,8 +219,11 @@ def level_members(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:
         F.struct(F.lit("commune").alias("level"), insee_code(F.col("dept_code"), F.col("commune_code")).alias("code"),
                  F.col("commune_name").alias("name")),
         F.struct(F.lit("postcode").alias("level"), F.col("postal_code").alias("code"), no_name.alias("name")))
-    return (base.select(F.explode(members).alias("m"), "price_m2")
-            .select("m.level", "m.code", "m.name", "price_m2"))
+    each = base.select(F.explode(members).alias("m"), "price_m2").select("m.level", "m.code", "m.name", "price_m2")
+    # a member without a price keeps the country's row where there are no sales
+    country = spark.range(1).select(F.lit("country").alias("level"), F.lit("FR").alias("code"), no_name.alias("name"),
+                                    F.lit(None).cast("double").alias("price_m2"))
+    return each.unionByName(country)
 
 
 def direct_level_stats(t: DataFrame, params: StatsParams = DEFAULT) -> DataFrame:

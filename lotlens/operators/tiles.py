@@ -1,8 +1,7 @@
 """Tile assignment: feature bbox -> slippy-map tiles for each zoom of its layer.
 
 (layer, z, x, y, code) rows come from ``explode(sequence(..))`` over the tile
-ranges of the bbox; the per-tile cap keeps the features with most sales when
-a tile would hold more than the cap (the densest are dropped first).
+ranges of the bbox; within a tile features are ranked by their sales.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.functions.geo import bbox, tile_x, tile_y
-from lotlens.params import PARCEL_TILE_ZOOMS, TILE_FEATURE_CAP, TILE_ZOOM_LAYERS
+from lotlens.params import PARCEL_TILE_ZOOMS, TILE_ZOOM_LAYERS
 
 
 def _zoom_lookup(layer, which: int):
@@ -53,14 +52,13 @@ def assign_parcel_tiles(parcels: DataFrame) -> DataFrame:
     return ys.select(F.lit("parcels").alias("layer"), "z", "x", "y", "code")
 
 
-def cap_per_tile(tiles: DataFrame, weights: DataFrame, cap: int = TILE_FEATURE_CAP) -> DataFrame:
-    """Keep at most ``cap`` features per (layer, z, x, y) below the layer's
-    top zoom, preferring more sales then smaller code; the top zoom keeps all."""
-    t = tiles.join(weights, "code", "left").withColumn("maxzoom", _zoom_lookup(F.col("layer"), 2))
+def rank_in_tile(tiles: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rank`` of every feature in its (layer, z, x, y): more sales first, then
+    the smaller code; nothing is dropped. ``weights``: layer, code, n_sales (a
+    region and a department may share a code)."""
+    t = tiles.join(weights, ["layer", "code"], "left")
     w = Window.partitionBy("layer", "z", "x", "y").orderBy(F.desc_nulls_last("n_sales"), F.asc("code"))
-    ranked = t.withColumn("rank", F.row_number().over(w))
-    return (ranked.where((F.col("z") == F.col("maxzoom")) | (F.col("rank") <= cap))
-            .select("layer", "z", "x", "y", "code", "rank"))
+    return t.withColumn("rank", F.row_number().over(w)).select("layer", "z", "x", "y", "code", "rank")
 
 
 # Published level -> tile layer name (cantons have no tile layer).
@@ -75,13 +73,18 @@ def assign_all_layers(published: DataFrame) -> DataFrame:
     return assign_tiles(f.select("layer", "code", "geometry")).where(F.col("layer") != "parcels")
 
 
-def layer_for_zoom(zoom, which: str = "app"):
+def layer_for_zoom(zoom):
     """Map layer visible at ``zoom`` (minzoom <= zoom < maxzoom), as an
     expression over the fixed zoom table — a range lookup without a join."""
     from lotlens.params import APP_ZOOM_LAYERS
-    rows = APP_ZOOM_LAYERS if which == "app" else TILE_ZOOM_LAYERS
     expr = None
-    for name, lo, hi in rows:
+    for name, lo, hi in APP_ZOOM_LAYERS:
         cond = (zoom >= lo) & (zoom < hi)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr
+
+
+def tile_layers_at(zoom):
+    """Tile layers that hold ``zoom``, both ends inclusive, so two at a border."""
+    names = F.array(*(F.when((zoom >= lo) & (zoom <= hi), F.lit(name)) for name, lo, hi in TILE_ZOOM_LAYERS))
+    return F.array_compact(names)

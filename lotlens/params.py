@@ -30,16 +30,8 @@ class StatsParams:
 DEFAULT = StatsParams()
 
 # Minimum samples of the individual reports.
-MIN_SALES_API_DEPT = 10
-MIN_SALES_API_CITY = 50
-MIN_SALES_TOP_DEPTS = 10
-MIN_SALES_TOP_COMMUNES = 50
 MIN_SALES_TOP_EXPENSIVE = 100
 TOP_EXPENSIVE_LIMIT = 10
-API_CITY_LIMIT = 20
-TOP_DEPTS_LIMIT = 15
-TOP_COMMUNES_LIMIT = 20
-PARCEL_CAP_PER_DEPT = 20000
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the published pipeline exactly)
@@ -112,17 +104,13 @@ TILE_ZOOM_LAYERS = (
     ("communes", 12, 15),
 )
 PARCEL_TILE_ZOOMS = (16, 20)
-# Most features one tile may hold before the densest are dropped.
-TILE_FEATURE_CAP = 200000
 # Communes of a department are preloaded from this zoom on.
 COMMUNE_PRELOAD_ZOOM = 10
 
 # Lambert-93 (EPSG:2154) on GRS80, public EPSG definition.
-GRS80_A = 6378137.0
 GRS80_INV_F = 298.257222101
 LAMBERT93_LON0_DEG = 3.0
 LAMBERT93_X0 = 700000.0
-LAMBERT93_Y0 = 6600000.0
 LAMBERT93_N = 0.7256077650532695
 LAMBERT93_C = 11754255.426096
 LAMBERT93_YS = 12655612.049876

@@ -229,6 +229,7 @@ SELECT insee_code, commune_name, median_price_m2, n_sales FROM (
   GROUP BY dept_code, commune_code, commune_name
   HAVING COUNT(*) >= 50) t
 ORDER BY median_price_m2 DESC, insee_code ASC, commune_name ASC LIMIT 20"""
+    q["top_communes_min10"] = q["top_communes"].replace("HAVING COUNT(*) >= 50", "HAVING COUNT(*) >= 10")
     q["raw_lot_department_stats"] = with_(PLACES, LOTS, raw_lot_prices_cte()) + """
 SELECT code_departement AS dept, round_even(NULLIF(quantile_cont(price_m2, 0.5), 0), 2) AS price_m2,
        COUNT(*) AS volume
@@ -513,18 +514,18 @@ SELECT parcel_id, dept_code, price_m2, n_sales, commune_name FROM (
     FROM clean WHERE price_m2 > 100 AND price_m2 < 50000
     GROUP BY dept_code, commune_code, commune_name) s ON p.commune = s.insee_com
   WHERE p.type_objet = 'parcelle' AND NOT p.geom_null) x
-WHERE rn <= {{cap}}"""
-    q["parcel_prices"] = with_(*BASE, PARCELS) + parcel_q.format(cap=20000)
-    q["parcel_prices_cap10"] = with_(*BASE, PARCELS) + parcel_q.format(cap=10)
+{{top}}"""
+    q["parcel_prices"] = with_(*BASE, PARCELS) + parcel_q.format(top="")
+    q["parcel_prices_cap10"] = with_(*BASE, PARCELS) + parcel_q.format(top="WHERE rn <= 10")
     # a 50 m parcel square keeps its 4 corners (+ closing point) at 0.5 m tolerance
     q["parcel_layer"] = with_(*BASE, PARCELS) + "SELECT *, CAST(5 AS INTEGER) AS points FROM (" + \
-        parcel_q.format(cap=20000) + ") p"
+        parcel_q.format(top="") + ") p"
     q["tile_assignment"] = with_(*base, CORNERS, PROJECTED, TILES) + "SELECT * FROM tiles"
     q["tile_top_features"] = with_(*tuple(dict.fromkeys(ROLLUP_BASE + base)), CORNERS, PROJECTED, TILES) + """
 SELECT layer, z, x, y, code, rank FROM (
   SELECT t.*, CAST(row_number() OVER (PARTITION BY layer, z, x, y ORDER BY s.n_sales DESC NULLS LAST, t.code ASC) AS INTEGER) AS rank
   FROM tiles t LEFT JOIN communes_wp s ON t.code = s.code) r
-WHERE z = 15 OR rank <= 200000"""
+"""
     parcel_corners = f"""pcorners AS (
   SELECT id AS code, x0 + o.fx * 50 AS px, y0 + o.fy * 50 AS py FROM (
     SELECT {dept_sql('c_nationkey')} || lpad(CAST({commune_sql('(c_custkey % 20)', 'c_nationkey')} AS VARCHAR), 3, '0')
@@ -534,7 +535,7 @@ WHERE z = 15 OR rank <= 200000"""
              + (floor(floor(c_custkey / 20) / 90) % 90) * 100 AS y0,
            unnest([{{'fx': 0.0, 'fy': 0.0}}, {{'fx': 1.0, 'fy': 0.0}}, {{'fx': 1.0, 'fy': 1.0}}, {{'fx': 0.0, 'fy': 1.0}}]) AS o
     FROM customer) c
-  WHERE id IN (SELECT parcel_id FROM ({parcel_q.format(cap=20000)}) kept))"""
+  WHERE id IN (SELECT parcel_id FROM ({parcel_q.format(top="")}) kept))"""
     q["parcel_tiles"] = with_(*BASE, PARCELS, parcel_corners) + f"""
 SELECT 'parcels' AS layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, code FROM (
   SELECT code, z, unnest(generate_series({_tile_x('minlon', 'z')}, {_tile_x('maxlon', 'z')})) AS x, ymin, ymax
@@ -556,6 +557,11 @@ FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON
 SELECT v.event_id, v.zoom, z.layer FROM viewports v
 JOIN (VALUES {zooms}) z(layer, minzoom, maxzoom) ON v.zoom >= z.minzoom AND v.zoom < z.maxzoom"""
     q["csv_lots"] = with_(PLACES, LOTS) + "SELECT * FROM lots"
+    q["csv_mixed_headers"] = q["csv_lots"]
+    q["csv_rejects"] = with_(PLACES, LOTS) + """
+SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
+FROM (SELECT code_departement, CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3 AS bad
+      FROM lots WHERE surface_reelle_bati IS NOT NULL) GROUP BY ALL"""
     q["stats_cache_roundtrip"] = with_(*all_stats) + \
         "SELECT level, code, median_price_m2, q25, q75, n_sales FROM all_stats"
 

@@ -46,23 +46,26 @@ def run_etl(spark: SparkSession, lots_glob: str, out: str, params: StatsParams =
     """Ingest the sale files (L) and collapse them into transactions (T)."""
     report = {}
     if not exists(spark, _p(out, "lots")):
-        valid, rejects = csv_lots.ingest(spark, lots_glob, _p(out, "lots_parsed"))
-        report["lots"] = write_observed(valid, _p(out, "lots"), sort_within="code_departement")
-        report["rejected"] = rejects.count()
+        valid, rejects = csv_lots.ingest(spark, lots_glob, _p(out, "lots"))
+        report |= {"lots": valid.count(), "rejected": rejects.count()}  # from the files' row counts
     if not exists(spark, _p(out, "transactions")):
-        lots = spark.read.parquet(_p(out, "lots"))
-        report["transactions"] = write_observed(clean.clean_transactions(lots, params), _p(out, "transactions"),
-                                                sort_within="dept_code")
+        report["transactions"] = write_observed(clean.clean_transactions(read_lots(spark, out), params),
+                                                _p(out, "transactions"), sort_within="dept_code")
     return report
 
 
+def read_lots(spark: SparkSession, out: str) -> DataFrame:
+    """The valid lots (L)."""
+    return csv_lots.stored(spark, _p(out, "lots"), True).drop(csv_lots.CORRUPT)
+
+
 def run_precompute(spark: SparkSession, out: str, cells: DataFrame, commune_canton: DataFrame,
-                   params: StatsParams = DEFAULT) -> dict:
+                   params: StatsParams = DEFAULT, arrondissements: DataFrame | None = None) -> dict:
     """Layers, statistics of every level, stats cache, top-10 report."""
     report = {}
     t = spark.read.parquet(_p(out, "transactions"))
     if not exists(spark, _p(out, "layers")):
-        report["layers"] = write_observed(layers.publishable(layers.all_layers(spark, "", cells)),
+        report["layers"] = write_observed(layers.publishable(layers.all_layers(spark, "", cells, arrondissements)),
                                           _p(out, "layers"), partition_by="level")
     if not exists(spark, _p(out, "stats")):
         s = stats.all_level_stats(t, commune_canton, params)
@@ -87,24 +90,34 @@ def run_split(spark: SparkSession, out: str) -> dict:
         s = spark.read.parquet(_p(out, "stats")).where(F.col("level") == "commune")
         e = publish.commune_dept(publish.enrich(lay, s))
         lines = publish.geojson_lines(e, ["code", "name", "price_m2", "n_sales", "q25", "q75"])
-        publish.write_features(lines, _p(out, "communes"), partition_by="dept")
-        idx = publish.dept_index(e.select("dept"))
-        idx.select(F.to_json(F.struct("departments", "counts")).alias("json")).coalesce(1) \
-           .write.mode("overwrite").text(_p(out, "communes_index"))
-        report["communes"] = e.count()
+        report["communes"] = write_counted(lines, _p(out, "communes"), "dept")
+        # the index counts the features that were written
+        written = spark.read.schema(feature_folder("dept")).text(_p(out, "communes"))
+        publish.dept_index(written.select("dept")).select(F.to_json(F.struct("departments", "counts")).alias("json")) \
+            .coalesce(1).write.mode("overwrite").text(_p(out, "communes_index"))
     return report
 
 
-def run_parcels(spark: SparkSession, out: str, cadastre: DataFrame, cap: int) -> dict:
+def feature_folder(key: str) -> T.StructType:
+    """Schema of a folder of feature lines with one sub-folder per ``key`` (text)."""
+    return T.StructType([T.StructField("value", T.StringType()), T.StructField(key, T.StringType())])
+
+
+def write_counted(lines: DataFrame, path: str, key: str) -> int:
+    """Writes feature lines into one folder per key; the rows written, counted on the way."""
+    obs = Observation(f"features_{abs(hash(path))}")
+    publish.write_features(lines.observe(obs, F.count(F.lit(1)).alias("rows")).select(key, "feature"), path, partition_by=key)
+    return int(obs.get["rows"])
+
+
+def run_parcels(spark: SparkSession, out: str, cadastre: DataFrame, cap: int | None = None) -> dict:
     """Deferred step: sold parcels with their commune median, per department."""
     t = spark.read.parquet(_p(out, "transactions"))
     layer = parcels.parcel_layer(cadastre, t, cap)
     lines = publish.geojson_lines(layer.withColumnRenamed("commune_name", "name"), ["price_m2", "n_sales", "name"])
-    obs = Observation("parcels")
-    counted = lines.observe(obs, F.count(F.lit(1)).alias("rows"))
-    publish.write_features(counted.select("dept_code", "feature"), _p(out, "parcels"), partition_by="dept_code")
-    per_dept = lines.groupBy("dept_code").count()
-    return {"parcels": int(obs.get["rows"]), "departments": per_dept.count()}
+    n = write_counted(lines, _p(out, "parcels"), "dept_code")
+    written = spark.read.schema(feature_folder("dept_code")).text(_p(out, "parcels"))
+    return {"parcels": n, "departments": written.select("dept_code").distinct().count()}
 
 
 def run_tiles(spark: SparkSession, out: str) -> DataFrame:
@@ -140,7 +153,7 @@ def cached_department_stats(spark: SparkSession, out: str, ttl_seconds: int = 36
         at = cached.agg(F.max("computed_at")).first()[0]
         if at is not None and (dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - at).total_seconds() < ttl_seconds:
             return cached
-    lots = spark.read.parquet(_p(out, "lots"))
+    lots = read_lots(spark, out)
     fresh = raw_lot_department_stats(lots).withColumn(
         "computed_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
     fresh.write.mode("overwrite").parquet(path)
@@ -161,11 +174,19 @@ def communes_from_file(spark: SparkSession, path: str) -> DataFrame:
                     geometry_from_json(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometry"))
 
 
+def arrondissements_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """Arrondissement boundary file (INSEE_ARM, NOM) -> (code, name, geometry)."""
+    from lotlens.sources.geojson import load_layer
+    return load_layer(spark, path, "INSEE_ARM", "NOM", "commune").drop("level")
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description="property-sale price pipeline")
     ap.add_argument("--step", choices=["all", "etl", "precompute", "split"], default="all")
     ap.add_argument("--lots", help="glob of the pipe-delimited sale files")
     ap.add_argument("--communes", help="commune boundary GeoJSON (EPSG:2154) for precompute")
+    ap.add_argument("--arrondissements", help="arrondissement boundary GeoJSON (EPSG:2154): they replace Paris, Lyon and "
+                                              "Marseille in the commune layer; without it the three communes stay whole")
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--quantiles", choices=["exact", "approx", "sketch"], default="exact",
                     help="quantile mode of the statistics")
@@ -178,7 +199,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.step in ("all", "precompute"):
         communes = communes_from_file(spark, args.communes)
         print(run_precompute(spark, args.out, communes, layers.commune_canton_map(
-            communes.select(F.col("insee").alias("code"), "dept", "canton")), params))
+            communes.select(F.col("insee").alias("code"), "dept", "canton")), params,
+            arrondissements_from_file(spark, args.arrondissements) if args.arrondissements else None))
     if args.step in ("all", "split"):
         print(run_split(spark, args.out))
 
@@ -207,8 +229,7 @@ def features_to_load(spark: SparkSession, communes_path: str, to_load: DataFrame
     the partition column lets Spark prune the folders (dynamic partition
     pruning) instead of reading every department.
     """
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("dept", T.StringType())])
-    feats = spark.read.schema(schema).text(communes_path).withColumnRenamed("value", "feature")
+    feats = spark.read.schema(feature_folder("dept")).text(communes_path).withColumnRenamed("value", "feature")
     return to_load.join(feats, "dept").select("user_id", "event_id", "dept", "feature")
 
 

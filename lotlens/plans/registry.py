@@ -234,8 +234,9 @@ def layer_tiles(spark, sf_dir):
 
 
 def tile_top_features(spark, sf_dir):
-    weights = _all_stats_table(spark, sf_dir).where(F.col("level") == "commune").select("code", "n_sales")
-    return tiles.cap_per_tile(tile_assignment(spark, sf_dir), weights)
+    weights = _all_stats_table(spark, sf_dir).where(F.col("level") == "commune").select(
+        F.lit("communes").alias("layer"), "code", "n_sales")
+    return tiles.rank_in_tile(tile_assignment(spark, sf_dir), weights)
 
 
 def price_colors(spark, sf_dir):
@@ -261,6 +262,33 @@ def csv_lots_query(spark, sf_dir):
     return materialize(build, spark, "csv_lots", sf_dir)
 
 
+def csv_mixed_headers(spark, sf_dir):
+    """Files with two column orders in one folder, each read by its own header."""
+    src = table_path(spark, key_for("csv_mixed", CODE_VERSION, sf_dir))
+
+    def build():
+        lots, even = _lots(spark, sf_dir), F.coalesce(F.col("no_disposition") % 2 == 0, F.lit(True))
+        csv_lots.write_french_csv(lots.where(even), src + "/straight")
+        csv_lots.write_french_csv(lots.where(~even), src + "/backwards", backwards=True)
+        valid, _ = csv_lots.ingest(spark, src + "/*/*.csv", src + "-parsed")
+        return valid.drop("file_path")
+    return materialize(build, spark, "csv_mixed_headers", sf_dir)
+
+
+def csv_rejects(spark, sf_dir):
+    """Valid and malformed rows per department, after damaging the dates of some."""
+    src = table_path(spark, key_for("csv_damaged", CODE_VERSION, sf_dir))
+
+    def build():
+        lots = _lots(spark, sf_dir).where(F.col("surface_reelle_bati").isNotNull())
+        csv_lots.write_french_csv(lots, src, damaged=F.round("surface_reelle_bati").cast("long") % 7 == 3)
+        valid, rejects = csv_lots.ingest(spark, src + "/*.csv", src + "-parsed")
+        both = (valid.select("code_departement", F.lit(1).alias("v"), F.lit(0).alias("r"))
+                .unionByName(rejects.select("code_departement", F.lit(0).alias("v"), F.lit(1).alias("r"))))
+        return both.groupBy("code_departement").agg(F.sum("v").alias("valid"), F.sum("r").alias("rejected"))
+    return materialize(build, spark, "csv_rejects", sf_dir)
+
+
 def stats_cache_roundtrip(spark, sf_dir):
     doc = publish.stats_json(_all_stats_table(spark, sf_dir))
     return geojson.stats_from_json(doc)
@@ -293,6 +321,7 @@ def build() -> dict[str, Query]:
     q["price_distribution"] = lambda s, d: reports.price_distribution(_t(s, d))
     q["top_departments"] = lambda s, d: reports.top_departments(_t(s, d))
     q["top_communes"] = lambda s, d: reports.top_communes(_t(s, d))
+    q["top_communes_min10"] = lambda s, d: reports.top_communes(_t(s, d), min_n=10)
     q["raw_lot_department_stats"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d))
     q["raw_lot_department_stats_approx"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d), params=APPROX)
     q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(_lots(s, d))
@@ -319,9 +348,11 @@ def build() -> dict[str, Query]:
     q["enriched_postcodes"] = enriched_postcodes
     q["commune_layer"] = layer_codes("commune")
     q["canton_layer"] = layer_codes("canton")
-    q["parcel_prices"] = parcel_prices(20000)
+    q["parcel_prices"] = parcel_prices(None)
     q["parcel_prices_cap10"] = parcel_prices(10)
     q["parcel_layer"] = parcel_layer
+    q["csv_mixed_headers"] = csv_mixed_headers
+    q["csv_rejects"] = csv_rejects
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
     q["parcel_tiles"] = parcel_tiles

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
-# Conservative defaults for local runs; on a cluster the submitter's
-# configuration wins because ``getOrCreate`` returns the existing session.
+# Defaults for settings that nobody else has set: what the submitter gave with
+# ``spark-submit --conf`` (or the defaults file it read) stays.
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -28,13 +30,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in _LOCAL_CONF.items():
-        builder = builder.config(k, v)
-    if master and master.startswith("local") and "spark.driver.memory" not in (extra or {}):
+    defaults = dict(_LOCAL_CONF)
+    if master and master.startswith("local"):
         # local mode: the driver JVM is also the executor; 1 GB default is too small
-        builder = builder.config("spark.driver.memory", "8g")
+        defaults["spark.driver.memory"] = "8g"
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in unset_only(defaults, submitted_conf()).items():
+        builder = builder.config(k, v)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -43,6 +46,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def submitted_conf() -> SparkConf | None:
+    """What ``spark-submit`` was given; None in a plain Python process, where no
+    JVM runs yet and there is nothing to respect."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return None
+    SparkContext._ensure_initialized()
+    return SparkConf()
+
+
+def unset_only(defaults: dict[str, str], conf: SparkConf | None) -> dict[str, str]:
+    """The defaults whose key ``conf`` does not set."""
+    return {k: v for k, v in defaults.items() if conf is None or not conf.contains(k)}
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 
@@ -74,13 +91,20 @@ def ship_package(spark: SparkSession) -> None:
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def require_local(master: str) -> None:
+    """Raises unless every task of ``master`` runs in this process."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} it must name a folder that the driver and "
+                           "all executors share")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and materialised tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there).  Only when it is unset — local tests — a scratch
-    folder is created once per application (the setting itself cannot be
-    changed on a running session).
+    shared folder there).  Only on a local master, where all threads share the
+    machine's folders, an unset one is replaced by a scratch folder, once per
+    application; on any other master an unset folder is an error.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -88,6 +112,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
+    require_local(sc.master)
     app = sc.applicationId
     with _SHIP_LOCK:
         if app not in _LOCAL_DIRS:

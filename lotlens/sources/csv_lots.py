@@ -1,6 +1,7 @@
 """Pipe-delimited French sale files (one row per lot) -> lot table L.
 
-* explicit schema (no inference pass; department and postcode stay text),
+* explicit schema by each file's own header line (no inference pass;
+  department and postcode stay text),
 * ``|`` separator, header, ``dd/MM/yyyy`` dates, decimal commas through the
   ``fr-FR`` locale on decimal fields,
 * PERMISSIVE parsing with a corrupt-record column, written once to parquet
@@ -11,7 +12,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,49 +43,95 @@ def file_schema(with_corrupt: bool = True) -> T.StructType:
     return T.StructType(fields)
 
 
-def header_schema(spark: SparkSession, path: str, sep: str = "|") -> T.StructType:
-    """Schema from the files' header line: the used columns get their types,
-    every other column (the published files carry ~40) is read as text.
-
-    Only the first line is read (``limit(1)``), so column order and extra
-    columns of the real files are handled without an inference pass.
-    """
-    first = spark.read.text(path).limit(1).collect()
-    names = first[0][0].split(sep) if first else [h for h, _, _ in HEADER]
+def header_schema(header: str, sep: str = "|") -> T.StructType:
+    """Schema of the files with this header line: the used columns get their
+    types, every other column (the published files carry ~40) is read as text."""
     typed = {h: t for h, _, t in HEADER}
-    fields = [T.StructField(n, typed.get(n, T.StringType()), True) for n in names]
+    fields = [T.StructField(n, typed.get(n, T.StringType()), True) for n in header.split(sep)]
     fields.append(T.StructField(CORRUPT, T.StringType(), True))
     return T.StructType(fields)
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parse the files (glob allowed) permissively; canonical names + file_path."""
-    schema = schema or header_schema(spark, path)
+def file_headers(spark: SparkSession, path: str, sep: str = "|") -> dict[str | None, list[str]]:
+    """Header line -> files that have it; None -> files without one.
+
+    A header line names all used columns, in any order. The filter runs where
+    the text is read; the driver gets one row per file.
+    """
+    names = F.split("value", re.escape(sep))
+    is_header = F.lit(True)
+    for h, _, _ in HEADER:
+        is_header &= F.array_contains(names, h)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    per_file = lines.groupBy("file").agg(F.min(F.when(is_header, F.col("value"))).alias("header")).collect()
+    out: dict[str | None, list[str]] = {}
+    for r in per_file:
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
+def _read_csv(spark: SparkSession, paths: list[str] | str, schema: T.StructType) -> DataFrame:
     raw = (spark.read.schema(schema)
            .option("sep", "|").option("header", True)
            .option("locale", "fr-FR").option("dateFormat", "dd/MM/yyyy")
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .csv(path))
+           .csv(paths))
     return raw.select(*[F.col(f"`{h}`").alias(c) for h, c, _ in HEADER], F.col(CORRUPT),
                       F.col("_metadata.file_path").alias("file_path"))
 
 
-def ingest(spark: SparkSession, path: str, parquet_path: str,
-           schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """Materialise every parsed column once, then split (valid lots, rejects)."""
-    read_raw(spark, path, schema).write.mode("overwrite").parquet(parquet_path)
-    stored = spark.read.parquet(parquet_path)
-    valid = stored.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    rejects = stored.where(F.col(CORRUPT).isNotNull())
-    return valid, rejects
+def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Parse the files (glob allowed) permissively; canonical names + file_path.
+
+    Files are read with the columns of their own header line, whatever its
+    order; all lines of a file without a header line are malformed.
+    """
+    if schema is not None:
+        return _read_csv(spark, path, schema)
+    out = None
+    for header, files in sorted(file_headers(spark, path).items(), key=lambda x: (x[0] is None, x[0] or "")):
+        if header is None:
+            lines = spark.read.text(files)
+            part = lines.select(*[F.lit(None).cast(t).alias(c) for _, c, t in HEADER], F.col("value").alias(CORRUPT),
+                                F.col("_metadata.file_path").alias("file_path"))
+        else:
+            part = _read_csv(spark, files, header_schema(header))
+        out = part if out is None else out.unionByName(part)
+    if out is None:  # files without any line
+        return _read_csv(spark, path, file_schema())
+    return out
 
 
-def write_french_csv(lots: DataFrame, path: str) -> None:
-    """Write L in the published text format (used to build fixtures)."""
+def ingest(spark: SparkSession, path: str, parquet_path: str,
+           schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes every parsed row once, valid and malformed ones in folders of their
+    own, and returns (valid lots, rejects)."""
+    raw = read_raw(spark, path, schema).withColumn("valid", F.col(CORRUPT).isNull())
+    raw.write.mode("overwrite").partitionBy("valid").parquet(parquet_path)
+    return stored(spark, parquet_path, True).drop(CORRUPT), stored(spark, parquet_path, False)
+
+
+def stored(spark: SparkSession, parquet_path: str, valid: bool) -> DataFrame:
+    """The valid (malformed) rows of an ingested table; only their folder is read."""
+    fields = [T.StructField(c, t) for _, c, t in HEADER] + [T.StructField(CORRUPT, T.StringType()),
+                                                            T.StructField("file_path", T.StringType()),
+                                                            T.StructField("valid", T.BooleanType())]
+    rows = spark.read.schema(T.StructType(fields)).parquet(parquet_path)
+    return rows.where(F.col("valid") == valid).drop("valid")
+
+
+def write_french_csv(lots: DataFrame, path: str, damaged: Column | None = None, backwards: bool = False,
+                     mode: str = "overwrite") -> None:
+    """Write L in the published text format (used to build fixtures): rows where
+    ``damaged`` is true get an unreadable date; ``backwards`` turns the column
+    order round and adds a column that is not used."""
     def dec(c: str):
         return F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    day = F.date_format("date_mutation", "dd/MM/yyyy")
+    if damaged is not None:
+        day = F.when(damaged, F.concat(day, F.lit("x"))).otherwise(day)
     out = lots.select(
-        F.date_format("date_mutation", "dd/MM/yyyy").alias("Date mutation"),
+        day.alias("Date mutation"),
         F.col("no_disposition").cast("string").alias("No disposition"),
         F.col("nature_mutation").alias("Nature mutation"),
         dec("valeur_fonciere").alias("Valeur fonciere"),
@@ -92,4 +141,6 @@ def write_french_csv(lots: DataFrame, path: str) -> None:
         F.col("code_commune").cast("string").alias("Code commune"),
         F.col("type_local").alias("Type local"),
         dec("surface_reelle_bati").alias("Surface reelle bati"))
-    out.write.mode("overwrite").option("sep", "|").option("header", True).csv(path)
+    if backwards:
+        out = out.select(F.lit("AB").alias("Section"), *reversed(out.columns))
+    out.write.mode(mode).option("sep", "|").option("header", True).csv(path)

@@ -45,6 +45,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Digest of the names, sizes and times of the files below an input folder;
+    empty for a key that is no folder. A changed input gets a new table."""
+    if "/" not in folder:
+        return ""
+    p, fs = _jvm_path(spark, folder)
+    if not fs.exists(p):
+        return ""
+    h, it = hashlib.sha1(), fs.listFiles(p, True)
+    found = []
+    while it.hasNext():
+        f = it.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for line in sorted(found):
+        h.update(line.encode())
+    return h.hexdigest()[:12]
+
+
 def key_for(*parts: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", "-".join(parts)).strip("_")
 
@@ -56,7 +74,7 @@ def materialize(df_factory, spark: SparkSession, name: str, *key_parts: str,
     ``sort_within`` orders rows inside each output file so parquet min/max
     statistics prune on that column; no extra shuffle is added.
     """
-    path = table_path(spark, key_for(name, CODE_VERSION, *key_parts))
+    path = table_path(spark, key_for(name, CODE_VERSION, *key_parts, *(fingerprint(spark, p) for p in key_parts)))
     if not exists(spark, path):
         df = df_factory()
         if sort_within:
@@ -68,10 +86,21 @@ def materialize(df_factory, spark: SparkSession, name: str, *key_parts: str,
         if partition_by:
             w = w.partitionBy(partition_by)
         w.parquet(staging)
-        src, fs = _jvm_path(spark, staging)
-        dst, _ = _jvm_path(spark, path)
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-        if fs.exists(src):
-            fs.delete(src, True)
+        publish(spark, staging, path)
     return spark.read.parquet(path)
+
+
+def publish(spark: SparkSession, staging: str, path: str) -> None:
+    """Moves a finished table to its name. A target without its marker is what a
+    failed writer left and is replaced; a finished one (of a concurrent writer)
+    stays. Raises if afterwards no finished table is there."""
+    src, fs = _jvm_path(spark, staging)
+    dst, _ = _jvm_path(spark, path)
+    if not exists(spark, path):
+        if fs.exists(dst):
+            fs.delete(dst, True)
+        fs.rename(src, dst)
+    if not exists(spark, path):
+        raise OSError(f"{staging} could not be published as {path}")
+    if fs.exists(src):
+        fs.delete(src, True)

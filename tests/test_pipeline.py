@@ -117,7 +117,23 @@ def test_cli_from_commune_boundary_file(spark):
     lay = spark.read.parquet(os.path.join(out, "layers"))
     grid = {(r.level, r.code) for r in layers.all_layers(spark, SF001).select("level", "code").collect()}
     got = {(r.level, r.code) for r in lay.select("level", "code").collect()}
-    # same coarse layers; the commune layer holds the PLM parents instead of arrondissements
+    # same coarse layers; without an arrondissement file the PLM parents stay whole
     assert {x for x in grid if x[0] != "commune"} == {x for x in got if x[0] != "commune"}
+    arr_codes = {("commune", r.code) for r in arr.select("code").collect()}
+    parent_codes = {("commune", r.parent_code) for r in parents.select("parent_code").collect()}
+    assert len(parent_codes) == 3 and len(arr_codes) > 3
+    assert {x for x in got if x[0] == "commune"} == {x for x in grid if x[0] == "commune"} - arr_codes | parent_codes
+    # with the file its arrondissements replace exactly their parents
+    arr_doc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"INSEE_ARM": r.code, "NOM": r.name},
+         "geometry": {"type": "MultiPolygon", "coordinates": [[[[p.x, p.y] for p in ring] for ring in part] for part in r.geometry]}}
+        for r in arr.select("code", "name", "geometry").collect() if not r.code.startswith("13")]}
+    arr_path = os.path.join(d, "arr.geojson")
+    with open(arr_path, "w") as fh:
+        json.dump(arr_doc, fh)
+    again = layers.all_layers(spark, "", pipeline.communes_from_file(spark, path), pipeline.arrondissements_from_file(spark, arr_path))
+    communes = {("commune", r.code) for r in again.where("level = 'commune'").collect()}
+    want = {x for x in grid if x[0] == "commune"} - {x for x in arr_codes if x[1].startswith("13")} | {("commune", "13055")}
+    assert communes == want
     stats = spark.read.parquet(os.path.join(out, "stats"))
     assert stats.where("level = 'canton' AND code = '75_PARIS'").count() == 1

@@ -79,3 +79,74 @@ def test_csv_header_driven_schema_with_extra_columns(spark):
     assert str(got[1].valeur_fonciere) == "250000.50" and str(got[1].surface_reelle_bati) == "100.25"
     assert got[2].code_postal == "2A004" and got[2].code_departement == "2A" and got[2].surface_reelle_bati is None
     assert str(got[1].date_mutation) == "2024-01-02"
+
+
+def test_each_file_is_read_by_its_own_header(spark):
+    d = tempfile.mkdtemp(prefix="lotlens-csvm-")
+    names = [h for h, _, _ in csv_lots.HEADER]
+    row = dict(zip(names, ["02/01/2024", "1", "Vente", "250000,50", "69001", "LYON", "69", "1", "Maison", "100,25"]))
+    orders = {"a": names, "b": names[:4] + [names[5], names[4]] + names[6:], "c": ["Section", *reversed(names)]}
+    for f, order in orders.items():
+        with open(os.path.join(d, f + ".txt"), "w") as fh:
+            fh.write("|".join(order) + "\n" + "|".join(row.get(n, "AB") for n in order) + "\n")
+    with open(os.path.join(d, "d.txt"), "w") as fh:
+        fh.write("no header here\n" + "|".join(row.values()) + "\n")
+    valid, rejects = csv_lots.ingest(spark, os.path.join(d, "*.txt"), os.path.join(d, "p"))
+    got = valid.collect()
+    assert len(got) == 3 and {(r.code_postal, r.commune, str(r.valeur_fonciere)) for r in got} == {("69001", "LYON", "250000.50")}
+    assert {os.path.basename(r.file_path) for r in got} == {"a.txt", "b.txt", "c.txt"}
+    assert {(os.path.basename(r.file_path), r[csv_lots.CORRUPT]) for r in rejects.collect()} == {
+        ("d.txt", "no header here"), ("d.txt", "|".join(row.values()))}
+
+
+def test_table_key_follows_the_input_and_unmarked_targets_are_replaced(spark):
+    from lotlens.sources import tables
+    d = tempfile.mkdtemp(prefix="lotlens-tab-")
+    src = os.path.join(d, "in")
+
+    def build():
+        return spark.read.parquet(src)
+    spark.range(3).write.parquet(src)
+    assert tables.materialize(build, spark, "t", src).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(src)
+    assert tables.materialize(build, spark, "t", src).count() == 5
+    # a target without its marker (a failed writer's) is replaced, a finished one stays
+    staging, target = os.path.join(d, "staging"), os.path.join(d, "target")
+    os.makedirs(target)
+    spark.range(7).write.parquet(staging)
+    tables.publish(spark, staging, target)
+    assert spark.read.parquet(target).count() == 7 and not os.path.exists(staging)
+    spark.range(9).write.parquet(staging)
+    tables.publish(spark, staging, target)
+    assert spark.read.parquet(target).count() == 7
+
+
+def test_session_defaults_and_shared_folder():
+    import pytest
+    from pyspark import SparkConf
+    from lotlens import session
+    conf = SparkConf(loadDefaults=False).set("spark.sql.adaptive.enabled", "false")
+    assert session.unset_only({"spark.sql.adaptive.enabled": "true", "x": "1"}, conf) == {"x": "1"}
+    assert session.unset_only({"x": "1"}, None) == {"x": "1"}
+    for master in ("local", "local[4]", "local[*]"):
+        session.require_local(master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.require_local(master)
+
+
+def test_zooms_weights_and_empty_statistics(spark):
+    from lotlens.operators import stats, tiles
+    z = {r.z: r.l for r in spark.range(22).select(F.col("id").cast("int").alias("z")).select("z", tiles.tile_layers_at(F.col("z")).alias("l")).collect()}
+    assert z[5] == ["country", "regions"] and z[7] == ["regions", "departments"] and z[15] == ["communes"] and z[16] == []
+    assert z[10] == ["departments", "postcodes"] and z[12] == ["postcodes", "communes"]
+    # a region and a department share a code: each gets its own weight, no row is doubled
+    t = spark.createDataFrame([("regions", 5, 1, 1, "75"), ("departments", 7, 1, 1, "75"), ("departments", 7, 1, 1, "92")],
+                              "layer string, z int, x int, y int, code string")
+    w = spark.createDataFrame([("regions", "75", 9), ("departments", "75", 1), ("departments", "92", 2)],
+                              "layer string, code string, n_sales long")
+    got = {(r.layer, r.code): r["rank"] for r in tiles.rank_in_tile(t, w).collect()}
+    assert got == {("regions", "75"): 1, ("departments", "92"): 1, ("departments", "75"): 2}
+    empty = spark.createDataFrame([], "nature string, price_m2 double, dept_code string, commune_code int, commune_name string, postal_code string")
+    canton = spark.createDataFrame([], "insee string, canton_code string")
+    assert [tuple(r) for r in stats.all_level_stats(empty, canton).collect()] == [("country", "FR", None, None, None, None, 0)]
