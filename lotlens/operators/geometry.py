@@ -10,7 +10,9 @@ bounded by the geography, not by the number of sales.
 
 Simplification works on whole Arrow batches (``mapInArrow``): coordinates of
 all rings of the batch are flat numpy arrays; only the Douglas-Peucker split
-loop runs per ring.
+loop runs per ring.  Vertices go back where a chord would cross another kept
+segment: of the same feature in ``simplify``, of the same arc in
+``simplify_shared`` (where both sides of a border must decide alike).
 """
 
 from __future__ import annotations
@@ -200,32 +202,90 @@ def dissolve(df: DataFrame, group_keys: list[str], geom: str = "geometry") -> Da
 
 # --- Douglas-Peucker on Arrow batches ----------------------------------------
 
-def _dp_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
+def _split_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
+    """Douglas-Peucker of an open line with fixed ends: the vertices to keep."""
     n = len(xs)
     keep = np.zeros(n, dtype=bool)
-    if n <= 4 or not tol > 0:
-        keep[:] = True
-        return keep
     keep[0] = keep[-1] = True
     stack = [(0, n - 1)]
     while stack:
         s, e = stack.pop()
         if e <= s + 1:
             continue
-        px, py = xs[s + 1:e], ys[s + 1:e]
-        dx, dy = xs[e] - xs[s], ys[e] - ys[s]
-        seg2 = dx * dx + dy * dy
-        if seg2 == 0.0:
-            d = np.hypot(px - xs[s], py - ys[s])
-        else:
-            t = np.clip(((px - xs[s]) * dx + (py - ys[s]) * dy) / seg2, 0.0, 1.0)
-            d = np.hypot(px - (xs[s] + t * dx), py - (ys[s] + t * dy))
-        i = int(np.argmax(d))
-        if d[i] > tol:
-            k = s + 1 + i
-            keep[k] = True
-            stack.append((s, k))
-            stack.append((k, e))
+        i, d = _farthest(xs, ys, s, e)
+        if d > tol:
+            keep[i] = True
+            stack.append((s, i))
+            stack.append((i, e))
+    return keep
+
+
+def _farthest(xs: np.ndarray, ys: np.ndarray, s: int, e: int) -> tuple[int, float]:
+    """(vertex between s and e that is farthest from their chord, its distance)."""
+    px, py = xs[s + 1:e], ys[s + 1:e]
+    dx, dy = xs[e] - xs[s], ys[e] - ys[s]
+    seg2 = dx * dx + dy * dy
+    if seg2 == 0.0:
+        d = np.hypot(px - xs[s], py - ys[s])
+    else:
+        t = np.clip(((px - xs[s]) * dx + (py - ys[s]) * dy) / seg2, 0.0, 1.0)
+        d = np.hypot(px - (xs[s] + t * dx), py - (ys[s] + t * dy))
+    i = int(np.argmax(d))
+    return s + 1 + i, float(d[i])
+
+
+def _crossing(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which segments cross or touch another one with which they share no end.
+
+    Segments are compared along x only while their x ranges overlap.
+    """
+    order = np.argsort(np.minimum(ax, bx), kind="stable")
+    ax, ay, bx, by = ax[order], ay[order], bx[order], by[order]
+    low, high = np.minimum(ax, bx), np.maximum(ax, bx)
+    hit = np.zeros(len(ax), dtype=bool)
+    i, step = np.arange(len(ax)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(ax)]
+        i = i[low[i + step] <= high[i]]
+        j = i + step
+
+        def side(p, q, rx, ry):
+            return np.sign((bx[p] - ax[p]) * (ry[q] - ay[p]) - (by[p] - ay[p]) * (rx[q] - ax[p]))
+        apart = (np.maximum(ay[i], by[i]) < np.minimum(ay[j], by[j])) | (np.maximum(ay[j], by[j]) < np.minimum(ay[i], by[i]))
+        joined = ((ax[i] == ax[j]) & (ay[i] == ay[j])) | ((ax[i] == bx[j]) & (ay[i] == by[j])) \
+            | ((bx[i] == ax[j]) & (by[i] == ay[j])) | ((bx[i] == bx[j]) & (by[i] == by[j]))
+        cut = (side(i, j, ax, ay) * side(i, j, bx, by) <= 0) & (side(j, i, ax, ay) * side(j, i, bx, by) <= 0)
+        bad = cut & ~apart & ~joined
+        hit[i[bad]] = hit[j[bad]] = True
+    out = np.zeros(len(ax), dtype=bool)
+    out[order] = hit
+    return out
+
+
+def _uncross(lines: list[tuple[np.ndarray, np.ndarray]], keeps: list[np.ndarray]) -> None:
+    """Puts vertices back until no segment of the kept lines crosses another:
+    of each crossing chord the vertex that is farthest from it. ``keeps`` is
+    changed; lines that did not cross before do not cross afterwards."""
+    while True:
+        ends = [np.flatnonzero(k) for k in keeps]
+        ax, ay, bx, by = (np.concatenate([c[e[at]] for (xs, ys), e in zip(lines, ends) for c in [(xs, ys)[axis]]])
+                          for at, axis in ((slice(None, -1), 0), (slice(None, -1), 1), (slice(1, None), 0), (slice(1, None), 1)))
+        bad, changed, at = _crossing(ax, ay, bx, by), False, 0
+        for (xs, ys), keep, e in zip(lines, keeps, ends):
+            for q in np.flatnonzero(bad[at:at + len(e) - 1]):
+                if e[q + 1] > e[q] + 1:
+                    keep[_farthest(xs, ys, int(e[q]), int(e[q + 1]))[0]] = changed = True
+            at += len(e) - 1
+        if not changed:
+            return
+
+
+def _dp_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
+    n = len(xs)
+    if n <= 4 or not tol > 0:
+        return np.ones(n, dtype=bool)
+    keep = _split_keep(xs, ys, tol)
     if keep.sum() < 4:
         # never collapse a ring: keep start, the farthest vertex from it, and
         # the vertex farthest from that chord (a closed triangle)
@@ -261,11 +321,17 @@ def simplify_array(geom: pa.Array, tol: np.ndarray) -> pa.Array:
     starts = np.concatenate([[0], np.cumsum(pt_counts)[:-1]]) if len(pt_counts) else np.array([], int)
     keep = np.ones(len(xs), dtype=bool)
     new_counts = pt_counts.copy()
-    for r in range(len(pt_counts)):
-        s, c = int(starts[r]), int(pt_counts[r])
-        k = _dp_keep(xs[s:s + c], ys[s:s + c], float(tol[row_of_ring[r]]))
-        keep[s:s + c] = k
-        new_counts[r] = int(k.sum())
+    # the rings of a feature may not cross one another, nor may its parts
+    for row in np.unique(row_of_ring):
+        rings_of = np.flatnonzero(row_of_ring == row)
+        spans = [(int(starts[r]), int(starts[r] + pt_counts[r])) for r in rings_of]
+        lines = [(xs[s:e], ys[s:e]) for s, e in spans]
+        keeps = [_dp_keep(x, y, float(tol[row])) for x, y in lines]
+        if not all(k.all() for k in keeps):
+            _uncross(lines, keeps)
+        for r, (s, e), k in zip(rings_of, spans, keeps):
+            keep[s:e] = k
+            new_counts[r] = int(k.sum())
     point_type = geom.type.value_type.value_type.value_type
     new_pts = pa.StructArray.from_arrays([pa.array(xs[keep], pa.float64()), pa.array(ys[keep], pa.float64())],
                                          fields=list(point_type))
@@ -331,31 +397,15 @@ def _arc_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
         return np.ones(n, dtype=bool)
     rev = _canonical(xs, ys)
     cx, cy = (xs[::-1], ys[::-1]) if rev else (xs, ys)
-    keep = np.zeros(n, dtype=bool)
-    keep[0] = keep[-1] = True
-    stack = [(0, n - 1)]
-    while stack:
-        s, e = stack.pop()
-        if e <= s + 1:
-            continue
-        px, py = cx[s + 1:e], cy[s + 1:e]
-        dx, dy = cx[e] - cx[s], cy[e] - cy[s]
-        seg2 = dx * dx + dy * dy
-        if seg2 == 0.0:
-            d = np.hypot(px - cx[s], py - cy[s])
-        else:
-            t = np.clip(((px - cx[s]) * dx + (py - cy[s]) * dy) / seg2, 0.0, 1.0)
-            d = np.hypot(px - (cx[s] + t * dx), py - (cy[s] + t * dy))
-        i = int(np.argmax(d))
-        if d[i] > tol:
-            keep[s + 1 + i] = True
-            stack.append((s, s + 1 + i))
-            stack.append((s + 1 + i, e))
+    keep = _split_keep(cx, cy, tol)
     if keep.sum() == 2 and n > 2 and (cx[0], cy[0]) == (cx[-1], cy[-1]):
         # a closed arc keeps its farthest vertex so the ring never collapses
         d = np.hypot(cx - cx[0], cy - cy[0]) + np.hypot(cx - cx[-1], cy - cy[-1])
         d[[0, n - 1]] = -1
         keep[int(np.argmax(d))] = True
+    if not keep.all():
+        # within the arc, so that both features that share it decide alike
+        _uncross([(cx, cy)], [keep])
     return keep[::-1] if rev else keep
 
 

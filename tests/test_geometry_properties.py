@@ -6,6 +6,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from lotlens.operators import geometry
 from lotlens.operators.geometry import _dp_keep, stitch_rings
 
 
@@ -63,3 +66,52 @@ def test_dp_closed_subset_within_tolerance(radii, tol):
                 t = 0.0 if seg2 == 0 else max(0.0, min(1.0, ((xs[i] - xs[s]) * dx + (ys[i] - ys[s]) * dy) / seg2))
                 d = math.hypot(xs[i] - (xs[s] + t * dx), ys[i] - (ys[s] + t * dy))
                 assert d <= tol + 1e-9
+
+
+# ---- simplification keeps rings free of crossings
+
+def _ring(points):
+    return [[{"x": float(x), "y": float(y)} for x, y in points]]
+
+
+def _crosses(rings):
+    import numpy as np
+    segs = [(*p, *q) for ring in rings for p, q in zip(ring[:-1], ring[1:])]
+    return bool(geometry._crossing(*(np.array(c, float) for c in zip(*segs))).any())
+
+
+INLET = [(0, 0), (50, -8), (100, 0), (100, 100), (52, 100), (50, -4), (48, 100), (0, 100), (0, 0)]
+
+
+def test_a_chord_never_cuts_an_inlet(spark):
+    df = spark.createDataFrame([("a", [_ring(INLET)])], "code string, geometry array<array<array<struct<x:double,y:double>>>>")
+    for out in (geometry.simplify(df, 10.0), geometry.simplify_shared(df.selectExpr("'l' AS level", "*"), 10.0, ["level"])):
+        ring = [(p.x, p.y) for p in out.first().geometry[0][0]]
+        assert not _crosses([ring]) and (50.0, -8.0) in ring
+
+
+def _star(rng, n, cx, cy, low, high, turn=1):
+    import math
+    pts = []
+    for i in range(n):
+        a, r = turn * 2 * math.pi * i / n, rng.uniform(low, high)
+        pts.append((cx + r * math.cos(a), cy + r * math.sin(a)))
+    return pts + pts[:1]
+
+
+def test_simplified_rings_with_inlets_and_holes_do_not_cross(spark):
+    import random
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        shell = _star(rng, rng.randint(12, 60), 0, 0, 40, 100)
+        hole = _star(rng, rng.randint(8, 30), 0, 0, 20, 39, -1)  # close to the shell's deepest inlets
+        assert not _crosses([shell, hole])
+        rows.append((str(i), float(rng.choice([2, 10, 30])), [_ring(shell) + _ring(hole)]))
+    df = spark.createDataFrame(rows, "code string, tol double, geometry array<array<array<struct<x:double,y:double>>>>")
+    out = geometry.simplify(df, F.col("tol")).collect()
+    before = {r[0]: sum(map(len, r[2][0])) for r in rows}
+    assert all(not _crosses([[(p.x, p.y) for p in ring] for ring in r.geometry[0]]) for r in out)
+    assert sum(sum(len(ring) for ring in r.geometry[0]) < before[r.code] for r in out) > 40
+    shared = geometry.simplify_shared(df.selectExpr("code AS level", "*"), F.col("tol"), ["level"]).collect()
+    assert all(not _crosses([[(p.x, p.y) for p in ring]]) for r in shared for ring in r.geometry[0])
