@@ -38,15 +38,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long) but the roots; the
     root is the smallest node of the component.
 
-    Each round is written to the shared folder, which cuts the lineage; the
-    edges become a forest of stars after a number of rounds that grows with the
+    ``edges`` should be a written table. Each round is written to the shared
+    folder, which cuts the lineage; the edges become a forest of stars after a number of rounds that grows with the
     logarithm of the number of nodes.
     """
     edges = edges.where("u <> v")
-    state = None
+    state, n = None, edges.count()
     for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), "star-round")
+        edges = written(_small_star(_large_star(edges)), "star-round", rows=n)
         new = _state(edges)
+        n = new[0]
         if new == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = new

@@ -15,6 +15,7 @@ not depend on the data (65,536 for d = 2).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -216,9 +217,10 @@ def links(fps: DataFrame, fp: str = "fp", max_bits: int = 2) -> DataFrame:
 
 
 def simhash_components(rows: DataFrame, id_col: str, fp: str = "fp", max_bits: int = 2) -> DataFrame:
-    """``rows`` with component_fp (smallest fingerprint) and component_id
+    """``rows`` (a written table) with component_fp (smallest fingerprint) and component_id
     (smallest non-null id) of each row's component."""
-    stars = written(components(written(links(rows, fp, max_bits), "simhash-links")), "simhash-stars")
+    dealt = rows.count() * math.comb(BLOCKS, max_bits)  # rows that the linking tasks read, at most
+    stars = components(written(links(rows, fp, max_bits), "simhash-links", rows=dealt))
     reps = rows.groupBy(F.col(fp).alias("_fp")).agg(F.min(id_col).alias("_low"))
     reps = (reps.join(stars, reps["_fp"] == stars["node"], "left")
             .select("_fp", "_low", F.coalesce("root", "_fp").alias("component_fp")))
