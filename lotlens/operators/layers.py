@@ -24,7 +24,7 @@ CELL_SIZE = 10000.0
 
 
 def commune_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(insee, name, dept, di, k, canton, geometry) — one square per commune."""
+    """(insee, name, dept, di, k, canton, postcode, geometry) — one square per commune."""
     cells = fixtures.commune_cells(spark, sf_dir)
     di, k = F.col("di"), F.col("k")
     x0 = F.lit(600000.0) + (di % 5) * 40000 + (k % 4) * 10000
@@ -36,6 +36,7 @@ def commune_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("COMMUNE "), F.col("dept"), F.lit("-"), commune_no.cast("string")).alias("name"),
         "dept", "di", "k",
         canton.alias("canton"),
+        F.concat(F.col("dept"), F.lpad(((k % 5) * 10).cast("string"), 3, "0")).alias("postcode"),
         square(x0, y0, CELL_SIZE).alias("geometry"))
 
 
@@ -131,9 +132,7 @@ def postcode_features(cells: DataFrame) -> DataFrame:
     The postcode sits under one of three property names, as in files from
     different producers: code_postal, postal_code or code.
     """
-    pc = cells.select(F.concat(F.col("dept"), F.lpad(((F.col("k") % 5) * 10).cast("string"), 3, "0")).alias("pc"),
-                      (F.col("k") % 5).alias("r"), "geometry")
-    d = dissolve(pc.select("pc", "geometry"), ["pc"])
+    d = dissolve(cells.select(F.col("postcode").alias("pc"), "geometry"), ["pc"])
     r = F.substring("pc", -2, 1).cast("int") % 3
     return d.select(F.when(r == 0, F.col("pc")).alias("code_postal"),
                     F.when(r == 1, F.col("pc")).alias("postal_code"),
@@ -144,7 +143,8 @@ def postcode_features(cells: DataFrame) -> DataFrame:
 def layer_members(cells: DataFrame) -> DataFrame:
     """(level, code, name, geometry): every commune cell once per coarser
     feature it belongs to — country (metropolitan regions), region,
-    department, canton, and the PLM pseudo-cantons (arrondissements)."""
+    department, canton, the PLM pseudo-cantons (arrondissements), and postcode
+    where the cells have one."""
     spark = cells.sparkSession
     regions = dims.dept_region(spark)
     with_region = cells.join(regions, cells.dept == regions.dept_code, "left")
@@ -156,7 +156,11 @@ def layer_members(cells: DataFrame) -> DataFrame:
     pseudo = (with_region.join(arr, with_region.insee == arr.arr_code, "left")
               .withColumn("parent_code", F.coalesce(F.col("parent_code"), F.col("insee")))
               .join(plm, "parent_code", "left"))
+    postcode = F.col("postcode") if "postcode" in cells.columns else F.lit(None).cast("string")
     m = F.array(
+        F.when(postcode.isNotNull(),
+               F.struct(F.lit("postcode").alias("level"), postcode.alias("code"),
+                        F.concat(F.lit("Postcode "), postcode).alias("name"))),
         F.when(metro, F.struct(F.lit("country").alias("level"), F.lit("FR").alias("code"),
                                F.lit("France").alias("name"))),
         F.when(F.col("region_code").isNotNull(),

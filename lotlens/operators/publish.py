@@ -93,13 +93,6 @@ def dept_index(features_with_dept: DataFrame) -> DataFrame:
                       F.map_from_entries(F.collect_list(F.struct("dept", "n"))).alias("counts"))
 
 
-def stats_json(all_stats: DataFrame) -> DataFrame:
-    """Stats cache as one JSON document {level: {code: {..stats..}}}.
-
-    Built per level with map_from_entries; the document holds one entry per
-    area (bounded by the number of areas, not by the number of sales).
-    """
-    per_level = (all_stats.groupBy("level")
-                 .agg(F.map_from_entries(F.collect_list(F.struct(
-                     "code", F.struct(*[F.col(c) for c in STAT_COLUMNS])))).alias("m")))
-    return per_level.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("level", "m")))).alias("json"))
+def stats_lines(all_stats: DataFrame) -> DataFrame:
+    """Stats cache: one JSON object {level, code, ..stats..} per area and line."""
+    return all_stats.select(F.to_json(F.struct("level", "code", *STAT_COLUMNS)).alias("json"))

@@ -316,6 +316,8 @@ MEMBERS = f"""members AS (
   UNION ALL SELECT 'canton', dept || '_' || canton, 'Canton ' || canton, insee FROM cellgeo WHERE canton IS NOT NULL
   UNION ALL SELECT 'canton', pn.pseudo_canton, pn.name, c.insee
     FROM cellgeo c JOIN arr a ON c.insee = a.arr_code JOIN plm_names pn ON a.parent_code = pn.code
+  UNION ALL SELECT 'postcode', dept || lpad(CAST((k % 5) * 10 AS VARCHAR), 3, '0'),
+                   'Postcode ' || dept || lpad(CAST((k % 5) * 10 AS VARCHAR), 3, '0'), insee FROM cellgeo
   UNION ALL SELECT 'commune', insee, name, insee FROM cellgeo)"""
 
 

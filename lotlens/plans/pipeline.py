@@ -72,7 +72,7 @@ def run_precompute(spark: SparkSession, out: str, cells: DataFrame, commune_cant
         report["stats"] = write_observed(s, _p(out, "stats"), partition_by="level")
     s = spark.read.parquet(_p(out, "stats"))
     if not exists(spark, _p(out, "stats_cache")):
-        publish.stats_json(s).write.mode("overwrite").text(_p(out, "stats_cache"))
+        publish.stats_lines(s).write.mode("overwrite").text(_p(out, "stats_cache"))
     if not exists(spark, _p(out, "top_expensive")):
         communes = s.where(F.col("level") == "commune")
         top = stats.top_expensive_communes(communes, MIN_SALES_TOP_EXPENSIVE, TOP_EXPENSIVE_LIMIT)

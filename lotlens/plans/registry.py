@@ -290,8 +290,10 @@ def csv_rejects(spark, sf_dir):
 
 
 def stats_cache_roundtrip(spark, sf_dir):
-    doc = publish.stats_json(_all_stats_table(spark, sf_dir))
-    return geojson.stats_from_json(doc)
+    """The stats cache written as JSON lines and read back."""
+    path = table_path(spark, key_for("stats_cache", CODE_VERSION, sf_dir))
+    publish.stats_lines(_all_stats_table(spark, sf_dir)).write.mode("overwrite").text(path)
+    return geojson.stats_from_lines(spark.read.text(path), "value")
 
 
 def build() -> dict[str, Query]:

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotlens.operators.stats import STAT_COLUMNS
-
-STATS_STRUCT = T.StructType([
+STATS_LINE = T.StructType([
+    T.StructField("level", T.StringType()),
+    T.StructField("code", T.StringType()),
     T.StructField("median_price_m2", T.DoubleType()),
     T.StructField("q25", T.DoubleType()),
     T.StructField("q75", T.DoubleType()),
     T.StructField("n_sales", T.LongType()),
 ])
-STATS_DOC = T.MapType(T.StringType(), T.MapType(T.StringType(), STATS_STRUCT))
 
 
 def feature_schema(properties: T.StructType) -> T.StructType:
@@ -59,11 +58,9 @@ def geometry_from_json(geom_type: Column, coordinates: Column) -> Column:
             .when(geom_type == "MultiPolygon", F.transform(multi, to_points)))
 
 
-def stats_from_json(doc: DataFrame, json_col: str = "json") -> DataFrame:
-    """{level: {code: stats}} document -> long S(level, code, stats...)."""
-    m = doc.select(F.explode(F.from_json(F.col(json_col), STATS_DOC)).alias("level", "codes"))
-    e = m.select("level", F.explode("codes").alias("code", "s"))
-    return e.select("level", "code", *[F.col("s")[c].alias(c) for c in STAT_COLUMNS])
+def stats_from_lines(lines: DataFrame, json_col: str = "json") -> DataFrame:
+    """Lines of {level, code, ..stats..} -> long S(level, code, stats...)."""
+    return lines.select(F.from_json(F.col(json_col), STATS_LINE).alias("s")).select("s.*")
 
 
 def load_layer(spark: SparkSession, path: str, code_field: str, name_field: str, level: str,

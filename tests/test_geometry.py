@@ -132,7 +132,7 @@ def test_single_pass_layers_equal_stepwise(spark):
         rings = df.select("level", "code", "name", F.explode(F.flatten("geometry")).alias("r"))
         return sorted(map(tuple, rings.groupBy("level", "code", "name")
                           .agg(F.sum(ring_area2(F.col("r"))).alias("a"), F.sum(F.size("r")).alias("n")).collect()))
-    assert summary(layers.all_layers(spark, SF01)) == summary(layers.all_layers_stepwise(spark, SF01))
+    assert summary(layers.all_layers(spark, SF01).where("level <> 'postcode'")) == summary(layers.all_layers_stepwise(spark, SF01))
 
 
 def test_shared_border_simplified_once(spark):

@@ -39,10 +39,10 @@ def test_stats_json_round_trip(spark):
                                ("country", "FR", None, 3000.0, None, 4000.0, 10)],
                               "level string, code string, name string, median_price_m2 double, q25 double, "
                               "q75 double, n_sales long")
-    doc = publish.stats_json(s)
-    parsed = json.loads(doc.first().json)
-    assert parsed["commune"]["75101"]["n_sales"] == 1622
-    back = geojson.stats_from_json(doc).orderBy("code").collect()
+    lines = publish.stats_lines(s)
+    parsed = {(x["level"], x["code"]): x for x in (json.loads(r.json) for r in lines.collect())}
+    assert parsed["commune", "75101"]["n_sales"] == 1622
+    back = geojson.stats_from_lines(lines).orderBy("code").collect()
     assert [(r.code, r.q25) for r in back] == [("75101", 10509.0), ("FR", None)]
 
 
