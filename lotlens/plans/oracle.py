@@ -178,6 +178,8 @@ def build() -> dict[str, str]:
     q["clean_transactions"] = with_(*BASE) + "SELECT * FROM clean"
     q["dept_stats"] = with_(*BASE) + stats_select("dept_code")
     q["dept_stats_approx"] = with_(*BASE) + stats_select("dept_code", quant="disc")
+    q["dept_stats_large_homes"] = with_(*BASE) + stats_select("dept_code", where="total_surface >= 100")
+    q["commune_stats_one_dept"] = with_(*BASE) + stats_select(INSEE, name=True, where="dept_code = '75'")
     q["region_stats"] = with_(*BASE, DEPT_REGION) + stats_select("region_code", REGION_SOURCE)
     q["country_stats"] = with_(*BASE) + COUNTRY
     q["commune_stats"] = with_(*BASE) + stats_select(INSEE, name=True)
@@ -476,6 +478,22 @@ SELECT layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGE
         FROM (SELECT lz.layer, b.code, b.minlon, b.maxlon, b.minlat, b.maxlat, unnest(generate_series(lz.lo, lz.hi)) AS z
               FROM bb b JOIN (VALUES {layer_zoom}) lz(level, layer, lo, hi) ON b.level = lz.level) t1) t2) t3,
 LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) t4"""
+    q["published_vertices"] = with_(*base, CELL_EDGES, MEMBERS, bedges) + kept_ctes + f"""
+SELECT level, code, round_even(lon, 5) AS lon, round_even(lat, 5) AS lat, CAST(SUM(degf // 2) AS BIGINT) AS visits
+FROM ({lonlat_sql('x', 'y', src='kept')}) p GROUP BY 1, 2, 3, 4"""
+    q["geojson_features"] = with_(*geo_stats, CORNERS, PROJECTED) + f"""
+SELECT c.insee AS code, {P7.format(c='c.insee')} AS dept,
+       '{{"type":"Feature","properties":{{"code":"' || c.insee || '","name":"' || c.name || '"'
+       || coalesce(',"price_m2":' || s.median_price_m2, '') || coalesce(',"n_sales":' || s.n_sales, '')
+       || coalesce(',"q25":' || s.q25, '') || coalesce(',"q75":' || s.q75, '')
+       || '}},"geometry":{{"type":"Polygon","coordinates":[[' || g.ring || ']]}}}}' AS feature
+FROM cellgeo c
+JOIN (SELECT code, string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY idx) AS ring FROM projected GROUP BY code) g
+  ON g.code = c.insee
+LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
+    q["sketch_rank_error"] = with_(*all_stats) + """
+SELECT level, code, n_sales, TRUE AS "within" FROM all_stats
+WHERE level <> 'canton' AND NOT (level = 'commune' AND code IN (SELECT code FROM plm_names))"""
     q["simplified_area"] = with_(*base, MEMBERS) + """
 SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM members GROUP BY level, code, name"""
     q["dissolved_outline"] = "SELECT code, name, area_m2, vertices FROM (" + q["dissolved_layers"] + \
@@ -558,6 +576,11 @@ FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON
     q["zoom_levels"] = with_(VIEWPORTS) + f"""
 SELECT v.event_id, v.zoom, z.layer FROM viewports v
 JOIN (VALUES {zooms}) z(layer, minzoom, maxzoom) ON v.zoom >= z.minzoom AND v.zoom < z.maxzoom"""
+    from lotlens.params import TILE_ZOOM_LAYERS
+    closed = ", ".join(f"('{a}', {b}, {c})" for a, b, c in TILE_ZOOM_LAYERS)
+    q["tile_zoom_layers"] = with_(VIEWPORTS) + f"""
+SELECT v.event_id, v.zoom, z.layer FROM viewports v
+JOIN (VALUES {closed}) z(layer, minzoom, maxzoom) ON v.zoom BETWEEN z.minzoom AND z.maxzoom"""
     q["csv_lots"] = with_(PLACES, LOTS) + "SELECT * FROM lots"
     q["csv_mixed_headers"] = q["csv_lots"]
     q["csv_rejects"] = with_(PLACES, LOTS) + """

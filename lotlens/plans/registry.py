@@ -262,6 +262,34 @@ def csv_lots_query(spark, sf_dir):
     return materialize(build, spark, "csv_lots", sf_dir)
 
 
+def published_vertices(spark, sf_dir):
+    """Every vertex of the published features, with how often it is visited
+    (ring closing points not counted)."""
+    rings = _published(spark, sf_dir).select("level", "code", F.explode(F.flatten("geometry")).alias("ring"))
+    pts = rings.select("level", "code", F.explode(F.slice("ring", F.lit(1), F.size("ring") - 1)).alias("p"))
+    return (pts.groupBy("level", "code", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+            .agg(F.count(F.lit(1)).alias("visits")))
+
+
+def sketch_rank_error(spark, sf_dir):
+    """Whether the sketched median of each area is within 3 % of rank 1/2 in
+    its exact prices (the published median is rounded to a whole number)."""
+    t = _t(spark, sf_dir)
+    sk = stats.sketch_level_stats(t, SKETCH).select(
+        F.col("level").alias("_level"), F.col("code").alias("_code"), "median_price_m2", "n_sales")
+    m = stats.level_members(t).where(F.col("price_m2").isNotNull())
+    j = m.join(sk, (m["level"] == sk["_level"]) & (m["code"] == sk["_code"]))
+    below = F.avg((F.col("price_m2") < F.col("median_price_m2") - 0.5).cast("double"))
+    upto = F.avg((F.col("price_m2") <= F.col("median_price_m2") + 0.5).cast("double"))
+    return j.groupBy("level", "code", "n_sales").agg(((below <= 0.53) & (upto >= 0.47)).alias("within"))
+
+
+def tile_zoom_layers(spark, sf_dir):
+    """Tile layers that hold each viewport's zoom (two at the shared borders)."""
+    v = fixtures.viewports(spark, sf_dir).select("event_id", "zoom")
+    return v.select("event_id", "zoom", F.explode(tiles.tile_layers_at(F.col("zoom"))).alias("layer"))
+
+
 def csv_mixed_headers(spark, sf_dir):
     """Files with two column orders in one folder, each read by its own header."""
     src = table_path(spark, key_for("csv_mixed", CODE_VERSION, sf_dir))
@@ -354,6 +382,13 @@ def build() -> dict[str, Query]:
     q["parcel_prices_cap10"] = parcel_prices(10)
     q["parcel_layer"] = parcel_layer
     q["csv_mixed_headers"] = csv_mixed_headers
+    q["published_vertices"] = published_vertices
+    q["sketch_rank_error"] = sketch_rank_error
+    q["tile_zoom_layers"] = tile_zoom_layers
+    # a caller's own predicate, and one department's communes
+    q["dept_stats_large_homes"] = lambda s, d: stats.area_stats(
+        _t(s, d), F.col("dept_code"), where=F.col("total_surface") >= 100)
+    q["commune_stats_one_dept"] = lambda s, d: stats.commune_stats(_t(s, d).where(F.col("dept_code") == "75"))
     q["csv_rejects"] = csv_rejects
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
