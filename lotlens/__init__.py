@@ -8,7 +8,6 @@ Layers:
               geometry, parcels, tiles, viewports, publishing)
   plans/      end-to-end jobs (etl / precompute / split) and the query
               registry used by ``__spark_entry__``
-  streaming/  intentionally empty: the workload is batch only
 """
 
 __all__ = ["session", "params"]

@@ -583,6 +583,16 @@ SELECT v.event_id, v.zoom, z.layer FROM viewports v
 JOIN (VALUES {closed}) z(layer, minzoom, maxzoom) ON v.zoom BETWEEN z.minzoom AND z.maxzoom"""
     q["csv_lots"] = with_(PLACES, LOTS) + "SELECT * FROM lots"
     q["csv_mixed_headers"] = q["csv_lots"]
+    # four corners, and the middle vertices that stand more than one tolerance out
+    squares = """
+SELECT ['country', 'region', 'departement', 'canton', 'commune', 'arrondissement', 'parcel'][c_custkey % 7 + 1] AS level,
+       CAST(c_custkey AS VARCHAR) AS code,
+       4 + CAST(len(list_filter([{sides}], lambda i: [0, 0.5, 0.95, 1.05, 2][(c_custkey // i + c_custkey) % 5 + 1] > 1)) AS BIGINT)
+       {more} AS vertices
+FROM customer"""
+    q["simplified_squares"] = squares.format(sides="1, 5, 25, 125", more="")
+    q["simplified_squares_shared"] = squares.format(
+        sides="1, 5, 25", more="+ CASE WHEN (c_custkey // 125 + c_custkey) % 5 > 0 THEN 1 ELSE 0 END")
     q["csv_rejects"] = with_(PLACES, LOTS) + """
 SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
 FROM (SELECT code_departement, CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3 AS bad

@@ -16,7 +16,7 @@ from lotlens.functions.expressions import dept_of_commune, price_color
 from lotlens.functions.geo import ring_area2
 from lotlens.operators import (clean, dims, geometry, layers, parcels, publish, reports, stats, tiles,
                                viewport)
-from lotlens.params import DEFAULT, METRO_REGIONS
+from lotlens.params import DEFAULT, METRO_REGIONS, PARCEL_SIMPLIFY_TOLERANCE
 from lotlens.sources import csv_lots, fixtures, geojson
 from lotlens.sources.tables import CODE_VERSION, key_for, materialize
 from lotlens.session import table_path
@@ -290,6 +290,24 @@ def tile_zoom_layers(spark, sf_dir):
     return v.select("event_id", "zoom", F.explode(tiles.tile_layers_at(F.col("zoom"))).alias("layer"))
 
 
+def _kept(features):
+    return features.select("level", "code", (F.size(F.col("geometry")[0][0]) - 1).cast("long").alias("vertices"))
+
+
+def simplified_squares(spark, sf_dir):
+    """Vertices that simplification keeps of squares that grow with the customers
+    and whose wiggles lie on both sides of the tolerance (parcels at 0.5 m)."""
+    tol = F.when(F.col("level") == "parcel", PARCEL_SIMPLIFY_TOLERANCE).otherwise(geometry.tolerance_for(F.col("level")))
+    return _kept(geometry.simplify(fixtures.wiggly_squares(spark, sf_dir), tol))
+
+
+def simplified_squares_shared(spark, sf_dir):
+    """The same through the shared-border simplifier, which starts a ring at its
+    smallest vertex and so keeps that one."""
+    tol = F.when(F.col("level") == "parcel", PARCEL_SIMPLIFY_TOLERANCE).otherwise(geometry.tolerance_for(F.col("level")))
+    return _kept(geometry.simplify_shared(fixtures.wiggly_squares(spark, sf_dir), tol, ["level"]))
+
+
 def csv_mixed_headers(spark, sf_dir):
     """Files with two column orders in one folder, each read by its own header."""
     src = table_path(spark, key_for("csv_mixed", CODE_VERSION, sf_dir))
@@ -324,6 +342,12 @@ def stats_cache_roundtrip(spark, sf_dir):
     return geojson.stats_from_lines(spark.read.text(path), "value")
 
 
+def tables() -> dict[str, Query]:
+    """The written tables that queries read, in the order they are built in."""
+    return {"table_lots": _lots, "table_transactions": _t, "table_layers": _layers, "table_published": _published,
+            "table_stats": _all_stats_table}
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["clean_transactions"] = _t
@@ -383,6 +407,8 @@ def build() -> dict[str, Query]:
     q["parcel_layer"] = parcel_layer
     q["csv_mixed_headers"] = csv_mixed_headers
     q["published_vertices"] = published_vertices
+    q["simplified_squares"] = simplified_squares
+    q["simplified_squares_shared"] = simplified_squares_shared
     q["sketch_rank_error"] = sketch_rank_error
     q["tile_zoom_layers"] = tile_zoom_layers
     # a caller's own predicate, and one department's communes

@@ -148,3 +148,30 @@ def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
                     west.alias("west"), south.alias("south"),
                     (west + 30000).alias("east"), (south + 30000).alias("north"),
                     (F.lit(4) + F.col("event_id") % 14).cast("int").alias("zoom"))
+
+
+#: The published simplification tolerances in metres, stated here
+#: once more so that a wrong one in ``params`` shows.
+WIGGLE_LEVELS = (("country", 1500.0), ("region", 300.0), ("departement", 150.0), ("canton", 100.0), ("commune", 30.0),
+                 ("arrondissement", 30.0), ("parcel", 0.5))
+#: A side's middle vertex stands this many tolerances outside the square.
+WIGGLE_FACTORS = (0.0, 0.5, 0.95, 1.05, 2.0)
+
+
+def wiggly_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One square per customer (level, code, geometry), each side with a middle
+    vertex a little below or above the level's tolerance: what simplification
+    keeps depends on the tolerance, and the table grows with the customers."""
+    from lotlens.functions.geo import point
+    key = F.col("c_custkey")
+    level = F.element_at(F.array(*(F.lit(a) for a, _ in WIGGLE_LEVELS)), (key % len(WIGGLE_LEVELS)).cast("int") + 1)
+    tol = F.element_at(F.array(*(F.lit(t) for _, t in WIGGLE_LEVELS)), (key % len(WIGGLE_LEVELS)).cast("int") + 1)
+    factors = F.array(*map(F.lit, WIGGLE_FACTORS))
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", level.alias("level"), (100 * tol).alias("s"), (key * 400000.0).alias("x"),
+        *((tol * F.element_at(factors, ((F.floor(key / 5 ** i) + key) % 5).cast("int") + 1)).alias(f"d{i}") for i in range(4)))
+    x, s = F.col("x"), F.col("s")
+    zero = F.lit(0.0)
+    ring = F.array(point(x, zero), point(x + s / 2, -F.col("d0")), point(x + s, zero), point(x + s + F.col("d1"), s / 2),
+                   point(x + s, s), point(x + s / 2, s + F.col("d2")), point(x, s), point(x - F.col("d3"), s / 2), point(x, zero))
+    return c.select("level", key.cast("string").alias("code"), F.array(F.array(ring)).alias("geometry"))

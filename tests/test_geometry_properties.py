@@ -115,3 +115,18 @@ def test_simplified_rings_with_inlets_and_holes_do_not_cross(spark):
     assert sum(sum(len(ring) for ring in r.geometry[0]) < before[r.code] for r in out) > 40
     shared = geometry.simplify_shared(df.selectExpr("code AS level", "*"), F.col("tol"), ["level"]).collect()
     assert all(not _crosses([[(p.x, p.y) for p in ring]]) for r in shared for ring in r.geometry[0])
+
+
+def test_squares_see_a_wrong_tolerance(spark):
+    """Twice or half the tolerance keeps other vertices: the registered rows would differ."""
+    from conftest import SF001
+    from lotlens.sources import fixtures
+    sq = fixtures.wiggly_squares(spark, SF001)
+    tols = dict(fixtures.WIGGLE_LEVELS)
+
+    def kept(factor):
+        tol = F.create_map(*[x for k, v in tols.items() for x in (F.lit(k), F.lit(v * factor))])[F.col("level")]
+        out = geometry.simplify(sq, tol).select("level", "code", F.size(F.col("geometry")[0][0]).alias("n")).collect()
+        return {lvl: sum(r.n for r in out if r.level == lvl) for lvl in tols}
+    right, double, half = kept(1.0), kept(1.95), kept(0.52)
+    assert all(double[k] < right[k] < half[k] for k in tols)
