@@ -258,12 +258,13 @@ def line_links(texts: DataFrame, threshold: int = 2, min_chars: int = 24, bits:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = 2,
                min_chars: int = 24) -> DataFrame:
-    """Per row: id, n_lines, n_dropped, dropped (line numbers from 0, ascending).
+    """Per row: id, n_lines, n_links, n_dropped, dropped (line numbers from 0).
 
     Lines are cut at line feeds and compared without white space at their ends.
     Equal lines, and lines linked by chains of at most ``threshold`` edits, are
     one class; its first line by (id, row, number) stays, the others are
-    dropped. Lines of fewer than ``min_chars`` signs always stay. A null text
+    dropped (in ascending order). n_links counts, over the row's lines, the
+    different lines each is linked with. Lines of fewer than ``min_chars`` signs always stay. A null text
     has no lines, an empty one has one; null ids come last; repeated rows are
     later occurrences. An empty table gives an empty result; other columns are
     not read.
@@ -287,21 +288,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thre
                  F.col("z.number").alias("number")).alias("place"), F.col("z.line").alias("line"))
 
     n = rows.agg(F.coalesce(F.sum(F.size("l.line")), F.lit(0))).first()[0]
-    found = line_links(body, threshold, min_chars, n_lines=n)
-    stars = components(written(found, "line-links", rows=n))
+    links = written(line_links(body, threshold, min_chars, n_lines=n), "line-links", rows=n)
+    stars = components(links)
+    degrees = links.select(F.explode(F.array("u", "v")).alias("_end")).groupBy("_end").agg(F.count(F.lit(1)).alias("links"))
     member = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     firsts = each.groupBy("line").agg(F.min("place").alias("own"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.join(member, firsts["line"] == member["node"], "left").where("n > 1 or root is not null")
-    firsts = written(firsts.select("line", "own", "root"), "line-firsts", rows=n)
+    firsts = firsts.join(degrees, firsts["line"] == degrees["_end"], "left")
+    firsts = written(firsts.select("line", "own", "root", F.coalesce("links", F.lit(0)).alias("links")), "line-firsts", rows=n)
     of_class = firsts.where("root is not null").groupBy(F.col("root").alias("_root")).agg(F.min("own").alias("first"))
     firsts = firsts.join(of_class, F.col("root") == F.col("_root"), "left").select(
-        F.col("line").alias("_line"), F.coalesce("first", "own").alias("first"))
-    drops = each.join(firsts, F.col("line") == F.col("_line")).where("place <> first")
-    drops = drops.groupBy(F.col("place.row").alias("_at")).agg(F.array_sort(F.collect_list("place.number")).alias("dropped"))
-    out = rows.join(drops, F.col("_row") == F.col("_at"), "left")
+        F.col("line").alias("_line"), F.coalesce("first", "own").alias("first"), "links")
+    seen = each.join(firsts, F.col("line") == F.col("_line"))
+    later = F.when(F.col("place") != F.col("first"), F.col("place.number"))  # collect_list leaves nulls out
+    seen = seen.groupBy(F.col("place.row").alias("_at")).agg(
+        F.array_sort(F.collect_list(later)).alias("dropped"), F.sum("links").alias("links"))
+    out = rows.join(seen, F.col("_row") == F.col("_at"), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return out.select(F.col("_id").alias(id_col), "n_lines", F.size(dropped).cast("long").alias("n_dropped"),
-                      dropped.alias("dropped"))
+    return out.select(F.col("_id").alias(id_col), "n_lines", F.coalesce("links", F.lit(0)).alias("n_links"),
+                      F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
 
 
 def without_lines(text, dropped):

@@ -60,7 +60,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped"))
+    return found.withColumn("dropped", F.concat_ws(",", F.col("dropped").cast("array<string>")))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,10 +226,13 @@ def lines_want(rows, k, min_chars):
             occ[line].append((i is None, i or 0, row, n))
     lines = sorted(occ, key=len)
     p, find = union_find(len(lines))
+    links = defaultdict(int)
     for i in range(len(lines)):
         for j in range(i):
-            if abs(len(lines[i]) - len(lines[j])) <= k and distance(lines[i], lines[j]) <= k:
+            if ld.within(lines[i], lines[j], k):  # itself tested against the plain table above
                 p[find(i)] = find(j)
+                links[lines[i]] += 1
+                links[lines[j]] += 1
     classes = defaultdict(list)
     for i, line in enumerate(lines):
         classes[find(i)] += occ[line]
@@ -237,7 +240,8 @@ def lines_want(rows, k, min_chars):
     for places in classes.values():
         for _, _, row, n in sorted(places)[1:]:
             drops[row].append(n)
-    return [(i, 0 if t is None else t.count("\n") + 1, sorted(drops[row])) for row, (i, t, _) in enumerate(rows)]
+    return [(i, 0 if t is None else t.count("\n") + 1, sum(links[x] for _, x in ld.long_lines(t, min_chars)), sorted(drops[row]))
+            for row, (i, t, _) in enumerate(rows)]
 
 
 def line_docs():
@@ -260,7 +264,7 @@ def line_docs():
 def test_line_dedup(spark, k):
     rows = line_docs()
     got = ld.line_dedup(docs_frame(spark, rows).coalesce(1), threshold=k, min_chars=8).collect()
-    assert sorted(((r.doc_id, r.n_lines, r.dropped) for r in got), key=str) == sorted(lines_want(rows, k, 8), key=str)
+    assert sorted(((r.doc_id, r.n_lines, r.n_links, r.dropped) for r in got), key=str) == sorted(lines_want(rows, k, 8), key=str)
     assert all(r.n_dropped == len(r.dropped) for r in got)
 
 
