@@ -167,9 +167,38 @@ def _signatures(threshold: int, min_chars: int):
     return run
 
 
-def _candidates(threshold: int, block: int = 1 << 18):
-    """Pairs of one key (rows come sorted by it) of an index row with an index or
-    probe row, whose sketches allow a link."""
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("id", pa.int64()),
+                   ("mark", pa.int64())])
+_PAIR_SQL = "a long, b long, key long, block long, id long, mark long"
+
+
+def _linked(ids, mark, i, j, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs (i, j) those of an index row with an index or probe
+    row, whose sketches allow a link; as (smaller id, larger id)."""
+    ok = ((mark[i] & mark[j] & _PROBE) == 0) & (ids[i] != ids[j])
+    i, j = i[ok], j[ok]
+    near = _far(mark[i], mark[j]) <= 2 * threshold
+    a, b = ids[i[near]], ids[j[near]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, none], schema=_PAIR)
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    return [*cols[:-1], cols[-1].view(np.uint64)]
+
+
+def _candidates(threshold: int, block_rows: int, step_rows: int = 1 << 18):
+    """Candidate pairs of one key (rows come sorted by it).
+
+    A task holds ``block_rows`` rows of a key at most: of a larger group it
+    compares block by block and hands the blocks' rows on, so that ``_crossed``
+    can compare each block with every other one in tasks of their own.
+    """
     def pairs(key, ids, mark) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(key[1:] == key[:-1])
         rows = np.union1d(rows, rows + 1)
@@ -179,28 +208,88 @@ def _candidates(threshold: int, block: int = 1 << 18):
             step += 1
             i = i[i + step < len(key)]
             i = i[key[i] == key[i + step]]
-            for at in range(0, len(i), block):
-                x = i[at:at + block]
-                x = x[((mark[x] & mark[x + step] & _PROBE) == 0) & (ids[x] != ids[x + step])]
-                x = x[_far(mark[x], mark[x + step]) <= 2 * threshold]
-                if len(x):
-                    a, b = ids[x], ids[x + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
-                                                     names=["a", "b"])
+            for at in range(0, len(i), step_rows):
+                a, b = _linked(ids, mark, i[at:at + step_rows], i[at:at + step_rows] + step, threshold)
+                if len(a):
+                    yield _pair_rows(a, b)
+
+    def block(number: int, key, ids, mark) -> Iterator[pa.RecordBatch]:
+        yield from pairs(key, ids, mark)
+        none = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(np.full(len(key), number)), pa.array(ids),
+                                          pa.array(mark.view(np.int64))], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        hot, number = None, 0  # key of a group that is handed on, its next block
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols[2] = cols[2].view(np.uint64)
-            key, ids, mark = (np.concatenate(x) for x in zip(held, cols))
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            yield from pairs(key[:cut], ids[:cut], mark[:cut])
-            held = [key[cut:], ids[cut:], mark[cut:]]
-        yield from pairs(*held)
+            rows = [np.concatenate(x) for x in zip(held, _columns(batch))]
+            if hot is not None:
+                end = int(np.searchsorted(rows[0], hot, "right"))
+                held, rows = [x[:end] for x in rows], [x[end:] for x in rows]
+                while len(held[0]) >= block_rows or (len(rows[0]) and len(held[0])):
+                    yield from block(number, *(x[:block_rows] for x in held))
+                    held, number = [x[block_rows:] for x in held], number + 1
+                if not len(rows[0]):
+                    continue
+                hot, number = None, 0
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left")) if len(rows[0]) else 0
+            yield from pairs(*(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+            while len(held[0]) >= block_rows:
+                hot = held[0][0]
+                yield from block(number, *(x[:block_rows] for x in held))
+                held, number = [x[block_rows:] for x in held], number + 1
+        if hot is not None:
+            if len(held[0]):
+                yield from block(number, *held)
+        else:
+            yield from pairs(*held)
     return run
 
 
+def _crossed(threshold: int, step_rows: int = 1 << 18):
+    """Candidate pairs between two blocks of one key; rows (key, low, high, block,
+    id, mark) come sorted, two blocks of bounded size for each (key, low, high)."""
+    def cross(block, ids, mark) -> Iterator[pa.RecordBatch]:
+        left = int(np.searchsorted(block, block[0], "right"))
+        right = np.arange(left, len(block))
+        per = max(1, step_rows // max(1, len(right)))
+        for at in range(0, left, per):
+            some = np.arange(at, min(at + per, left))
+            a, b = _linked(ids, mark, np.repeat(some, len(right)), np.tile(right, len(some)), threshold)
+            if len(a):
+                yield _pair_rows(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            cols = _columns(batch)
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            new = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for s, e in zip(starts, starts[1:]):
+                yield from cross(*(x[s:e] for x in held[3:]))
+            held = [x[starts[-1]:] for x in held]
+        if held is not None and len(held[0]):
+            yield from cross(*held[3:])
+    return run
+
+
+def _all_candidates(rows: DataFrame, threshold: int, block_rows: int, n_lines: int | None) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the signature rows."""
+    first = written(rows.repartition("key").sortWithinPartitions("key")
+                    .mapInArrow(_candidates(threshold, block_rows), _PAIR_SQL), "line-candidates", rows=n_lines)
+    large = first.where("key is not null").select("key", "block", "id", "mark")
+    blocks = large.groupBy(F.col("key").alias("_key")).agg((F.max("block") + 1).alias("n")).where("n > 1")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
+    meet = large.join(blocks, F.col("key") == F.col("_key")).select("key", "block", "id", "mark", other).where("other <> block")
+    meet = meet.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "mark")
+    second = (meet.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
+              .mapInArrow(_crossed(threshold), _PAIR_SQL))
+    return first.where("key is null").unionByName(second).select("a", "b").distinct()
+
+
 def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
     """A bit for each residue of the ids in ``pairs``: 2**bits bits, whatever the input."""
     size = 1 << bits
@@ -235,15 +324,15 @@ def _texts(texts: DataFrame, pairs: DataFrame, min_chars: int, bits: int) -> Dat
 
 
 def line_links(texts: DataFrame, threshold: int = 2, min_chars: int = 24, bits: int = 23,
-               n_lines: int | None = None) -> DataFrame:
+               n_lines: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """(u, v) ids of different lines of ``texts`` (one column) with an edit
     distance of at most ``threshold`` signs; every such pair once. ``n_lines``:
-    a bound on their number, if known, to size the tasks that write."""
+    a bound on their number, if known, to size the tasks that write;
+    ``block_rows``: how many rows of one segment a task holds."""
     if min_chars <= threshold:
         raise ValueError("a line must have more signs than the threshold")
     rows = texts.mapInArrow(_signatures(threshold, min_chars), "key long, id long, mark long")
-    pairs = written(rows.repartition("key").sortWithinPartitions("key")
-                    .mapInArrow(_candidates(threshold), "a long, b long").distinct(), "line-pairs", rows=n_lines)
+    pairs = written(_all_candidates(rows, threshold, block_rows, n_lines), "line-pairs", rows=n_lines)
     lines = written(_texts(texts, pairs, min_chars, bits), "line-texts", rows=n_lines)
     left = lines.select(F.col("short").alias("a"), F.col("line_id").alias("u"), F.col("line").alias("_x"))
     right = lines.select(F.col("short").alias("b"), F.col("line_id").alias("v"), F.col("line").alias("_y"))

@@ -275,6 +275,40 @@ def test_line_links_lists_each_pair_once(spark):
     assert len(got) == len(want) and {frozenset((bytes(r.u), bytes(r.v))) for r in got} == want
 
 
+@pytest.mark.parametrize("block", [2, 3, 7])
+def test_large_groups_are_compared_block_by_block(spark, block):
+    # a template with a serial number: all lines share their first segments
+    rng = random.Random(block)
+    lines = sorted({f"a line that starts alike for everyone number {rng.randrange(2000):04d}" for _ in range(90)})
+    frame = spark.createDataFrame([(x,) for x in lines], "t string").repartition(3)
+    got = ld.line_links(frame, 2, 8, block_rows=block).collect()
+    want = {frozenset(map(ld._line_id, (a, b))) for a in lines for b in lines if a < b and ld.within(a, b, 2)}
+    assert len(want) > 300
+    assert len(got) == len(want) and {frozenset((bytes(r.u), bytes(r.v))) for r in got} == want
+
+
+def test_blocks_of_one_key_across_batches():
+    import pyarrow as pa
+    rng = np.random.default_rng(0)
+    keys = np.sort(rng.integers(0, 4, 60))
+    ids, mark = rng.permutation(60), np.zeros(60, np.int64)
+    for size, block in ((1, 4), (7, 4), (60, 4), (13, 100)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i:i + size]) for x in (keys, ids, mark)], names=["key", "id", "mark"])
+                   for i in range(0, 60, size)]
+        pairs, blocks = set(), defaultdict(lambda: defaultdict(set))
+        for out in ld._candidates(1, block)(iter(batches)):
+            for r in out.to_pylist():
+                if r["key"] is None:
+                    pairs.add((r["a"], r["b"]))
+                else:
+                    blocks[r["key"]][r["block"]].add(r["id"])
+        for parts in blocks.values():
+            assert all(len(x) <= block for x in parts.values())
+            pairs |= {tuple(sorted((x, y))) for i in parts for j in parts if i < j for x in parts[i] for y in parts[j]}
+        want = {tuple(sorted((int(a), int(b)))) for k in range(4) for a in ids[keys == k] for b in ids[keys == k] if a != b}
+        assert pairs == want
+
+
 def test_line_dedup_of_an_empty_table_and_removal(spark):
     assert ld.line_dedup(docs_frame(spark, [])).collect() == []
     from pyspark.sql import functions as F
