@@ -25,8 +25,11 @@ from lotlens.llm import decontaminate, exact_dedup, language_id, mixing, simhash
 from lotlens.llm.common import keep_rows, table, with_text_key, written  # noqa: E402
 from lotlens.session import ship_package  # noqa: E402
 
-#: A prediction below this score counts as no language (four even guesses give 0.25).
-MIN_LANGUAGE_SCORE = 0.4
+def least_score(model: language_id.Model | None) -> float:
+    """A score that is hardly above an even guess between the labels counts as no
+    language. (Short texts of real words, a third of them numbers, still score
+    above it; a stricter bound would drop clean documents.)"""
+    return 1.05 / len(model.labels) if model is not None and len(model.labels) > 1 else 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship_package(spark)
     model = language_id.learn(docs)
     found = docs.withColumn("_language", language_id.predicted(docs, "text", model))
-    sure = (F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
+    sure = (F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= least_score(model))
     return found.where(sure).select(*docs.columns)
 
 

@@ -67,16 +67,18 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     tables here have a row per node of the tree.
     """
     leaves = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast(_BIG))
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast(_BIG).alias("all"))
-    given = total.select(F.expr(f"cast((all * {share[0]}) div {share[1]} as {_BIG})").alias("given"),
-                         F.lit(1).alias("_one"))
     above = None
     for depth, level in enumerate(levels, 1):
         path, parents = list(levels[:depth]), list(levels[:depth - 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").cast(_BIG).alias("capacity"))
-        nodes = nodes.withColumn("weight", _weight(level, weights)).withColumn("_one", F.lit(1))
-        nodes = nodes.join(given if above is None else above, parents or ["_one"])
-        above = _share(nodes, parents or ["_one"], level).select(*path, F.col("budget").alias("given"))
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").cast(_BIG).alias("capacity"),
+                                          F.sum("tokens").cast(_BIG).alias("tokens"))
+        nodes = nodes.withColumn("weight", _weight(level, weights))
+        if above is None:  # the children of the root, of which there are few
+            nodes = nodes.withColumn("all", F.sum("tokens").over(Window.partitionBy()).cast(_BIG))
+            nodes = nodes.withColumn("given", F.expr(f"cast((all * {share[0]}) div {share[1]} as {_BIG})"))
+        else:
+            nodes = nodes.join(above, parents)
+        above = _share(nodes, parents, level).select(*path, F.col("budget").alias("given"))
     return leaves.drop("capacity").join(above.withColumnRenamed("given", "budget"), list(levels))
 
 

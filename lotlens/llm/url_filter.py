@@ -60,7 +60,7 @@ def _url_tokens(address: Column) -> Column:
 
 def index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with ``token``: the rarest of their tokens among ``urls`` (address);
-    null where a rule has none."""
+    the empty string where a rule has none."""
     wanted = rules.select(F.explode("tokens").alias("wanted")).distinct()
     seen = urls.select(F.explode(_url_tokens(F.col("address"))).alias("t"))
     n = seen.join(wanted, F.col("t") == F.col("wanted")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -68,7 +68,7 @@ def index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     each = each.join(n, F.col("token") == F.col("t"), "left")
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("token")))
     return (each.groupBy("rule", "verdict", "host", "path", "regex").agg(best.alias("b"))
-            .select("rule", "verdict", "host", "path", "regex", "b.token"))
+            .select("rule", "verdict", "host", "path", "regex", F.coalesce("b.token", F.lit("")).alias("token")))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url",
@@ -89,16 +89,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url:
     urls = (d.select(F.concat("host", "path").alias("address")).distinct())
     idx = written(index(urls, rules), "url-rules")
     few = idx.count() <= broadcast_rules
-    hint = F.broadcast if few else (lambda x: x)
-    found = (urls.select("address", F.explode(_url_tokens(F.col("address"))).alias("t"))
-             .join(hint(idx.where("token is not null")), F.col("t") == F.col("token"))
+    # every url also has the empty token, which fetches the rules without one
+    tokens = F.array_append(_url_tokens(F.col("address")), F.lit(""))
+    found = (urls.select("address", F.explode(tokens).alias("t"))
+             .join(F.broadcast(idx) if few else idx, F.col("t") == F.col("token"))
              .where("address rlike regex").select("address", "rule", "verdict", "host"))
-    rest = idx.where("token is null")
-    if not rest.isEmpty():  # a stated, small set of rules against all urls
-        rest = rest.withColumn("_one", F.lit(1))
-        found = found.unionByName(
-            urls.withColumn("_one", F.lit(1)).join(hint(rest), "_one").where("address rlike regex")
-            .select("address", "rule", "verdict", "host"))
     order = F.struct(F.length("rule"), F.length("host"), (F.col("verdict") == "block").cast("int"), F.col("rule"))
     best = found.groupBy("address").agg(F.max_by(F.struct("rule", "verdict"), order).alias("b"))
     best = best.select(F.col("address").alias("_address"), "b.rule", F.col("b.verdict").alias("_verdict"))
