@@ -98,3 +98,25 @@ def test_salted_cap_equals_plain_window(spark):
     w = Window.partitionBy("dept").orderBy("id", "name")
     want = {tuple(r) for r in df.withColumn("_rn", F.row_number().over(w)).where("_rn <= 37").drop("_rn").collect()}
     assert got == want and len(got) == 37 * 4
+
+
+def test_fixed_values_stated_once_more(spark):
+    """Literals that the SQL side shares with the code, checked here on their own."""
+    from lotlens import params
+    from lotlens.functions.expressions import price_color
+    from lotlens.functions.geo import lambert93_to_lonlat
+    # the projection's origin, by its public definition, and the Pantheon in Paris to a metre or so
+    pts = spark.createDataFrame([(700000.0, 6600000.0), (652391.0, 6861029.0)], "x double, y double")
+    ll = [r.p for r in pts.select(lambert93_to_lonlat(F.col("x"), F.col("y")).alias("p")).collect()]
+    assert abs(ll[0].x - 3.0) < 1e-9 and abs(ll[0].y - 46.5) < 1e-6
+    assert abs(ll[1].x - 2.351) < 0.02 and abs(ll[1].y - 48.847) < 0.02
+    assert len(params.DEPT_TO_REGION) == 101 and "20" not in params.DEPT_TO_REGION
+    assert [params.DEPT_TO_REGION[d] for d in ("75", "2A", "13", "69", "974")] == ["11", "94", "93", "84", "04"]
+    assert params.SIMPLIFY_TOLERANCE == {"country": 1500.0, "region": 300.0, "departement": 150.0, "canton": 100.0,
+                                         "commune": 30.0, "arrondissement": 30.0}
+    assert params.PARCEL_SIMPLIFY_TOLERANCE == 0.5 and params.COORD_PRECISION == 5
+    colors = spark.createDataFrame([(1000.0,), (4000.0,), (12000.0,), (2500.0,)], "p double")
+    got = [r.c for r in colors.select(price_color(F.col("p")).alias("c")).collect()]
+    assert got[:3] == ["#27ae60", "#f1c40f", "#ff0000"] and got[3] == "#8cb938"
+    d = params.DEFAULT
+    assert (d.min_price_m2, d.max_price_m2, d.min_sales, d.sale_nature) == (100.0, 50000.0, 5, "Vente")
