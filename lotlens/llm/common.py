@@ -26,13 +26,16 @@ def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int
     """``df`` written to the shared folder and read back: cuts the lineage, so a
     lost executor re-reads files instead of recomputing what led to them.
 
-    Where a bound on its ``rows`` is known, the last stage has as many tasks as
-    they need, so that small tables don't become hundreds of small files.
+    Where a bound on its ``rows`` is known and they fit in fewer files than a
+    shuffle has partitions, they are dealt out to that many, so that small
+    tables don't become hundreds of small files. (``coalesce`` would run the
+    sorts and joins below in those few tasks, with all their memory.)
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // rows_per_file)))
+    files = None if rows is None else max(1, -(-rows // rows_per_file))
+    if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
