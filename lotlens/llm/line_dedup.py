@@ -5,7 +5,8 @@ hold one of them as a substring, at a place that is bounded by the two lengths
 and the segment's number. Segments and the substrings that can equal them are
 hashed together with (length, segment number) and meet in one shuffle of short
 rows; pairs are verified by a banded bit-parallel edit distance. Linked lines
-form classes; of each class the first occurrence stays.
+form classes; of each class the first occurrence stays. Short lines may differ by
+fewer edits, in proportion; equal lines are one class at any length.
 """
 
 from __future__ import annotations
@@ -37,15 +38,29 @@ def segments(n: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, threshold: int) -> Iterator[tuple[int, int, int, int]]:
+def allowed(n: int, threshold: int, min_chars: int) -> int:
+    """Edits between a line of ``n`` signs and one as long or longer: ``threshold``
+    from ``min_chars`` signs on, the same share of the signs below."""
+    return threshold if n >= min_chars else threshold * n // min_chars
+
+
+def least_chars(threshold: int, min_chars: int) -> int:
+    """The fewest signs with which an edit is allowed."""
+    return -(-min_chars // threshold) if threshold else min_chars
+
+
+def probes(n: int, threshold: int, min_chars: int = 0) -> Iterator[tuple[int, int, int, int]]:
     """(indexed length, segment number, start, length) of the substrings of a line
     of ``n`` signs that a line of the indexed length (``n`` or shorter) can share
-    as its segment. Before segment i there are at most i edits, after it at most
-    threshold - i (a segment further left would match otherwise)."""
+    as its segment. With k edits allowed there are at most i before segment i and
+    at most k - i after it (a segment further left would match otherwise)."""
     for longer in range(threshold + 1):
-        for i, (p, size) in enumerate(segments(n - longer, threshold + 1)):
-            low = max(p - i, p + longer - (threshold - i), 0)
-            high = min(p + i, p + longer + (threshold - i), n - size)
+        k = allowed(n - longer, threshold, min_chars)
+        if longer > k:
+            continue
+        for i, (p, size) in enumerate(segments(n - longer, k + 1)):
+            low = max(p - i, p + longer - (k - i), 0)
+            high = min(p + i, p + longer + (k - i), n - size)
             for start in range(low, high + 1):
                 if longer or start != p:  # the line's own segments are indexed anyway
                     yield n - longer, i, start, size
@@ -141,15 +156,15 @@ def _signatures(threshold: int, min_chars: int):
     mark is the line's sketch, with a bit set for probes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[int, list] = {}
-        for block in _new_lines(batches, min_chars, 4000):
+        for block in _new_lines(batches, least_chars(threshold, min_chars), 4000):
             keys: list[int] = []
             kinds: list[int] = []
             rows: list[int] = []
             for name, line in block:
                 n = len(line)
                 if n not in places:
-                    own = [(n, i, p, size) for i, (p, size) in enumerate(segments(n, threshold + 1))]
-                    all_ = own + list(probes(n, threshold))
+                    own = [(n, i, p, size) for i, (p, size) in enumerate(segments(n, allowed(n, threshold, min_chars) + 1))]
+                    all_ = own + list(probes(n, threshold, min_chars))
                     places[n] = [[(p, p + size, l * (threshold + 1) + i) for l, i, p, size in all_],
                                  [0] * len(own) + [1] * (len(all_) - len(own))]
                 where, kind = places[n]
@@ -326,20 +341,22 @@ def _texts(texts: DataFrame, pairs: DataFrame, min_chars: int, bits: int) -> Dat
 def line_links(texts: DataFrame, threshold: int = 2, min_chars: int = 24, bits: int = 23,
                n_lines: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """(u, v) ids of different lines of ``texts`` (one column) with an edit
-    distance of at most ``threshold`` signs; every such pair once. ``n_lines``:
+    distance of at most ``threshold`` signs (of what ``allowed`` says for the
+    shorter line); every such pair once. ``n_lines``:
     a bound on their number, if known, to size the tasks that write;
     ``block_rows``: how many rows of one segment a task holds."""
     if min_chars <= threshold:
         raise ValueError("a line must have more signs than the threshold")
     rows = texts.mapInArrow(_signatures(threshold, min_chars), "key long, id long, mark long")
     pairs = written(_all_candidates(rows, threshold, block_rows, n_lines), "line-pairs", rows=n_lines)
-    lines = written(_texts(texts, pairs, min_chars, bits), "line-texts", rows=n_lines)
+    lines = written(_texts(texts, pairs, least_chars(threshold, min_chars), bits), "line-texts", rows=n_lines)
     left = lines.select(F.col("short").alias("a"), F.col("line_id").alias("u"), F.col("line").alias("_x"))
     right = lines.select(F.col("short").alias("b"), F.col("line_id").alias("v"), F.col("line").alias("_y"))
 
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for xs, ys in batches:
-            yield pa.array([within(x.as_py(), y.as_py(), threshold) for x, y in zip(xs, ys)], pa.bool_())
+            both = [(x.as_py(), y.as_py()) for x, y in zip(xs, ys)]
+            yield pa.array([within(x, y, allowed(min(len(x), len(y)), threshold, min_chars)) for x, y in both], pa.bool_())
     check.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     both = pairs.join(left, "a").join(right, "b")
     return both.where(F.arrow_udf(check, "boolean")("_x", "_y")).select("u", "v")
@@ -350,17 +367,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thre
     """Per row: id, n_lines, n_links, n_dropped, dropped (line numbers from 0).
 
     Lines are cut at line feeds and compared without white space at their ends.
-    Equal lines, and lines linked by chains of at most ``threshold`` edits, are
-    one class; its first line by (id, row, number) stays, the others are
-    dropped (in ascending order). n_links counts, over the row's lines, the
-    different lines each is linked with. Lines of fewer than ``min_chars`` signs always stay. A null text
-    has no lines, an empty one has one; null ids come last; repeated rows are
+    Equal lines of any length, and lines linked by chains of at most
+    ``threshold`` edits, are one class; its first line by (id, row, number)
+    stays, the others are dropped (in ascending order). Where the shorter of two
+    lines has fewer than ``min_chars`` signs, the same share of its signs may
+    differ, rounded down (of 24 and 2: one edit from 12 signs on, none below).
+    n_links counts, over the row's lines, the different lines each is linked
+    with. Lines of white space alone always stay. A null text has no lines, an empty one has one; null ids come last; repeated rows are
     later occurrences. An empty table gives an empty result; other columns are
     not read.
     """
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [long_lines(t.as_py(), min_chars) for t in texts]
+            found = [long_lines(t.as_py(), 1) for t in texts]
             yield pa.StructArray.from_arrays(
                 [pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())),
                  pa.array([[_line_id(s) for _, s in x] for x in found], pa.list_(pa.binary()))], names=["number", "line"])

@@ -268,6 +268,64 @@ def test_line_dedup(spark, k):
     assert all(r.n_dropped == len(r.dropped) for r in got)
 
 
+def short_want(rows, k=2, min_chars=24):
+    """(id, n_links, dropped) with every line that is not blank: full edits from
+    ``min_chars`` signs on, their share below."""
+    occ = defaultdict(list)
+    for row, (i, t, *_) in enumerate(rows):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                occ[line.strip()].append((i is None, i or 0, row, n))
+    lines = sorted(occ, key=len)
+    p, find = union_find(len(lines))
+    links = defaultdict(int)
+    for i, a in enumerate(lines):
+        edits = min(k, k * len(a) // min_chars)  # the later ones are as long or longer
+        for j in range(i + 1, len(lines) if edits else 0):
+            if len(lines[j]) - len(a) > edits:
+                break
+            if ld.within(a, lines[j], edits):
+                p[find(i)] = find(j)
+                links[a] += 1
+                links[lines[j]] += 1
+    classes = defaultdict(list)
+    for i, line in enumerate(lines):
+        classes[find(i)] += occ[line]
+    drops, n_links = defaultdict(list), defaultdict(int)
+    for line, places in occ.items():
+        for _, _, row, _ in places:
+            n_links[row] += links[line]
+    for places in classes.values():
+        for _, _, row, n in sorted(places)[1:]:
+            drops[row].append(n)
+    return [(i, n_links[row], sorted(drops[row])) for row, (i, *_) in enumerate(rows)]
+
+
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "All rights reserved.\nOf.\n \na\nHe said.", ""), (2, " All rights reserved.\nOf.\n\na\nShe said.", ""),
+            (3, "All rights reserve.\nIf.\n\nb\nAll right reserve.", "")]
+    got = {r.doc_id: (r.n_links, r.dropped) for r in ld.line_dedup(docs_frame(spark, rows)).collect()}
+    assert got == {1: (1, []), 2: (1, [0, 1, 3]), 3: (3, [0, 4])}
+
+
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdeé ", k=rng.randint(1, 27))) for _ in range(40)]
+    rows = []
+    for i in range(50):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            s = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                at = rng.randrange(len(s) + 1)
+                s[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+            lines.append("".join(s))
+        rows.append((i, "\n".join(lines), ""))
+    for k, least in ((2, 24), (3, 12), (1, 5)):
+        got = ld.line_dedup(docs_frame(spark, rows).coalesce(1), threshold=k, min_chars=least).collect()
+        assert sorted((r.doc_id, r.n_links, r.dropped) for r in got) == short_want(rows, k, least)
+
+
 def test_line_links_lists_each_pair_once(spark):
     lines = ["the quick brown fox jumps", "the quick brown fox jumped", "the quick brown fix jumps", "something else entirely"]
     got = ld.line_links(spark.createDataFrame([(x,) for x in lines * 3], "t string"), 2, 8).collect()

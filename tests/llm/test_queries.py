@@ -43,6 +43,13 @@ def test_line_query_against_brute_force(spark):
         {(i, n, links, ",".join(map(str, d))) for i, n, links, d in lines_want(rows, 2, 24)}
 
 
+def test_line_query_takes_lines_of_every_length(spark):
+    from tests.llm.test_dedup import short_want
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").orderBy("doc_id").collect()]
+    got = entry.queries()["op8_line_dedup"](spark, SF001).collect()
+    assert {(r.doc_id, r.n_links, r.dropped) for r in got} == {(i, n, ",".join(map(str, d))) for i, n, d in short_want(rows)}
+
+
 COPY = "some words of a longer text that is not short at all and goes on"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
