@@ -13,7 +13,7 @@ confidence become spans.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -161,32 +161,63 @@ def _seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _seen.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 
+# Where a span can start or end inside a word (in lower case) that a cue is glued to.
+_STARTS = re.compile(r"(?<=[^0-9])(?=[0-9])|(?=\+)|(?<=[^0-9a-z])(?=\()|(?<=[^0-9a-z._%+-])(?=[0-9a-z._%+-])|(?<=[^0-9a-z:.])(?=:)")
+_ENDS = re.compile(r"(?<=[0-9])(?=[^0-9])|(?<=[0-9a-z-])(?=[^0-9a-z-])")
+
+
+def _plain(word: str) -> bool:
+    return word.isascii() and word.isalpha()
+
+
+def occurrences(texts: Iterable[list[str]], before: set[str], after: set[str], longest: int) -> Iterator[str]:
+    """The patterns that stand in texts, given as words: a pair as two whole words on either side,
+    the nearer of them also cut where a span can start (before) or end (after), as
+    ``contexts`` cuts it. ``longest``: signs of a pair's longest word."""
+    firsts, lasts = {p.partition(" ")[0] for p in before}, {p.partition(" ")[2] for p in after}
+    whole = firsts | {p.partition(" ")[0] for p in after}
+    for w, x in (pair for words in texts for pair in zip(words, words[1:])):
+        if w in whole:
+            pair = f"{w} {x}"
+            if pair in before:
+                yield "< " + pair
+            if pair in after:
+                yield "> " + pair
+        if w in firsts and not _plain(x):
+            for m in _STARTS.finditer(x[:longest + 1]):
+                if m.start() and (pair := f"{w} {x[:m.start()]}") in before:
+                    yield "< " + pair
+        if x in lasts and not _plain(w):
+            tail = w[-longest - 1:]
+            for m in _ENDS.finditer(tail):
+                if (pair := f"{tail[m.start():]} {x}") in after:
+                    yield "> " + pair
+
+
 def pattern_counts(texts: DataFrame, patterns: DataFrame, block_patterns: int) -> DataFrame:
-    """(pair, total): how often each word pair of ``patterns`` stands in ``texts``.
+    """(pattern, total): how often each of ``patterns`` stands in ``texts``.
 
-    The pairs are broadcast a block of bounded size at a time; the texts are
+    The patterns are broadcast a block of bounded size at a time; the texts are
     read once for every block.
     """
     bound = patterns.count()
-    pairs = written(patterns.select(F.substring("pattern", 3, 1 << 20).alias("pair")).distinct(), "pii-pairs", rows=bound)
+    patterns = written(patterns.select("pattern").distinct(), "pii-patterns", rows=bound)
     n_blocks = max(1, -(-bound // block_patterns))
     out = None
     for b in range(n_blocks):
-        block = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(n_blocks)) == b)
-        known = texts.sparkSession.sparkContext.broadcast({r["pair"] for r in block.toLocalIterator()})
+        block = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == b)
+        known = texts.sparkSession.sparkContext.broadcast({r["pattern"] for r in block.toLocalIterator()})
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            wanted, counts = known.value, {}
-            firsts = {p.partition(" ")[0] for p in wanted}
+            before, after = ({p[2:] for p in known.value if p[0] == side} for side in "<>")
+            longest, counts = max((len(w) for p in known.value for w in p.split(" ")), default=0), {}
             for batch in batches:
-                for text in batch.column(0):
-                    words = (text.as_py() or "").lower().split()
-                    for i, w in enumerate(words[:-1]):
-                        if w in firsts and (pair := f"{w} {words[i + 1]}") in wanted:
-                            counts[pair] = counts.get(pair, 0) + 1
+                words = ((text.as_py() or "").lower().split() for text in batch.column(0))
+                for pattern in occurrences(words, before, after, longest):
+                    counts[pattern] = counts.get(pattern, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["pair", "total"])
-        part = texts.mapInArrow(run, "pair string, total long").groupBy("pair").agg(F.sum("total").alias("total"))
+                                              pa.array(list(counts.values()), pa.int64())], names=["pattern", "total"])
+        part = texts.mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
         out = part if out is None else out.unionByName(part)
     return written(out, "pii-pattern-counts", rows=bound)
 
@@ -203,7 +234,7 @@ def score(edges: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
     for at in range(p.rounds):
         sums = scored.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"))
         matched = edges.groupBy("pattern").agg(F.sum("n").alias("matched"))
-        conf = (sums.join(matched, "pattern").withColumn("pair", F.substring("pattern", 3, 1 << 20)).join(totals, "pair")
+        conf = (sums.join(matched, "pattern").join(totals, "pattern", "left")  # greatest leaves nulls out
                 .select("pattern", "kind", (F.col("hit") / F.greatest("total", "matched")).alias("confidence")))
         conf = written(conf.where("confidence > 0"), "pii-confidence", rows=size)
         if at + 1 < p.rounds:

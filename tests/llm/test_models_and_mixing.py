@@ -239,3 +239,27 @@ def test_a_cue_that_mostly_stands_beside_other_things_finds_nothing(spark):
     rows = cue_docs() + [(100 + i, "they phone me at the office before noon most days") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(not r.added for r in pii.find_pii(df).collect())
+
+
+def added_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: [tuple(x) for x in r.added] for r in pii.find_pii(df).collect() if r.added}
+
+
+def test_cues_glued_to_the_identifier(spark):
+    rows = [(i, f"my tel:+1 (200) 555-{1000 + i}") for i in range(6)] + [(10, "my tel:0200 555 77 99"), (11, "mytel:0200 555 77 98")]
+    rows += [(20 + i, f"bob{i}@site.example.org), urgent") for i in range(6)] + [(30, "sue(at)site.example.org), urgent")]
+    assert added_of(spark, rows) == {10: [(7, 3, 21)], 30: [(0, 0, 23)]}
+    # the same cues, mostly beside other things
+    rows += [(100 + i, "my tel:none") for i in range(40)] + [(200 + i, "(so it is), urgent") for i in range(40)]
+    assert added_of(spark, rows) == {}
+
+
+def test_occurrences_hold_the_contexts_of_every_span():
+    for text in ("see <mailto:bob@x.org>, please do", "my tel:0200 555 77 99, or so", "Is a (0200)5557799) now yes", "at ip=10.0.0.1; then no",
+                 "or tel+1 (200) 555-1000/ b c", "Say \xe9bob@x.org\xe9 b c", "in [::1:2:3] b c", "me at 10.0.0.1 b c"):
+        spans = [(f["start"], f["end"]) for f in pii.look(text)["found"]]
+        want = {p for s, e in spans for p in pii.contexts(text, s, e)}
+        before, after = ({p[2:] for p in want if p[0] == side} for side in "<>")
+        assert spans and before and want == set(pii.occurrences([text.lower().split()], before, after, 200))
+    assert list(pii.occurrences([["me", "attend", "me", "at,"], ["me", "at"]], {"me at"}, set(), 9)) == ["< me at"]
