@@ -222,10 +222,22 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame, block_patterns: int) -
     return written(out, "pii-pattern-counts", rows=bound)
 
 
-def score(edges: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
+def matched_counts(rows: DataFrame) -> DataFrame:
+    """(pattern, matched): how often each pattern stands beside a span or candidate,
+    once for each place, whatever the number of kinds there."""
+    def place(f, near):
+        before = F.startswith(near, F.lit("<"))
+        return F.struct(near.alias("pattern"), F.when(before, f["start"]).otherwise(f["end"]).alias("at"))
+    places = F.flatten(F.transform("found", lambda f: F.transform(f["near"], lambda near: place(f, near))))
+    each = rows.select(F.explode(F.array_distinct(places)).alias("place"))
+    return each.groupBy(F.col("place.pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("matched"))
+
+
+def score(edges: DataFrame, totals: DataFrame, matched: DataFrame, p: Params) -> DataFrame:
     """(pattern, kind, confidence) after the rounds.
 
-    ``edges``: pattern, kind, value, seed, n. Seeds of a kind score 1 in it and
+    ``edges``: pattern, kind, value, seed, n; ``totals``: pattern, total;
+    ``matched``: pattern, matched. Seeds of a kind score 1 in it and
     0 in the others; candidates start at 0 and take 1 - prod(1 - confidence) of
     their patterns. A pattern's sums are aggregated before they are joined.
     """
@@ -233,7 +245,6 @@ def score(edges: DataFrame, totals: DataFrame, p: Params) -> DataFrame:
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for at in range(p.rounds):
         sums = scored.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"))
-        matched = edges.groupBy("pattern").agg(F.sum("n").alias("matched"))
         conf = (sums.join(matched, "pattern").join(totals, "pattern", "left")  # greatest leaves nulls out
                 .select("pattern", "kind", (F.col("hit") / F.greatest("total", "matched")).alias("confidence")))
         conf = written(conf.where("confidence > 0"), "pii-confidence", rows=size)
@@ -268,7 +279,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Par
     edges = written(edges.join(enough, "pattern", "left_semi"), "pii-edges", rows=size)
     patterns = edges.select("pattern").distinct()
     totals = pattern_counts(docs.select(F.col(text)), patterns, p.block_patterns)
-    sure = score(edges, totals, p).where(F.col("confidence") >= p.confidence)
+    matched = matched_counts(rows).join(patterns, "pattern", "left_semi")
+    sure = score(edges, totals, written(matched, "pii-matched", rows=size), p).where(F.col("confidence") >= p.confidence)
 
     added = (each.where("not seed").select("_row", "start", "end", F.explode("kinds").alias("kind"), "near")
              .withColumn("pattern", F.explode("near")).join(sure, ["pattern", "kind"])

@@ -263,3 +263,10 @@ def test_occurrences_hold_the_contexts_of_every_span():
         before, after = ({p[2:] for p in want if p[0] == side} for side in "<>")
         assert spans and before and want == set(pii.occurrences([text.lower().split()], before, after, 200))
     assert list(pii.occurrences([["me", "attend", "me", "at,"], ["me", "at"]], {"me at"}, set(), 9)) == ["< me at"]
+
+
+def test_a_candidate_of_two_kinds_counts_once(spark):
+    rows = [(i, f"please phone me at +1 (200) 555-{1000 + i} before noon today") for i in range(16)]
+    # 12 digits: card or phone; 16 of 20 occurrences beside a seed are 0.8
+    rows += [(100 + i, f"please phone me at 0200 5557 {1000 + i} before noon today") for i in range(4)]
+    assert added_of(spark, rows) == {100 + i: [(19, 3, 33)] for i in range(4)}
