@@ -597,6 +597,10 @@ FROM customer"""
 SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
 FROM (SELECT code_departement, CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3 AS bad
       FROM lots WHERE surface_reelle_bati IS NOT NULL) GROUP BY ALL"""
+    q["csv_rejects_all"] = with_(PLACES, LOTS) + """
+SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
+FROM (SELECT code_departement, coalesce(CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3, false) AS bad
+      FROM lots) GROUP BY ALL"""
     q["stats_cache_roundtrip"] = with_(*all_stats) + \
         "SELECT level, code, median_price_m2, q25, q75, n_sales FROM all_stats"
 

@@ -321,18 +321,29 @@ def csv_mixed_headers(spark, sf_dir):
     return materialize(build, spark, "csv_mixed_headers", sf_dir)
 
 
-def csv_rejects(spark, sf_dir):
-    """Valid and malformed rows per department, after damaging the dates of some."""
-    src = table_path(spark, key_for("csv_damaged", CODE_VERSION, sf_dir))
+def _csv_damaged(spark, sf_dir, name, counted):
+    """Valid and malformed rows per department, of those that are ``counted``: all
+    lots are written, with the dates of some damaged, and read again."""
+    src = table_path(spark, key_for(name + "_files", CODE_VERSION, sf_dir))
 
     def build():
-        lots = _lots(spark, sf_dir).where(F.col("surface_reelle_bati").isNotNull())
-        csv_lots.write_french_csv(lots, src, damaged=F.round("surface_reelle_bati").cast("long") % 7 == 3)
+        damaged = F.coalesce(F.round("surface_reelle_bati").cast("long") % 7 == 3, F.lit(False))
+        csv_lots.write_french_csv(_lots(spark, sf_dir), src, damaged=damaged)
         valid, rejects = csv_lots.ingest(spark, src + "/*.csv", src + "-parsed")
-        both = (valid.select("code_departement", F.lit(1).alias("v"), F.lit(0).alias("r"))
-                .unionByName(rejects.select("code_departement", F.lit(0).alias("v"), F.lit(1).alias("r"))))
+        both = (valid.where(counted).select("code_departement", F.lit(1).alias("v"), F.lit(0).alias("r"))
+                .unionByName(rejects.where(counted).select("code_departement", F.lit(0).alias("v"), F.lit(1).alias("r"))))
         return both.groupBy("code_departement").agg(F.sum("v").alias("valid"), F.sum("r").alias("rejected"))
-    return materialize(build, spark, "csv_rejects", sf_dir)
+    return materialize(build, spark, name, sf_dir)
+
+
+def csv_rejects(spark, sf_dir):
+    """Counts of the lots with a surface, as its SQL has them."""
+    return _csv_damaged(spark, sf_dir, "csv_rejects", F.col("surface_reelle_bati").isNotNull())
+
+
+def csv_rejects_all(spark, sf_dir):
+    """Counts of all lots, those without a surface too."""
+    return _csv_damaged(spark, sf_dir, "csv_rejects_all", F.lit(True))
 
 
 def stats_cache_roundtrip(spark, sf_dir):
@@ -416,6 +427,7 @@ def build() -> dict[str, Query]:
         _t(s, d), F.col("dept_code"), where=F.col("total_surface") >= 100)
     q["commune_stats_one_dept"] = lambda s, d: stats.commune_stats(_t(s, d).where(F.col("dept_code") == "75"))
     q["csv_rejects"] = csv_rejects
+    q["csv_rejects_all"] = csv_rejects_all
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
     q["parcel_tiles"] = parcel_tiles

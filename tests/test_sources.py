@@ -34,6 +34,17 @@ def test_csv_rejects_and_keeps(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, lots.collect()))
 
 
+def test_all_lots_are_written_and_counted(spark):
+    from lotlens.plans import registry
+    got = registry.build()["csv_rejects_all"](spark, SF001).select(F.sum("valid"), F.sum("rejected")).first()
+    lots = fixtures.lots(spark, SF001)
+    no_surface = lots.where(F.col("surface_reelle_bati").isNull()).count()
+    some = registry.build()["csv_rejects"](spark, SF001).select(F.sum("valid"), F.sum("rejected")).first()
+    assert no_surface > 0 and got[0] + got[1] == lots.count()
+    assert got[0] == some[0] + no_surface and got[1] == some[1] > 0
+    print("valid, rejected:", tuple(some), tuple(got))
+
+
 def test_stats_json_round_trip(spark):
     s = spark.createDataFrame([("commune", "75101", None, 12770.0, 10509.0, 15440.0, 1622),
                                ("country", "FR", None, 3000.0, None, 4000.0, 10)],
