@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -40,6 +41,13 @@ def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are written: Spark's cleaner
+    drops them once the driver has collected the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also maps letters beyond ASCII)."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -17,38 +17,84 @@ earliest stays. So no window is compared with all its equals, however many there
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.llm.common import written
+from lotlens.llm.common import release, written
 
 GRAM = 6
+#: Texts are hashed this many bytes at a time.
+_BYTES = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 1 << 16
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words; those of short words are kept, a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 1 << 18:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def word_hashes(words: list[bytes], cache: _WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+_SEPARATOR = re.compile(rb"[ \t-\r]")
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, ...]:
+    """Separators, a random number for each byte, the multiplier's powers and their inverses."""
+    separator = np.zeros(256, bool)
+    separator[[0x20, *range(9, 14)]] = True
+    of_byte = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+    powers, inverses = (np.full(_BYTES + 1, m, np.uint64) for m in (_MULTIPLIER, pow(int(_MULTIPLIER), -1, 1 << 64)))
+    powers[0] = inverses[0] = 1
+    return separator, of_byte, np.multiply.accumulate(powers), np.multiply.accumulate(inverses)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _hash_piece(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of at most ``_BYTES`` bytes: differences of one
+    running sum over all bytes; words of over 64 bytes are hashed one by one."""
+    separator, of_byte, powers, inverses = _tables()
+    raw = np.frombuffer(body, np.uint8)
+    edges = np.flatnonzero(np.diff(~separator[raw], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(of_byte[raw] * powers[:len(raw)], out=total[1:])
+    h = _mixed((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > 64):
+        h[i] = xxhash.xxh3_64_intdigest(body[starts[i]:ends[i]])
+    return starts, h
+
+
+def hash_texts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, number of words of each text)."""
+    joined = b" ".join(bodies)
+    begins = np.cumsum([0, *(len(x) + 1 for x in bodies[:-1])])
+    starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while at < len(joined):
+        stop = len(joined)
+        if stop - at > _BYTES:  # up to the last separator that fits, or past a word that doesn't
+            last = max(joined.rfind(c, at + 1, at + _BYTES) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+            if last < 0:
+                found = _SEPARATOR.search(joined, at + 1)
+                last = found.start() if found else stop
+            stop = last
+        if stop - at > _BYTES:  # one word
+            word = joined[at:stop].lstrip(b" \t\n\r\v\f")
+            place, h = np.array([stop - at - len(word)]), np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)
+        else:
+            place, h = _hash_piece(joined[at:stop])
+        starts.append(place + at)
+        hashes.append(h)
+        at = stop
+    starts = np.concatenate(starts)
+    return np.concatenate(hashes), np.diff(np.searchsorted(starts, begins), append=len(starts))
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -57,9 +103,7 @@ def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(size):
         out = out * _MULTIPLIER + h[j:j + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    return _mixed(out)
 
 
 def selected(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,39 +114,58 @@ def selected(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at, value = np.empty(n, np.int64), np.empty(n, np.uint64)
-    for start in range(0, n, _STEP):  # bounds the temporary arrays of a very long text
-        stop = min(start + _STEP, n)
+    low = np.uint64(0xFFFF)  # of a gram's 64 bits 48 are compared, the rest hold its place
+    step = 0x10000 - width
+    for start in range(0, n, step):
+        stop = min(start + step, n)
         grams = gram_hashes(h[start:stop + window - 1], size)
-        place = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(stop - start)
+        least, span = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
+        while 2 * span <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[:stop - start], least[width - span:][:stop - start])
+        place = (least & low).astype(np.int64)
         at[start:stop], value[start:stop] = place + start, grams[place]
     return at, value
 
 
-def anchors_of(h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(place, hash, first window, last window) of each anchor of a text."""
+def anchors_of(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(place, hash, first window, last window) of the anchors of all texts, as places
+    in ``h``; no window reaches from one text into the next."""
     at, value = selected(h, window)
+    ends = np.repeat(np.cumsum(counts), counts)[:len(at)]
+    inside = np.flatnonzero(np.arange(len(at)) + window <= ends)
+    at, value = at[inside], value[inside]
     if not len(at):
         return at, value, at, at
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[new], value[new], new, np.append(new[1:], len(at)) - 1
+    return at[new], value[new], inside[new], inside[np.append(new[1:], len(at)) - 1]
+
+
+def _runs(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are hashed together."""
+    start = size = 0
+    for i, body in enumerate(bodies):
+        if size and size + len(body) >= _BYTES:
+            yield start, i
+            start, size = i, 0
+        size += len(body) + 1
+    if bodies:
+        yield start, len(bodies)
 
 
 def _anchor_rows(schema: pa.Schema, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
         for batch in batches:
-            ids, keys, bodies = batch.columns
-            for start in range(0, batch.num_rows, 256):
-                rows, places, hashes = [], [], []
-                for i in range(start, min(start + 256, batch.num_rows)):
-                    at, value, _, _ = anchors_of(word_hashes(bodies[i].as_py().split(), cache), window)
-                    rows.append(np.full(len(at), i))
-                    places.append(at)
-                    hashes.append(value)
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(hashes).view(np.int64)), ids.take(take), keys.take(take),
-                    pa.array(np.concatenate(places).astype(np.int32))], schema=schema)
+            bodies = batch.column(2).to_pylist()
+            for start, stop in _runs(bodies):
+                h, counts = hash_texts(bodies[start:stop])
+                at, value, _, _ = anchors_of(h, counts, window)
+                row = np.repeat(np.arange(stop - start), counts)[at]
+                local = at - (np.cumsum(counts) - counts)[row]
+                take = pa.array(row + start)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(take),
+                                                  batch.column(1).take(take), pa.array(local.astype(np.int32))], schema=schema)
     return run
 
 
@@ -110,109 +173,127 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _lists(starts: np.ndarray, values: np.ndarray, type_: pa.DataType) -> pa.Array:
+    """``values`` cut at ``starts``."""
+    return pa.ListArray.from_arrays(np.append(starts, len(values)).astype(np.int32), pa.array(values.astype(np.int32))).cast(type_)
+
+
+def _structs(parents: np.ndarray, rows: int, columns: list[pa.Array], type_: pa.ListType) -> pa.Array:
+    """A list of structs for each of ``rows``; ``parents`` ascend."""
+    structs = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, type_.value_type)],
+                                         fields=list(type_.value_type))
+    return pa.ListArray.from_arrays(np.searchsorted(parents, np.arange(rows + 1)).astype(np.int32), structs).cast(type_)
+
+
 def _parse_rows(schema: pa.Schema, window: int, block: int):
     """A document and its anchors that others share -> the blocks that it offers,
-    the slices that it has parsed elsewhere, and its result if there are none."""
-    def slices(h: np.ndarray, hits: dict) -> list[dict]:
-        places, _, low, high = anchors_of(h, window)
-        of = {}
-        for at, lo, hi in zip(places.tolist(), low.tolist(), high.tolist()):
-            if at in hits:
-                ref = hits[at]
-                of.setdefault((ref["ref_id"], ref["ref_key"], ref["ref_pos"] // block), []).append(
-                    (lo, hi, at, ref["ref_pos"]))
-        out = []
-        for (ref_id, ref_key, chunk), spots in of.items():
-            start = 0
-            for i in range(1, len(spots) + 1):
-                if i < len(spots) and spots[i][0] <= spots[i - 1][1] + window:
-                    continue  # the slices of both touch
-                part = spots[start:i]
-                lo = part[0][0]
-                lows, highs, ats, ref_ats = zip(*part)
-                out.append({"ref_id": ref_id, "ref_key": ref_key, "chunk": chunk, "start": lo,
-                            "words": h[lo:part[-1][1] + window].tobytes(), "low": lows, "high": highs,
-                            "at": ats, "ref_at": ref_ats})
-                start = i
-        return out
+    the slices that are parsed elsewhere, and its result if there are none."""
+    ref_type, slice_type = schema.field("refs").type, schema.field("slices").type
+
+    def chunk(batch: pa.RecordBatch, bodies: list[bytes]) -> pa.RecordBatch:
+        rows = batch.num_rows
+        h, counts = hash_texts(bodies)
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        parent = pc.list_parent_indices(batch.column(3)).to_numpy()
+        hit = dict(zip(("pos", "first", "ref_id", "ref_key", "ref_pos"), batch.column(3).flatten().flatten()))
+        pos, first, ref_pos = (hit[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "first", "ref_pos"))
+        spot = begins[parent] + pos  # rows that repeat id and text bring the same hits more than once
+        own = np.unique(np.stack([parent, pos // block])[:, first == 1], axis=1)
+        refs = [(np.maximum(c * block - window, 0), h[begins[r]:ends[r]]) for r, c in own.T]
+        refs = [pa.array(own[1]), pa.array([lo for lo, _ in refs], pa.int32()),
+                pa.array([x[lo:(c + 1) * block + window].tobytes() for (lo, x), c in zip(refs, own[1])], pa.binary())]
+
+        other = np.flatnonzero(first == 0)
+        other = other[np.unique(spot[other], return_index=True)[1]]
+        row, spot, ref_pos = parent[other], spot[other], ref_pos[other]
+        places, _, low, high = anchors_of(h, counts, window)
+        nth = np.searchsorted(places, spot)
+        low, high = low[nth], high[nth]
+        key, taken = hit["ref_key"].to_numpy()[other], pa.array(other)
+        id_code = hit["ref_id"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[other]
+        new = np.ones(len(other), bool)
+        if len(other):
+            changed = [x[1:] != x[:-1] for x in (row, key, id_code, ref_pos // block)]
+            new[1:] = np.logical_or.reduce([*changed, low[1:] > high[:-1] + window])
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(other))[:len(start)] - 1
+        shift = begins[row]
+        words = [h[a:b + window].tobytes() for a, b in zip(low[start], high[last])]
+        ints = [_lists(start, x, slice_type.value_type.field("low").type) for x in (low - shift, high - shift, spot - shift, ref_pos)]
+        first_of = taken.take(pa.array(start))
+        slices = [hit["ref_id"].take(first_of), hit["ref_key"].take(first_of), pa.array(ref_pos[start] // block),
+                  pa.array((low - shift)[start]), pa.array(words, pa.binary()), *ints]
+        pending = np.zeros(rows, bool)
+        pending[row] = True
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(counts),
+            pa.array([None if p else _sha(x.split()) for p, x in zip(pending, bodies)], pa.string()),
+            pa.array([x if p else None for p, x in zip(pending, bodies)], pa.binary()),
+            _structs(own[0], rows, refs, ref_type), _structs(row[start], rows, slices, slice_type)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                out = {name: [] for name in schema.names}
-                for row in batch.slice(start, 64).to_pylist():
-                    words = row["_body"].split()
-                    elsewhere, chunks = {}, set()
-                    for hit in row["hits"] or ():
-                        if hit["first"]:
-                            chunks.add(hit["pos"] // block)
-                        else:
-                            elsewhere[hit["pos"]] = hit
-                    h = word_hashes(words, cache) if chunks or elsewhere else None
-                    refs = []
-                    for chunk in sorted(chunks):
-                        lo = max(0, chunk * block - window)
-                        refs.append({"chunk": chunk, "start": lo,
-                                     "words": h[lo:(chunk + 1) * block + window].tobytes()})
-                    out["_id"].append(row["_id"])
-                    out["_key"].append(row["_key"])
-                    out["n_words"].append(len(words))
-                    out["sha"].append(None if elsewhere else _sha(words))
-                    out["body"].append(row["_body"] if elsewhere else None)
-                    out["refs"].append(refs)
-                    out["slices"].append(slices(h, elsewhere) if elsewhere else [])
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            bodies = batch.column(2).to_pylist()
+            for start, stop in _runs(bodies):
+                yield chunk(batch.slice(start, stop - start), bodies[start:stop])
     return run
 
 
-def factors(words: np.ndarray, start: int, ref: np.ndarray, ref_start: int,
-            at: list[int], ref_at: list[int]) -> Iterator[tuple[int, int, int]]:
-    """The greedy parse of a slice against a block: for each anchor the number of
-    the factor that holds it and that factor's bounds in the document."""
-    begin = end = shift = 0
-    number = -1
-    for p, q in zip(at, ref_at):
-        if number < 0 or p - q != shift or not begin <= p < end:
-            shift, i, j = p - q, p - start, q - ref_start
-            n = min(len(words) - i, len(ref) - j)
-            differ = words[i:i + n] != ref[j:j + n]
-            right = int(differ.argmax()) if differ.any() else n
-            n = min(i, j)
-            differ = words[i - n:i][::-1] != ref[j - n:j][::-1]
-            left = int(differ.argmax()) if differ.any() else n
-            begin, end = p - left, p + right
-            number += 1
-        yield number, begin, end
+def factors(words: np.ndarray, start: int, ref: np.ndarray, ref_start: int, at: np.ndarray,
+            ref_at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """The greedy parse of a slice against a block: (first anchor, end of anchors, begin
+    and end in the document) of each factor."""
+    shift, i = at - ref_at, 0
+    while i < len(at):
+        p, q = int(at[i]) - start, int(ref_at[i]) - ref_start
+        n = min(len(words) - p, len(ref) - q)
+        differ = words[p:p + n] != ref[q:q + n]
+        right = int(differ.argmax()) if differ.any() else n
+        n = min(p, q)
+        differ = words[p - n:p][::-1] != ref[q - n:q][::-1]
+        left = int(differ.argmax()) if differ.any() else n
+        begin, end = start + p - left, start + p + right
+        outside = (shift[i + 1:] != shift[i]) | (at[i + 1:] >= end)
+        j = i + 1 + (int(outside.argmax()) if outside.any() else len(outside))
+        yield i, j, begin, end
+        i = j
 
 
 def _factor_rows(schema: pa.Schema, window: int):
+    def parse(start: int, words: np.ndarray, ref_start: int, ref: np.ndarray, same_doc: bool,
+              at: np.ndarray, ref_at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list, list]:
+        spans, checks = [], []
+        for i, j, a, b in factors(words, start, ref, ref_start, at, ref_at):
+            if b - a >= window and not (same_doc and ref_at[i] >= at[i]):
+                spans.append((a, b))
+            crossing = np.flatnonzero((low[i:j] < a) | (high[i:j] + window > b)) + i
+            for k in crossing:  # the anchors' windows that cross the factor's boundary
+                for s in range(low[k], high[k] + 1):
+                    if s < a or s + window > b:
+                        digest = xxhash.xxh3_128_digest(words[s - start:s - start + window].tobytes())
+                        checks.append((*np.frombuffer(digest, np.int64).tolist(), s))
+        return spans, checks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 128):
-                out = {name: [] for name in schema.names}
-                for row in batch.slice(part, 128).to_pylist():
-                    words = np.frombuffer(row["words"], np.uint64)
-                    ref = np.frombuffer(row["ref_words"], np.uint64)
-                    same_doc, start = row["same_doc"], row["start"]
-                    spans, checks = [], []
-                    parse = factors(words, start, ref, row["ref_start"], row["at"], row["ref_at"])
-                    last = -1
-                    for (number, a, b), p, q, lo, hi in zip(parse, row["at"], row["ref_at"], row["low"], row["high"]):
-                        if number != last and b - a >= window and not (same_doc and q >= p):
-                            spans.append({"a": a, "b": b})
-                        last = number
-                        # this anchor's windows that cross the factor's boundary
-                        inside = range(max(lo, a), min(hi, b - window) + 1)
-                        for s in (range(lo, hi + 1) if not inside else (*range(lo, inside.start), *range(inside.stop, hi + 1))):
-                            digest = xxhash.xxh3_128_digest(words[s - start:s - start + window].tobytes())
-                            one, two = np.frombuffer(digest, np.int64).tolist()
-                            checks.append({"one": one, "two": two, "at": s})
-                    out["_id"].append(row["_id"])
-                    out["_key"].append(row["_key"])
-                    out["spans"].append(spans)
-                    out["checks"].append(checks)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            col = {n: batch.column(n) for n in batch.schema.names}
+            lists = {n: (col[n].flatten().to_numpy(), np.append(0, np.cumsum(col[n].value_lengths().to_numpy())))
+                     for n in ("at", "ref_at", "low", "high")}
+            starts, ref_starts, same = (col[n].to_pylist() for n in ("start", "ref_start", "same_doc"))
+            found = []
+            for r in range(batch.num_rows):
+                words, ref = (np.frombuffer(col[n][r].as_buffer(), np.uint64) for n in ("words", "ref_words"))
+                found.append(parse(starts[r], words, ref_starts[r], ref, same[r],
+                                   *(v[o[r]:o[r + 1]] for v, o in lists.values())))
+            out = [col["_id"], col["_key"]]
+            for k, width in ((0, 2), (1, 3)):
+                rows = [(r, *x) for r, both in enumerate(found) for x in both[k]]
+                parents, *values = zip(*rows) if rows else [()] * (width + 1)
+                type_ = schema[2 + k].type
+                out.append(_structs(np.array(parents, np.int64), batch.num_rows,
+                                    [pa.array(v, f.type) for v, f in zip(values, type_.value_type)], type_))
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
     return run
 
 
@@ -272,9 +353,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_body"))
 
     hashed = T.StructType([T.StructField("_h", T.LongType()), *ident, T.StructField("_pos", T.IntegerType())])
+    if not 2 <= window <= 10_000:
+        raise ValueError("window must be 2 to 10,000 words")
     anchors = _mapped(rows, _anchor_rows, hashed, window)
     index = written(anchors.groupBy("_h").agg(F.min(_place("_id", "_pos", "_key")).alias("ref"), F.count("*").alias("n"))
                     .where("n > 1").select("_h", "ref"), "substring-index")
+    release(docs.sparkSession)
 
     first = F.col("_id").eqNullSafe(F.col("ref.id")) & (F.col("_pos") == F.col("ref._pos")) & \
         (F.col("_key") == F.col("ref._key"))
@@ -295,6 +379,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             *(T.StructField(c, ints) for c in ("low", "high", "at", "ref_at"))])))])
     parsed = written(_mapped(joined.select("_id", "_key", "_body", "hits"), _parse_rows, parsed, window, block),
                      "substring-slices")
+    release(docs.sparkSession)
 
     # rows that repeat id and text offer the same blocks
     refs = (parsed.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.explode("refs").alias("r"))
@@ -310,6 +395,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = written(_mapped(pairs.select(
         "_id", "_key", F.col("_id").eqNullSafe(F.col("ref_id")).alias("same_doc"), "start", "words", "low", "high", "at",
         "ref_at", "ref_start", "ref_words"), _factor_rows, found, window), "substring-factors")
+    release(docs.sparkSession)
 
     crossing = found.select("_id", "_key", F.explode("checks").alias("c")).select("_id", "_key", "c.*")
     earliest = (crossing.groupBy("one", "two").agg(F.min(_place("_id", "at")).alias("ref"), F.count("*").alias("n"))

@@ -96,13 +96,28 @@ def test_anchors_depend_on_the_window_alone(words, window):
     of = {}
     for s in range(len(at)):
         assert of.setdefault(tuple(words[s:s + window]), (at[s] - s, value[s])) == (at[s] - s, value[s])
-    places, _, low, high = sd.anchors_of(h, window)
+    places, _, low, high = sd.anchors_of(h, np.array([len(h)]), window)
     assert [p for p, lo, hi in zip(places, low, high) for _ in range(lo, hi + 1)] == list(at)
 
 
 def test_factors_are_greedy_and_reach_as_far_as_words_agree():
     words, ref = np.array([9, 1, 2, 3, 4, 5, 7, 1, 2], np.uint64), np.array([1, 2, 3, 4, 5, 6], np.uint64)
-    assert list(sd.factors(words, 100, ref, 10, [102, 104, 107], [11, 13, 10])) == [(0, 101, 106), (0, 101, 106), (1, 107, 109)]
+    assert list(sd.factors(words, 100, ref, 10, np.array([102, 104, 107]), np.array([11, 13, 10]))) == \
+        [(0, 2, 101, 106), (2, 3, 107, 109)]
+
+
+def test_word_hashes_of_texts_at_once():
+    rng = random.Random(3)
+    words = [b"a", b"b" * 64, b"c" * 65, "é".encode(), b"\x1c\x85", b"d" * 300_000, b"\xff\xfe", b"x" * 90_000]
+    texts = [b"".join(rng.choice(words) + rng.choice([b" ", b"\n", b"\t\r", b"\v \f"]) for _ in range(n)) for n in (0, 1, 9, 40, 0, 3)]
+    texts += [b"", b" \n", b" lead", b"e" * 600_000, b" ".join(b"w%d" % i for i in range(90_000))]
+    h, counts = sd.hash_texts(texts)
+    flat = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    of = dict(zip(flat, h.tolist()))
+    assert [of[w] for w in flat] == h.tolist() and len(set(of.values())) == len(of)
+    for t, start in zip(texts, np.cumsum(counts) - counts):
+        assert sd.hash_texts([t])[0].tolist() == h[start:start + len(t.split())].tolist()
 
 
 # ---- Merkle manifest
