@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.session import checkpoint_dir
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,6 +25,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return os.path.join(checkpoint_dir(spark), "llm", f"{tag}-{uuid.uuid4().hex}")
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files when it ends, not only when the driver
+    happens to collect its garbage. (A no-op where the setting is unknown.)"""
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DROP) if before is None else spark.conf.set(_DROP, before)
+
+
 def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int = 250_000) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, so a
     lost executor re-reads files instead of recomputing what led to them.
@@ -37,17 +51,11 @@ def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int
     files = None if rows is None else max(1, -(-rows // rows_per_file))
     if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.repartition(files)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of steps whose results are written: Spark's cleaner
-    drops them once the driver has collected the plans that made them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also maps letters beyond ASCII)."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.llm.common import release, written
+from lotlens.llm.common import written
 
 GRAM = 6
 #: Texts are hashed this many bytes at a time.
@@ -186,8 +186,8 @@ def _structs(parents: np.ndarray, rows: int, columns: list[pa.Array], type_: pa.
 
 
 def _parse_rows(schema: pa.Schema, window: int, block: int):
-    """A document and its anchors that others share -> the blocks that it offers,
-    the slices that are parsed elsewhere, and its result if there are none."""
+    """A document and its anchors that others share -> the parts of blocks that it
+    offers, and its slices that are parsed elsewhere."""
     ref_type, slice_type = schema.field("refs").type, schema.field("slices").type
 
     def chunk(batch: pa.RecordBatch, bodies: list[bytes]) -> pa.RecordBatch:
@@ -199,10 +199,16 @@ def _parse_rows(schema: pa.Schema, window: int, block: int):
         hit = dict(zip(("pos", "first", "ref_id", "ref_key", "ref_pos"), batch.column(3).flatten().flatten()))
         pos, first, ref_pos = (hit[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "first", "ref_pos"))
         spot = begins[parent] + pos  # rows that repeat id and text bring the same hits more than once
-        own = np.unique(np.stack([parent, pos // block])[:, first == 1], axis=1)
-        refs = [(np.maximum(c * block - window, 0), h[begins[r]:ends[r]]) for r, c in own.T]
-        refs = [pa.array(own[1]), pa.array([lo for lo, _ in refs], pa.int32()),
-                pa.array([x[lo:(c + 1) * block + window].tobytes() for (lo, x), c in zip(refs, own[1])], pa.binary())]
+        own = np.flatnonzero(first == 1)
+        own = own[np.lexsort((pos[own], parent[own]))]
+        own, own_row, chunk_of = pos[own], parent[own], pos[own] // block
+        new = np.flatnonzero((np.diff(own_row, prepend=-1) != 0) | (np.diff(chunk_of, prepend=-1) != 0))
+        last = np.append(new[1:], len(own))[:len(new)] - 1
+        begin, end = np.maximum(own[new] - window, 0), own[last] + window
+        own_row = own_row[new]
+        refs = [pa.array(chunk_of[new]), pa.array(begin),
+                pa.array([h[begins[r] + a:min(begins[r] + b, ends[r])].tobytes() for r, a, b in zip(own_row, begin, end)],
+                         pa.binary())]
 
         other = np.flatnonzero(first == 0)
         other = other[np.unique(spot[other], return_index=True)[1]]
@@ -224,13 +230,9 @@ def _parse_rows(schema: pa.Schema, window: int, block: int):
         first_of = taken.take(pa.array(start))
         slices = [hit["ref_id"].take(first_of), hit["ref_key"].take(first_of), pa.array(ref_pos[start] // block),
                   pa.array((low - shift)[start]), pa.array(words, pa.binary()), *ints]
-        pending = np.zeros(rows, bool)
-        pending[row] = True
         return pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(counts),
-            pa.array([None if p else _sha(x.split()) for p, x in zip(pending, bodies)], pa.string()),
-            pa.array([x if p else None for p, x in zip(pending, bodies)], pa.binary()),
-            _structs(own[0], rows, refs, ref_type), _structs(row[start], rows, slices, slice_type)], schema=schema)
+            batch.column(0), batch.column(1),
+            _structs(own_row, rows, refs, ref_type), _structs(row[start], rows, slices, slice_type)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +242,12 @@ def _parse_rows(schema: pa.Schema, window: int, block: int):
     return run
 
 
-def factors(words: np.ndarray, start: int, ref: np.ndarray, ref_start: int, at: np.ndarray,
-            ref_at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def factors(words: np.ndarray, start: int, ref: np.ndarray, ref_start: int, at: np.ndarray, ref_at: np.ndarray,
+            low: np.ndarray, high: np.ndarray, earlier: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """The greedy parse of a slice against a block: (first anchor, end of anchors, begin
-    and end in the document) of each factor."""
+    and end in the document) of each factor. A factor holds the anchors that follow it
+    with the same offset, and those whose windows ``low`` to ``high`` + a window all lie
+    inside, if what it repeats is ``earlier``."""
     shift, i = at - ref_at, 0
     while i < len(at):
         p, q = int(at[i]) - start, int(ref_at[i]) - ref_start
@@ -255,6 +259,8 @@ def factors(words: np.ndarray, start: int, ref: np.ndarray, ref_start: int, at:
         left = int(differ.argmax()) if differ.any() else n
         begin, end = start + p - left, start + p + right
         outside = (shift[i + 1:] != shift[i]) | (at[i + 1:] >= end)
+        if earlier[i]:
+            outside &= (low[i + 1:] < begin) | (high[i + 1:] > end)
         j = i + 1 + (int(outside.argmax()) if outside.any() else len(outside))
         yield i, j, begin, end
         i = j
@@ -264,12 +270,14 @@ def _factor_rows(schema: pa.Schema, window: int):
     def parse(start: int, words: np.ndarray, ref_start: int, ref: np.ndarray, same_doc: bool,
               at: np.ndarray, ref_at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list, list]:
         spans, checks = [], []
-        for i, j, a, b in factors(words, start, ref, ref_start, at, ref_at):
-            if b - a >= window and not (same_doc and ref_at[i] >= at[i]):
+        high = high + window
+        earlier = ref_at < at if same_doc else np.ones(len(at), bool)
+        for i, j, a, b in factors(words, start, ref, ref_start, at, ref_at, low, high, earlier):
+            if b - a >= window and earlier[i]:
                 spans.append((a, b))
-            crossing = np.flatnonzero((low[i:j] < a) | (high[i:j] + window > b)) + i
+            crossing = np.flatnonzero((low[i:j] < a) | (high[i:j] > b)) + i
             for k in crossing:  # the anchors' windows that cross the factor's boundary
-                for s in range(low[k], high[k] + 1):
+                for s in range(low[k], high[k] - window + 1):
                     if s < a or s + window > b:
                         digest = xxhash.xxh3_128_digest(words[s - start:s - start + window].tobytes())
                         checks.append((*np.frombuffer(digest, np.int64).tolist(), s))
@@ -303,7 +311,7 @@ def _finish_rows(schema: pa.Schema):
             for start in range(0, batch.num_rows, 64):
                 out = {name: [] for name in schema.names}
                 for row in batch.slice(start, 64).to_pylist():
-                    words, kept, at, spans = row["body"].split(), [], 0, []
+                    words, kept, at, spans = row["_body"].split(), [], 0, []
                     for a, b in sorted((s["a"], s["b"]) for s in row["spans"] or ()):
                         if spans and a <= spans[-1]["b"]:
                             spans[-1]["b"] = max(spans[-1]["b"], b)
@@ -332,7 +340,7 @@ def _place(id_: str, *rest: str) -> Column:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20,
-                   block: int = 1024) -> DataFrame:
+                   block: int = 256) -> DataFrame:
     """One row per document: id, n_words, n_removed, spans (array of word ranges
     [a, b) that repeat an earlier passage), kept_sha256 of the kept words.
 
@@ -358,7 +366,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     anchors = _mapped(rows, _anchor_rows, hashed, window)
     index = written(anchors.groupBy("_h").agg(F.min(_place("_id", "_pos", "_key")).alias("ref"), F.count("*").alias("n"))
                     .where("n > 1").select("_h", "ref"), "substring-index")
-    release(docs.sparkSession)
 
     first = F.col("_id").eqNullSafe(F.col("ref.id")) & (F.col("_pos") == F.col("ref._pos")) & \
         (F.col("_key") == F.col("ref._key"))
@@ -366,20 +373,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.col("_pos").alias("pos"), first.alias("first"), F.col("ref.id").alias("ref_id"),
         F.col("ref._key").alias("ref_key"), F.col("ref._pos").alias("ref_pos"))).alias("hits"))
     hits = hits.withColumnsRenamed({"_id": "_hid", "_key": "_hkey"})
-    joined = rows.join(hits, rows["_id"].eqNullSafe(hits["_hid"]) & (rows["_key"] == hits["_hkey"]), "left")
+    joined = rows.join(hits, rows["_id"].eqNullSafe(hits["_hid"]) & (rows["_key"] == hits["_hkey"]))
 
     ints, longs = T.ArrayType(T.IntegerType()), T.LongType()
     chunk = [T.StructField("chunk", T.IntegerType()), T.StructField("start", T.IntegerType()),
              T.StructField("words", T.BinaryType())]
     parsed = T.StructType([
-        *ident, T.StructField("n_words", longs), T.StructField("sha", T.StringType()),
-        T.StructField("body", T.BinaryType()), T.StructField("refs", T.ArrayType(T.StructType(chunk))),
+        *ident, T.StructField("refs", T.ArrayType(T.StructType(chunk))),
         T.StructField("slices", T.ArrayType(T.StructType([
             T.StructField("ref_id", id_type), T.StructField("ref_key", longs), *chunk,
             *(T.StructField(c, ints) for c in ("low", "high", "at", "ref_at"))])))])
     parsed = written(_mapped(joined.select("_id", "_key", "_body", "hits"), _parse_rows, parsed, window, block),
                      "substring-slices")
-    release(docs.sparkSession)
 
     # rows that repeat id and text offer the same blocks
     refs = (parsed.select(F.col("_id").alias("_rid"), F.col("_key").alias("_rkey"), F.explode("refs").alias("r"))
@@ -395,7 +400,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = written(_mapped(pairs.select(
         "_id", "_key", F.col("_id").eqNullSafe(F.col("ref_id")).alias("same_doc"), "start", "words", "low", "high", "at",
         "ref_at", "ref_start", "ref_words"), _factor_rows, found, window), "substring-factors")
-    release(docs.sparkSession)
 
     crossing = found.select("_id", "_key", F.explode("checks").alias("c")).select("_id", "_key", "c.*")
     earliest = (crossing.groupBy("one", "two").agg(F.min(_place("_id", "at")).alias("ref"), F.count("*").alias("n"))
@@ -407,13 +411,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                  .groupBy(F.col("_id").alias("_sid"), F.col("_key").alias("_skey"))
                  .agg(F.collect_set("s").alias("spans")))
 
-    pending = parsed.where("sha IS NULL").select("_id", "_key", "body")
     result = T.StructType([T.StructField("_id", id_type), T.StructField("n_words", longs), T.StructField("n_removed", longs),
                            T.StructField("spans", spans), T.StructField("sha", T.StringType())])
-    finished = _mapped(pending.join(all_spans, pending["_id"].eqNullSafe(all_spans["_sid"])
-                                    & (pending["_key"] == all_spans["_skey"]), "left").select("_id", "body", "spans"),
-                       _finish_rows, result)
-    whole = parsed.where("sha IS NOT NULL").select("_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
-                                                   F.array().cast(spans).alias("spans"), "sha")
-    return whole.unionByName(finished).select(F.col("_id").alias(id_col), "n_words", "n_removed", "spans",
-                                              F.col("sha").alias("kept_sha256"))
+    whole = rows.join(all_spans, rows["_id"].eqNullSafe(all_spans["_sid"]) & (rows["_key"] == all_spans["_skey"]), "left")
+    return _mapped(whole.select("_id", "_body", "spans"), _finish_rows, result).select(
+        F.col("_id").alias(id_col), "n_words", "n_removed", "spans", F.col("sha").alias("kept_sha256"))

@@ -102,8 +102,14 @@ def test_anchors_depend_on_the_window_alone(words, window):
 
 def test_factors_are_greedy_and_reach_as_far_as_words_agree():
     words, ref = np.array([9, 1, 2, 3, 4, 5, 7, 1, 2], np.uint64), np.array([1, 2, 3, 4, 5, 6], np.uint64)
-    assert list(sd.factors(words, 100, ref, 10, np.array([102, 104, 107]), np.array([11, 13, 10]))) == \
-        [(0, 2, 101, 106), (2, 3, 107, 109)]
+    at, ref_at = np.array([102, 104, 107]), np.array([11, 13, 10])
+    for earlier in (True, False):
+        got = sd.factors(words, 100, ref, 10, at, ref_at, at, at + 2, np.full(3, earlier))
+        assert list(got) == [(0, 2, 101, 106), (2, 3, 107, 109)]
+    # an anchor of another offset whose windows lie inside the last factor is passed over
+    at, ref_at = np.array([102, 103, 107]), np.array([11, 15, 10])
+    got = [list(sd.factors(words, 100, ref, 10, at, ref_at, at, at + 2, np.full(3, e))) for e in (True, False)]
+    assert got == [[(0, 2, 101, 106), (2, 3, 107, 109)], [(0, 1, 101, 106), (1, 2, 103, 103), (2, 3, 107, 109)]]
 
 
 def test_word_hashes_of_texts_at_once():
