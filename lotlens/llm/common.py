@@ -37,25 +37,32 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_DROP) if before is None else spark.conf.set(_DROP, before)
 
 
-def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int = 250_000) -> DataFrame:
+def written(df: DataFrame, tag: str, rows: int | None = None, rows_per_file: int = 250_000,
+            drop_shuffles: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, so a
     lost executor re-reads files instead of recomputing what led to them.
 
     Where a bound on its ``rows`` is known and they fit in fewer files than a
     shuffle has partitions, they are dealt out to that many, so that small
     tables don't become hundreds of small files. (``coalesce`` would run the
-    sorts and joins below in those few tasks, with all their memory.)
+    sorts and joins below in those few tasks, with all their memory.) With
+    ``drop_shuffles`` the shuffle files of this step go when it is written.
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
     files = None if rows is None else max(1, -(-rows // rows_per_file))
     if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.repartition(files)
-    with _shuffles_dropped(spark):
+    with _shuffles_dropped(spark) if drop_shuffles else contextlib.nullcontext():
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_step(df: DataFrame, tag: str) -> DataFrame:
+    """``written``, with the step's shuffle files dropped."""
+    return written(df, tag, drop_shuffles=True)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also maps letters beyond ASCII)."""
     return F.translate(c, UPPER, UPPER.lower())

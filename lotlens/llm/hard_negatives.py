@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.llm.common import written
+from lotlens.llm.common import scratch_step
 
 SCALE = 256
 PLANES = 5
@@ -248,8 +248,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", v
     """
     longs, binary = T.LongType(), T.BinaryType()
     whole = integer_rows(rows, id_col, vector, label).withColumn("row", F.monotonically_increasing_id())
-    whole = written(whole.select("row", "id", "label", "vector"), "negatives-rows")
-    anchors = written(whole.where(is_anchor), "negatives-anchors")
+    whole = scratch_step(whole.select("row", "id", "label", "vector"), "negatives-rows")
+    anchors = scratch_step(whole.where(is_anchor), "negatives-anchors")
     packed = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("part", T.IntegerType()),
                            *(T.StructField(c, binary) for c in _PACKED)])
 
@@ -258,17 +258,17 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", v
         parts = max(1, -(-df.count() // size))
         dealt = df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
         dealt = dealt.repartition(F.size("vector"), "part").sortWithinPartitions(F.size("vector"), "part")
-        return written(_mapped(dealt, _pack_rows, packed, size), tag), parts
+        return scratch_step(_mapped(dealt, _pack_rows, packed, size), tag), parts
 
     blocked, parts = blocks(whole, row_block, "negatives-blocks")
     queries, query_parts = blocks(anchors, query_block, "negatives-queries")
-    queries = written(queries.withColumn("name", F.monotonically_increasing_id()), "negatives-named")
+    queries = scratch_step(queries.withColumn("name", F.monotonically_increasing_id()), "negatives-named")
     renamed = queries.select("dim", "part", "name", *(F.col(c).alias("q_" + c) for c in _PACKED))
 
     found = T.StructType([T.StructField(c, longs) for c in ("a_row", "anchor_id", "score", "id", "row")])
     near = _mapped(_grid(renamed, query_parts, blocked, parts), _positive_rows, found, positives)
     first = Window.partitionBy("a_row").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
-    best = written(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= positives), "negatives-positives")
+    best = scratch_step(near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= positives), "negatives-positives")
 
     # each query block with its anchors' positives, in the order of its rows
     given = best.groupBy("a_row").agg(F.collect_list(F.struct("score", "id", "row")).alias("own"))

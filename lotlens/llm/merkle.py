@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.llm.common import lower_ascii, written
+from lotlens.llm.common import lower_ascii, scratch_step
 
 FANOUT = 16
 HEIGHT = 3
@@ -202,11 +202,11 @@ def ranked(nodes: DataFrame) -> DataFrame:
     Ordered by range partitions, so a tree of any size is ranked by many tasks; rows
     equal in tree, id and digest are told apart by where they were read.
     """
-    nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "merkle-leaves")
+    nodes = scratch_step(nodes.withColumn("row", F.monotonically_increasing_id()), "merkle-leaves")
     order = ["tree", "id", "digest", "row"]
     placed = (nodes.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).drop("row"))
-    placed = written(placed, "merkle-ordered")
+    placed = scratch_step(placed, "merkle-ordered")
     runs = placed.groupBy("tree", "part").agg(F.min("at").alias("from"), F.count("*").alias("rows"))
     runs = runs.selectExpr(
         "tree AS _tree", "part AS _part", "from", "sum(rows) OVER (PARTITION BY tree) AS n",
@@ -226,7 +226,7 @@ def _rounds(nodes: DataFrame, tree_type: T.DataType, id_type: T.DataType, fanout
     while True:
         dealt = (nodes.select("tree", F.floor(F.col("place") / size).alias("block"), "n", "digest", "claim", "id", "place")
                  .repartition("tree", "block").sortWithinPartitions("tree", "block", "place").drop("place"))
-        blocks = written(_mapped(dealt, _append_rows, schema, fanout, height), "merkle-blocks")
+        blocks = scratch_step(_mapped(dealt, _append_rows, schema, fanout, height), "merkle-blocks")
         out.append(blocks)
         more = blocks.where("blocks > 1")
         if more.isEmpty():
@@ -286,7 +286,7 @@ def merkle_manifest(leaves: DataFrame, fanout: int = FANOUT, height: int = HEIGH
     above = _above(upper, root.select("tree", F.lit(b"").alias("above")), T.IntegerType(), fanout, height)
     of_tree = T.StructType([T.StructField("tree", tree_type), *(T.StructField(c, T.BinaryType())
                                                                 for c in ("subroot", "above", "root"))])
-    tops = written(_mapped(with_above(upper[0], above).select("ids", "levels", "above"), _tree_rows, of_tree, fanout),
+    tops = scratch_step(_mapped(with_above(upper[0], above).select("ids", "levels", "above"), _tree_rows, of_tree, fanout),
                    "merkle-tops")
 
     above = _above(rounds, tops, tree_type, fanout, height)

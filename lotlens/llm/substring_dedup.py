@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.llm.common import written
+from lotlens.llm.common import scratch_step
 
 GRAM = 6
 #: Texts are hashed this many bytes at a time.
@@ -364,7 +364,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not 2 <= window <= 10_000:
         raise ValueError("window must be 2 to 10,000 words")
     anchors = _mapped(rows, _anchor_rows, hashed, window)
-    index = written(anchors.groupBy("_h").agg(F.min(_place("_id", "_pos", "_key")).alias("ref"), F.count("*").alias("n"))
+    index = scratch_step(anchors.groupBy("_h").agg(F.min(_place("_id", "_pos", "_key")).alias("ref"), F.count("*").alias("n"))
                     .where("n > 1").select("_h", "ref"), "substring-index")
 
     first = F.col("_id").eqNullSafe(F.col("ref.id")) & (F.col("_pos") == F.col("ref._pos")) & \
@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         T.StructField("slices", T.ArrayType(T.StructType([
             T.StructField("ref_id", id_type), T.StructField("ref_key", longs), *chunk,
             *(T.StructField(c, ints) for c in ("low", "high", "at", "ref_at"))])))])
-    parsed = written(_mapped(joined.select("_id", "_key", "_body", "hits"), _parse_rows, parsed, window, block),
+    parsed = scratch_step(_mapped(joined.select("_id", "_key", "_body", "hits"), _parse_rows, parsed, window, block),
                      "substring-slices")
 
     # rows that repeat id and text offer the same blocks
@@ -397,7 +397,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     checks = T.ArrayType(T.StructType([T.StructField("one", longs), T.StructField("two", longs),
                                        T.StructField("at", T.IntegerType())]))
     found = T.StructType([*ident, T.StructField("spans", spans), T.StructField("checks", checks)])
-    found = written(_mapped(pairs.select(
+    found = scratch_step(_mapped(pairs.select(
         "_id", "_key", F.col("_id").eqNullSafe(F.col("ref_id")).alias("same_doc"), "start", "words", "low", "high", "at",
         "ref_at", "ref_start", "ref_words"), _factor_rows, found, window), "substring-factors")
 
