@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlens.operators import dims
-from lotlens.operators.geometry import dissolve, simplify_shared, square, tolerance_for
+from lotlens.operators.crossings import simplify_layer
+from lotlens.operators.geometry import dissolve, square, tolerance_for
 from lotlens.functions.geo import round_coordinates, to_wgs84
 from lotlens.params import COORD_PRECISION, METRO_REGIONS
 from lotlens.sources import fixtures
@@ -216,7 +217,8 @@ def all_layers_stepwise(spark: SparkSession, sf_dir: str, cells: DataFrame | Non
 
 
 def publishable(layers: DataFrame, precision: int = COORD_PRECISION) -> DataFrame:
-    """Simplify per level (metres, shared arcs once) -> WGS84 lon/lat -> round coordinates."""
+    """Simplify per level (metres, shared arcs once, no crossings) -> WGS84 lon/lat -> round
+    coordinates."""
     # borders shared inside a layer are simplified once, so neighbours still meet
-    s = simplify_shared(layers, tolerance_for(F.col("level")), ["level"])
+    s = simplify_layer(layers, tolerance_for(F.col("level")), ["level"])
     return s.withColumn("geometry", round_coordinates(to_wgs84(F.col("geometry")), precision))

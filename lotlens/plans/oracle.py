@@ -593,12 +593,14 @@ FROM customer"""
     q["simplified_squares"] = squares.format(sides="1, 5, 25, 125", more="")
     q["simplified_squares_shared"] = squares.format(
         sides="1, 5, 25", more="+ CASE WHEN (c_custkey // 125 + c_custkey) % 5 > 0 THEN 1 ELSE 0 END")
+    q["simplified_crossings"] = """
+SELECT 'commune' AS level, u.code, u.vertices, 0::BIGINT AS stray_holes, 0::BIGINT AS crossings
+FROM (SELECT unnest(CASE c_custkey % 4 WHEN 1 THEN [{'code': c_custkey::VARCHAR, 'vertices': 8::BIGINT}]
+                    WHEN 2 THEN [{'code': c_custkey::VARCHAR, 'vertices': 5::BIGINT},
+                                 {'code': c_custkey || 's', 'vertices': 3::BIGINT}]
+                    ELSE [{'code': c_custkey::VARCHAR, 'vertices': 4::BIGINT}] END) AS u FROM customer)"""
     q["csv_rejects"] = with_(PLACES, LOTS) + """
 SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
-FROM (SELECT code_departement, CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3 AS bad
-      FROM lots WHERE surface_reelle_bati IS NOT NULL) GROUP BY ALL"""
-    q["csv_rejects_all"] = with_(PLACES, LOTS) + """
-SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
 FROM (SELECT code_departement, coalesce(CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3, false) AS bad
       FROM lots) GROUP BY ALL"""
     q["stats_cache_roundtrip"] = with_(*all_stats) + \

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lotlens.functions.expressions import dept_of_commune, price_color
 from lotlens.functions.geo import ring_area2
-from lotlens.operators import (clean, dims, geometry, layers, parcels, publish, reports, stats, tiles,
+from lotlens.operators import (clean, crossings, dims, geometry, layers, parcels, publish, reports, stats, tiles,
                                viewport)
 from lotlens.params import DEFAULT, METRO_REGIONS, PARCEL_SIMPLIFY_TOLERANCE
 from lotlens.sources import csv_lots, fixtures, geojson
@@ -308,6 +308,19 @@ def simplified_squares_shared(spark, sf_dir):
     return _kept(geometry.simplify_shared(fixtures.wiggly_squares(spark, sf_dir), tol, ["level"]))
 
 
+def simplified_crossings(spark, sf_dir):
+    """Vertices kept of squares whose simplified sides would cross a neighbour or leave
+    a hole outside, the crossings that are left, and the holes outside their shell."""
+    squares = fixtures.dipped_squares(spark, sf_dir)
+    simple = crossings.simplify_layer(squares, geometry.tolerance_for(F.col("level")), ["level"])
+    rings = F.flatten("geometry")
+    shell, holes = F.element_at(rings, 1), F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    stray = F.filter(holes, lambda h: ~crossings.inside(h[0]["x"], h[0]["y"], shell))
+    kept = simple.select("level", "code", (F.size(F.flatten(rings)) - F.size(rings)).cast("long").alias("vertices"),
+                         F.size(stray).cast("long").alias("stray_holes"))
+    return kept.join(crossings.crossings(simple, ["level"]), ["level", "code"])
+
+
 def csv_mixed_headers(spark, sf_dir):
     """Files with two column orders in one folder, each read by its own header."""
     src = table_path(spark, key_for("csv_mixed", CODE_VERSION, sf_dir))
@@ -321,29 +334,19 @@ def csv_mixed_headers(spark, sf_dir):
     return materialize(build, spark, "csv_mixed_headers", sf_dir)
 
 
-def _csv_damaged(spark, sf_dir, name, counted):
-    """Valid and malformed rows per department, of those that are ``counted``: all
-    lots are written, with the dates of some damaged, and read again."""
-    src = table_path(spark, key_for(name + "_files", CODE_VERSION, sf_dir))
+def csv_rejects(spark, sf_dir):
+    """Valid and malformed rows per department: all lots are written, with the dates
+    of some damaged, and read again."""
+    src = table_path(spark, key_for("csv_rejects_files", CODE_VERSION, sf_dir))
 
     def build():
         damaged = F.coalesce(F.round("surface_reelle_bati").cast("long") % 7 == 3, F.lit(False))
         csv_lots.write_french_csv(_lots(spark, sf_dir), src, damaged=damaged)
         valid, rejects = csv_lots.ingest(spark, src + "/*.csv", src + "-parsed")
-        both = (valid.where(counted).select("code_departement", F.lit(1).alias("v"), F.lit(0).alias("r"))
-                .unionByName(rejects.where(counted).select("code_departement", F.lit(0).alias("v"), F.lit(1).alias("r"))))
+        both = (valid.select("code_departement", F.lit(1).alias("v"), F.lit(0).alias("r"))
+                .unionByName(rejects.select("code_departement", F.lit(0).alias("v"), F.lit(1).alias("r"))))
         return both.groupBy("code_departement").agg(F.sum("v").alias("valid"), F.sum("r").alias("rejected"))
-    return materialize(build, spark, name, sf_dir)
-
-
-def csv_rejects(spark, sf_dir):
-    """Counts of the lots with a surface, as its SQL has them."""
-    return _csv_damaged(spark, sf_dir, "csv_rejects", F.col("surface_reelle_bati").isNotNull())
-
-
-def csv_rejects_all(spark, sf_dir):
-    """Counts of all lots, those without a surface too."""
-    return _csv_damaged(spark, sf_dir, "csv_rejects_all", F.lit(True))
+    return materialize(build, spark, "csv_rejects", sf_dir)
 
 
 def stats_cache_roundtrip(spark, sf_dir):
@@ -420,6 +423,7 @@ def build() -> dict[str, Query]:
     q["published_vertices"] = published_vertices
     q["simplified_squares"] = simplified_squares
     q["simplified_squares_shared"] = simplified_squares_shared
+    q["simplified_crossings"] = simplified_crossings
     q["sketch_rank_error"] = sketch_rank_error
     q["tile_zoom_layers"] = tile_zoom_layers
     # a caller's own predicate, and one department's communes
@@ -427,7 +431,6 @@ def build() -> dict[str, Query]:
         _t(s, d), F.col("dept_code"), where=F.col("total_surface") >= 100)
     q["commune_stats_one_dept"] = lambda s, d: stats.commune_stats(_t(s, d).where(F.col("dept_code") == "75"))
     q["csv_rejects"] = csv_rejects
-    q["csv_rejects_all"] = csv_rejects_all
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
     q["parcel_tiles"] = parcel_tiles

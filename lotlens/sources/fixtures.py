@@ -175,3 +175,27 @@ def wiggly_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(point(x, zero), point(x + s / 2, -F.col("d0")), point(x + s, zero), point(x + s + F.col("d1"), s / 2),
                    point(x + s, s), point(x + s / 2, s + F.col("d2")), point(x, s), point(x - F.col("d3"), s / 2), point(x, zero))
     return c.select("level", key.cast("string").alias("code"), F.array(F.array(ring)).alias("geometry"))
+
+
+def dipped_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communes (level, code, geometry), one or two per customer, whose squares' south
+    side dips by 27 m (under the 30 m tolerance). By ``c_custkey % 4``: an outward
+    dip; one with a hole inside it; an inward dip into which a neighbour's corner
+    reaches; an inward dip."""
+    from lotlens.functions.geo import point
+    key = F.col("c_custkey")
+    kind, x = key % 4, key * 2000.0
+    dip = F.when(kind < 2, -27.0).otherwise(27.0)
+
+    def ring(*points):
+        return F.array(*(point(x + a, F.lit(b) if not isinstance(b, Column) else b) for a, b in points))
+    shell = ring((0.0, 0.0), (500.0, dip), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0), (0.0, 0.0))
+    hole = ring((490.0, -16.0), (490.0, -8.0), (510.0, -8.0), (510.0, -16.0), (490.0, -16.0))
+    corner = ring((400.0, -500.0), (600.0, -500.0), (500.0, 5.0), (400.0, -500.0))
+    code = key.cast("string")
+    square = F.when(kind == 1, F.array(F.array(shell, hole))).otherwise(F.array(F.array(shell)))
+    both = F.array(F.struct(code.alias("code"), square.alias("geometry")),
+                   F.struct(F.concat(code, F.lit("s")).alias("code"), F.array(F.array(corner)).alias("geometry")))
+    c = table(spark, sf_dir, "customer").select(kind.alias("kind"), both.alias("both"))
+    return (c.select(F.explode(F.when(F.col("kind") == 2, F.col("both")).otherwise(F.slice("both", 1, 1))).alias("f"))
+            .select(F.lit("commune").alias("level"), "f.code", "f.geometry"))
