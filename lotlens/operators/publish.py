@@ -82,6 +82,16 @@ def write_features(features: DataFrame, path: str, partition_by: str | None = No
     w.text(path)
 
 
+def write_collections(features: DataFrame, path: str, partition_by: str) -> None:
+    """One FeatureCollection document per key, as a reader of whole files expects; its
+    features stand in the order of their text. A key's document is one row: use
+    ``write_features`` where keys are large."""
+    body = F.array_join(F.array_sort(F.collect_list("feature")), ",")
+    docs = features.groupBy(partition_by).agg(
+        F.concat(F.lit('{"type":"FeatureCollection","name":"layer {\\"","features":['), body, F.lit("]}")).alias("value"))
+    docs.write.mode("overwrite").partitionBy(partition_by).text(path)
+
+
 def commune_dept(features: DataFrame) -> DataFrame:
     return features.withColumn("dept", dept_of_commune(F.col("code")))
 

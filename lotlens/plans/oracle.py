@@ -599,6 +599,13 @@ FROM (SELECT unnest(CASE c_custkey % 4 WHEN 1 THEN [{'code': c_custkey::VARCHAR,
                     WHEN 2 THEN [{'code': c_custkey::VARCHAR, 'vertices': 5::BIGINT},
                                  {'code': c_custkey || 's', 'vertices': 3::BIGINT}]
                     ELSE [{'code': c_custkey::VARCHAR, 'vertices': 4::BIGINT}] END) AS u FROM customer)"""
+    q["boundary_documents"] = r"""
+SELECT 'commune' AS level, c_custkey::VARCHAR AS code, 'a}{"\' || c_custkey AS name,
+       CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS parts, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 END AS rings,
+       CASE k WHEN 0 THEN 5 WHEN 1 THEN 9 WHEN 2 THEN 9 END AS points,
+       CASE k WHEN 0 THEN 5 * x + 100 WHEN 1 THEN 9 * x + 150 WHEN 2 THEN 9 * x + 350 END AS sum_x,
+       CASE k WHEN 0 THEN 100.0 WHEN 1 THEN 160.0 WHEN 2 THEN 110.0 END::DOUBLE AS sum_y
+FROM (SELECT *, c_custkey % 5 AS k, c_custkey * 100.0::DOUBLE AS x FROM customer)"""
     q["csv_rejects"] = with_(PLACES, LOTS) + """
 SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
 FROM (SELECT code_departement, coalesce(CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3, false) AS bad

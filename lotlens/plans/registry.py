@@ -349,6 +349,18 @@ def csv_rejects(spark, sf_dir):
     return materialize(build, spark, "csv_rejects", sf_dir)
 
 
+def boundary_documents(spark, sf_dir):
+    """Features written as a document per department, and read back from all documents."""
+    path = table_path(spark, key_for("boundary_documents", CODE_VERSION, sf_dir))
+    publish.write_collections(fixtures.boundary_features(spark, sf_dir), path, "dept")
+    layer = geojson.load_layer(spark, path, "INSEE", "NOM", "commune")
+    rings = F.flatten("geometry")
+    points = F.flatten(rings)
+    total = [F.aggregate(points.getField(c), F.lit(0.0), lambda a, v: a + v).alias(f"sum_{c}") for c in "xy"]
+    return layer.select("level", "code", "name", *(F.size(a).alias(n) for a, n in (
+        (F.col("geometry"), "parts"), (rings, "rings"), (points, "points"))), *total)
+
+
 def stats_cache_roundtrip(spark, sf_dir):
     """The stats cache written as JSON lines and read back."""
     path = table_path(spark, key_for("stats_cache", CODE_VERSION, sf_dir))
@@ -431,6 +443,7 @@ def build() -> dict[str, Query]:
         _t(s, d), F.col("dept_code"), where=F.col("total_surface") >= 100)
     q["commune_stats_one_dept"] = lambda s, d: stats.commune_stats(_t(s, d).where(F.col("dept_code") == "75"))
     q["csv_rejects"] = csv_rejects
+    q["boundary_documents"] = boundary_documents
     q["tile_assignment"] = tile_assignment
     q["tile_top_features"] = tile_top_features
     q["parcel_tiles"] = parcel_tiles

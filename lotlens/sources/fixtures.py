@@ -199,3 +199,28 @@ def dipped_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(kind.alias("kind"), both.alias("both"))
     return (c.select(F.explode(F.when(F.col("kind") == 2, F.col("both")).otherwise(F.slice("both", 1, 1))).alias("f"))
             .select(F.lit("commune").alias("level"), "f.code", "f.geometry"))
+
+
+def boundary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON features (dept, feature), one per customer, with names that hold braces,
+    quotes and backslashes. By ``c_custkey % 5``: a polygon, one with a hole, two
+    parts, no geometry, coordinates that cannot be decoded."""
+    from lotlens.operators.publish import geometry_json
+    from lotlens.functions.geo import point
+    key = F.col("c_custkey")
+    kind, x = key % 5, key * 100.0
+
+    def ring(*points):
+        return F.array(*(point(x + a, F.lit(b)) for a, b in points))
+    shell = ring((0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0), (0.0, 0.0))
+    hole = ring((10.0, 10.0), (10.0, 20.0), (20.0, 20.0), (10.0, 10.0))
+    other = ring((60.0, 0.0), (70.0, 0.0), (60.0, 10.0), (60.0, 0.0))
+    geometry = (F.when(kind == 0, F.array(F.array(shell))).when(kind == 1, F.array(F.array(shell, hole)))
+                .when(kind == 2, F.array(F.array(shell), F.array(other))))
+    text = (F.when(kind == 4, F.lit('{"type":"Polygon","coordinates":["none"]}'))
+            .otherwise(F.coalesce(geometry_json(geometry), F.lit("null"))))
+    props = F.to_json(F.struct(key.cast("string").alias("INSEE"), F.concat(F.lit('a}{"\\'), key).alias("NOM"),
+                               F.array(F.struct(F.lit("}").alias("k"))).alias("other")))
+    return table(spark, sf_dir, "customer").select(
+        dept_from_nation(F.col("c_nationkey")).alias("dept"),
+        F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), text, F.lit("}")).alias("feature"))
