@@ -3,10 +3,9 @@
 Dissolve of a polygon coverage is an edge-count aggregate: every ring edge
 is exploded, undirected copies are counted per group, and edges seen once
 form the boundary of the union (a distributed shuffle aggregate whose size is
-linear in the number of vertices).  Only the final walk that links boundary
-edges into rings runs in Python, one dissolved feature per call
-(``applyInPandas``); its input is the boundary of one feature, which is
-bounded by the geography, not by the number of sales.
+linear in the number of vertices).  Boundary edges are linked into rings by joins
+(``rings.stitched``), so a feature's boundary is never walked in one task;
+``stitch_rings`` is the same on a list, to test against.
 
 Simplification works on whole Arrow batches (``mapInArrow``): coordinates of
 all rings of the batch are flat numpy arrays; only the Douglas-Peucker split
@@ -21,13 +20,12 @@ import math
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotlens.functions.geo import orient, point
+from lotlens.operators import rings
 from lotlens.params import SIMPLIFY_TOLERANCE, SIMPLIFY_TOLERANCE_DEFAULT
 
 EDGE_COLUMNS = ("ax", "ay", "bx", "by")
@@ -84,7 +82,7 @@ def boundary_edges(df: DataFrame, group_keys: list[str], geom: str = "geometry")
     return counted.where(F.col("_n") == 1).select(*group_keys, *EDGE_COLUMNS)
 
 
-# --- ring stitching (per dissolved feature) ---------------------------------
+# --- ring stitching ------------------------------------------------------------
 
 def _signed_area2(ring: list[tuple[float, float]]) -> float:
     s = 0.0
@@ -105,7 +103,8 @@ def _inside(pt: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
 
 
 def stitch_rings(ax, ay, bx, by) -> list[list[list[tuple[float, float]]]]:
-    """Link directed boundary edges into closed rings, then into polygons.
+    """Link directed boundary edges into closed rings, then into polygons (all in one
+    list: the plain form of ``rings.stitched``).
 
     At a vertex with several outgoing edges (polygons touching at a point)
     the successor is the first outgoing edge clockwise from the reversed
@@ -173,26 +172,9 @@ def stitch_rings(ax, ay, bx, by) -> list[list[list[tuple[float, float]]]]:
     return polys
 
 
-def _geometry_struct_type() -> T.DataType:
-    pt = T.StructType([T.StructField("x", T.DoubleType(), True), T.StructField("y", T.DoubleType(), True)])
-    return T.ArrayType(T.ArrayType(T.ArrayType(pt, True), True), True)
-
-
 def stitch(boundary: DataFrame, group_keys: list[str]) -> DataFrame:
-    """(group_keys, ax, ay, bx, by) -> (group_keys, geometry) via applyInPandas."""
-    key_fields = [boundary.schema[k] for k in group_keys]
-    out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]
-                              + [T.StructField("geometry", _geometry_struct_type(), True)])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        polys = stitch_rings(pdf["ax"].to_numpy(), pdf["ay"].to_numpy(),
-                             pdf["bx"].to_numpy(), pdf["by"].to_numpy())
-        geom = [[[{"x": x, "y": y} for x, y in ring] for ring in poly] for poly in polys]
-        row = {k: pdf[k].iloc[0] for k in group_keys}
-        row["geometry"] = geom
-        return pd.DataFrame([row])
-
-    return boundary.groupBy(*group_keys).applyInPandas(fn, out_schema)
+    """(group_keys, ax, ay, bx, by) -> (group_keys, geometry); see ``rings``."""
+    return rings.stitched(boundary, group_keys)
 
 
 def dissolve(df: DataFrame, group_keys: list[str], geom: str = "geometry") -> DataFrame:
