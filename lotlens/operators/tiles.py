@@ -6,11 +6,15 @@ ranges of the bbox; within a tile features are ranked by their sales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlens.functions.geo import bbox, tile_x, tile_y
 from lotlens.params import PARCEL_TILE_ZOOMS, TILE_ZOOM_LAYERS
+from lotlens.session import checkpoint_dir
+
+#: The zoom whose tiles place the centres of features.
+_TOP = 20
 
 
 def _zoom_lookup(layer, which: int):
@@ -61,6 +65,57 @@ def rank_in_tile(tiles: DataFrame, weights: DataFrame) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).select("layer", "z", "x", "y", "code", "rank")
 
 
+def curve_order(x: Column, y: Column) -> Column:
+    """Place of a tile on the Z-order curve: the bits of x and y (at most 31) in turn."""
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                            (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def with_gaps(features: DataFrame) -> DataFrame:
+    """Adds ``gap``: how far (layer, curve, code) lies behind its neighbour on the curve, null
+    for the first of a layer. Ordered by range partitions, so that no task holds
+    a layer; only the last place of each partition passes on to the next."""
+    order = ["layer", "curve", "code"]
+    checkpoint_dir(features.sparkSession)
+    rows = features.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("_part", F.spark_partition_id()).checkpoint()
+    ends = rows.groupBy(F.col("layer").alias("_layer"), F.col("_part").alias("_end")).agg(F.max("curve").alias("_last"))
+    carried = ends.select("_layer", "_end", F.lag("_last").over(Window.partitionBy("_layer").orderBy("_end")).alias("_carried"))
+    joined = rows.join(carried, (F.col("layer") == F.col("_layer")) & (F.col("_part") == F.col("_end")))
+    before = F.lag("curve").over(Window.partitionBy("layer", "_part").orderBy("curve", "code"))
+    return (joined.withColumn("gap", F.col("curve") - F.coalesce(before, F.col("_carried")))
+            .drop("_layer", "_end", "_carried", "_part"))
+
+
+def first_zooms(features: DataFrame, low: Column, high: Column, budget: int) -> DataFrame:
+    """features (layer, code, geometry lon/lat) -> (layer, code, first_zoom): the smallest
+    zoom of ``low`` to ``high`` at which a feature is shown.
+
+    A tile shows the ``budget`` features with the widest gaps on the Z-order curve of
+    their centres, so dense ones go first; at the top zoom all are shown. A tile's
+    features are among those of the tile above it, where their ranks can only be
+    larger: what is shown once stays. Features without a geometry have no row;
+    ``code`` is unique in its layer.
+    """
+    b, top = bbox(F.col("geometry")), F.lit(_TOP)
+    centre = features.where(F.col("geometry").isNotNull()).select(
+        "layer", "code", low.cast("int").alias("low"), high.cast("int").alias("high"),
+        tile_x((b["minx"] + b["maxx"]) / 2, top).alias("cx"), tile_y((b["miny"] + b["maxy"]) / 2, top).alias("cy"))
+    placed = with_gaps(centre.withColumn("curve", curve_order(F.col("cx"), F.col("cy"))))
+    at = placed.where("low < high").withColumn("z", F.explode(F.sequence("low", F.col("high") - 1)))
+    # a tile is named by its zoom and its stretch of the curve
+    at = at.withColumn("tile", F.expr(f"shiftright(curve, 2 * ({_TOP} - z))"))
+    in_tile = Window.partitionBy("layer", "z", "tile").orderBy(F.desc_nulls_first("gap"), F.asc("code"))
+    shown = at.withColumn("rank", F.row_number().over(in_tile)).where(F.col("rank") <= budget).select("layer", "code", "z")
+    always = placed.select("layer", "code", F.col("high").alias("z"))
+    return shown.unionByName(always).groupBy("layer", "code").agg(F.min("z").alias("first_zoom"))
+
+
 # Published level -> tile layer name (cantons have no tile layer).
 LEVEL_TO_TILE_LAYER = {"country": "country", "region": "regions", "departement": "departments",
                        "postcode": "postcodes", "commune": "communes"}

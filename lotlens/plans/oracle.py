@@ -564,6 +564,20 @@ SELECT 'parcels' AS layer, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAS
                      unnest(generate_series(16, 20)) AS z
               FROM ({lonlat_sql('px', 'py', src='pcorners')}) pr GROUP BY code) b) c) d,
 LATERAL (SELECT unnest(generate_series(ymin, ymax)) AS y) e"""
+    # bit by bit: bit i of a tile's x is bit 2 i of its place on the curve, bit i of y bit 2 i + 1
+    curve = " + ".join(f"((x >> {i}) & 1) * {1 << 2 * i} + ((y >> {i}) & 1) * {2 << 2 * i}" for i in range(20))
+    q["parcel_first_zooms"] = with_(*BASE, PARCELS, parcel_corners) + f"""
+, centres AS (
+  SELECT code, {_tile_x('lon', 20)}::BIGINT AS x, {_tile_y('lat', 20)}::BIGINT AS y
+  FROM (SELECT code, (min(lon) + max(lon)) / 2 AS lon, (min(lat) + max(lat)) / 2 AS lat
+        FROM ({lonlat_sql('px', 'py', src='pcorners')}) pr GROUP BY code) b),
+gaps AS (
+  SELECT code, x, y, curve - lag(curve) OVER (ORDER BY curve, code) AS gap FROM (SELECT *, {curve} AS curve FROM centres) c),
+ranked AS (
+  SELECT code, z, row_number() OVER (PARTITION BY z, x >> (20 - z), y >> (20 - z) ORDER BY gap DESC NULLS FIRST, code) AS rank
+  FROM (SELECT *, unnest(generate_series(7, 17)) AS z FROM gaps) g)
+SELECT 'parcels' AS layer, code, CAST(coalesce(min(z) FILTER (WHERE rank <= 8), 18) AS INTEGER) AS first_zoom
+FROM ranked GROUP BY code"""
     q["geojson_parsed"] = with_(*geo_stats) + """
 SELECT c.insee AS code, 'Polygon' AS geom_type, CAST(5 AS INTEGER) AS ring_points,
        s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75

@@ -229,6 +229,13 @@ def parcel_tiles(spark, sf_dir):
     return tiles.assign_parcel_tiles(p)
 
 
+def parcel_first_zooms(spark, sf_dir):
+    """The zoom from which each sold parcel is shown, 8 to a tile below the top zoom."""
+    p = parcels.parcel_layer(fixtures.parcels(spark, sf_dir), _t(spark, sf_dir))
+    f = p.select(F.lit("parcels").alias("layer"), F.col("parcel_id").alias("code"), "geometry")
+    return tiles.first_zooms(f, F.lit(7), F.lit(18), 8)
+
+
 def layer_tiles(spark, sf_dir):
     return tiles.assign_all_layers(_published(spark, sf_dir))
 
@@ -448,6 +455,7 @@ def build() -> dict[str, Query]:
     q["tile_top_features"] = tile_top_features
     q["parcel_tiles"] = parcel_tiles
     q["layer_tiles"] = layer_tiles
+    q["parcel_first_zooms"] = parcel_first_zooms
     q["price_color"] = price_colors
     q["zoom_levels"] = zoom_levels
     q["csv_lots"] = csv_lots_query
