@@ -5,27 +5,33 @@ and merges the maps of a group in one task: a group holding a third of the
 data would land in one task.  Here every group, of whatever size, is ranked
 across tasks:
 
-1. value histogram per (group, value) — partial aggregation merges repeats;
-2. every value falls into a bucket by a fixed monotone function (a bucket is
-   1/4096 of a unit of log(1 + |value|)); the buckets' counts per group, of
-   which there are few, give each bucket its first rank;
-3. the target ranks floor/ceil((n-1)q) name the few buckets that hold them;
-   only those buckets' values are ranked one by one;
+1. every value falls into a bucket by a fixed monotone function (a bucket is
+   1/1024 of a unit of log(1 + |value|)); counts per (group, bucket) come straight
+   from the scan, by partial aggregation, and give each bucket its first rank;
+2. the target ranks floor/ceil((n-1)q) name the few buckets that hold them; these
+   are written, so that their size is known where the next step is planned;
+3. a second scan keeps the values of those buckets only (by a broadcast join where
+   the written buckets are small enough, by a shuffled one otherwise), merges
+   repeats and ranks them one by one;
 4. the quantile is interpolated as ``(ceil - pos) * lo + (pos - floor) * hi``
    (the same arithmetic as the built-in ``percentile``).
 
-Everything is a DataFrame aggregate, window or join; the histogram's shuffle
-is shared by its two readers.  Group keys are matched null-safely, and a group
-without any value keeps its row (no quantiles, count 0).
+Of the values only those in target buckets are shuffled.  Group keys are matched
+null-safely, and a group without any value keeps its row (no quantiles, count 0).
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlens.session import checkpoint_dir
+
 #: Buckets per unit of log(1 + |value|).
-BUCKETS_PER_UNIT = 4096
+BUCKETS_PER_UNIT = 1024
 
 
 def _bucket(v: Column) -> Column:
@@ -43,16 +49,22 @@ def _marked(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"_r_{k}" for k in keys})
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder: a few rows per group, with a size that the planner knows."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), "quantiles", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
     """keys + ``_q`` (array of quantiles, order of ``qs``) + ``_n`` (number of
     values); groups without a value have no row."""
-    v = F.col(value).cast("double")
-    hist = (df.where(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v"))))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    values = values.withColumn("_b", _bucket(F.col("_v")))
 
     # first rank of every bucket, and the group size
     by_key = Window.partitionBy(*keys)
-    sums = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    sums = values.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     sums = sums.select(*keys, "_b", "_bc",
                        (F.sum("_bc").over(by_key.orderBy("_b")) - F.col("_bc")).alias("_off"),
                        F.sum("_bc").over(by_key).alias("_n"))
@@ -65,10 +77,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float])
         targets.append(F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(pos).alias("r")))
     inside = F.filter(F.array(*targets),
                       lambda t: (t["r"] >= F.col("_off")) & (t["r"] < F.col("_off") + F.col("_bc")))
-    wanted = _marked(sums.select(*keys, "_b", "_off", "_n", inside.alias("_t")).where(F.size("_t") > 0), keys + ["_b"])
+    wanted = _written(_marked(sums.select(*keys, "_b", "_off", "_n", inside.alias("_t")).where(F.size("_t") > 0), keys + ["_b"]))
 
     # ranks of the values in those buckets
-    rows = hist.join(wanted, _same_keys(hist, wanted, keys + ["_b"]))
+    rows = (values.join(wanted, _same_keys(values, wanted, keys + ["_b"]))
+            .groupBy(*keys, "_b", "_off", "_n", "_t", "_v").agg(F.count(F.lit(1)).alias("_c")))
     upto = F.col("_off") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
     hits = (rows.select(*keys, "_n", "_v", "_c", "_t", upto.alias("_upto"))
             .select(*keys, "_n", "_v", F.explode(F.filter("_t", lambda t: (t["r"] < F.col("_upto"))

@@ -241,6 +241,10 @@ HAVING COUNT(*) >= 10 AND code_departement IS NOT NULL AND code_departement <> '
 SELECT code_departement AS dept, round_even(NULLIF(quantile_disc(price_m2, 0.5), 0), 2) AS price_m2,
        COUNT(*) AS volume
 FROM raw GROUP BY code_departement
+HAVING COUNT(*) >= 10 AND code_departement IS NOT NULL AND code_departement <> ''"""
+    q["refreshed_department_stats"] = with_(PLACES, LOTS, raw_lot_prices_cte()) + """
+SELECT code_departement AS dept, COUNT(*) AS volume, true AS within
+FROM raw GROUP BY code_departement
 HAVING COUNT(*) >= 10 AND code_departement IS NOT NULL AND code_departement <> ''"""
     q["raw_lot_city_report"] = with_(PLACES, LOTS, raw_lot_prices_cte()) + """
 SELECT commune AS city, code_commune AS code, type_local AS property_type,

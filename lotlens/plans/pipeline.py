@@ -160,6 +160,14 @@ def cached_department_stats(spark: SparkSession, out: str, ttl_seconds: int = 36
     return spark.read.parquet(path)
 
 
+def refreshed_department_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The department report brought up to date by scanning only the lot files that are
+    new since the last call (sketched medians, exact volumes)."""
+    from lotlens.operators import incremental
+    incremental.refresh(spark, _p(out, "lots"), _p(out, "department_state"))
+    return incremental.department_report(spark, _p(out, "lots"), _p(out, "department_state"))
+
+
 def communes_from_file(spark: SparkSession, path: str) -> DataFrame:
     """Commune boundary file (GeoJSON FeatureCollection with INSEE_COM, NOM,
     INSEE_DEP, INSEE_CAN) -> the commune frame the layer builder takes:

@@ -6,6 +6,7 @@ Spark derives from them); none runs on fixed input alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lotlens.functions.expressions import dept_of_commune, price_color
 from lotlens.functions.geo import ring_area2
-from lotlens.operators import (clean, crossings, dims, geometry, layers, parcels, publish, reports, stats, tiles,
+from lotlens.operators import (clean, crossings, dims, geometry, incremental, layers, parcels, publish, reports, stats, tiles,
                                viewport)
 from lotlens.params import DEFAULT, METRO_REGIONS, PARCEL_SIMPLIFY_TOLERANCE
 from lotlens.sources import csv_lots, fixtures, geojson
@@ -258,6 +259,23 @@ def zoom_levels(spark, sf_dir):
             .where(F.col("layer").isNotNull()))
 
 
+def refreshed_department_stats(spark, sf_dir):
+    """The department report after a second part of the lots has arrived and only that
+    part was scanned: exact volumes, and whether the median is within 3 % of rank 1/2."""
+    base = table_path(spark, key_for("refreshed", CODE_VERSION, sf_dir, uuid.uuid4().hex))
+    lots, first = _lots(spark, sf_dir), F.coalesce(F.col("no_disposition") == 1, F.lit(True))
+    for part in (first, ~first):
+        lots.where(part).write.mode("append").parquet(base + "/lots")
+        incremental.refresh(spark, base + "/lots", base + "/state")
+    report = incremental.department_report(spark, base + "/lots", base + "/state")
+    report = report.select(F.col("dept").alias("_dept"), F.col("price_m2").alias("median"), F.col("volume").alias("_volume"))
+    prices = reports.residential_lot_prices(lots).select(F.col("code_departement").alias("dept"), "price_m2")
+    j = prices.join(report, F.col("dept") == F.col("_dept"))
+    below = F.avg((F.col("price_m2") < F.col("median") - 0.005).cast("double"))
+    upto = F.avg((F.col("price_m2") <= F.col("median") + 0.005).cast("double"))
+    return j.groupBy("dept", F.col("_volume").alias("volume")).agg(((below <= 0.53) & (upto >= 0.47)).alias("within"))
+
+
 def csv_lots_query(spark, sf_dir):
     """Lots written in the published text format, read back through S1-S5."""
     src = table_path(spark, key_for("csv_source", CODE_VERSION, sf_dir))
@@ -411,6 +429,7 @@ def build() -> dict[str, Query]:
     q["top_communes_min10"] = lambda s, d: reports.top_communes(_t(s, d), min_n=10)
     q["raw_lot_department_stats"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d))
     q["raw_lot_department_stats_approx"] = lambda s, d: reports.raw_lot_department_stats(_lots(s, d), params=APPROX)
+    q["refreshed_department_stats"] = refreshed_department_stats
     q["raw_lot_city_report"] = lambda s, d: reports.raw_lot_city_report(_lots(s, d))
     q["city_report_by_insee"] = lambda s, d: reports.city_report_by_insee(_lots(s, d))
     q["bulk_sale_inflation"] = lambda s, d: reports.bulk_sale_inflation(_lots(s, d), _t(s, d))
