@@ -16,7 +16,9 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ class Params:
     rounds: int = 3
     min_support: int = 3  # different instances beside a pattern
     confidence: float = 0.8
-    block_patterns: int = 500_000  # patterns counted in one pass over the texts
+    filter_bits: int = 1 << 26  # of the filter of patterns (8 MB), a power of two, at least 64
 
 
 def _luhn(digits: str) -> bool:
@@ -93,10 +95,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
     """(start, end, possible kinds) of other strings with the shape of a kind
-    that touch no base span and not one another."""
+    that touch no base span and not one another; ``base`` in order."""
     found = []
     for m in _AT.finditer(text):
-        start, name = _local_start(text, m.start(), 0 if m.start() < 200 else m.start() - 200), _NAME.match(text, m.end())
+        start, name = _local_start(text, m.start(), 0), _NAME.match(text, m.end())
         if start < m.start() and name:
             found.append((start, name.end(), [EMAIL]))
     found += [(m.start(), m.end(), [IP]) for m in _IP.finditer(text)]
@@ -106,28 +108,112 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         kinds = [CARD] * (n >= 12) + [PHONE] * (n <= 15)
         if kinds:
             found.append((m.start(), m.end(), kinds))
-    taken = [(s, e) for s, _, e in base]
     out: list[tuple[int, int, list[int]]] = []
+    taken: list[list[int]] = []  # the places of base spans, which may overlap one another
+    for start, _, end in base:
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    at = 0
     for start, end, kinds in sorted(found):
-        if (not out or start >= out[-1][1]) and all(e <= start or end <= s for s, e in taken):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if (at == len(taken) or end <= taken[at][0]) and (not out or start >= out[-1][1]):
             out.append((start, end, kinds))
     return out
 
 
-def contexts(text: str, start: int, end: int, window: int = 200) -> list[str]:
-    """The lexical patterns around a span: two words before, two words after."""
-    out = []
-    low = max(0, start - window)
-    before = text[low:start].lower().split()
-    if len(before) > 2 or (low == 0 and len(before) == 2):
-        out.append("< " + " ".join(before[-2:]))
-    high = min(len(text), end + window)
-    after = text[end:high].lower().split()
-    if len(after) > 2 or (high == len(text) and len(after) == 2):
-        out.append("> " + " ".join(after[:2]))
+_ODD = re.compile("[\u0130\u03a3\u212a]")
+
+
+def lower(text: str) -> str:
+    """Lower case sign by sign: a slice's is the slice of the whole text's. The dotted I
+    (two signs in lower case) and the Kelvin sign (an ASCII letter) stay."""
+    if not _ODD.search(text):
+        return text.lower()
+    return "".join(c if c in "\u0130\u212a" else c.lower() for c in text)
+
+
+LONG = 64  # signs from which a pattern holds a word's length and hash instead of the word
+_PRIME = (1 << 128) - 159  # of the hash: a word as a number of base 2**32, modulo this prime
+
+
+class Slices:
+    """Keys of the slices of a text: the slice, or a longer one's length and hash.
+
+    Slices with one start and ascending ends, or one end and ascending starts,
+    take time linear in the text together. (No slice of a word holds a tab.)
+    """
+
+    def __init__(self, text: str):
+        self.text, self.start, self.at, self.hash = text, 0, 0, 0
+        self.word, self.whole = (0, 0), 0
+
+    def _upto(self, start: int, end: int) -> int:
+        if start != self.start or end < self.at:
+            self.start, self.at, self.hash = start, start, 0
+        number = int.from_bytes(self.text[self.at:end].encode("utf-32-be", "surrogatepass"), "big")
+        self.hash = (self.hash * pow(2, 32 * (end - self.at), _PRIME) + number) % _PRIME
+        self.at = end
+        return self.hash
+
+    def head(self, start: int, end: int) -> str:
+        """Key of text[start:end]."""
+        return self.text[start:end] if end - start <= LONG else f"\t{end - start}:{self._upto(start, end):x}"
+
+    def tail(self, start: int, cut: int, end: int) -> str:
+        """Key of text[cut:end], ``start`` being a place at or before the cut that does not change."""
+        if end - cut <= LONG:
+            return self.text[cut:end]
+        if self.word != (start, end):
+            self.word, self.whole = (start, end), Slices(self.text)._upto(start, end)
+        rest = (self.whole - self._upto(start, cut) * pow(2, 32 * (end - cut), _PRIME)) % _PRIME
+        return f"\t{end - cut}:{rest:x}"
+
+
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text, those of ``str.split``."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(signs) + 2, np.bool_)
+    inside[1:-1] = ~_SPACE[np.minimum(signs, 0x3001)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def all_contexts(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The lexical patterns around each span: the two words before and the two words
+    after, whole but for the span's edges, in lower case."""
+    if not spans:
+        return []
+    low = lower(text)
+    starts, ends = _words(low)
+    out: list[list[str]] = [[] for _ in spans]
+    near, far = Slices(low), Slices(low)
+
+    def word(w: int) -> str:
+        return far.head(int(starts[w]), int(ends[w]))
+    order = sorted(range(len(spans)), key=lambda i: spans[i][0])
+    for i, j in zip(order, np.searchsorted(starts, [spans[i][0] for i in order], "left").tolist()):
+        if j >= 2:
+            part = near.head(int(starts[j - 1]), min(int(ends[j - 1]), spans[i][0]))
+            out[i].append(f"< {word(j - 2)} {part}")
+    order.sort(key=lambda i: spans[i][1])
+    near, far = Slices(low), Slices(low)
+    for i, k in zip(order, np.searchsorted(ends, [spans[i][1] for i in order], "right").tolist()):
+        if k + 1 < len(ends):
+            start = int(starts[k])
+            out[i].append(f"> {near.tail(start, max(start, spans[i][1]), int(ends[k]))} {word(k + 1)}")
     return out
 
 
+def contexts(text: str, start: int, end: int) -> list[str]:
+    return all_contexts(text, [(start, end)])[0]
+
+
 def _value(kind: int, s: str) -> str:
     return _digits(s) if kind in (CARD, PHONE) else s.lower()
 
@@ -148,9 +234,10 @@ def look(text: str) -> dict:
         return {"base": [], "found": []}
     base = base_spans(text)
     found = [(s, e, True, [k]) for s, k, e in base] + [(s, e, False, ks) for s, e, ks in candidates(text, base)]
+    near = all_contexts(text, [(s, e) for s, e, _, _ in found])
     return {"base": [{"start": s, "kind": k, "end": e} for s, k, e in base],
             "found": [{"start": s, "end": e, "seed": seed, "kinds": kinds, "value": _value(kinds[0], text[s:e]),
-                       "near": contexts(text, s, e)} for s, e, seed, kinds in found]}
+                       "near": n} for (s, e, seed, kinds), n in zip(found, near)]}
 
 
 def _seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -170,56 +257,122 @@ def _plain(word: str) -> bool:
     return word.isascii() and word.isalpha()
 
 
-def occurrences(texts: Iterable[list[str]], before: set[str], after: set[str], longest: int) -> Iterator[str]:
-    """The patterns that stand in texts, given as words: a pair as two whole words on either side,
-    the nearer of them also cut where a span can start (before) or end (after), as
-    ``contexts`` cuts it. ``longest``: signs of a pair's longest word."""
-    firsts, lasts = {p.partition(" ")[0] for p in before}, {p.partition(" ")[2] for p in after}
-    whole = firsts | {p.partition(" ")[0] for p in after}
-    for w, x in (pair for words in texts for pair in zip(words, words[1:])):
-        if w in whole:
-            pair = f"{w} {x}"
-            if pair in before:
-                yield "< " + pair
-            if pair in after:
-                yield "> " + pair
-        if w in firsts and not _plain(x):
-            for m in _STARTS.finditer(x[:longest + 1]):
-                if m.start() and (pair := f"{w} {x[:m.start()]}") in before:
-                    yield "< " + pair
-        if x in lasts and not _plain(w):
-            tail = w[-longest - 1:]
-            for m in _ENDS.finditer(tail):
-                if (pair := f"{tail[m.start():]} {x}") in after:
-                    yield "> " + pair
-
-
-def pattern_counts(texts: DataFrame, patterns: DataFrame, block_patterns: int) -> DataFrame:
-    """(pattern, total): how often each of ``patterns`` stands in ``texts``.
-
-    The patterns are broadcast a block of bounded size at a time; the texts are
-    read once for every block.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_BEFORE, _AFTER, _FIRST, _LAST = range(4)  # what the filter holds: pairs by side, words by side
+_CACHE = 1 << 19  # hashes and counts kept in a task
+
+
+class _Codes(dict):
+    """64-bit hashes of words' keys, at most ``_CACHE`` of them."""
+
+    def __missing__(self, key: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        code = self[key] = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def _probes(role: int, first, second, bits: int) -> np.ndarray:
+    """The two bits of the filter for a word or a pair in a role."""
+    h = (np.asarray(first, np.uint64) ^ np.uint64(role)) * _MIX[0] + np.asarray(second, np.uint64) * _MIX[1]
+    h = (h ^ (h >> np.uint64(29))) * _MIX[2]
+    shift = np.uint64(65 - bits.bit_length())
+    return np.stack([h >> shift, ((h ^ (h >> np.uint64(32))) * _MIX[3]) >> shift])
+
+
+def filter_bits(patterns: Iterable[str], bits: int) -> np.ndarray:
+    """Bits that ``patterns`` set in the filter."""
+    codes, sides = _Codes(), ([], [])
+    for p in patterns:
+        w, _, x = p[2:].partition(" ")
+        sides[p[0] == ">"].append((codes[w], codes[x]))
+    out = []
+    for pairs, role, edge, column in zip(sides, (_BEFORE, _AFTER), (_FIRST, _LAST), (0, 1)):
+        a = np.array(pairs, np.uint64).reshape(-1, 2)
+        out += [_probes(role, a[:, 0], a[:, 1], bits), _probes(edge, a[:, column], 0, bits)]
+    return np.unique(np.concatenate([o.ravel() for o in out]))
+
+
+class Known:
+    """A filter of patterns: says yes to all of them and to few others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits, self.codes = words, 64 * len(words), _Codes()
+
+    def _has(self, role: int, first, second=0) -> np.ndarray:
+        at = _probes(role, first, second, self.bits)
+        found = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return found[0] & found[1] != 0
+
+    def occurrences(self, words: list[str]) -> Iterator[str]:
+        """The patterns (and few other pairs) that stand in a text, given as words in lower
+        case: a pair as two whole words on either side, the nearer of them also cut where
+        a span can start (before) or end (after), as ``contexts`` cuts it."""
+        if len(words) < 2:
+            return
+        keys = [w if len(w) <= LONG else Slices(w).head(0, len(w)) for w in words]
+        codes = np.array([self.codes[k] for k in keys], np.uint64)
+        for side, role in (("<", _BEFORE), (">", _AFTER)):
+            for i in np.flatnonzero(self._has(role, codes[:-1], codes[1:])).tolist():
+                yield f"{side} {keys[i]} {keys[i + 1]}"
+        heads, tails = [], []
+        for i in np.flatnonzero(self._has(_FIRST, codes[:-1])).tolist():
+            if not _plain(x := words[i + 1]):
+                cut = Slices(x)
+                heads += [(keys[i], cut.head(0, m.start())) for m in _STARTS.finditer(x) if m.start()]
+        for i in np.flatnonzero(self._has(_LAST, codes[1:])).tolist():
+            if not _plain(w := words[i]):
+                cut = Slices(w)
+                tails += [(cut.tail(0, m.start(), len(w)), keys[i + 1]) for m in _ENDS.finditer(w)]
+        for side, role, pairs in zip("<>", (_BEFORE, _AFTER), (heads, tails)):
+            if pairs:
+                a = np.array([(self.codes[w], self.codes[x]) for w, x in pairs], np.uint64)
+                for i in np.flatnonzero(self._has(role, a[:, 0], a[:, 1])).tolist():
+                    yield f"{side} {pairs[i][0]} {pairs[i][1]}"
+
+
+def pattern_filter(patterns: DataFrame, bits: int) -> np.ndarray:
+    """The filter's 64-bit words, put together by Spark; only they, ``bits`` / 64 of them at
+    most whatever the number of patterns, come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = filter_bits(batch.column(0).to_pylist(), bits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((at >> np.uint64(6)).astype(np.int64)),
+                 pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+    words = np.zeros(bits // 64, np.uint64)
+    found = patterns.select("pattern").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = found.toArrow()
+    words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def pattern_counts(texts: DataFrame, patterns: DataFrame, bits: int, rows: int) -> DataFrame:
+    """(pattern, total): how often each of ``patterns``, of which there are at most ``rows``,
+    stands in ``texts``.
+
+    One pass over the texts, however many patterns there are: the pairs that pass
+    the filter, of a fixed size, are counted; those that are no patterns
+    drop out in a join. A task holds a bounded number of counts.
     """
-    bound = patterns.count()
-    patterns = written(patterns.select("pattern").distinct(), "pii-patterns", rows=bound)
-    n_blocks = max(1, -(-bound // block_patterns))
-    out = None
-    for b in range(n_blocks):
-        block = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == b)
-        known = texts.sparkSession.sparkContext.broadcast({r["pattern"] for r in block.toLocalIterator()})
-
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            before, after = ({p[2:] for p in known.value if p[0] == side} for side in "<>")
-            longest, counts = max((len(w) for p in known.value for w in p.split(" ")), default=0), {}
-            for batch in batches:
-                words = ((text.as_py() or "").lower().split() for text in batch.column(0))
-                for pattern in occurrences(words, before, after, longest):
+    patterns = written(patterns.select("pattern").distinct(), "pii-patterns", rows=rows)
+    known = texts.sparkSession.sparkContext.broadcast(pattern_filter(patterns, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                              names=["pattern", "total"])
+        seen, counts = Known(known.value), {}
+        for batch in batches:
+            for text in batch.column(0):
+                for pattern in seen.occurrences(lower(text.as_py() or "").split()):
                     counts[pattern] = counts.get(pattern, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["pattern", "total"])
-        part = texts.mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return written(out, "pii-pattern-counts", rows=bound)
+                    if len(counts) >= _CACHE:
+                        yield counted()
+                        counts.clear()
+        yield counted()
+    found = texts.mapInArrow(run, "pattern string, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
+    return written(found.join(patterns, "pattern", "left_semi"), "pii-pattern-counts", rows=rows)
 
 
 def matched_counts(rows: DataFrame) -> DataFrame:
@@ -278,7 +431,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p: Par
               .where(F.col("support") >= p.min_support).select("pattern"))
     edges = written(edges.join(enough, "pattern", "left_semi"), "pii-edges", rows=size)
     patterns = edges.select("pattern").distinct()
-    totals = pattern_counts(docs.select(F.col(text)), patterns, p.block_patterns)
+    totals = pattern_counts(docs.select(F.col(text)), patterns, p.filter_bits, size)
     matched = matched_counts(rows).join(patterns, "pattern", "left_semi")
     sure = score(edges, totals, written(matched, "pii-matched", rows=size), p).where(F.col("confidence") >= p.confidence)
 
