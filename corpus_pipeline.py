@@ -9,6 +9,8 @@ shared folder and reads again.
 Repeated rows, nulls and empty tables are handled as the operators' docstrings
 say: a null or letterless text is rejected by language ID; of equal texts, and
 of near copies, one row stays; rows with null ids take part in every stage.
+Extra columns of any name pass through, but for n_tokens and epoch, which the
+mixture sets anew; an extra column domain is the mixture's first level.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lotlens.llm import decontaminate, exact_dedup, language_id, mixing, simhash  # noqa: E402
-from lotlens.llm.common import keep_rows, table, with_text_key, written  # noqa: E402
+from lotlens.llm.common import keep_rows, packed, table, text_key, unpacked, with_text_key, written  # noqa: E402
 from lotlens.session import ship_package  # noqa: E402
 
 def least_score(model: language_id.Model | None) -> float:
@@ -36,9 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a letter or without a likely language."""
     ship_package(spark)
     model = language_id.learn(docs)
-    found = docs.withColumn("_language", language_id.predicted(docs, "text", model))
-    sure = (F.col("_language.lang") != language_id.UNKNOWN) & (F.col("_language.score") >= least_score(model))
-    return found.where(sure).select(*docs.columns)
+    found = docs.select(packed(docs.columns), language_id.predicted(docs, "text", model).alias("language"))
+    sure = (F.col("language.lang") != language_id.UNKNOWN) & (F.col("language.score") >= least_score(model))
+    return found.where(sure).select(*unpacked(docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +67,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = (found.where(decontaminate.is_contaminated()).select(F.col("doc_id").alias("_bad"), "_text_key")
            .distinct().withColumnRenamed("_text_key", "_bad_key"))
-    keyed = with_text_key(docs)
-    same = keyed["doc_id"].eqNullSafe(bad["_bad"]) & (keyed["_text_key"] == bad["_bad_key"])
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    keyed = docs.select(packed(docs.columns), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"))
+    same = keyed["_id"].eqNullSafe(bad["_bad"]) & (keyed["_key"] == bad["_bad_key"])
+    return keyed.join(bad, same, "left_anti").select(*unpacked(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

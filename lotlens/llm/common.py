@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,22 +75,31 @@ def repeat_rows(df: DataFrame, count: str, nth: str, block: int = 1 << 16) -> Da
     return df.withColumn(nth, F.explode(F.sequence(start + 1, F.least(start + block, n)))).drop("_block")
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def with_text_key(df: DataFrame, text: str = "text", key: str = "_text_key") -> DataFrame:
-    return df.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    return df.withColumn(key, text_key(F.col(text)))
+
+
+def packed(columns: Sequence[str]) -> Column:
+    """A caller's row in one column, so that no helper column meets a column of its name."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in columns)).alias("_row")
+
+
+def unpacked(columns: Sequence[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
 
 
 def keep_rows(docs: DataFrame, winners: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` named by ``winners`` (id, _text_key); one row per winner.
 
     Null-safe in the id. Rows repeated with the same id and text stay once
-    (the smallest of their other columns).
+    (the smallest of their other columns, whatever those are named).
     """
-    cols = docs.columns
-    others = [c for c in cols if c not in (id_col, text)]
+    others = [c for c in docs.columns if c not in (id_col, text)]
     w = winners.select(F.col(id_col).alias("_wid"), F.col("_text_key").alias("_wkey"))
-    d = with_text_key(docs, text)
-    d = d.join(w, d[id_col].eqNullSafe(w["_wid"]) & (d["_text_key"] == w["_wkey"]), "left_semi")
-    one = d.groupBy(id_col, "_text_key").agg(
-        F.min(F.struct(*(F.col(c) for c in others), F.col(text).alias("_text"))).alias("_row"))
-    return one.select(*(F.col(id_col) if c == id_col else F.col("_row._text").alias(text) if c == text
-                        else F.col(f"_row.{c}").alias(c) for c in cols))
+    d = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text)).alias("_key"), packed([*others, text, id_col]))
+    d = d.join(w, d["_id"].eqNullSafe(w["_wid"]) & (d["_key"] == w["_wkey"]), "left_semi")
+    return d.groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select(*unpacked(docs.columns))

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlens.llm.common import written
+from lotlens.llm.common import packed, unpacked, written
 
 #: Levels of the query's tree and the weights of their names (others count 1).
 LEVELS = ("domain", "lang", "source")
@@ -128,12 +128,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", levels: Seq
     weight of 0 takes nothing. A null level is the empty name. Rows of one id
     (all null ids count as one) go in together; a leaf without tokens gives
     nothing; an empty table gives an empty result. Other columns, whatever
-    their names, pass through; ``domain`` is computed where ``docs`` has no
+    their names, pass through, but for columns n_tokens and epoch, whose place
+    the mixture's take; ``domain`` is computed where ``docs`` has no
     such column. Up to ``broadcast_leaves`` leaves are broadcast.
     """
-    keep = docs.columns
-    d = docs if "domain" in keep or "domain" not in levels else \
+    keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch")]
+    names = {c.lower() for c in keep}
+    d = docs if "domain" in names or "domain" not in levels else \
         docs.withColumn("domain", domain if domain is not None else domain_of(F.col("source")))
+    keep = keep + [c for c in levels if c.lower() not in names]
     leaf = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
     rows = written(d.select(F.col(id_col).alias("_id"), *leaf, word_tokens(F.col(text)).alias("n_tokens")), "mix-rows")
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
@@ -141,10 +144,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", levels: Seq
     small = plan.count() <= broadcast_leaves
     marks = plan.select(*(F.col(c).alias(f"_leaf_{c}") for c in levels), F.col("whole").alias("_whole"),
                         F.col("cutoff").alias("_cutoff"))
-    on = [F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"_leaf_{c}") for c in levels]
-    out = d.join(F.broadcast(marks) if small else marks, on)
-    more = (_order(seed, F.col("_whole") + 1, F.col(id_col)) <= F.col("_cutoff")).cast("long")
+    row, at = F.col("_row"), [c.alias(f"_at_{name}") for c, name in zip(leaf, levels)]
+    on = [F.col(f"_at_{c}") == F.col(f"_leaf_{c}") for c in levels]
+    out = d.select(packed(keep), *at).join(F.broadcast(marks) if small else marks, on)
+    more = (_order(seed, F.col("_whole") + 1, row.getField(id_col)) <= F.col("_cutoff")).cast("long")
     out = out.withColumn("_n", F.col("_whole") + more).where("_n > 0")
-    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    extra = [c for c in levels if c not in keep]
-    return out.select(*keep, *extra, word_tokens(F.col(text)).alias("n_tokens"), "epoch")
+    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return out.select(*unpacked(keep), word_tokens(row.getField(text)).alias("n_tokens"), F.col("_epoch").alias("epoch"))

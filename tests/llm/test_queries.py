@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 sys.path.insert(0, str(ROOT))
@@ -95,6 +96,24 @@ def test_contamination_stage(spark):
     assert out == sorted(want, key=str)
 
 
+CLASHING = ["n_tokens", "epoch", "_n", "_epoch", "_whole", "_cutoff", "_text_key", "_key", "_text", "_wid", "_wkey", "_language", "language", "_bad",
+            "_bad_key", "_row", "_id", "_leaf_lang", "_at_lang", "fp", "whole", "cutoff", "tokens", "a.b", "c`d"]
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_stages_take_extra_columns_of_any_name(spark, name, stage):
+    bench = spark.read.parquet(f"{SF001}/benchmark.parquet").first().text
+    docs = frame(spark, [(i, f"{COPY} {'and more ' * (i % 5)} number {i // 4}", ) for i in range(40)]
+                 + [(50, bench), (None, COPY), (None, COPY), (51, None), (52, "")])
+    extra = docs.select("*", *(F.concat_ws(":", F.lit(c), "doc_id").alias(c) for c in CLASHING))
+    want, got = stage(spark, docs, SF001), stage(spark, extra, SF001)
+    passed = [c for c in CLASHING if name != "mix" or c not in ("n_tokens", "epoch")]
+    assert want.count() and sorted(got.columns) == sorted([*want.columns, *passed])
+    rows = got.collect()
+    assert sorted((tuple(r[c] for c in want.columns) for r in rows), key=str) == rows_of(want)
+    assert all(r[c] == (c if r.doc_id is None else f"{c}:{r.doc_id}") for r in rows for c in passed)
+
+
 def test_every_stage_takes_an_empty_table(spark):
     for _, stage in cp.STAGES:
         out = stage(spark, frame(spark, []), SF001)
