@@ -508,9 +508,10 @@ SELECT level, code, name, CAST(COUNT(*) AS DOUBLE) * 100000000.0 AS area_m2 FROM
   SELECT insee AS code, o.idx AS idx, x0 + o.fx * 10000 AS px, y0 + o.fy * 10000 AS py
   FROM (SELECT c.*, unnest([{nine}]) AS o FROM cellgeo c) s)"""
     q["lambert93_to_wgs84"] = with_(*base, cell_pts) + f"""
-SELECT code, CAST(idx AS INTEGER) AS idx, px AS x, py AS y, round_even(lon, 7) AS lon, round_even(lat, 7) AS lat
+SELECT code, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, CAST(idx AS INTEGER) AS idx, px AS x, py AS y, round_even(lon, 7) AS lon, round_even(lat, 7) AS lat
 FROM ({lonlat_sql('px', 'py', src='cell_pts')}) p"""
-    q["rounded_coordinates"] = with_(*base, CORNERS, PROJECTED) + "SELECT code, CAST(idx AS INTEGER) AS idx, lon, lat FROM projected"
+    q["rounded_coordinates"] = with_(*base, CORNERS, PROJECTED) + \
+        "SELECT code, CAST(0 AS INTEGER) AS part, CAST(0 AS INTEGER) AS ring, CAST(idx AS INTEGER) AS idx, lon, lat FROM projected"
     q["feature_bbox"] = with_(*base, DEPT_BBOX) + """
 SELECT dept, minx, miny, maxx, maxy, maxx - minx AS width, maxy - miny AS height FROM dept_bbox"""
     vbase = base + (DEPT_BBOX, "events_placeholder")
@@ -583,7 +584,8 @@ ranked AS (
 SELECT 'parcels' AS layer, code, CAST(coalesce(min(z) FILTER (WHERE rank <= 8), 18) AS INTEGER) AS first_zoom
 FROM ranked GROUP BY code"""
     q["geojson_parsed"] = with_(*geo_stats) + """
-SELECT c.insee AS code, 'Polygon' AS geom_type, CAST(5 AS INTEGER) AS ring_points,
+SELECT c.insee AS code, 'Polygon' AS geom_type, CAST(1 AS INTEGER) AS parts, CAST(1 AS INTEGER) AS rings,
+       CAST(5 AS INTEGER) AS ring_points,
        s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
 FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
     q["price_color"] = with_(*geo_stats) + f"""

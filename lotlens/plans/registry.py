@@ -90,13 +90,19 @@ def dissolved_outline(spark, sf_dir):
     return dissolved_layers(spark, sf_dir).where(F.col("level") == "country").drop("level")
 
 
+def _vertices(features, code="code"):
+    """(code, part, ring, idx, p): every point of every ring of every part."""
+    parts = features.select(F.col(code).alias("code"), F.posexplode("geometry").alias("part", "rings"))
+    rings = parts.select("code", "part", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("code", "part", "ring", F.posexplode("points").alias("idx", "p"))
+
+
 def lambert93_to_wgs84(spark, sf_dir):
     """Every vertex of the commune cells, EPSG:2154 -> lon/lat (7 decimals)."""
     from lotlens.functions.geo import lambert93_to_lonlat
-    cells = _cells(spark, sf_dir)
-    pts = cells.select(F.col("insee").alias("code"), F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
+    pts = _vertices(_cells(spark, sf_dir), "insee")
     ll = lambert93_to_lonlat(F.col("p.x"), F.col("p.y"))
-    return pts.select("code", "idx", F.col("p.x").alias("x"), F.col("p.y").alias("y"),
+    return pts.select("code", "part", "ring", "idx", F.col("p.x").alias("x"), F.col("p.y").alias("y"),
                       F.bround(ll["x"], 7).alias("lon"), F.bround(ll["y"], 7).alias("lat"))
 
 
@@ -143,21 +149,22 @@ def geojson_features(spark, sf_dir):
 
 
 def geojson_parsed(spark, sf_dir):
-    """The published commune features parsed back from their GeoJSON text."""
+    """The published commune features parsed back from their GeoJSON text, all parts and rings."""
     doc = F.from_json("feature", "struct<type:string, properties:struct<code:string, price_m2:double, "
                                  "n_sales:bigint, q25:double, q75:double>, "
-                                 "geometry:struct<type:string, coordinates:array<array<array<double>>>>>")
+                                 "geometry:struct<type:string, coordinates:string>>")
     f = geojson_features(spark, sf_dir).select(doc.alias("f"))
+    shape = geojson.geometry_from_json(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
     return f.select(F.col("f.properties.code").alias("code"), F.col("f.geometry.type").alias("geom_type"),
-                    F.size(F.col("f.geometry.coordinates")[0]).alias("ring_points"),
+                    F.size(shape).alias("parts"), F.size(F.flatten(shape)).alias("rings"),
+                    F.size(F.flatten(F.flatten(shape))).alias("ring_points"),
                     F.col("f.properties.price_m2").alias("price_m2"), F.col("f.properties.n_sales").alias("n_sales"),
                     F.col("f.properties.q25").alias("q25"), F.col("f.properties.q75").alias("q75"))
 
 
 def rounded_coordinates(spark, sf_dir):
-    c = _commune_features(spark, sf_dir)
-    pts = c.select("code", F.posexplode(F.col("geometry")[0][0]).alias("idx", "p"))
-    return pts.select("code", "idx", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+    pts = _vertices(_commune_features(spark, sf_dir))
+    return pts.select("code", "part", "ring", "idx", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
 
 
 def feature_bbox(spark, sf_dir):
@@ -316,7 +323,9 @@ def tile_zoom_layers(spark, sf_dir):
 
 
 def _kept(features):
-    return features.select("level", "code", (F.size(F.col("geometry")[0][0]) - 1).cast("long").alias("vertices"))
+    """Vertices of all rings, closing points not counted."""
+    rings = F.flatten("geometry")
+    return features.select("level", "code", (F.size(F.flatten(rings)) - F.size(rings)).cast("long").alias("vertices"))
 
 
 def simplified_squares(spark, sf_dir):

@@ -57,3 +57,15 @@ def test_undecodable_geometries_are_null(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c string, ok boolean")
     got = df.select("i", (geojson.geometry_from_json(F.col("t"), F.col("c")).isNotNull() == F.col("ok")).alias("as_said")).collect()
     assert all(r.as_said for r in got), got
+
+
+def test_vertices_come_from_all_parts_and_rings(spark):
+    from lotlens.plans.registry import _kept, _vertices
+    shell, hole, other = ([(float(a + i), float(b)) for i, (a, b) in enumerate([(0, 0), (9, 0), (0, 9)])] for a, b in ((0, 0), (1, 1), (50, 0)))
+    rows = [("hole", [[shell, hole]]), ("parts", [[shell], [other, hole]]), ("empty", []), ("null", None)]
+    df = spark.createDataFrame(rows, "code string, geometry array<array<array<struct<x:double,y:double>>>>")
+    got = sorted((r.code, r.part, r.ring, r.idx, tuple(r.p)) for r in _vertices(df).collect())
+    assert got == sorted((c, i, j, k, p) for c, g in rows for i, part in enumerate(g or []) for j, ring in enumerate(part)
+                         for k, p in enumerate(ring))
+    kept = {r.code: r.vertices for r in _kept(df.selectExpr("'x' AS level", "*")).collect()}
+    assert kept["hole"] == 4 and kept["parts"] == 6 and kept["empty"] == 0
