@@ -545,6 +545,8 @@ SELECT parcel_id, dept_code, price_m2, n_sales, commune_name FROM (
     # a 50 m parcel square keeps its 4 corners (+ closing point) at 0.5 m tolerance
     q["parcel_layer"] = with_(*BASE, PARCELS) + "SELECT *, CAST(5 AS INTEGER) AS points FROM (" + \
         parcel_q.format(top="") + ") p"
+    q["parcel_files"] = with_(*BASE, PARCELS) + "SELECT dept_code, price_m2, n_sales, commune_name AS name, " \
+        "CAST(5 AS INTEGER) AS points FROM (" + parcel_q.format(top="") + ") p"
     q["tile_assignment"] = with_(*base, CORNERS, PROJECTED, TILES) + "SELECT * FROM tiles"
     q["tile_top_features"] = with_(*tuple(dict.fromkeys(ROLLUP_BASE + base)), CORNERS, PROJECTED, TILES) + """
 SELECT layer, z, x, y, code, rank FROM (
@@ -587,6 +589,10 @@ FROM ranked GROUP BY code"""
 SELECT c.insee AS code, 'Polygon' AS geom_type, CAST(1 AS INTEGER) AS parts, CAST(1 AS INTEGER) AS rings,
        CAST(5 AS INTEGER) AS ring_points,
        s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75
+FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
+    q["department_files"] = with_(*geo_stats) + f"""
+SELECT {P7.format(c='c.insee')} AS dept, c.insee AS code, s.median_price_m2 AS price_m2, s.n_sales, s.q25, s.q75,
+       CAST(5 AS INTEGER) AS points
 FROM cellgeo c LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
     q["price_color"] = with_(*geo_stats) + f"""
 SELECT c.insee AS code, s.median_price_m2 AS price_m2, {_color_sql('s.median_price_m2')} AS color
@@ -626,6 +632,9 @@ SELECT 'commune' AS level, c_custkey::VARCHAR AS code, 'a}{"\' || c_custkey AS n
        CASE k WHEN 0 THEN 5 * x + 100 WHEN 1 THEN 9 * x + 150 WHEN 2 THEN 9 * x + 350 END AS sum_x,
        CASE k WHEN 0 THEN 100.0 WHEN 1 THEN 160.0 WHEN 2 THEN 110.0 END::DOUBLE AS sum_y
 FROM (SELECT *, c_custkey % 5 AS k, c_custkey * 100.0::DOUBLE AS x FROM customer)"""
+    q["csv_lot_files"] = with_(PLACES, LOTS) + """
+SELECT code_departement, CASE WHEN coalesce(no_disposition % 2 = 0, true) THEN 'even' ELSE 'odd' END AS folder, count(*) AS lots
+FROM lots GROUP BY ALL"""
     q["csv_rejects"] = with_(PLACES, LOTS) + """
 SELECT code_departement, count(*) FILTER (WHERE NOT bad) AS valid, count(*) FILTER (WHERE bad) AS rejected
 FROM (SELECT code_departement, coalesce(CAST(round(surface_reelle_bati) AS BIGINT) % 7 = 3, false) AS bad

@@ -368,6 +368,51 @@ def csv_mixed_headers(spark, sf_dir):
     return materialize(build, spark, "csv_mixed_headers", sf_dir)
 
 
+def csv_lot_files(spark, sf_dir):
+    """Lots per department and the folder that each lot's file path names."""
+    src = table_path(spark, key_for("csv_lot_files_source", CODE_VERSION, sf_dir))
+
+    def build():
+        lots, even = _lots(spark, sf_dir), F.coalesce(F.col("no_disposition") % 2 == 0, F.lit(True))
+        csv_lots.write_french_csv(lots.where(even), src + "/even")
+        csv_lots.write_french_csv(lots.where(~even), src + "/odd")
+        valid, _ = csv_lots.ingest(spark, src + "/*/*.csv", src + "-parsed")
+        folder = F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1)
+        return valid.groupBy("code_departement", folder.alias("folder")).agg(F.count(F.lit(1)).alias("lots"))
+    return materialize(build, spark, "csv_lot_files", sf_dir)
+
+
+def _files_read_back(spark, lines, key, path):
+    """Feature lines written into a folder per ``key`` and parsed from the files of all folders."""
+    from lotlens.plans.pipeline import feature_folder
+    publish.write_features(lines.select(key, "feature"), path, partition_by=key)
+    doc = F.from_json("value", "struct<properties:struct<code:string, name:string, price_m2:double, n_sales:bigint, "
+                               "q25:double, q75:double>, geometry:struct<type:string, coordinates:string>>")
+    f = spark.read.schema(feature_folder(key)).text(path).select(key, doc.alias("f"))
+    shape = geojson.geometry_from_json(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
+    return f.select(key, "f.properties.*", F.size(F.flatten(F.flatten(shape))).alias("points"))
+
+
+def department_files(spark, sf_dir):
+    """The commune features of each department's files."""
+    path = table_path(spark, key_for("department_files_source", CODE_VERSION, sf_dir))
+
+    def build():
+        return _files_read_back(spark, geojson_features(spark, sf_dir), "dept", path).drop("name")
+    return materialize(build, spark, "department_files", sf_dir)
+
+
+def parcel_files(spark, sf_dir):
+    """The parcel features of each department's files."""
+    path = table_path(spark, key_for("parcel_files_source", CODE_VERSION, sf_dir))
+
+    def build():
+        p = parcels.parcel_layer(fixtures.parcels(spark, sf_dir), _t(spark, sf_dir))
+        lines = publish.geojson_lines(p.withColumnRenamed("commune_name", "name"), ["price_m2", "n_sales", "name"])
+        return _files_read_back(spark, lines, "dept_code", path).drop("code", "q25", "q75")
+    return materialize(build, spark, "parcel_files", sf_dir)
+
+
 def csv_rejects(spark, sf_dir):
     """Valid and malformed rows per department: all lots are written, with the dates
     of some damaged, and read again."""
@@ -453,6 +498,9 @@ def build() -> dict[str, Query]:
     q["enriched_features"] = enriched_features
     q["geojson_features"] = geojson_features
     q["geojson_parsed"] = geojson_parsed
+    q["department_files"] = department_files
+    q["parcel_files"] = parcel_files
+    q["csv_lot_files"] = csv_lot_files
     q["rounded_coordinates"] = rounded_coordinates
     q["feature_bbox"] = feature_bbox
     q["viewport_departments"] = lambda s, d: _visible(s, d).select("event_id", "dept")
