@@ -12,13 +12,15 @@
 
 from __future__ import annotations
 
-import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+HEADER_JOBS = 16
 
 # File header -> canonical column, in file order.
 HEADER = (
@@ -52,21 +54,29 @@ def header_schema(header: str, sep: str = "|") -> T.StructType:
     return T.StructType(fields)
 
 
+def first_line(spark: SparkSession, file: str) -> str | None:
+    """The file's first line that is not blank: the one task stops reading there, so a
+    buffer is read of a file of any length."""
+    row = spark.read.text(file).where(F.length(F.trim("value")) > 0).first()
+    return row and row["value"]
+
+
 def file_headers(spark: SparkSession, path: str, sep: str = "|") -> dict[str | None, list[str]]:
     """Header line -> files that have it; None -> files without one.
 
-    A header line names all used columns, in any order. The filter runs where
-    the text is read; the driver gets one row per file.
+    A header is a file's first line that is not blank, if it names all used columns,
+    in any order; files without any line are left out. Each file's head is a job of
+    one task, ``HEADER_JOBS`` at a time (an early end in a Python function does not stop
+    Spark from reading the rest, and a limit over all files is none for each).
     """
-    names = F.split("value", re.escape(sep))
-    is_header = F.lit(True)
-    for h, _, _ in HEADER:
-        is_header &= F.array_contains(names, h)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    per_file = lines.groupBy("file").agg(F.min(F.when(is_header, F.col("value"))).alias("header")).collect()
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f), files))
     out: dict[str | None, list[str]] = {}
-    for r in per_file:
-        out.setdefault(r["header"], []).append(r["file"])
+    for file, line in zip(files, lines):
+        if line is not None:
+            named = {h for h, _, _ in HEADER} <= set(line.split(sep))
+            out.setdefault(line if named else None, []).append(file)
     return out
 
 

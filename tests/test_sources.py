@@ -108,6 +108,25 @@ def test_each_file_is_read_by_its_own_header(spark):
         ("d.txt", "no header here"), ("d.txt", "|".join(row.values()))}
 
 
+def test_a_header_is_the_first_line_that_is_not_blank(spark):
+    d = tempfile.mkdtemp(prefix="lotlens-csvf-")
+    names = "|".join(h for h, _, _ in csv_lots.HEADER)
+    long = "|".join(["02/01/2024", "1", "Vente", "250000,50", "69001", "LYON", "69", "1", "Maison", "100,25"]) + "\n"
+    with open(os.path.join(d, "blank.txt"), "w") as fh:
+        fh.write("\n \n" + names + "\n" + long)
+    with open(os.path.join(d, "late.txt"), "w") as fh:
+        fh.write("title\n" + names + "\n" + long)
+    open(os.path.join(d, "empty.txt"), "w").close()
+    for i in range(3):
+        with open(os.path.join(d, f"large {i}.txt"), "w") as fh:
+            fh.write(names + "\n" + long * 200_000)
+    got = {h: sorted(os.path.basename(f) for f in fs) for h, fs in csv_lots.file_headers(spark, d + "/*.txt").items()}
+    assert got == {
+        names: ["blank.txt", "large 0.txt", "large 1.txt", "large 2.txt"], None: ["late.txt"]}
+    valid, rejects = csv_lots.ingest(spark, d + "/large*.txt", d + "/parsed")
+    assert valid.count() == 600_000 and rejects.count() == 0
+
+
 def test_table_key_follows_the_input_and_unmarked_targets_are_replaced(spark):
     from lotlens.sources import tables
     d = tempfile.mkdtemp(prefix="lotlens-tab-")
