@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotlens.functions.expressions import dept_of_commune
 from lotlens.operators.stats import STAT_COLUMNS
+from lotlens.session import checkpoint_dir
+from lotlens.sources.tables import exists, remove_partition
 
 STATS_PROPS = ("price_m2", "n_sales", "q25", "q75")
 
@@ -66,8 +69,9 @@ def geojson_lines(features: DataFrame, props: list[str]) -> DataFrame:
                                        feature_json(props).alias("feature"))
 
 
-def write_features(features: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Newline-delimited GeoJSON text files (optionally one folder per key).
+def write_features(features: DataFrame, path: str, partition_by: str | None = None, dynamic: bool = False) -> None:
+    """Newline-delimited GeoJSON text files (optionally one folder per key). ``dynamic``
+    replaces the folders of the keys in ``features`` and leaves the others.
 
     Rows are brought together by the key first, so that a key's folder holds few
     files; the rebalance splits a key that is too large for one task.
@@ -76,12 +80,53 @@ def write_features(features: DataFrame, path: str, partition_by: str | None = No
     features = features.select(*cols)
     if partition_by:
         features = features.hint("rebalance", F.col(partition_by))
-    w = features.write.mode("overwrite")
+    w = features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.text(path)
 
 
+def feature_folder(key: str) -> T.StructType:
+    """Schema of a folder of feature lines with one sub-folder per ``key`` (text)."""
+    return T.StructType([T.StructField("value", T.StringType()), T.StructField(key, T.StringType())])
+
+
+def changed_keys(features: DataFrame, path: str, key: str) -> DataFrame:
+    """Keys whose lines are not those of their folder, and whether they are ``gone``
+    from ``features``: both sides are counted and hashed by key where they are read,
+    so a row per key is shuffled and no line is."""
+    written = features.sparkSession.read.schema(feature_folder(key)).text(path).withColumnRenamed("value", "feature")
+
+    def digest(df, side):
+        hashes = F.struct(F.xxhash64("feature"), F.hash("feature"))
+        return df.groupBy(key).agg(F.struct(
+            F.count(F.lit(1)), F.sum(hashes["col1"].cast("decimal(38,0)")), F.sum(hashes["col2"].cast("long"))).alias(side))
+    new, old = digest(features, "_new"), digest(written, "_old").withColumnRenamed(key, "_key")
+    both = new.join(old, F.col(key).eqNullSafe(F.col("_key")), "full_outer").where(~F.col("_new").eqNullSafe(F.col("_old")))
+    gone = F.col("_new").isNull()
+    return both.select(F.when(gone, F.col("_key")).otherwise(F.col(key)).alias(key), gone.alias("gone"))
+
+
+def update_features(features: DataFrame, path: str, key: str) -> DataFrame:
+    """Brings the folders below ``path`` up to date with ``features`` (key, feature),
+    writing only those whose lines changed; the first call writes all. Returns the keys
+    written or gone. The folders of keys that are gone are removed one by one, for which
+    their names come to the driver: use it for keys of a bounded number (departments)."""
+    spark = features.sparkSession
+    features = features.select(key, "feature")
+    if not exists(spark, path):
+        write_features(features, path, key)
+        return features.select(key, F.lit(False).alias("gone")).distinct()
+    checkpoint_dir(spark)
+    # kept apart from the folder, which is about to change
+    changed = changed_keys(features, path, key).checkpoint()
+    keep = changed.where(~F.col("gone")).select(F.col(key).alias("_key"))
+    write_features(features.join(keep, F.col(key).eqNullSafe(F.col("_key")), "left_semi"), path, key, dynamic=True)
+    for row in changed.where("gone").collect():
+        remove_partition(spark, path, key, row[key])
+    return changed
+
+
 def write_collections(features: DataFrame, path: str, partition_by: str) -> None:
     """One FeatureCollection document per key, as a reader of whole files expects; its
     features stand in the order of their text. A key's document is one row: use

@@ -520,6 +520,22 @@ SELECT dept, minx, miny, maxx, maxy, maxx - minx AS width, maxy - miny AS height
     q["viewport_to_load"] = with_(*vb, TO_LOAD) + "SELECT * FROM to_load"
     q["viewport_communes"] = with_(*vb, TO_LOAD) + f"""
 SELECT t.user_id, t.event_id, t.dept, c.insee AS code FROM to_load t JOIN cellgeo c ON {P7.format(c='c.insee')} = t.dept"""
+    q["crowded_viewports"] = """
+SELECT v.event_id, count(*) AS parcels, min(p.c_custkey) AS first, max(p.c_custkey) AS last
+FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 30000.0 ELSE 1500.0 END AS side,
+             600000.0 + CASE WHEN event_id % 10 = 0 THEN event_id * 7919 % 200000 ELSE event_id * 7919 % 8000 END AS west,
+             6500000.0 + CASE WHEN event_id % 10 = 0 THEN event_id * 104729 % 250000 ELSE event_id * 104729 % 1500 END AS south
+      FROM events) v
+JOIN (SELECT c_custkey,
+             600000.0 + (c_nationkey % 5) * 40000 + (c_custkey % 4) * 10000 + 100 + (c_custkey // 20 % 90) * 100 AS x,
+             6500000.0 + (c_nationkey // 5) * 50000 + (c_custkey % 20 // 4) * 10000 + 100 + (c_custkey // 1800 % 90) * 100 AS y
+      FROM customer WHERE c_custkey % 20 <> 7) p
+  ON p.x + 50 >= v.west AND p.x <= v.west + v.side AND p.y + 50 >= v.south AND p.y <= v.south + v.side
+GROUP BY v.event_id"""
+    q["loaded_features"] = with_(*tuple(dict.fromkeys(geo_stats + vb)), TO_LOAD) + f"""
+SELECT t.user_id, t.event_id, t.dept, c.insee AS code, s.median_price_m2 AS price_m2, s.n_sales
+FROM to_load t JOIN cellgeo c ON {P7.format(c='c.insee')} = t.dept
+LEFT JOIN (SELECT * FROM all_stats WHERE level = 'commune') s ON c.insee = s.code"""
     q["commune_dept_index"] = with_(*base) + f"SELECT {P7.format(c='insee')} AS dept, COUNT(*) AS n FROM cellgeo GROUP BY 1"
     q["enrichment_coverage"] = with_(*geo_stats) + """
 SELECT COUNT(*) AS features, COUNT(s.code) AS enriched FROM cellgeo c

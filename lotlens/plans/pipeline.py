@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotlens.operators import clean, layers, parcels, publish, stats, tiles
+from lotlens.operators.publish import feature_folder
 from lotlens.params import DEFAULT, MIN_SALES_TOP_EXPENSIVE, TOP_EXPENSIVE_LIMIT, StatsParams
 from lotlens.sources import csv_lots
 from lotlens.sources.tables import exists
@@ -86,21 +87,32 @@ def run_split(spark: SparkSession, out: str) -> dict:
     """Commune features + stats, one folder per department, and the index."""
     report = {}
     if not exists(spark, _p(out, "communes")):
-        lay = spark.read.parquet(_p(out, "layers")).where(F.col("level") == "commune")
-        s = spark.read.parquet(_p(out, "stats")).where(F.col("level") == "commune")
-        e = publish.commune_dept(publish.enrich(lay, s))
-        lines = publish.geojson_lines(e, ["code", "name", "price_m2", "n_sales", "q25", "q75"])
-        report["communes"] = write_counted(lines, _p(out, "communes"), "dept")
-        # the index counts the features that were written
-        written = spark.read.schema(feature_folder("dept")).text(_p(out, "communes"))
-        publish.dept_index(written.select("dept")).select(F.to_json(F.struct("departments", "counts")).alias("json")) \
-            .coalesce(1).write.mode("overwrite").text(_p(out, "communes_index"))
+        report["communes"] = write_counted(commune_lines(spark, out), _p(out, "communes"), "dept")
+        write_index(spark, out)
     return report
 
 
-def feature_folder(key: str) -> T.StructType:
-    """Schema of a folder of feature lines with one sub-folder per ``key`` (text)."""
-    return T.StructType([T.StructField("value", T.StringType()), T.StructField(key, T.StringType())])
+def refresh_split(spark: SparkSession, out: str) -> list[str]:
+    """Writes again the folders of the departments whose features differ from the layers
+    and statistics of now, and the index; the departments written or gone."""
+    changed = publish.update_features(commune_lines(spark, out), _p(out, "communes"), "dept")
+    write_index(spark, out)
+    return sorted(r["dept"] for r in changed.collect())
+
+
+def commune_lines(spark: SparkSession, out: str) -> DataFrame:
+    """Commune features with their statistics as GeoJSON text, and their department."""
+    lay = spark.read.parquet(_p(out, "layers")).where(F.col("level") == "commune")
+    s = spark.read.parquet(_p(out, "stats")).where(F.col("level") == "commune")
+    e = publish.commune_dept(publish.enrich(lay, s))
+    return publish.geojson_lines(e, ["code", "name", "price_m2", "n_sales", "q25", "q75"])
+
+
+def write_index(spark: SparkSession, out: str) -> None:
+    """The department index: counts of the features that were written."""
+    written = spark.read.schema(feature_folder("dept")).text(_p(out, "communes"))
+    publish.dept_index(written.select("dept")).select(F.to_json(F.struct("departments", "counts")).alias("json")) \
+        .coalesce(1).write.mode("overwrite").text(_p(out, "communes_index"))
 
 
 def write_counted(lines: DataFrame, path: str, key: str) -> int:
@@ -235,9 +247,14 @@ def features_to_load(spark: SparkSession, communes_path: str, to_load: DataFrame
 
     ``communes_path`` is the department-partitioned feature folder; joining on
     the partition column lets Spark prune the folders (dynamic partition
-    pruning) instead of reading every department.
+    pruning) instead of reading every department. Spark prunes by a broadcast
+    side only: here the departments themselves (a folder each, fixed by the
+    geography), whatever the number of viewports.
     """
     feats = spark.read.schema(feature_folder("dept")).text(communes_path).withColumnRenamed("value", "feature")
+    # pruning wants a comparison on the broadcast side; this one drops nulls, which match nothing
+    wanted = to_load.select("dept").where(F.col("dept") >= "").distinct()
+    feats = feats.join(F.broadcast(wanted), "dept", "left_semi")
     return to_load.join(feats, "dept").select("user_id", "event_id", "dept", "feature")
 
 

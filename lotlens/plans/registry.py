@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lotlens.functions.expressions import dept_of_commune, price_color
 from lotlens.functions.geo import ring_area2
-from lotlens.operators import (clean, crossings, dims, geometry, incremental, layers, parcels, publish, reports, stats, tiles,
+from lotlens.operators import (clean, crossings, dims, geometry, incremental, layers, loadtree, parcels, publish, reports, stats, tiles,
                                viewport)
 from lotlens.params import DEFAULT, METRO_REGIONS, PARCEL_SIMPLIFY_TOLERANCE
 from lotlens.sources import csv_lots, fixtures, geojson
@@ -192,6 +192,15 @@ def viewport_communes(spark, sf_dir):
     return viewport.communes_to_load(viewport_to_load(spark, sf_dir), communes)
 
 
+def crowded_viewports(spark, sf_dir):
+    """Parcels that each viewport shows, most viewports being in one city."""
+    seen = fixtures.parcels(spark, sf_dir).withColumnRenamed("id", "code")
+    pairs = loadtree.tree_join(fixtures.crowded_viewports(spark, sf_dir), viewport.feature_bounds(seen),
+                               ("west", "south", "east", "north"), ("minx", "miny", "maxx", "maxy"))
+    key = F.substring("code", -9, 9).cast("long")
+    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("parcels"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
 def commune_dept_index(spark, sf_dir):
     c = publish.commune_dept(_layers(spark, sf_dir).where(F.col("level") == "commune").select("code"))
     return c.groupBy("dept").agg(F.count(F.lit(1)).alias("n"))
@@ -402,6 +411,23 @@ def department_files(spark, sf_dir):
     return materialize(build, spark, "department_files", sf_dir)
 
 
+def loaded_features(spark, sf_dir):
+    """The commune features that each viewport loads, read from the departments' files
+    after the statistics of every second department came late and their folders alone
+    were written again."""
+    from lotlens.plans.pipeline import features_to_load
+    path = table_path(spark, key_for("loaded_features", CODE_VERSION, sf_dir, uuid.uuid4().hex))
+    communes, s = _commune_features(spark, sf_dir), _all_stats_table(spark, sf_dir).where(F.col("level") == "commune")
+    early = F.pmod(F.hash(dept_of_commune(F.col("code"))), F.lit(2)) == 0
+    for known in (s.where(early), s):
+        lines = publish.geojson_lines(publish.commune_dept(publish.enrich(communes, known)),
+                                      ["code", "name", "price_m2", "n_sales", "q25", "q75"])
+        publish.update_features(lines, path, "dept")
+    doc = F.from_json("feature", "struct<properties:struct<code:string, price_m2:double, n_sales:bigint>>")
+    loads = features_to_load(spark, path, viewport_to_load(spark, sf_dir))
+    return loads.select("user_id", "event_id", "dept", doc["properties"].alias("p")).select("user_id", "event_id", "dept", "p.*")
+
+
 def parcel_files(spark, sf_dir):
     """The parcel features of each department's files."""
     path = table_path(spark, key_for("parcel_files_source", CODE_VERSION, sf_dir))
@@ -506,6 +532,8 @@ def build() -> dict[str, Query]:
     q["viewport_departments"] = lambda s, d: _visible(s, d).select("event_id", "dept")
     q["viewport_to_load"] = viewport_to_load
     q["viewport_communes"] = viewport_communes
+    q["crowded_viewports"] = crowded_viewports
+    q["loaded_features"] = loaded_features
     q["commune_dept_index"] = commune_dept_index
     q["enrichment_coverage"] = enrichment_coverage
     q["enriched_postcodes"] = enriched_postcodes

@@ -150,6 +150,17 @@ def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(4) + F.col("event_id") % 14).cast("int").alias("zoom"))
 
 
+def crowded_viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One map viewport per event: nine in ten show 1.5 km of one city, far smaller
+    than a 50 km cell, the others 30 km anywhere."""
+    key = F.col("event_id")
+    far, side = key % 10 == 0, F.when(key % 10 == 0, 30000.0).otherwise(1500.0)
+    west = 600000.0 + F.when(far, key * 7919 % 200000).otherwise(key * 7919 % 8000)
+    south = 6500000.0 + F.when(far, key * 104729 % 250000).otherwise(key * 104729 % 1500)
+    return table(spark, sf_dir, "events").select("event_id", west.alias("west"), south.alias("south"),
+                                                 (west + side).alias("east"), (south + side).alias("north"))
+
+
 #: The published simplification tolerances in metres, stated here
 #: once more so that a wrong one in ``params`` shows.
 WIGGLE_LEVELS = (("country", 1500.0), ("region", 300.0), ("departement", 150.0), ("canton", 100.0), ("commune", 30.0),

@@ -104,3 +104,11 @@ def publish(spark: SparkSession, staging: str, path: str) -> None:
         raise OSError(f"{staging} could not be published as {path}")
     if fs.exists(src):
         fs.delete(src, True)
+
+
+def remove_partition(spark: SparkSession, path: str, key: str, value: str | None) -> None:
+    """Deletes the folder of one partition of a partitioned table (a dynamic overwrite
+    replaces the folders that it has rows for and leaves all others)."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    p, fs = _jvm_path(spark, os.path.join(path, utils.getPartitionPathString(key, value)))
+    fs.delete(p, True)

@@ -12,6 +12,10 @@ from lotlens.plans import pipeline
 from lotlens.sources import csv_lots, fixtures, geojson
 
 
+def part_files(path):
+    return {(os.path.basename(d), f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")}
+
+
 def test_pipeline_end_to_end(spark):
     d = tempfile.mkdtemp(prefix="lotlens-pipe-")
     src = os.path.join(d, "raw")
@@ -35,6 +39,19 @@ def test_pipeline_end_to_end(spark):
     one = idx["departments"][0]
     feats = spark.read.text(os.path.join(out, "communes", f"dept={one}"))
     assert feats.count() == idx["counts"][one]
+    # a department's statistics change: its folder alone is written again
+    folder = os.path.join(out, "communes")
+    before = part_files(folder)
+    assert pipeline.refresh_split(spark, out) == []
+    changed = spark.read.parquet(os.path.join(out, "stats"))
+    late = F.when((F.col("level") == "commune") & F.col("code").startswith(one), F.col("n_sales") + 1).otherwise(F.col("n_sales"))
+    changed.withColumn("n_sales", late).write.partitionBy("level").parquet(os.path.join(out, "stats_late"))
+    os.rename(os.path.join(out, "stats"), os.path.join(out, "stats_early"))
+    os.rename(os.path.join(out, "stats_late"), os.path.join(out, "stats"))
+    assert pipeline.refresh_split(spark, out) == [one]
+    after = part_files(folder)
+    assert {d for d, _ in before - after} == {d for d, _ in after - before} == {f"dept={one}"}
+    assert json.loads(spark.read.text(os.path.join(out, "communes_index")).first()[0]) == idx
     rparc = pipeline.run_parcels(spark, out, fixtures.parcels(spark, SF001), cap=5)
     assert 0 < rparc["parcels"] <= 5 * rparc["departments"]
     tiles = pipeline.run_tiles(spark, out)
