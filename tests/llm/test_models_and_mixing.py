@@ -1,4 +1,5 @@
 """Language ID, PII, mixing."""
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lotlens.llm import language_id as lid
 from lotlens.llm import mixing, pii
@@ -63,6 +65,101 @@ def test_held_out_rows_and_other_columns_do_not_change_the_model(spark):
     assert a == b
 
 
+def plain_grams(text):
+    """Hashed grams by their definition, one at a time."""
+    found, x, m = {}, [ord(c) for c in text.lower()], 2 ** 32
+    for i in range(len(x)):
+        h = x[i] * 0x9E3779B1 % m
+        for more, factor in ((0, None), (1, 0x85EBCA6B), (2, 0xC2B2AE35)):
+            if i + more < len(x):
+                h = h if factor is None else (h ^ x[i + more]) * factor % m
+                found[h >> 16] = found.get(h >> 16, 0) + 1
+    return found
+
+
+def plain_language_id(rows, p):
+    """(model's predict, temperature) of training rows (text, lang) in the order of the
+    sample: dictionaries and loops, all grams of all rows."""
+    labels = sorted({y for _, y in rows})
+    df = {}
+    for text, _ in rows:
+        for g in plain_grams(text):
+            df[g] = df.get(g, 0) + 1
+
+    def features(text):
+        x = {g: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df.get(g, 0))) + 1) for g, c in plain_grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {**{g: v / norm for g, v in x.items()}, "bias": 1.0}
+    z, n = {}, {}
+
+    def weight(g, y):
+        s = z.get((g, y), 0.0)
+        if abs(s) <= p.l1:
+            return 0.0
+        return -(s - math.copysign(p.l1, s)) / ((p.beta + math.sqrt(n.get((g, y), 0.0))) / p.alpha + p.l2)
+
+    def logits(x):
+        return [sum(v * weight(g, y) for g, v in x.items()) for y in labels]
+
+    def softmax(a):
+        e = [math.exp(v - max(a)) for v in a]
+        return [v / sum(e) for v in e]
+    held = [(features(t), y) for i, (t, y) in enumerate(rows) if i % p.calibration_part == 0]
+    for _ in range(p.passes):
+        for i, (text, label) in enumerate(rows):
+            if i % p.calibration_part:
+                x = features(text)
+                old = {(g, y): weight(g, y) for g in x for y in labels}
+                prob = softmax(logits(x))
+                for y, q in zip(labels, prob):
+                    for g, v in x.items():
+                        grad = v * (q - (y == label))
+                        was = n.get((g, y), 0.0)
+                        z[g, y] = z.get((g, y), 0.0) + grad - (math.sqrt(was + grad * grad) - math.sqrt(was)) / p.alpha * old[g, y]
+                        n[g, y] = was + grad * grad
+    scored = [(logits(x), labels.index(y)) for x, y in held]
+
+    def loss(t):
+        return sum(-math.log(max(softmax([v / t for v in a])[y], 1e-300)) for a, y in scored)
+    t = min((0.05 * 400 ** (i / 3000) for i in range(3001)), key=loss)
+
+    def predict(text):
+        prob = softmax([v / t for v in logits(features(text))])
+        best = max(range(len(labels)), key=lambda i: (prob[i], -i))
+        return labels[best], prob[best]
+    return predict, t
+
+
+def test_language_id_against_plain_training_and_prediction(spark):
+    rng = random.Random(7)
+    words = {"fr": "le la une maison vendue près du château été forêt".split(),
+             "en": "the a house sold near of castle summer wood and".split(),
+             "de": "das ein Haus verkauft nahe Schloß Sommer Wald über und".split()}
+    # a part of the words is of any language, so that the scores are not all certain
+    mixed = sum(words.values(), [])
+    rows = []
+    for i in range(90):
+        lang = rng.choice(sorted(words))
+        text = " ".join(rng.choice(words[lang] if rng.random() < 0.6 else mixed) for _ in range(rng.randint(1, 9)))
+        rows.append((i, text, lang if i % 11 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    params = lid.Params()
+    known = docs.where(~lid.is_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    order = (known.withColumn("u", F.xxhash64("doc_id", "text")).orderBy("u", "text", "lang").collect())
+    assert 40 < len(order) < 80
+    predict, t = plain_language_id([(r.text, r.lang) for r in order], params)
+    model = lid.learn(docs, p=params)
+    assert model.labels == ["de", "en", "fr"] and abs(model.temperature / t - 1) < 0.01
+    got = {r.doc_id: r for r in lid.language_id(docs, p=params).collect()}
+    scores = []
+    for i, text, _ in rows:
+        lang, score = predict(text)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 2e-3
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        scores.append(score)
+    assert min(scores) < 0.7 and max(scores) > 0.9
+
+
 def test_language_id_defined_cases(spark):
     rows = [(1, "der die das und", "de"), (2, "the and of it", "en"), (3, None, "en"), (4, "123 .!", "en"), (5, "", None),
             (None, "und das die", "de"), (6, "of the it and", "en"), (6, "of the it and", "en"), (7, "the " * 50_000, None)]
