@@ -194,11 +194,13 @@ def viewport_communes(spark, sf_dir):
 
 def crowded_viewports(spark, sf_dir):
     """Parcels that each viewport shows, most viewports being in one city."""
-    seen = fixtures.parcels(spark, sf_dir).withColumnRenamed("id", "code")
-    pairs = loadtree.tree_join(fixtures.crowded_viewports(spark, sf_dir), viewport.feature_bounds(seen),
-                               ("west", "south", "east", "north"), ("minx", "miny", "maxx", "maxy"))
-    key = F.substring("code", -9, 9).cast("long")
-    return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("parcels"), F.min(key).alias("first"), F.max(key).alias("last"))
+    # the customers are few bytes, and one input split, for so many parcels
+    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = fixtures.parcels(spark, sf_dir).withColumnRenamed("id", "code").repartition(workers)
+    bounds = viewport.feature_bounds(seen).withColumn("key", F.substring("code", -9, 9).cast("long"))
+    found = loadtree.tree_join(fixtures.crowded_viewports(spark, sf_dir), bounds, ("west", "south", "east", "north"),
+                               ("minx", "miny", "maxx", "maxy"), totals=("event_id", "key"))
+    return found.select("event_id", F.col("count").alias("parcels"), F.col("min").alias("first"), F.col("max").alias("last"))
 
 
 def commune_dept_index(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,50 @@ def test_the_tree_is_broadcast_only_below_its_bound(spark, monkeypatch):
         assert sorted(joined.collect()) == sorted(small) and len(small) > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+VALUED = RSCHEMA + ", v long"
+
+
+@pytest.mark.parametrize("max_load,right_max,frontier", [(1, 10**6, 1 << 14), (50, 7, 5), (10**6, 40, 300)])
+def test_totals_are_those_of_the_pairs(spark, monkeypatch, max_load, right_max, frontier):
+    monkeypatch.setattr(loadtree, "MAX_RIGHT", right_max)
+    monkeypatch.setattr(loadtree, "FRONTIER", frontier)
+    rng = random.Random(max_load)
+    left = [(i // 2 if i % 9 else None, *rect(rng, 1000.0 if i % 3 else 20.0, [0.0, 1.0, 30.0, 900.0])) for i in range(200)]
+    left += [(900, 64.0, 64.0, 64.0, 64.0), (900, 64.0, 64.0, 64.0, 64.0), (901, 5.0, 0.0, 1.0, 1.0), (902, None, 0.0, 1.0, 1.0)]
+    right = [(i, *rect(rng, 1000.0, [0.0, 10.0, 200.0, 2500.0]), None if i % 5 == 0 else rng.choice([-1, 1]) * i) for i in range(120)]
+    right += [(120, 64.0, 64.0, 128.0, 128.0, 2**63 - 1)] * 30 + [(121, None, 0.0, 1.0, 1.0, 5)]
+    want = {}
+    for a in left:
+        for b in right:
+            if None not in (a[1], b[1]) and a[1] <= a[3] and b[3] >= a[1] and b[1] <= a[3] and b[4] >= a[2] and b[2] <= a[4]:
+                want.setdefault(a[0], []).append(b[5])
+    want = {k: (len(v), min((x for x in v if x is not None), default=None), max((x for x in v if x is not None), default=None))
+            for k, v in want.items()}
+    got = loadtree.tree_join(spark.createDataFrame(left, LSCHEMA), spark.createDataFrame(right, VALUED), LEFT, RIGHT,
+                             max_load=max_load, totals=("event_id", "v"))
+    assert got.columns == ["event_id", "count", "min", "max"]
+    assert {r.event_id: tuple(r)[1:] for r in got.collect()} == want and None in want and len(want) > 50
+    none = spark.createDataFrame([], VALUED)
+    assert loadtree.tree_join(spark.createDataFrame(left, LSCHEMA), none, LEFT, RIGHT, totals=("event_id", "v")).count() == 0
+
+
+def test_totals_visit_far_fewer_boxes_than_there_are_pairs(monkeypatch):
+    x, y = (a.ravel() * 10.0 for a in np.meshgrid(np.arange(200), np.arange(200)))
+    levels = loadtree.box_tree(np.column_stack([x, y, x + 5, y + 5]), np.arange(40000), np.ones(40000, dtype=bool))
+    visits = []
+    bounds = [level[0].view(Counted) for level in levels]
+    for b in bounds:
+        b.visits = visits
+    left = np.array([[500.0, 500.0, 1500.0, 1500.0]] * 20)
+    n, low, high = loadtree.box_totals([(b, *level[1:]) for b, level in zip(bounds, levels)], left)
+    assert set(n) == {101 * 101} and set(low) == {50 * 200 + 50} and set(high) == {150 * 200 + 150}
+    assert sum(visits) < n.sum() / 5
+
+
+class Counted(np.ndarray):
+    def __getitem__(self, key):
+        if isinstance(key, np.ndarray):
+            self.visits.append(len(key))
+        return np.asarray(self)[key]
