@@ -216,20 +216,55 @@ def _farthest(xs: np.ndarray, ys: np.ndarray, s: int, e: int) -> tuple[int, floa
     return s + 1 + i, float(d[i])
 
 
-def _crossing(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Which segments cross or touch another one with which they share no end.
+def _split_keep_all(xs: np.ndarray, ys: np.ndarray, s: np.ndarray, e: np.ndarray, tol: np.ndarray, keep: np.ndarray) -> None:
+    """``_split_keep`` of many lines (first and last vertices s, e) at once, marked in ``keep``."""
+    keep[s] = keep[e] = True
+    while len(s):
+        inner = e > s + 1
+        s, e, tol = s[inner], e[inner], tol[inner]
+        if not len(s):
+            return
+        i, d = _farthest_all(xs, ys, s, e)
+        far = d > tol
+        s, e, tol, i = s[far], e[far], tol[far], i[far]
+        keep[i] = True
+        s, e, tol = np.concatenate([s, i]), np.concatenate([i, e]), np.concatenate([tol, tol])
+
+
+def _farthest_all(xs: np.ndarray, ys: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_farthest`` of many chords, each with a vertex between its ends."""
+    counts = e - s - 1
+    first = np.cumsum(counts) - counts
+    of = np.repeat(np.arange(len(s)), counts)
+    at = np.arange(len(of)) - first[of] + s[of] + 1
+    dx, dy = xs[e] - xs[s], ys[e] - ys[s]
+    seg2 = dx * dx + dy * dy
+    point, ox, oy = seg2 == 0.0, xs[s][of], ys[s][of]
+    t = np.clip(((xs[at] - ox) * dx[of] + (ys[at] - oy) * dy[of]) / np.where(point, 1.0, seg2)[of], 0.0, 1.0)
+    t[point[of]] = 0.0
+    d = np.hypot(xs[at] - (ox + t * dx[of]), ys[at] - (oy + t * dy[of]))
+    most = np.maximum.reduceat(d, first)
+    # the first of equals, or the first that is not a number, as argmax takes it
+    i, equal = s + 1, np.flatnonzero((d == most[of]) | np.isnan(d))[::-1]
+    i[of[equal]] = at[equal]
+    return i, most
+
+
+def _crossing(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Which segments cross or touch another one (of their group) with which they share no end.
 
     Segments are compared along x only while their x ranges overlap.
     """
-    order = np.argsort(np.minimum(ax, bx), kind="stable")
-    ax, ay, bx, by = ax[order], ay[order], bx[order], by[order]
+    group = np.zeros(len(ax), dtype=np.int64) if group is None else group
+    order = np.lexsort((np.minimum(ax, bx), group))
+    ax, ay, bx, by, group = ax[order], ay[order], bx[order], by[order], group[order]
     low, high = np.minimum(ax, bx), np.maximum(ax, bx)
     hit = np.zeros(len(ax), dtype=bool)
     i, step = np.arange(len(ax)), 0
     while len(i):
         step += 1
         i = i[i + step < len(ax)]
-        i = i[low[i + step] <= high[i]]
+        i = i[(group[i + step] == group[i]) & (low[i + step] <= high[i])]
         j = i + step
 
         def side(p, q, rx, ry):
@@ -245,39 +280,62 @@ def _crossing(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) ->
     return out
 
 
-def _uncross(lines: list[tuple[np.ndarray, np.ndarray]], keeps: list[np.ndarray]) -> None:
-    """Puts vertices back until no segment of the kept lines crosses another:
-    of each crossing chord the vertex that is farthest from it. ``keeps`` is
-    changed; lines that did not cross before do not cross afterwards."""
+def _uncross_all(xs: np.ndarray, ys: np.ndarray, line: np.ndarray, group: np.ndarray, keep: np.ndarray) -> None:
+    """Puts vertices back until no segment of the kept lines crosses another of its group:
+    of each crossing chord the vertex that is farthest from it. ``line`` and ``group``
+    number each vertex's line and group, and ascend; ``keep`` is changed. Lines that
+    did not cross before do not cross afterwards."""
+    open_ = np.ones(len(xs), dtype=bool)
     while True:
-        ends = [np.flatnonzero(k) for k in keeps]
-        ax, ay, bx, by = (np.concatenate([c[e[at]] for (xs, ys), e in zip(lines, ends) for c in [(xs, ys)[axis]]])
-                          for at, axis in ((slice(None, -1), 0), (slice(None, -1), 1), (slice(1, None), 0), (slice(1, None), 1)))
-        bad, changed, at = _crossing(ax, ay, bx, by), False, 0
-        for (xs, ys), keep, e in zip(lines, keeps, ends):
-            for q in np.flatnonzero(bad[at:at + len(e) - 1]):
-                if e[q + 1] > e[q] + 1:
-                    keep[_farthest(xs, ys, int(e[q]), int(e[q + 1]))[0]] = changed = True
-            at += len(e) - 1
-        if not changed:
+        at = np.flatnonzero(keep & open_)
+        a, b = at[:-1], at[1:]
+        same = line[a] == line[b]
+        a, b = a[same], b[same]
+        bad = _crossing(xs[a], ys[a], xs[b], ys[b], group[a]) & (b > a + 1)
+        if not bad.any():
             return
+        a, b = a[bad], b[bad]
+        keep[_farthest_all(xs, ys, a, b)[0]] = True
+        open_ = np.isin(group, group[a])  # the others crossed nowhere, and did not change
+
+
+def _uncross(lines: list[tuple[np.ndarray, np.ndarray]], keeps: list[np.ndarray]) -> None:
+    """``_uncross_all`` of lines that may not cross one another; ``keeps`` is changed."""
+    sizes = [len(k) for k in keeps]
+    xs, ys = (np.concatenate([c[axis] for c in lines]) for axis in (0, 1))
+    keep, line = np.concatenate(keeps), np.repeat(np.arange(len(lines)), sizes)
+    _uncross_all(xs, ys, line, np.zeros(len(xs), dtype=np.int64), keep)
+    for k, new in zip(keeps, np.split(keep, np.cumsum(sizes)[:-1])):
+        k[:] = new
+
+
+def _dp_keep_all(xs: np.ndarray, ys: np.ndarray, starts: np.ndarray, counts: np.ndarray, tol: np.ndarray) -> np.ndarray:
+    """Douglas-Peucker of rings that lie one after the other; none collapses."""
+    keep = np.ones(len(xs), dtype=bool)
+    cut = np.flatnonzero((counts > 4) & (tol > 0))
+    s, e = starts[cut], starts[cut] + counts[cut] - 1
+    keep[np.repeat(np.isin(np.arange(len(counts)), cut), counts)] = False
+    _split_keep_all(xs, ys, s, e, tol[cut], keep)
+    held = np.append(0, np.cumsum(keep))
+    small = held[e + 1] - held[s] < 4
+    for a, b in zip(s[small], e[small] + 1):
+        keep[a:b] = _triangle(xs[a:b], ys[a:b])
+    return keep
 
 
 def _dp_keep(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
-    n = len(xs)
-    if n <= 4 or not tol > 0:
-        return np.ones(n, dtype=bool)
-    keep = _split_keep(xs, ys, tol)
-    if keep.sum() < 4:
-        # never collapse a ring: keep start, the farthest vertex from it, and
-        # the vertex farthest from that chord (a closed triangle)
-        far = int(np.argmax(np.hypot(xs - xs[0], ys - ys[0])))
-        dx, dy = xs[far] - xs[0], ys[far] - ys[0]
-        dist = np.abs(dx * (ys - ys[0]) - dy * (xs - xs[0]))
-        dist[[0, far, n - 1]] = -1
-        third = int(np.argmax(dist))
-        keep[:] = False
-        keep[[0, far, third, n - 1]] = True
+    return _dp_keep_all(xs, ys, np.array([0]), np.array([len(xs)]), np.array([tol]))
+
+
+def _triangle(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The vertices that a ring which would collapse keeps: start, the farthest vertex from
+    it, and the vertex farthest from that chord (a closed triangle)."""
+    keep = np.zeros(len(xs), dtype=bool)
+    far = int(np.argmax(np.hypot(xs - xs[0], ys - ys[0])))
+    dx, dy = xs[far] - xs[0], ys[far] - ys[0]
+    dist = np.abs(dx * (ys - ys[0]) - dy * (xs - xs[0]))
+    dist[[0, far, len(xs) - 1]] = -1
+    keep[[0, far, int(np.argmax(dist)), len(xs) - 1]] = True
     return keep
 
 
@@ -301,19 +359,14 @@ def simplify_array(geom: pa.Array, tol: np.ndarray) -> pa.Array:
     row_of_part = np.repeat(np.arange(len(geom)), part_counts)
     row_of_ring = row_of_part[np.repeat(np.arange(len(parts)), ring_counts)]
     starts = np.concatenate([[0], np.cumsum(pt_counts)[:-1]]) if len(pt_counts) else np.array([], int)
-    keep = np.ones(len(xs), dtype=bool)
-    new_counts = pt_counts.copy()
+    keep = _dp_keep_all(xs, ys, starts, pt_counts, tol[row_of_ring])
     # the rings of a feature may not cross one another, nor may its parts
-    for row in np.unique(row_of_ring):
-        rings_of = np.flatnonzero(row_of_ring == row)
-        spans = [(int(starts[r]), int(starts[r] + pt_counts[r])) for r in rings_of]
-        lines = [(xs[s:e], ys[s:e]) for s, e in spans]
-        keeps = [_dp_keep(x, y, float(tol[row])) for x, y in lines]
-        if not all(k.all() for k in keeps):
-            _uncross(lines, keeps)
-        for r, (s, e), k in zip(rings_of, spans, keeps):
-            keep[s:e] = k
-            new_counts[r] = int(k.sum())
+    row, ring = np.repeat(row_of_ring, pt_counts), np.repeat(np.arange(len(pt_counts)), pt_counts)
+    cut = np.flatnonzero(np.isin(row, row[~keep]))
+    held = keep[cut]
+    _uncross_all(xs[cut], ys[cut], ring[cut], row[cut], held)
+    keep[cut] = held
+    new_counts = np.bincount(ring[keep], minlength=len(pt_counts)).astype(np.int64)
     point_type = geom.type.value_type.value_type.value_type
     new_pts = pa.StructArray.from_arrays([pa.array(xs[keep], pa.float64()), pa.array(ys[keep], pa.float64())],
                                          fields=list(point_type))
@@ -332,7 +385,9 @@ def tolerance_for(level: Column) -> Column:
 def simplify(df: DataFrame, tolerance: Column | float, geom: str = "geometry") -> DataFrame:
     """Douglas-Peucker simplification of ``geom`` (metres), rings never collapse."""
     tol_col = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    with_tol = df.withColumn("_tol", tol_col.cast("double"))
+    # a small file of many features is one input split: deal them out to all workers
+    workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_tol = df.withColumn("_tol", tol_col.cast("double")).repartition(workers)
     schema = with_tol.schema
 
     def fn(batches):
@@ -433,7 +488,9 @@ def simplify_shared(df: DataFrame, tolerance: Column | float, layer_keys: list[s
     flagged = verts.join(nodes, layer_keys + ["x", "y"], "inner")
     node_pos = flagged.groupBy(*layer_keys, "code").agg(
         F.collect_list(F.struct("_pi", "_ri", "_vi")).alias("_nodes"))
-    with_nodes = df.join(node_pos, layer_keys + ["code"], "left").withColumn("_tol", tol_col.cast("double"))
+    # as in ``simplify``: not in the few tasks that the scan, or a join of few bytes, has
+    workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_nodes = df.join(node_pos, layer_keys + ["code"], "left").withColumn("_tol", tol_col.cast("double")).repartition(workers)
     schema = with_nodes.schema
 
     def fn(batches):

@@ -177,3 +177,24 @@ def test_published_departments_still_share_borders(spark):
     outer = lambda r: (r.ux1 == r.ux2 and r.ux1 in (600000.0, 800000.0)) or \
         (r.uy1 == r.uy2 and r.uy1 in (6500000.0, 6750000.0))
     assert lonely and all(outer(r) for r in lonely)
+
+
+def test_simplify_deals_a_single_split_to_all_workers(spark):
+    wiggle = [(0.0, 0.0), (50.0, -0.2), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0), (0.0, 0.0)]
+    rows = [("commune", str(i), [[[(x + 200.0 * i, y) for x, y in wiggle]]]) for i in range(40)]
+    schema = "level string, code string, geometry array<array<array<struct<x:double,y:double>>>>"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    for got in (geometry.simplify(df, 0.5), geometry.simplify_shared(df, 0.5, ["level"])):
+        assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert [len(r.geometry[0][0]) for r in got.collect()] == [5] * 40
+
+
+def test_many_lines_at_once_are_split_like_each_alone():
+    rng = np.random.default_rng(5)
+    sizes = np.array([6, 40, 5, 300, 9, 2000])
+    xs, ys = rng.integers(0, 30, sizes.sum()).astype(float), rng.normal(0, 3, sizes.sum())
+    s = np.cumsum(sizes) - sizes
+    keep = np.zeros(len(xs), dtype=bool)
+    geometry._split_keep_all(xs, ys, s, s + sizes - 1, np.full(len(s), 2.0), keep)
+    alone = [geometry._split_keep(xs[a:a + n], ys[a:a + n], 2.0) for a, n in zip(s, sizes)]
+    assert (keep == np.concatenate(alone)).all() and 0 < keep.sum() < len(keep)
