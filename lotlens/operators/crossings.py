@@ -30,28 +30,17 @@ _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.
 _CHORD = [T.StructField(c, T.DoubleType()) for c in ("ax", "ay", "bx", "by")]
 
 
-def _rings(geometry: list) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
-            for part in geometry or () for ring in part or ()]
+def _rings(geometry: list) -> list[list[tuple[float, float]]]:
+    return [[(p["x"], p["y"]) for p in ring] for part in geometry or () for ring in part or ()]
 
 
-def _same_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which points of ``a`` are among ``b``."""
-    pair = np.dtype([("x", float), ("y", float)])
-    return np.isin(np.ascontiguousarray(a).view(pair).ravel(), np.ascontiguousarray(b).view(pair).ravel())
-
-
-def ring_chords(original: np.ndarray, kept: np.ndarray) -> list[np.ndarray]:
+def ring_chords(original: list[tuple[float, float]], kept: list[bool]) -> list[list[tuple[float, float]]]:
     """The lines between successive kept vertices of a closed ring, each from its
     smaller end."""
-    marks = np.flatnonzero(kept[:-1])
-    out = []
-    for a, b in zip(marks, np.append(marks[1:], marks[:1] + len(original) - 1)):
-        line = original[np.arange(a, b + 1) % (len(original) - 1)]
-        back = line[::-1]
-        out.append(back if tuple(back[0]) < tuple(line[0]) or (tuple(back[0]) == tuple(line[0]) and back.tolist() < line.tolist())
-                   else line)
-    return out
+    marks, n = [i for i, k in enumerate(kept[:-1]) if k], len(original) - 1
+    twice = original[:-1] * 2
+    lines = (twice[a:b + 1] for a, b in zip(marks, marks[1:] + [m + n for m in marks[:1]]))
+    return [min(line, line[::-1]) for line in lines]
 
 
 def farthest(line: np.ndarray) -> tuple[float, float] | None:
@@ -86,10 +75,10 @@ def chords(features: DataFrame, keys: list[str], original: str = "_original", ge
                     for was, now in zip(_rings(row[original]), _rings(row[geom])):
                         if len(was) < 4 or len(now) < 4:
                             continue
-                        for line in ring_chords(was, _same_points(was, now)):
-                            far = farthest(line) or (None, None)
-                            out.append((*named, *line[0].tolist(), *line[-1].tolist(),
-                                        [{"x": x, "y": y} for x, y in line.tolist()], *far))
+                        points = set(now)
+                        for line in ring_chords(was, [p in points for p in was]):
+                            far = farthest(np.array(line)) if len(line) > 2 else None
+                            out.append((*named, *line[0], *line[-1], [{"x": x, "y": y} for x, y in line], *(far or (None, None))))
                 cols = zip(*out) if out else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
@@ -200,7 +189,8 @@ def _put_back(features: DataFrame, points: DataFrame, keys: list[str]) -> DataFr
     given = (vertices.select(*keys, "code", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
              .join(points, [*keys, "px", "py"]).groupBy(*keys, "code")
              .agg(F.collect_set(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("_back")))
-    joined = features.join(given, [*keys, "code"], "left").select(*features.columns, "_back")
+    workers = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = features.join(given, [*keys, "code"], "left").select(*features.columns, "_back").repartition(workers)
     schema = joined.schema
 
     def fn(batches):
@@ -218,15 +208,16 @@ def _put_back(features: DataFrame, points: DataFrame, keys: list[str]) -> DataFr
 
 
 def _kept_again(original: list, geometry: list, back: list) -> list:
-    points, out = np.array([(p["x"], p["y"]) for p in back]), []
+    points, out = {(p["x"], p["y"]) for p in back}, []
     for part, simple in zip(original, geometry):
         rings = []
         for was, now in zip(part, simple):
             (line,), (short,) = _rings([[was]]), _rings([[now]])
             if len(line) >= 4 and len(short) >= 4:
-                kept = np.flatnonzero((_same_points(line, short) | _same_points(line, points))[:-1])
-                first = min(range(len(kept)), key=lambda q: tuple(line[kept[q]]))
-                now = [{"x": x, "y": y} for x, y in line[np.concatenate([kept[first:], kept[:first + 1]])].tolist()]
+                held = points | set(short)
+                kept = [p for p in line[:-1] if p in held]
+                first = min(range(len(kept)), key=kept.__getitem__)
+                now = [{"x": x, "y": y} for x, y in kept[first:] + kept[:first + 1]]
             rings.append(now)
         out.append(rings)
     return out

@@ -153,3 +153,19 @@ def test_a_sliver_does_not_shrink_to_a_line(spark):
 def test_empty_layer(spark):
     df = layer(spark, [])
     assert cr.simplify_layer(df, 10.0, ["level"]).collect() == [] and cr.crossings(df, ["level"]).collect() == []
+
+
+def test_a_single_split_is_dealt_to_all_workers(spark, monkeypatch):
+    square = [[[[(2000.0 * i + x, float(y)) for x, y in SQUARE]], [[(2000.0 * i + x, float(y)) for x, y in HOLE]]] for i in range(20)]
+    df = layer(spark, [(str(i), [[part[0] for part in parts]]) for i, parts in enumerate(square)]).coalesce(1)
+    got = cr.simplify_layer(df, 10.0, ["level"])
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all((2000.0 * int(c) + 50.0, -9.0) in g[0][0] for c, g in kept_of(got).items())
+
+
+def test_chords_of_a_ring_start_at_their_smaller_end():
+    ring = [(0.0, 0.0), (2.0, -1.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    assert cr.ring_chords(ring, [True, False, True, False, True]) == [ring[:3], [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0)]]
+    assert cr.ring_chords(ring, [False, False, True, False, False]) == [
+        min(line, line[::-1]) for line in [[ring[2], ring[3], ring[0], ring[1], ring[2]]]]
+    assert cr.ring_chords(ring, [False] * 5) == []
