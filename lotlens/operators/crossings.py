@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lotlens.operators.geometry import simplify_shared
+from lotlens.operators.geometry import dealt_out, simplify_shared
 from lotlens.session import checkpoint_dir
 
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -189,8 +189,7 @@ def _put_back(features: DataFrame, points: DataFrame, keys: list[str]) -> DataFr
     given = (vertices.select(*keys, "code", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
              .join(points, [*keys, "px", "py"]).groupBy(*keys, "code")
              .agg(F.collect_set(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("_back")))
-    workers = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = features.join(given, [*keys, "code"], "left").select(*features.columns, "_back").repartition(workers)
+    joined = dealt_out(features.join(given, [*keys, "code"], "left").select(*features.columns, "_back"))
     schema = joined.schema
 
     def fn(batches):
@@ -230,7 +229,8 @@ def simplify_layer(features: DataFrame, tolerance: Column | float, keys: list[st
     checkpoint_dir(features.sparkSession)
     state = simplify_shared(features.withColumn("_original", F.col("geometry")), tolerance, keys).checkpoint()
     while True:
-        back = faults(chords(state, keys), keys).checkpoint()
+        # kept: the joins below read the chords many times, each with columns of its own
+        back = faults(chords(state, keys).checkpoint(), keys).checkpoint()
         if back.isEmpty():
             return state.drop("_original")
         state = _put_back(state, back, keys).checkpoint()

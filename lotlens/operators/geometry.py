@@ -382,12 +382,20 @@ def tolerance_for(level: Column) -> Column:
     return F.coalesce(m[level], F.lit(SIMPLIFY_TOLERANCE_DEFAULT))
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all workers, for work that the few tasks of a small file's scan, or of
+    a join of few bytes, would do alone. A task starts Python whatever it holds, so there
+    are no more than keep the cores busy: the shuffle partitions grow with the
+    lots, which a layer's features do not."""
+    spark = df.sparkSession
+    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(workers, max(64, 4 * spark.sparkContext.defaultParallelism)))
+
+
 def simplify(df: DataFrame, tolerance: Column | float, geom: str = "geometry") -> DataFrame:
     """Douglas-Peucker simplification of ``geom`` (metres), rings never collapse."""
     tol_col = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    # a small file of many features is one input split: deal them out to all workers
-    workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with_tol = df.withColumn("_tol", tol_col.cast("double")).repartition(workers)
+    with_tol = dealt_out(df.withColumn("_tol", tol_col.cast("double")))
     schema = with_tol.schema
 
     def fn(batches):
@@ -488,9 +496,7 @@ def simplify_shared(df: DataFrame, tolerance: Column | float, layer_keys: list[s
     flagged = verts.join(nodes, layer_keys + ["x", "y"], "inner")
     node_pos = flagged.groupBy(*layer_keys, "code").agg(
         F.collect_list(F.struct("_pi", "_ri", "_vi")).alias("_nodes"))
-    # as in ``simplify``: not in the few tasks that the scan, or a join of few bytes, has
-    workers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with_nodes = df.join(node_pos, layer_keys + ["code"], "left").withColumn("_tol", tol_col.cast("double")).repartition(workers)
+    with_nodes = dealt_out(df.join(node_pos, layer_keys + ["code"], "left").withColumn("_tol", tol_col.cast("double")))
     schema = with_nodes.schema
 
     def fn(batches):

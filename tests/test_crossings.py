@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotlens.operators import crossings as cr
-from lotlens.operators.geometry import simplify_shared
+from lotlens.operators.geometry import simplify, simplify_shared
 
 GEOMETRY = "level string, code string, geometry array<array<array<struct<x:double,y:double>>>>"
 
@@ -169,3 +169,32 @@ def test_chords_of_a_ring_start_at_their_smaller_end():
     assert cr.ring_chords(ring, [False, False, True, False, False]) == [
         min(line, line[::-1]) for line in [[ring[2], ring[3], ring[0], ring[1], ring[2]]]]
     assert cr.ring_chords(ring, [False] * 5) == []
+
+
+def test_chords_are_made_once_a_round(spark, monkeypatch):
+    ring = [(0, 0), (500, -27), (1000, 0), (1000, 1000), (0, 1000), (0, 0)]
+    hole = [(490, -16), (490, -8), (510, -8), (510, -16), (490, -16)]
+    plans, faults = [], cr.faults
+
+    def watched(lines, keys):
+        plans.append(lines._jdf.queryExecution().executedPlan().toString())
+        return faults(lines, keys)
+    monkeypatch.setattr(cr, "faults", watched)
+    kept = kept_of(cr.simplify_layer(layer(spark, [("a", [[ring, hole]])]), 30.0, ["level"]))
+    assert (500.0, -27.0) in kept["a"][0][0]
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)
+
+
+def test_few_features_do_not_get_a_task_per_shuffle_partition(spark):
+    features = [(str(i), [[[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0)]]]) for i in range(0, 20, 2)]
+    most = max(64, 4 * spark.sparkContext.defaultParallelism)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for workers, tasks in ((600, most), (3, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(workers))
+            for f in (lambda df: simplify(df, 0.1), lambda df: simplify_shared(df, 0.1, ["level"])):
+                df = f(layer(spark, features))
+                assert df.rdd.getNumPartitions() == tasks
+                assert sorted(kept_of(df)) == sorted(code for code, _ in features)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
